@@ -1,0 +1,5 @@
+"""Deliberately empty: the feature set has no streaming operators.
+
+Filters compiled by ``operators.match`` for columnar documents are stateless
+Columns, so they can be used in a ``readStream`` pipeline as they are.
+"""
