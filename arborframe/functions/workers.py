@@ -2,7 +2,7 @@
 
 Only what has no built-in expression: archive members, compressed JSON arrays,
 depth-unbounded walks over a document, one file per row.  Each function maps an
-iterator of Arrow-backed pandas batches and keeps no state across documents.
+iterator of Arrow batches and keeps no state across documents.
 The module is pickled by value, so executors need no installed package.
 """
 
@@ -21,18 +21,27 @@ ROWS = 2000
 METADATA = ("_id_x", "_date", "_file")
 
 
-def _batches(rows, columns):
-    """Group a generator of tuples into DataFrames of bounded length."""
-    import pandas as pd
+def _batches(rows, **types):
+    """Group a generator of tuples into Arrow batches of bounded length."""
+    import itertools
 
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= ROWS:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=columns)
+    import pyarrow as pa
+
+    schema = pa.schema([(name, pa.type_for_alias(t) if isinstance(t, str) else t) for name, t in types.items()])
+    rows = iter(rows)
+    while held := list(itertools.islice(rows, ROWS)):
+        columns = [pa.array(column, field.type) for column, field in zip(zip(*held), schema)]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _pairs(batch, *names):
+    return zip(*[batch.column(name).to_pylist() for name in names])
+
+
+def _keyed_batches(batches, rows_of, **types):
+    """Per input batch: run ``rows_of`` over its ``key, text`` and keep the key's type."""
+    for batch in batches:
+        yield from _batches(rows_of(_pairs(batch, "key", "text")), key=batch.schema.field("key").type, **types)
 
 
 # ---------------------------------------------------------------- archives and dumps
@@ -45,14 +54,14 @@ def zip_members(batches):
 
     def rows():
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
+            for archive, content in _pairs(batch, "path", "content"):
                 with zipfile.ZipFile(io.BytesIO(content)) as members:
                     for name in members.namelist():
                         base = name.rsplit("/", 1)[-1]
                         if base.endswith("json") and "." in base[:-4]:
                             yield f"{archive}/{name}", base, members.read(name).decode("utf-8")
 
-    yield from _batches(rows(), ["path", "_file", "raw"])
+    yield from _batches(rows(), path="string", _file="string", raw="string")
 
 
 DUMP_SCHEMA = "path string, pos long, raw string, _id_x long, _date string, _file string"
@@ -102,12 +111,14 @@ def _json_values(chunks):
 def dump_members(batches):
     def rows():
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in _pairs(batch, "path", "content"):
                 for pos, tree in enumerate(_json_values(_text_chunks(content))):
                     kept = {k: tree.pop(k, None) for k in METADATA}
                     yield path, pos, json.dumps(tree), kept["_id_x"], kept["_date"], kept["_file"]
 
-    yield from _batches(rows(), ["path", "pos", "raw", "_id_x", "_date", "_file"])
+    yield from _batches(
+        rows(), path="string", pos="int64", raw="string", _id_x="int64", _date="string", _file="string"
+    )
 
 
 # ---------------------------------------------------------------- document walks
@@ -144,15 +155,14 @@ LEAF_FIELDS = "path string, exact_path string, value string, type string"
 def leaf_rows(batches):
     """``(key, text)`` to one row per leaf."""
 
-    def rows():
-        for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
-                document = _parsed(text)
-                if document is not None:
-                    for leaf in _leaves(document, None, "$"):
-                        yield (key, *leaf)
+    def rows(pairs):
+        for key, text in pairs:
+            document = _parsed(text)
+            if document is not None:
+                for leaf in _leaves(document, None, "$"):
+                    yield (key, *leaf)
 
-    yield from _batches(rows(), ["key", "path", "exact_path", "value", "type"])
+    yield from _keyed_batches(batches, rows, path="string", exact_path="string", value="string", type="string")
 
 
 def _keyed(value):
@@ -171,19 +181,18 @@ def node_rows(names):
     """``(key, text)`` to one row per value stored under one of ``names``."""
     wanted = frozenset(names)
 
+    def rows(pairs):
+        for key, text in pairs:
+            for order, (name, value) in enumerate(_keyed(_parsed(text))):
+                if name in wanted:
+                    if isinstance(value, (dict, list)):
+                        shown = json.dumps(value), "object" if isinstance(value, dict) else "array"
+                    else:
+                        shown = _scalar(value)
+                    yield (key, order, name, *shown)
+
     def run(batches):
-        def rows():
-            for batch in batches:
-                for key, text in zip(batch["key"], batch["text"]):
-                    for order, (name, value) in enumerate(_keyed(_parsed(text))):
-                        if name in wanted:
-                            if isinstance(value, (dict, list)):
-                                shown = json.dumps(value), "object" if isinstance(value, dict) else "array"
-                            else:
-                                shown = _scalar(value)
-                            yield (key, order, name, *shown)
-
-        yield from _batches(rows(), ["key", "ord", "name", "value", "type"])
+        yield from _keyed_batches(batches, rows, ord="int64", name="string", value="string", type="string")
 
     return run
 
@@ -192,20 +201,19 @@ def node_rows(names):
 def write_files(outdir):
     """``(_id_x, _file, raw)`` to pretty-printed files below a shared folder."""
 
-    def run(batches):
-        import pandas as pd
-
+    def rows(batches):
         os.makedirs(outdir, exist_ok=True)
         for batch in batches:
-            paths = []
-            for name, raw in zip(batch["_file"], batch["raw"]):
+            for number, name, raw in _pairs(batch, "_id_x", "_file", "raw"):
                 target = os.path.join(outdir, os.path.basename(name))
                 partial = f"{target}.{os.getpid()}.part"
                 with open(partial, "w", encoding="utf-8") as out:
                     out.write(json.dumps(json.loads(raw), indent=4))
                 os.replace(partial, target)  # a retried task leaves no half-written file
-                paths.append(target)
-            yield pd.DataFrame({"_id_x": batch["_id_x"], "_file": batch["_file"], "path": paths})
+                yield number, name, target
+
+    def run(batches):
+        yield from _batches(rows(batches), _id_x="int64", _file="string", path="string")
 
     return run
 

@@ -143,6 +143,16 @@ def _element_columns(maps: Column, fields: Mapping[str, str]) -> Column:
     return F.struct(keys, *[member(name, kind) for name, kind in fields.items()])
 
 
+def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters and projections refer to but never repeat.
+
+    Catalyst copies the definition of a projected column into every filter it
+    pushes down, so an expensive one would be evaluated many times per row; it
+    does not look inside a generator.  The one-element explode keeps each row.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def documents(raw: DataFrame) -> DataFrame:
     """Columnar documents from a DataFrame with a ``raw`` JSON text column.
 
@@ -150,19 +160,19 @@ def documents(raw: DataFrame) -> DataFrame:
     Unparseable text yields a NULL ``doc``; see ``operators.validate``.
     """
     doc = F.col("doc")
-    opened = {"_coords": F.try_variant_get(doc, "$.geometry.coordinates", "array<variant>")}
-    for path, (column, _) in ARRAYS.items():  # opened once, used by every member below
-        opened[f"_{column}"] = F.transform(F.try_variant_get(doc, f"$.{path}", "array<variant>"), as_map)
+    opened = [
+        F.transform(F.try_variant_get(doc, f"$.{path}", "array<variant>"), as_map).alias(column)
+        for path, (column, _) in ARRAYS.items()
+    ]
+    coords = F.try_variant_get(doc, "$.geometry.coordinates", "array<variant>")
     scalars = {
         column: typed(descend(doc, path), kind) for path, (kind, column) in SCALARS.items() if path not in METADATA
     }
-    places = {name: typed(F.get("_coords", i), NUMBER) for i, name in enumerate(("lon", "lat", "elev"))}
-    arrays = {column: _element_columns(F.col(f"_{column}"), fields) for column, fields in ARRAYS.values()}
+    places = {name: typed(F.get(coords, i), NUMBER) for i, name in enumerate(("lon", "lat", "elev"))}
+    arrays = {column: _element_columns(F.col(f"_maps.{column}"), fields) for column, fields in ARRAYS.values()}
+    parsed = computed_once(raw, "doc", F.try_parse_json("raw"))
     return (
-        raw.withColumn("doc", F.try_parse_json("raw"))
-        .withColumns(opened)
-        .withColumns({**scalars, **places, **arrays})
-        .drop(*opened)
+        computed_once(parsed, "_maps", F.struct(*opened)).withColumns({**scalars, **places, **arrays}).drop("_maps")
     )
 
 

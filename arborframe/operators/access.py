@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..sources.stamp import number_rows
 from .match import where
 
+MAX_TOP_K = 100_000  # rows one task may sort for a page
 MAX_BROADCAST_POSITIONS = 100_000  # two longs each; longer lists are joined by shuffle
 
 
@@ -146,9 +148,20 @@ def field_projection(docs) -> DataFrame:
 
 # ---------------------------------------------------------------- paging
 def limit_skip(docs, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """Documents in id order from ``skip``, at most ``limit`` of them."""
-    ordered = header(docs).orderBy("_id_x").offset(skip)
-    return ordered if limit is None else ordered.limit(limit)
+    """Documents in id order from ``skip``, at most ``limit`` of them.
+
+    A preview page is a per-task top-k.  A deep or open-ended page would make
+    that one huge task, so there the ids are numbered in parallel first.
+    """
+    table = header(docs)
+    if limit is not None and skip + limit <= MAX_TOP_K:
+        return table.orderBy("_id_x").offset(skip).limit(limit)
+    if skip == 0 and limit is None:
+        return table.orderBy("_id_x")
+    row = F.col("_row")
+    numbered = number_rows(table.select("_id_x"), "_row", "_id_x")
+    page = numbered.where((row >= skip) if limit is None else row.between(skip, skip + limit - 1))
+    return table.join(page.select("_id_x"), "_id_x", "left_semi").orderBy("_id_x")
 
 
 def page_results(docs, query: Mapping[str, Any], limit: int, page: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -46,16 +46,21 @@ def anti_join_missing_source(docs: model.RelationalDocs, sources: Sequence[str])
 
 
 # ---------------------------------------------------------------- row-local pairings
-def _matching(docs: DataFrame, path: str, query: Mapping[str, Any]) -> Column:
-    """Array elements (as structs) of one document that satisfy an element filter."""
+def _matching(path: str, query: Mapping[str, Any], wanted: Sequence[str]) -> Column:
+    """Array elements that satisfy an element filter, as structs of the members needed."""
     column, fields = model.ARRAYS[path]
-    members = F.arrays_zip(*[F.col(f"{column}.`{name}`") for name in ("_keys", *fields)])
-    return F.filter(
-        members,
-        lambda e: compile_filter(
-            query, ElementScope(lambda n: e.getField(n), lambda n: F.array_contains(e["_keys"], n), fields, True)
-        ),
-    )
+    used = dict.fromkeys(wanted)
+
+    def note(name: str) -> Column:
+        used[name] = None
+        return F.col(f"{column}.`{name}`")
+
+    def held(value, keys) -> Column:
+        return compile_filter(query, ElementScope(value, lambda n: F.array_contains(keys(), n), fields, complete=True))
+
+    held(note, lambda: note("_keys"))
+    members = F.arrays_zip(*[F.col(f"{column}.`{name}`") for name in used])
+    return F.filter(members, lambda e: held(e.getField, lambda: e["_keys"]))
 
 
 def _pairs(docs: DataFrame, left: Column, right: Column, keep: Sequence[str]) -> DataFrame:
@@ -69,18 +74,19 @@ def merge_data_measurements(docs: DataFrame, data: Mapping[str, Any], measuremen
     ``data`` and ``measurements`` are element filters.  Both arrays live in the
     same row, so the join on the tree needs no shuffle.
     """
+    scan = [n for n in model.DATA_FIELDS if n not in ("date", "crs", "canopy_condition")]
+    measured = [n for n in model.MEASUREMENT_FIELDS if n != "crs"]
     pairs = _pairs(
         docs,
-        _matching(docs, "properties.data", data),
-        _matching(docs, "properties.measurements", measurements),
+        _matching("properties.data", data, scan),
+        _matching("properties.measurements", measurements, measured),
         ("_id_x", "id"),
     )
-    dropped_left, dropped_right = ("date", "crs", "canopy_condition"), ("crs",)
     return pairs.select(
         "_id_x",
         "id",
-        *[F.col(f"l.`{n}`").alias(n) for n in model.DATA_FIELDS if n not in dropped_left],
-        *[F.col(f"r.`{n}`").alias(n) for n in model.MEASUREMENT_FIELDS if n not in dropped_right],
+        *[F.col(f"l.`{n}`").alias(n) for n in scan],
+        *[F.col(f"r.`{n}`").alias(n) for n in measured],
     )
 
 
@@ -97,7 +103,9 @@ def pair_sources(
     leaf-on ULS heights.
     """
     path = "properties.measurements"
-    pairs = _pairs(docs, _matching(docs, path, left), _matching(docs, path, right), ("_id_x", "id", "species"))
+    pairs = _pairs(
+        docs, _matching(path, left, [left_value]), _matching(path, right, [right_value]), ("_id_x", "id", "species")
+    )
     return pairs.select(
         "_id_x",
         "id",

@@ -40,14 +40,14 @@ def flatten_docs(docs: DataFrame, key: str = "_id_x", text: str = "raw") -> Data
     Empty objects and arrays leave no row; null leaves do.
     """
     pairs, kind = _keyed_text(docs, key, text)
-    leaves = pairs.mapInPandas(workers.leaf_rows, f"key {kind.simpleString()}, {workers.LEAF_FIELDS}")
+    leaves = pairs.mapInArrow(workers.leaf_rows, f"key {kind.simpleString()}, {workers.LEAF_FIELDS}")
     return leaves.withColumnRenamed("key", key)
 
 
 def extract_key(docs: DataFrame, name: str, key: str = "_id_x", text: str = "raw") -> DataFrame:
     """Every value stored under ``name``, parents before children (``ord``)."""
     pairs, kind = _keyed_text(docs, key, text)
-    nodes = pairs.mapInPandas(workers.node_rows([name]), f"key {kind.simpleString()}, {workers.NODE_FIELDS}")
+    nodes = pairs.mapInArrow(workers.node_rows([name]), f"key {kind.simpleString()}, {workers.NODE_FIELDS}")
     return nodes.withColumnRenamed("key", key)
 
 

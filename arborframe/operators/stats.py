@@ -115,16 +115,27 @@ def _size_class(count: Column) -> Column:
 
 
 def map_clusters(docs, zooms: Sequence[int] = range(MAX_ZOOM + 1)) -> DataFrame:
-    """Markers per map grid cell and zoom level: count, mean place, size class."""
+    """Markers per map grid cell and zoom level: count, mean place, size class.
+
+    Cells of one level are quarters of a cell one level up, so the documents
+    are reduced to the finest cells first and only those are repeated per zoom.
+    """
+    finest = max(zooms)
     x, y = geo.mercator(F.col("lon"), F.col("lat"))
-    cells = F.pow(F.lit(2.0), F.col("zoom")) * (TILE_EXTENT / CLUSTER_RADIUS)
-    placed = header(docs).select(
-        "lon", "lat", x.alias("x"), y.alias("y"), F.explode(F.array(*[F.lit(int(z)) for z in zooms])).alias("zoom")
+    cells = float(2**finest) * TILE_EXTENT / CLUSTER_RADIUS
+    fine = (
+        header(docs)
+        .groupBy(F.floor(x * cells).alias("fx"), F.floor(y * cells).alias("fy"))
+        .agg(F.count(F.lit(1)).alias("fn"), F.sum("lon").alias("flon"), F.sum("lat").alias("flat"))
     )
+    levels = fine.withColumn("zoom", F.explode(F.array(*[F.lit(int(z)) for z in zooms])))
+    up = F.lit(finest) - F.col("zoom")
     return (
-        placed.groupBy(
-            "zoom", F.floor(F.col("x") * cells).alias("gx"), F.floor(F.col("y") * cells).alias("gy")
+        levels.groupBy(
+            "zoom",
+            F.call_function("shiftright", F.col("fx"), up).alias("gx"),
+            F.call_function("shiftright", F.col("fy"), up).alias("gy"),
         )
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+        .agg(F.sum("fn").alias("n"), (F.sum("flon") / F.sum("fn")).alias("lon"), (F.sum("flat") / F.sum("fn")).alias("lat"))
         .withColumn("size", _size_class(F.col("n")))
     )

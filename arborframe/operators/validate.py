@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import REQUIRED_LEAVES
+from .. import model
+
 
+def _is_leaf(value: Column) -> Column:
+    return ~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
 
-def _json_path(leaf: str) -> str:
-    """``properties_data_0_crs`` to ``$["properties"]["data"][0]["crs"]``.
 
-    Safe for the required leaves: none of their keys contains the separator,
-    except ``point_count`` and ``canopy_condition``, which end a path.
-    """
-    steps = re.findall(r"\d+|point_count|canopy_condition|[^_]+", leaf)
-    return "$" + "".join(f"[{s}]" if s.isdigit() else f'["{s}"]' for s in steps)
+def _leaf_names(doc: Column, path: str, prefix: str) -> Column:
+    """Names of the scalar members of the object at a VARIANT path, prefixed."""
+    members = F.try_variant_get(doc, path, "map<string,variant>")
+    leaves = F.map_keys(F.map_filter(members, lambda _, value: _is_leaf(value)))
+    return F.coalesce(F.transform(leaves, lambda name: F.concat(F.lit(prefix), name)), F.array().cast("array<string>"))
 
 
-def _is_leaf(doc: Column, leaf: str) -> Column:
-    stored = F.schema_of_variant(F.try_variant_get(doc, _json_path(leaf), "variant"))
-    return F.coalesce(~stored.startswith("OBJECT") & ~stored.startswith("ARRAY"), F.lit(False))
+def _coordinate_names(doc: Column) -> Column:
+    values = F.try_variant_get(doc, "$.geometry.coordinates", "array<variant>")
+    names = F.transform(
+        values, lambda v, i: F.when(_is_leaf(v), F.concat(F.lit("geometry_coordinates_"), i.cast("string")))
+    )
+    return F.coalesce(names, F.array().cast("array<string>"))
 
 
 def validate_docs(docs: DataFrame) -> DataFrame:
     """Add ``missing ARRAY<STRING>`` and ``valid BOOLEAN``; null leaves count as present."""
-    absent = [F.when(~_is_leaf(F.col("doc"), leaf), leaf) for leaf in REQUIRED_LEAVES]
-    missing = F.array_compact(F.array(*absent))
-    return docs.withColumn("missing", missing).withColumn("valid", F.size("missing") == 0)
+    doc = F.col("doc")
+    present = F.concat(
+        _leaf_names(doc, "$", ""),
+        _leaf_names(doc, "$.properties", "properties_"),
+        _leaf_names(doc, "$.properties.measurements[0]", "properties_measurements_0_"),
+        _leaf_names(doc, "$.properties.data[0]", "properties_data_0_"),
+        _leaf_names(doc, "$.geometry", "geometry_"),
+        _coordinate_names(doc),
+    )
+    required = F.array(*map(F.lit, model.REQUIRED_LEAVES))
+    return docs.withColumn("missing", F.array_except(required, present)).withColumn("valid", F.size("missing") == 0)
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -207,9 +207,10 @@ def _(spark, sf):
     return hits.select("_id_x", F.round("dist_m", 1).alias("dist_m"))
 
 
+# Ring corners lie between the tree positions: a tree exactly on an edge has no defined side.
 PLOT = [(10.05, 40.05), (20.55, 40.05), (20.55, 60.05), (10.05, 60.05), (10.05, 40.05)]
 HOLE = [(13.05, 45.05), (17.05, 45.05), (17.05, 50.05), (13.05, 50.05), (13.05, 45.05)]
-HUGE = [(-100, 60), (-100, 0), (-100, -60), (100, -60), (100, 60), (-100, 60)]
+HUGE = [(-100.05, 60.05), (-100.05, 0.05), (-100.05, -60.05), (100.05, -60.05), (100.05, 60.05), (-100.05, 60.05)]
 
 
 @query("within_polygon", sql.polygon(f"{sql.winding(PLOT)} > 1"))
@@ -470,10 +471,11 @@ def _(spark, sf):
 @query(
     "measurement_keys",
     sql.with_documents(
-        "SELECT DISTINCT unnest(CASE WHEN crs IS NOT NULL THEN ['crs', 'position_xyz'] ELSE list_filter(["
-        "CASE WHEN source IS NOT NULL THEN 'source' END, 'date', CASE WHEN canopy IS NOT NULL THEN 'canopy_condition' END, "
-        "CASE WHEN dbh IS NOT NULL THEN 'DBH_cm' END, 'height_m', CASE WHEN crown IS NOT NULL THEN 'mean_crown_diameter_m' END, "
-        "CASE WHEN state IS NOT NULL THEN 'state' END], x -> x IS NOT NULL) END) AS key FROM m"
+        """SELECT 'date' AS key FROM m WHERE date IS NOT NULL UNION SELECT 'source' FROM m WHERE source IS NOT NULL
+           UNION SELECT 'canopy_condition' FROM m WHERE canopy IS NOT NULL UNION SELECT 'DBH_cm' FROM m WHERE dbh IS NOT NULL
+           UNION SELECT 'height_m' FROM m WHERE pos < 2 UNION SELECT 'state' FROM m WHERE state IS NOT NULL
+           UNION SELECT 'mean_crown_diameter_m' FROM m WHERE crown IS NOT NULL
+           UNION SELECT 'crs' FROM m WHERE crs IS NOT NULL UNION SELECT 'position_xyz' FROM m WHERE x IS NOT NULL"""
     ),
 )
 def _(spark, sf):

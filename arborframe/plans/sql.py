@@ -88,7 +88,7 @@ def near(lon: float, lat: float, condition: str, tail: str = "", select: str = "
 
 
 def winding(ring: Sequence[tuple[float, float]]) -> str:
-    """Turns (times pi) of the ring's bearing seen from the point ``p``: 2 inside, 0 outside."""
+    """Turn of the bearing along a counter-clockwise ring seen from ``p``, over pi: 2 iff inside."""
 
     def unit(lon: float, lat: float) -> tuple[float, float, float]:
         a, b = math.radians(lon), math.radians(lat)
@@ -102,7 +102,7 @@ def winding(ring: Sequence[tuple[float, float]]) -> str:
         normal = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
         cosine = sum(i * j for i, j in zip(a, b))
         turns.append(f"atan2({dot(normal)}, {cosine!r} - {dot(a)} * {dot(b)})")
-    return f"abs({' + '.join(turns)}) / pi()"
+    return f"({' + '.join(turns)}) / pi()"
 
 
 def polygon(condition: str, select: str = IDS) -> str:

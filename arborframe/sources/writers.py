@@ -26,10 +26,12 @@ def save_dump(docs: DataFrame, path: str) -> None:
 
 
 def save_table(docs: DataFrame, path: str) -> None:
-    """Whole collection as Parquet, sorted so that species and place skip row groups."""
-    docs.repartitionByRange("species", "lon", "lat").sortWithinPartitions("species", "lon", "lat").write.mode(
-        "overwrite"
-    ).parquet(path)
+    """Whole collection as Parquet, sorted so that species and place skip row groups.
+
+    The id ends the sort key, so a place with very many trees is split too.
+    """
+    layout = ("species", "lon", "lat", "_id_x")
+    docs.repartitionByRange(*layout).sortWithinPartitions(*layout).write.mode("overwrite").parquet(path)
 
 
 def restrict(docs: DataFrame, ids: DataFrame | None) -> DataFrame:
@@ -46,7 +48,7 @@ def export_docs(docs: DataFrame, outdir: str, ids: DataFrame | None = None) -> D
     last = F.max_by(F.struct("_id_x", "raw"), "_id_x").alias("d")
     unique = restrict(docs, ids).where(F.col("_file").isNotNull()).groupBy("_file").agg(last)
     rows = unique.select("d._id_x", "_file", "d.raw")
-    return rows.mapInPandas(workers.write_files(outdir), "_id_x long, _file string, path string")
+    return rows.mapInArrow(workers.write_files(outdir), "_id_x long, _file string, path string")
 
 
 def feature_collection(docs: DataFrame) -> DataFrame:
