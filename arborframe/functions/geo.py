@@ -264,4 +264,5 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Web-Mercator position in the unit square (origin at the north-west corner)."""
     s = F.sin(F.radians(lat))
     y = F.lit(0.5) - F.lit(0.25) * F.ln((1 + s) / (1 - s)) / F.lit(math.pi)
-    return lon / 360.0 + 0.5, F.greatest(F.lit(0.0), F.least(F.lit(1.0), y))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), y))
+    return lon / 360.0 + 0.5, F.when(s >= 1, 0.0).when(s <= -1, 1.0).otherwise(inside)
