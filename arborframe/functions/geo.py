@@ -102,6 +102,11 @@ def _unit(lon: float, lat: float) -> Vector:
     return math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi)
 
 
+def _wrapped(lon: float) -> float:
+    """Longitude in [-180, 180), untouched if it is there already."""
+    return lon if -180.0 <= lon < 180.0 else (lon + 180.0) % 360.0 - 180.0
+
+
 def _cross(a: Vector, b: Vector) -> Vector:
     return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
 
@@ -126,9 +131,11 @@ class Ring:
     """Closed ring on the sphere with great-circle edges.
 
     A point is classified by counting the edges between it and the north pole
-    on its meridian.  Edges are stored west-to-east as ``(west lon, span,
-    normal)``: such an edge is crossed iff the point's longitude lies in the
-    span and the point is south of the edge plane.
+    on its meridian.  Edges are stored west-to-east as ``(west, east, normal)``:
+    such an edge is crossed iff the point's longitude lies in ``[west, east)``
+    and the point is south of the edge plane.  Longitudes are compared as
+    given, never after arithmetic, so neighbouring edges share no point and
+    leave none out.
     """
 
     def __init__(self, vertices: Sequence[Sequence[float]], strict: bool):
@@ -138,14 +145,14 @@ class Ring:
         self.sides = [(a, b) for a, b in zip(points, points[1:]) if a != b]
         if len(self.sides) < 3:
             raise ValueError("a polygon ring needs three distinct positions")
-        self.edges: list[tuple[float, float, Vector]] = []
+        self.edges: list[tuple[float, float, Vector]] = []  # east < west: over the date line
         for a, b in self.sides:
             turn = (b[0] - a[0] + 540.0) % 360.0 - 180.0
             if turn == -180.0:
                 raise ValueError("a polygon edge must not span half the globe")
             if turn:
                 west, east = (a, b) if turn > 0 else (b, a)
-                self.edges.append((west[0], abs(turn), _plane(_unit(*west), _unit(*east))))
+                self.edges.append((_wrapped(west[0]), _wrapped(east[0]), _plane(_unit(*west), _unit(*east))))
         self.north_inside = False
         left_inside = strict or self._left_area() <= 2 * math.pi
         self.north_inside = self._holds(*self._left_neighbour()) != left_inside
@@ -171,8 +178,11 @@ class Ring:
         return math.degrees(math.atan2(y, x)), math.degrees(math.asin(z))
 
     def _holds(self, lon: float, lat: float) -> bool:
-        p = _unit(lon, lat)
-        crossed = sum((lon - west) % 360.0 < span and _dot(normal, p) < 0 for west, span, normal in self.edges)
+        p, lon = _unit(lon, lat), _wrapped(lon)
+        crossed = 0
+        for west, east, normal in self.edges:
+            facing = west <= lon < east if west < east else lon >= west or lon < east
+            crossed += facing and _dot(normal, p) < 0
         return (crossed % 2 == 1) != self.north_inside
 
     def _box(self, lon: Column, lat: Column) -> Column | None:
@@ -202,40 +212,42 @@ class Ring:
     def contains(self, lon: Column, lat: Column) -> Column:
         phi, lam = F.radians(lat), F.radians(lon)
         point = (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
+        at = F.when((lon >= -180.0) & (lon < 180.0), lon).otherwise(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0)
         if len(self.edges) <= _UNROLL:
             crossed = reduce(
                 operator.add,
                 [
                     F.when(
-                        (F.pmod(lon - west, F.lit(360.0)) < span)
+                        ((at >= west) & (at < east) if west < east else (at >= west) | (at < east))
                         & (point[0] * n[0] + point[1] * n[1] + point[2] * n[2] < 0),
                         1,
                     ).otherwise(0)
-                    for west, span, n in self.edges
+                    for west, east, n in self.edges
                 ],
             )
         else:
             literal = F.array(
                 *[
-                    F.struct(*[F.lit(v).alias(k) for k, v in zip("wsxyz", (west, span, *n))])
-                    for west, span, n in self.edges
+                    F.struct(*[F.lit(v).alias(k) for k, v in zip("wexyz", (west, east, *n))])
+                    for west, east, n in self.edges
                 ]
             )
-            crossed = crossings(literal, lon, *point)
+            crossed = crossings(literal, at, *point)
         inside = (crossed % 2 == 1) != F.lit(self.north_inside)
         box = self._box(lon, lat)
         return inside if box is None else box & inside
 
 
 def crossings(edges: Column, lon: Column, x: Column, y: Column, z: Column) -> Column:
-    """Edges of an ``array<struct<w,s,x,y,z>>`` crossed on the way to the north pole."""
-    return F.size(
-        F.filter(
-            edges,
-            lambda e: (F.pmod(lon - e["w"], F.lit(360.0)) < e["s"])
-            & (x * e["x"] + y * e["y"] + z * e["z"] < 0),
-        )
-    )
+    """Edges of an ``array<struct<w,e,x,y,z>>`` crossed on the way to the north pole."""
+
+    def crossed(edge: Column) -> Column:
+        plain = (lon >= edge["w"]) & (lon < edge["e"])
+        over = (lon >= edge["w"]) | (lon < edge["e"])
+        facing = F.when(edge["w"] < edge["e"], plain).otherwise(over)
+        return facing & (x * edge["x"] + y * edge["y"] + z * edge["z"] < 0)
+
+    return F.size(F.filter(edges, crossed))
 
 
 def is_strict(geom: Mapping[str, Any]) -> bool:

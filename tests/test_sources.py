@@ -1,0 +1,227 @@
+from __future__ import annotations
+
+import gzip
+import hashlib
+import json
+import zipfile
+
+import pytest
+from conftest import ids, tree, without
+from pyspark.sql import functions as F
+
+from arborframe import model
+from arborframe.operators import validate
+from arborframe.sources import readers, stamp, writers
+from arborframe.store import TreeStore
+
+
+@pytest.fixture
+def folder(tmp_path):
+    """Documents in nested folders, one unreadable file and one of another kind."""
+    root = tmp_path / "in"
+    (root / "a").mkdir(parents=True)
+    (root / "a-b").mkdir()
+    (root / "a" / "z.geojson").write_text(json.dumps(tree(0), indent=4))
+    (root / "a-b" / "y.json").write_text(json.dumps(tree(1)))
+    (root / "x.geojson").write_text(json.dumps(tree(2)))
+    (root / "bad.json").write_text("{bad")
+    (root / "short.json").write_text(json.dumps(without(tree(3), "properties", "data", 0, "crs")))
+    (root / "notes.txt").write_text("no document")
+    return root
+
+
+def test_import_directory(spark, folder):
+    store = TreeStore(spark)
+    assert len(store) == 0
+    assert store.import_data(str(folder)) == 3
+    rows = store.docs.orderBy("_id_x").select("_id_x", "_file", "id", "_date").collect()
+    assert [(r["_id_x"], r["_file"], r["id"]) for r in rows] == [(0, "z.geojson", "T0"), (1, "y.json", "T1"), (2, "x.geojson", "T2")]
+    assert all(len(r["_date"]) == 26 and r["_date"][10] == "T" for r in rows)
+    assert store.import_data(str(folder)) == 3
+    assert ids(store.docs) == [0, 1, 2, 3, 4, 5]
+    assert store.import_data(str(folder), overwrite=True) == 3
+    assert len(store) == 3
+
+
+def test_missing_paths(spark):
+    for read in (readers.import_docs, readers.import_zip, readers.read_dump, readers.read_inventory):
+        with pytest.raises(FileNotFoundError):
+            read(spark, "/no/such/folder")
+
+
+def test_rejects(spark, folder):
+    docs = model.documents(readers.import_docs(spark, str(folder)))
+    reasons = {r["_file"]: r["reason"] for r in validate.reject_docs(docs).collect()}
+    assert reasons == {"bad.json": "not valid JSON", "short.json": "missing: properties_data_0_crs"}
+
+
+def test_validation_rules(collection):
+    position_first = tree(0, measurements=[{}])
+    position_first["properties"]["measurements"][0] = {"crs": "epsg:25832", "position_xyz": [1, 2, 3]}
+    null_leaf = tree(1, data=[{"quality": None}])
+    extra = tree(2, anything={"goes": [1, {"x": None}]})
+    container = tree(3)
+    container["properties"]["id"] = {"nested": 1}
+    flat = tree(4)
+    flat["geometry"]["coordinates"] = [1, 2]
+    docs = validate.validate_docs(collection(position_first, null_leaf, extra, container, flat))
+    missing = {r["_id_x"]: r["missing"] for r in docs.collect()}
+    assert missing == {
+        0: ["properties_measurements_0_source", "properties_measurements_0_date"],
+        1: [],
+        2: [],
+        3: ["properties_id"],
+        4: ["geometry_coordinates_2"],
+    }
+
+
+def test_import_zip(spark, tmp_path):
+    archive = tmp_path / "trees.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        out.writestr("d/one.geojson", json.dumps(tree(0)))
+        out.writestr("two.json", json.dumps(tree(1)))
+        out.writestr("json", "{}")
+        out.writestr("readme.txt", "x")
+    store = TreeStore(spark)
+    assert store.import_data(str(archive)) == 2
+    assert {r["_file"] for r in store.docs.collect()} == {"one.geojson", "two.json"}
+    broken = tmp_path / "broken.zip"
+    broken.write_bytes(b"not a zip")
+    with pytest.raises(Exception, match="BadZipFile"):
+        readers.import_zip(spark, str(broken)).collect()
+
+
+@pytest.mark.parametrize("name", ["data.db", "data.json.gz", "data.json"])
+def test_dumps(spark, tmp_path, name):
+    trees = [{**tree(i, note="[},{\"" * 50 + "ü"), "_file": f"f{i}.geojson", "_id_x": i + 40, "_date": "2020-01-01T00:00:00"} for i in range(300)]
+    text = json.dumps(trees).encode()
+    (tmp_path / name).write_bytes(text if name.endswith("json") else gzip.compress(text[:70000]) + gzip.compress(text[70000:]))
+    store = TreeStore(spark)
+    assert store.import_db(str(tmp_path / name)) == 300
+    first = store.docs.orderBy("_id_x").first()
+    assert (first["_id_x"], first["_file"], first["id"]) == (0, "f0.geojson", "T0") and first["_date"] > "2021"
+    store.load(str(tmp_path / name))
+    rows = store.docs.orderBy("_id_x").collect()
+    assert (rows[0]["_id_x"], rows[0]["_date"], len(rows)) == (40, "2020-01-01T00:00:00", 300)
+    assert json.loads(rows[7]["raw"]) == {k: v for k, v in trees[7].items() if not k.startswith("_")}
+
+
+def test_broken_dump(spark, tmp_path):
+    text = gzip.compress(json.dumps([tree(i) for i in range(50)]).encode())
+    for name, content in (("cut.db", text[:-40]), ("cut.json", b'[{"a": 1}, {"b"')):
+        (tmp_path / name).write_bytes(content)
+        with pytest.raises(Exception, match="dump is"):
+            readers.read_dump(spark, str(tmp_path / name)).collect()
+
+
+def test_save_and_load(spark, collection, tmp_path):
+    docs = collection(tree(0, species='with "quotes", comma', measurements=[{"height_m": None}]), tree(1))
+    writers.save_dump(docs, str(tmp_path / "lines"))
+    loaded = readers.load_dump(spark, str(tmp_path / "lines"), form="lines")
+    again = {r["_id_x"]: (r["_file"], r["_date"], json.loads(r["raw"])) for r in loaded.collect()}
+    assert again == {r["_id_x"]: (r["_file"], r["_date"], json.loads(r["raw"])) for r in docs.collect()}
+    store = TreeStore(spark, docs)
+    store.save(str(tmp_path / "table"))
+    store.open(str(tmp_path / "table"))
+    assert {r["raw"] for r in store.docs.collect()} == {r["raw"] for r in docs.collect()}
+    assert ids(store.query({"properties.measurements.height_m": {"$exists": True}})) == [0]
+
+
+def test_stamp_is_dense_and_ordered(spark):
+    rows = spark.range(5000).select(F.format_string("%05d", F.col("id")).alias("path"), F.col("id").alias("want"))
+    stamped = stamp.stamp_metadata(rows.repartition(7), "path", start=100).collect()
+    assert all(r["_id_x"] == r["want"] + 100 for r in stamped) and len(stamped) == 5000
+    assert stamp.next_id(spark.createDataFrame([], "_id_x long")) == 0
+
+
+def test_replicate(spark, collection):
+    docs = collection(tree(0), tree(1))
+    assert ids(stamp.replicate_docs(docs, 3)) == [0, 1, 2, 3, 4, 5]
+
+
+def test_export(spark, collection, tmp_path):
+    docs = collection(tree(0), tree(1), tree(2), names={1: "same.geojson", 2: "same.geojson"})
+    out = tmp_path / "out"
+    written = writers.export_docs(docs, str(out)).collect()
+    assert sorted(r["_file"] for r in written) == ["f0.geojson", "same.geojson"]
+    assert json.loads((out / "same.geojson").read_text()) == tree(2)
+    assert (out / "f0.geojson").read_text() == json.dumps(tree(0), indent=4)
+    assert len(list(out.iterdir())) == 2
+    none = writers.export_docs(docs, str(tmp_path / "none"), docs.where("_id_x < 0")).collect()
+    assert none == []
+    one = writers.export_docs(docs, str(tmp_path / "one"), docs.where("_id_x = 0")).collect()
+    assert [r["path"] for r in one] == [str(tmp_path / "one" / "f0.geojson")]
+
+
+def test_document_text(collection):
+    docs = collection(tree(0), "{ }")
+    plain = {r["_id_x"]: r["json"] for r in writers.doc_json(docs).collect()}
+    assert plain[0] == json.dumps(tree(0))
+    full = {r["_id_x"]: json.loads(r["json"]) for r in writers.doc_json(docs, metadata=True, indent=2).collect()}
+    assert full[0] == {**tree(0), "_id_x": 0, "_file": "f0.geojson", "_date": "2024-01-01T00:00:00"}
+    assert full[1] == {"_id_x": 1, "_file": "f1.geojson", "_date": "2024-01-01T00:00:00"}
+
+
+def test_feature_collection(spark, collection, tmp_path):
+    docs = collection(*[tree(i) for i in range(40)])
+    path = tmp_path / "fc"
+    writers.write_feature_collection(docs.repartition(5), str(path))
+    text = "".join(p.read_text() for p in sorted(path.glob("part-*")))
+    assert json.loads(text) == {"type": "FeatureCollection", "features": [tree(i) for i in range(40)]}
+
+
+def test_links(spark, tmp_path):
+    links = spark.createDataFrame(
+        [("https://h.org/t/a_1.laz",), ("https://h.org/t/b.laz?x=1/2#f",), ("plain.laz",)], "file string"
+    )
+    names = [r["filename"] for r in writers.link_manifest(links).collect()]
+    assert names == ["a_1.laz", "b.laz", "plain.laz"]
+    writers.write_link_list(links.coalesce(1), str(tmp_path / "urls"))
+    (part,) = (tmp_path / "urls").glob("part-*")
+    assert part.read_text().rstrip(",").split(",") == [r["file"] for r in links.collect()]
+
+
+def test_csv_quoting(spark, tmp_path):
+    rows = spark.createDataFrame([("a, b", None, 1.5), ('say "x"', "", 2.0)], "s string, t string, v double")
+    writers.write_csv(rows.coalesce(1), str(tmp_path / "csv"))
+    (part,) = (tmp_path / "csv").glob("part-*.csv")
+    assert part.read_text().splitlines() == ["s,t,v", '"a, b",,1.5', '"say ""x""",,2.0']
+    writers.write_csv(rows.coalesce(1), str(tmp_path / "named"), none_str="NA")
+    (part,) = (tmp_path / "named").glob("part-*.csv")
+    assert part.read_text().splitlines()[1] == '"a, b",NA,1.5'
+
+
+def test_inventory(spark, tmp_path):
+    lines = [
+        ",".join(readers.INVENTORY_COLUMNS),
+        'i1,7,"Acer, red",62 cm,4-6m,11-15m,POINT (16.37 48.21)',
+        "i2,8,Tilia,x cm,4-6m,11-15m,POINT (16.37 48.21)",
+        "i3,9,Tilia,62cm,>20m,11-15m,POINT (16.37 48.21)",
+        "i4,9,Tilia,62,4-6 m,0-5m,POINT (16.5 48.25)",
+        "i5,9,Tilia,62 cm,4-6m,0-5m,",
+    ]
+    (tmp_path / "inv.csv").write_text("\n".join(lines))
+    rows = readers.inventory_documents(readers.read_inventory(spark, str(tmp_path / "inv.csv")), "src", "2024-05-01", "meta")
+    by_id = {r["OBJECTID"]: r for r in rows.collect()}
+    assert {k: r["imported"] for k, r in by_id.items()} == {"i1": True, "i2": False, "i3": False, "i4": True, "i5": False}
+    assert by_id["i1"]["_file"] == "tree_id_i1.geojson" and by_id["i2"]["raw"] is None
+    assert json.loads(by_id["i1"]["raw"]) == {
+        "type": "Feature",
+        "properties": {
+            "id": "7",
+            "source": "src",
+            "species": "Acer, red",
+            "measurements": [{"source": "FI", "date": "2024-05-01", "DBH_cm": 62, "crown_diameter_m": 5.0, "height_m": 13.0}],
+            "measurements_metadata": [{"file": "meta"}],
+            "data": [{}],
+        },
+        "geometry": {"type": "Point", "coordinates": [16.37, 48.21, 0.0]},
+    }
+
+
+def test_fingerprints(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"\x00\x01tree")
+    (row,) = readers.fingerprint_files(spark, str(tmp_path)).collect()
+    assert row["sha1"] == hashlib.sha1(b"\x00\x01tree").hexdigest()
+    text = spark.createDataFrame([("ü",)], "t string").select(writers.fingerprint(F.col("t")).alias("h")).first()
+    assert text["h"] == hashlib.sha1("ü".encode()).hexdigest()
