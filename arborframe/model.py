@@ -19,8 +19,10 @@ evaluated DataFrames:
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,17 +134,6 @@ def typed(value: Column, kind: str) -> Column:
 
 
 # ---------------------------------------------------------------- columnar documents
-def _element_columns(maps: Column, fields: Mapping[str, str]) -> Column:
-    """array<map<string,variant>> to a struct of parallel arrays plus the key sets."""
-
-
-    def member(name: str, kind: str) -> Column:
-        return F.transform(maps, lambda m: typed(F.try_element_at(m, F.lit(name)), kind)).alias(name)
-
-    keys = F.transform(maps, lambda m: F.map_keys(m)).alias("_keys")
-    return F.struct(keys, *[member(name, kind) for name, kind in fields.items()])
-
-
 def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that later filters and projections refer to but never repeat.
 
@@ -153,27 +144,85 @@ def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
+_SPARK_TYPES = {TEXT: "string", NUMBER: "double"}
+
+
+def _members(fields: Mapping[str, str]) -> str:
+    return ", ".join(f"`{name}`: {_SPARK_TYPES[kind]}" for name, kind in fields.items())
+
+
+_TYPED_PARSE = (
+    "type string, properties struct<id: string, species: string, source: string, "
+    + ", ".join(f"{column}: array<struct<{_members(fields)}>>" for column, fields in ARRAYS.values())
+    + ">, geometry struct<type: string, coordinates: array<double>>"
+)
+_KEYS_PARSE = "properties struct<" + ", ".join(f"{c}: array<map<string, string>>" for c, _ in ARRAYS.values()) + ">"
+_TEXT_KEYS = sorted({"type", "id", "species"} | {n for _, f in ARRAYS.values() for n, k in f.items() if k == TEXT})
+# A colon that follows a text key (or much white space) and precedes something other than text or null.
+_MISTYPED_TEXT = rf':(?:(?<=\s{{9}}:)|(?=\s*+[^"n\s])(?<="(?:{"|".join(_TEXT_KEYS)})"\s{{0,9}}:))'
+_ASCII_ESCAPE = r"\\u00[2-7]"  # could spell a key differently
+_NUMBER_WORDS = ("NaN", "INF", "Infinity")
+
+
+def _needs_care(raw: Column) -> Column:
+    """Text that a typed JSON parse may read differently from the document's own types."""
+    words = [raw.contains(f'{word}"') for word in _NUMBER_WORDS]
+    escaped = raw.contains("\\u00") & raw.rlike(_ASCII_ESCAPE)
+    return reduce(operator.or_, [*words, escaped, raw.rlike(_MISTYPED_TEXT)])
+
+
+def _variant_array(path: str) -> Column:
+    return F.try_variant_get(F.col("doc"), f"$.{path}", "array<variant>")
+
+
 def documents(raw: DataFrame) -> DataFrame:
     """Columnar documents from a DataFrame with a ``raw`` JSON text column.
 
     Other columns (``_id_x``, ``_file``, ``_date`` ...) are carried along.
     Unparseable text yields a NULL ``doc``; see ``operators.validate``.
+
+    A typed column only holds values of its own JSON type.  Where one typed
+    parse of the text provably respects that, its result is used; documents
+    with unusual types or shapes are read value by value from the VARIANT.
     """
-    doc = F.col("doc")
-    opened = [
-        F.transform(F.try_variant_get(doc, f"$.{path}", "array<variant>"), as_map).alias(column)
+    doc, plain_places = F.col("doc"), F.col("_typed.geometry.coordinates")
+    regular = doc.isNotNull() & ~_needs_care(F.col("raw"))
+    for path in ("geometry.coordinates", *ARRAYS):  # an array with odd members comes back as NULL
+        regular = regular & (F.col(f"_typed.{path}").isNotNull() | descend(doc, path).isNull())
+    parsed = computed_once(raw, "doc", F.try_parse_json("raw"))
+    parsed = computed_once(parsed, "_typed", F.from_json("raw", _TYPED_PARSE))
+    parsed = computed_once(parsed, "_regular", regular)
+    maps = [
+        F.when(~F.col("_regular"), F.transform(_variant_array(path), as_map)).alias(column)
         for path, (column, _) in ARRAYS.items()
     ]
-    coords = F.try_variant_get(doc, "$.geometry.coordinates", "array<variant>")
-    scalars = {
-        column: typed(descend(doc, path), kind) for path, (kind, column) in SCALARS.items() if path not in METADATA
+    parsed = computed_once(parsed, "_maps", F.struct(*maps))
+    parsed = computed_once(parsed, "_named", F.when(F.col("_regular"), F.from_json("raw", _KEYS_PARSE)))
+
+    def either(plain: Column, careful: Column) -> Column:
+        return F.when(F.col("_regular"), plain).otherwise(careful)
+
+    def member(path: str, name: str, kind: str) -> Column:
+        careful = F.transform(
+            F.col(f"_maps.{ARRAYS[path][0]}"), lambda m: typed(F.try_element_at(m, F.lit(name)), kind)
+        )
+        return either(F.col(f"_typed.{path}.`{name}`"), careful).alias(name)
+
+    def keys(path: str) -> Column:
+        plain, careful = F.col(f"_named.{path}"), F.col(f"_maps.{ARRAYS[path][0]}")
+        return either(F.transform(plain, lambda m: F.map_keys(m)), F.transform(careful, lambda m: F.map_keys(m))).alias("_keys")
+
+    columns = {
+        column: either(F.col(f"_typed.{path}"), typed(descend(F.col("doc"), path), kind))
+        for path, (kind, column) in SCALARS.items()
+        if path not in METADATA
     }
-    places = {name: typed(F.get(coords, i), NUMBER) for i, name in enumerate(("lon", "lat", "elev"))}
-    arrays = {column: _element_columns(F.col(f"_maps.{column}"), fields) for column, fields in ARRAYS.values()}
-    parsed = computed_once(raw, "doc", F.try_parse_json("raw"))
-    return (
-        computed_once(parsed, "_maps", F.struct(*opened)).withColumns({**scalars, **places, **arrays}).drop("_maps")
-    )
+    for i, name in enumerate(("lon", "lat", "elev")):
+        careful = typed(F.get(_variant_array("geometry.coordinates"), i), NUMBER)
+        columns[name] = either(F.get(plain_places, i), careful)
+    for path, (column, fields) in ARRAYS.items():
+        columns[column] = F.struct(keys(path), *[member(path, n, k) for n, k in fields.items()])
+    return parsed.withColumns(columns).drop("_typed", "_regular", "_maps", "_named")
 
 
 def elements(docs: DataFrame, path: str, *keep: str) -> DataFrame:

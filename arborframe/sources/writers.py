@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions import scalars, workers
 
 
@@ -26,12 +27,21 @@ def save_dump(docs: DataFrame, path: str) -> None:
 
 
 def save_table(docs: DataFrame, path: str) -> None:
-    """Whole collection as Parquet, sorted so that species and place skip row groups.
+    """Whole collection (columnar, or just its text) as Parquet, sorted so that species and place skip row groups.
 
+    Only the text is shuffled, next to a light parse of its sort keys; the
+    typed columns are derived afterwards, when the rows are where they belong.
     The id ends the sort key, so a place with very many trees is split too.
     """
-    layout = ("species", "lon", "lat", "_id_x")
-    docs.repartitionByRange(*layout).sortWithinPartitions(*layout).write.mode("overwrite").parquet(path)
+    keys = F.from_json("raw", "properties struct<species: string>, geometry struct<coordinates: array<double>>")
+    text = model.computed_once(docs.select("_id_x", "_file", "_date", "raw"), "_keys", keys)
+    layout = [
+        F.col("_keys.properties.species"),
+        *[F.get("_keys.geometry.coordinates", i) for i in (0, 1)],
+        F.col("_id_x"),
+    ]
+    placed = text.repartitionByRange(*layout).sortWithinPartitions(*layout).drop("_keys")
+    model.documents(placed).write.mode("overwrite").parquet(path)
 
 
 def restrict(docs: DataFrame, ids: DataFrame | None) -> DataFrame:

@@ -20,19 +20,28 @@ from .session import scratch_path
 from .sources import readers, stamp, writers
 
 RAW = "_id_x long, _file string, _date string, raw string"
+TEXT = ("_id_x", "_file", "_date", "raw")
 
 
 class TreeStore:
     def __init__(self, spark: SparkSession, docs: DataFrame | None = None):
         self.spark = spark
-        self.docs = model.documents(spark.createDataFrame([], RAW)) if docs is None else docs
+        if docs is None:
+            self._set_text(spark.createDataFrame([], RAW))
+        else:
+            self._set_docs(docs)
+
+    def _set_docs(self, docs: DataFrame) -> None:
+        self.docs, self.text = docs, docs.select(*TEXT)
+
+    def _set_text(self, text: DataFrame) -> None:
+        self.text, self.docs = text, model.documents(text)
 
     # ---- import
     def _add(self, rows: DataFrame, order: Sequence[Any], overwrite: bool) -> int:
-        start = 0 if overwrite else stamp.next_id(self.docs)
-        fresh = stamp.stamp_metadata(rows, *order, start=start).select("_id_x", "_file", "_date", "raw")
-        added = model.documents(fresh)
-        self.docs = added if overwrite else self.docs.unionByName(added)
+        start = 0 if overwrite else stamp.next_id(self.text)
+        fresh = stamp.stamp_metadata(rows, *order, start=start).select(*TEXT)
+        self._set_text(fresh if overwrite else self.text.unionByName(fresh))
         return fresh.count()
 
     def import_data(self, path: str, overwrite: bool = False) -> int:
@@ -48,15 +57,15 @@ class TreeStore:
 
     def load(self, path: str) -> None:
         """Replace the collection by a dump, ids and dates as stored."""
-        self.docs = readers.load_dump(self.spark, path)
+        self._set_text(readers.read_dump(self.spark, path).select(*TEXT))
 
     def save(self, path: str) -> None:
         """Write the collection as a Parquet table."""
-        writers.save_table(self.docs, path)
+        writers.save_table(self.text, path)
 
     def open(self, path: str) -> None:
         """Use a collection written by ``save``."""
-        self.docs = self.spark.read.parquet(path)
+        self._set_docs(self.spark.read.parquet(path))
 
     def materialise(self) -> None:
         """Write the collection to the shared scratch folder and read it from there."""
