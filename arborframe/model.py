@@ -175,11 +175,16 @@ def _variant_array(path: str) -> Column:
     return F.try_variant_get(F.col("doc"), f"$.{path}", "array<variant>")
 
 
+def parsed(raw: DataFrame) -> DataFrame:
+    """Add only the VARIANT ``doc``; unparseable text yields NULL."""
+    return computed_once(raw, "doc", F.try_parse_json("raw"))
+
+
 def documents(raw: DataFrame) -> DataFrame:
     """Columnar documents from a DataFrame with a ``raw`` JSON text column.
 
     Other columns (``_id_x``, ``_file``, ``_date`` ...) are carried along.
-    Unparseable text yields a NULL ``doc``; see ``operators.validate``.
+    Meant to be stored: the derivation costs far more than any later query.
 
     A typed column only holds values of its own JSON type.  Where one typed
     parse of the text provably respects that, its result is used; documents
@@ -189,15 +194,14 @@ def documents(raw: DataFrame) -> DataFrame:
     regular = doc.isNotNull() & ~_needs_care(F.col("raw"))
     for path in ("geometry.coordinates", *ARRAYS):  # an array with odd members comes back as NULL
         regular = regular & (F.col(f"_typed.{path}").isNotNull() | descend(doc, path).isNull())
-    parsed = computed_once(raw, "doc", F.try_parse_json("raw"))
-    parsed = computed_once(parsed, "_typed", F.from_json("raw", _TYPED_PARSE))
-    parsed = computed_once(parsed, "_regular", regular)
+    rows = computed_once(parsed(raw), "_typed", F.from_json("raw", _TYPED_PARSE))
+    rows = computed_once(rows, "_regular", regular)
     maps = [
         F.when(~F.col("_regular"), F.transform(_variant_array(path), as_map)).alias(column)
         for path, (column, _) in ARRAYS.items()
     ]
-    parsed = computed_once(parsed, "_maps", F.struct(*maps))
-    parsed = computed_once(parsed, "_named", F.when(F.col("_regular"), F.from_json("raw", _KEYS_PARSE)))
+    rows = computed_once(rows, "_maps", F.struct(*maps))
+    rows = computed_once(rows, "_named", F.when(F.col("_regular"), F.from_json("raw", _KEYS_PARSE)))
 
     def either(plain: Column, careful: Column) -> Column:
         return F.when(F.col("_regular"), plain).otherwise(careful)
@@ -222,7 +226,7 @@ def documents(raw: DataFrame) -> DataFrame:
         columns[name] = either(F.get(plain_places, i), careful)
     for path, (column, fields) in ARRAYS.items():
         columns[column] = F.struct(keys(path), *[member(path, n, k) for n, k in fields.items()])
-    return parsed.withColumns(columns).drop("_typed", "_regular", "_maps", "_named")
+    return rows.withColumns(columns).drop("_typed", "_regular", "_maps", "_named")
 
 
 def elements(docs: DataFrame, path: str, *keep: str) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import views as tables
 from ..session import scratch_path
 from ..sources import readers, stamp, writers
 from . import sql
-from .views import order_documents, order_text, relational, table
+from .views import order_documents, order_text, relational, stored_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -305,7 +305,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    kept = access.project_include(order_documents(spark, sf), ["_id_x", "type", "properties.id", f"{DATA}.file"])
+    kept = access.project_include(model.parsed(order_text(spark, sf)), ["_id_x", "type", "properties.id", f"{DATA}.file"])
     return kept.select(
         "_id_x",
         F.to_json(model.child(F.col("doc"), "properties")).alias("properties"),
@@ -321,7 +321,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    kept = access.project_exclude(order_documents(spark, sf), ["_date", "_file", "geometry", DATA, MEASURED])
+    kept = access.project_exclude(model.parsed(order_text(spark, sf)), ["_date", "_file", "geometry", DATA, MEASURED])
     return kept.select(
         "_id_x",
         F.to_json(model.child(F.col("doc"), "properties")).alias("properties"),
@@ -465,7 +465,7 @@ def _(spark, sf):
     "SELECT unnest(['data', 'id', 'measurements', 'measurements_metadata', 'source', 'species']) AS key WHERE (SELECT count(*) FROM orders) > 0",
 )
 def _(spark, sf):
-    return stats.shared_properties(order_documents(spark, sf))
+    return stats.shared_properties(stored_documents(spark, sf))
 
 
 @query(
@@ -561,7 +561,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return tables.tree_general(order_documents(spark, sf))
+    return tables.tree_general(stored_documents(spark, sf))
 
 
 @query(
@@ -572,7 +572,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    wide = tables.tree_metrics(order_documents(spark, sf))
+    wide = tables.tree_metrics(stored_documents(spark, sf))
     return wide.withColumns({c: F.col(c).cast("double") for c in ("DBH_cm", "height_m", "mean_crown_diameter_m")})
 
 
@@ -644,7 +644,7 @@ def _(spark, sf):
 
 @query("export_docs", sql.near(8.7, 49.0, "dist_m <= 900000", select="_id_x, _file"))
 def _(spark, sf):
-    docs = order_documents(spark, sf)
+    docs = stored_documents(spark, sf)
     outdir = scratch_path(spark, "geojson").removeprefix("file:")
     hits = filters.near_point(docs, POINT, 900_000.0)
     return writers.export_docs(docs, outdir, access.get_ids(hits)).select("_id_x", "_file")
@@ -743,7 +743,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    checked = validate.validate_docs(order_documents(spark, sf))
+    checked = validate.validate_docs(model.parsed(order_text(spark, sf)))
     return checked.select("_id_x", F.size("missing").alias("n_missing"), "valid")
 
 
@@ -762,12 +762,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cut = F.when(F.col("o_orderstatus") == "P", F.left("raw", F.length("raw") - 1)).otherwise(F.col("raw"))
-    return validate.reject_docs(model.documents(order_text(spark, sf).withColumn("raw", cut)))
+    return validate.reject_docs(model.parsed(order_text(spark, sf).withColumn("raw", cut)))
 
 
 @query("doc_json", sql.with_documents(f"SELECT t._id_x, {sql.DOC_TEXT} AS json FROM t JOIN orders ON o_orderkey = t._id_x"))
 def _(spark, sf):
-    return writers.doc_json(order_documents(spark, sf))
+    return writers.doc_json(order_text(spark, sf))
 
 
 @query(
@@ -780,7 +780,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return writers.feature_collection(match.where(order_documents(spark, sf), {"properties.species": "2-HIGH"}))
+    return writers.feature_collection(match.where(stored_documents(spark, sf), {"properties.species": "2-HIGH"}))
 
 
 @query("link_manifest", f"SELECT l_orderkey AS _id_x, {LINK} AS file, l_orderkey || '_' || l_linenumber || '_' || l_returnflag || '.laz' AS filename FROM lineitem")

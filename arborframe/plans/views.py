@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..model import NUMBER, TEXT, ElementField, RelationalDocs
+from ..session import scratch_path
+from ..sources import writers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,3 +177,10 @@ def order_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.documents(order_text(spark, sf_dir).drop("o_orderstatus"))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a table, for queries that read them more than once."""
+    path = scratch_path(spark, "trees")
+    writers.save_table(order_text(spark, sf_dir), path)
+    return spark.read.parquet(path)

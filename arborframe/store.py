@@ -47,7 +47,7 @@ class TreeStore:
     def import_data(self, path: str, overwrite: bool = False) -> int:
         """Valid documents of a directory, or of a ZIP archive; returns how many were added."""
         rows = readers.import_zip(self.spark, path) if path.endswith(".zip") else readers.import_docs(self.spark, path)
-        valid = validate.accepted(model.documents(rows)).select("path", "_file", "raw")
+        valid = validate.accepted(model.parsed(rows)).select("path", "_file", "raw")
         return self._add(valid, [stamp.path_order(F.col("path"))], overwrite)
 
     def import_db(self, path: str, overwrite: bool = False) -> int:
