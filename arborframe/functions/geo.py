@@ -210,9 +210,7 @@ class Ring:
         )
 
     def contains(self, lon: Column, lat: Column) -> Column:
-        phi, lam = F.radians(lat), F.radians(lon)
-        point = (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
-        at = F.when((lon >= -180.0) & (lon < 180.0), lon).otherwise(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0)
+        point, at = unit_columns(lon, lat), wrapped(lon)
         if len(self.edges) <= _UNROLL:
             crossed = reduce(
                 operator.add,
@@ -238,18 +236,116 @@ class Ring:
         return inside if box is None else box & inside
 
 
+def unit_columns(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    phi, lam = F.radians(lat), F.radians(lon)
+    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+
+
+def wrapped(lon: Column) -> Column:
+    """Longitude column in [-180, 180), untouched where it is there already."""
+    return F.when((lon >= -180.0) & (lon < 180.0), lon).otherwise(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0)
+
+
+def _between(lon: Column, west: Column, east: Column) -> Column:
+    return F.when(west < east, (lon >= west) & (lon < east)).otherwise((lon >= west) | (lon < east))
+
+
 def crossings(edges: Column, lon: Column, x: Column, y: Column, z: Column) -> Column:
     """Edges of an ``array<struct<w,e,x,y,z>>`` crossed on the way to the north pole."""
 
     def crossed(edge: Column) -> Column:
-        plain = (lon >= edge["w"]) & (lon < edge["e"])
-        over = (lon >= edge["w"]) | (lon < edge["e"])
-        facing = F.when(edge["w"] < edge["e"], plain).otherwise(over)
-        return facing & (x * edge["x"] + y * edge["y"] + z * edge["z"] < 0)
+        return _between(lon, edge["w"], edge["e"]) & (x * edge["x"] + y * edge["y"] + z * edge["z"] < 0)
 
     return F.size(F.filter(edges, crossed))
 
 
+def inside_ring(edges: Column, lon: Column, lat: Column) -> Column:
+    """Inside a ring, given its edges, that does not enclose the north pole."""
+    return crossings(edges, wrapped(lon), *unit_columns(lon, lat)) % 2 == 1
+
+
+def ring_sides(ring: Column) -> Column:
+    """Sides of a ring column ``array<array<double>>`` as west-to-east edges.
+
+    Besides the edge (``w, e`` and the plane ``x, y, z``) each carries the turn
+    in longitude and the latitudes ``a, b`` in ring order.
+    """
+
+    def side(p: Column, q: Column) -> Column:
+        turn = F.pmod(q[0] - p[0] + 540.0, F.lit(360.0)) - 180.0
+        west, east = F.when(turn > 0, p).otherwise(q), F.when(turn > 0, q).otherwise(p)
+        return F.struct(west.alias("west"), east.alias("east"), turn.alias("turn"), p[1].alias("a"), q[1].alias("b"))
+
+    def with_units(s: Column) -> Column:
+        units = [F.struct(*[c.alias(n) for n, c in zip("xyz", unit_columns(s[end][0], s[end][1]))]) for end in ("west", "east")]
+        return F.struct(s.alias("s"), units[0].alias("p"), units[1].alias("q"))
+
+    def with_plane(u: Column) -> Column:
+        p, q = ([u[end][n] for n in "xyz"] for end in "pq")
+        plane = _cross([i + j for i, j in zip(p, q)], [j - i for i, j in zip(p, q)])
+        ends = [wrapped(u["s"]["west"][0]).alias("w"), wrapped(u["s"]["east"][0]).alias("e")]
+        rest = [u["s"][n].alias(n) for n in ("turn", "a", "b")]
+        return F.struct(*ends, *[c.alias(n) for n, c in zip("xyz", plane)], *rest)
+
+    steps = F.size(ring) - 1
+    sides = F.zip_with(F.slice(ring, 1, steps), F.slice(ring, 2, steps), side)
+    return F.transform(F.transform(sides, with_units), with_plane)
+
+
+def ring_walk(ring: Column, sides: Column) -> Column:
+    """Longitudes met on the way round (``at, low, high``) and the signed area passed."""
+
+    def area(s: Column) -> Column:
+        ta, tb = (F.tan(F.radians(s[n]) / 2) for n in ("a", "b"))
+        return 2 * F.atan2(F.tan(F.radians(s["turn"]) / 2) * (ta + tb), 1 + ta * tb)
+
+    start = F.element_at(ring, 1)[0]
+    return F.aggregate(
+        sides,
+        F.struct(start.alias("at"), start.alias("low"), start.alias("high"), F.lit(0.0).alias("area")),
+        lambda acc, s: F.struct(
+            (acc["at"] + s["turn"]).alias("at"),
+            F.least(acc["low"], acc["at"] + s["turn"]).alias("low"),
+            F.greatest(acc["high"], acc["at"] + s["turn"]).alias("high"),
+            (acc["area"] + area(s)).alias("area"),
+        ),
+    )
+
+
+def ring_shape(ring: Column, sides: Column, walk: Column) -> Column:
+    """Edges and bounding box of a ring, from its sides and the walk round it.
+
+    Raises for rings that are open, enclose a pole or cover more than a hemisphere.
+    """
+
+    def apex(s: Column, sign: int) -> Column:
+        """Latitude of the great circle's northern (1) or southern (-1) apex if it is on the side."""
+        lon = F.degrees(F.atan2(-sign * s["y"] * s["z"], -sign * s["x"] * s["z"]))
+        height = F.degrees(F.atan2(F.sqrt(s["x"] * s["x"] + s["y"] * s["y"]), F.abs(s["z"])))
+        on_side = (s["turn"] != 0) & _between(wrapped(lon), s["w"], s["e"])
+        return F.when(on_side, sign * height).otherwise(s["a"])
+
+    usable = (
+        (F.size(ring) >= 4)
+        & (F.element_at(ring, 1) == F.element_at(ring, -1))
+        & (F.abs(walk["at"] - F.element_at(ring, 1)[0]) < 180.0)
+        & (F.abs(walk["area"]) <= 2 * math.pi)
+    )
+    shift = wrapped(walk["low"]) - walk["low"]  # the box starts in [-180, 180)
+    shape = F.struct(
+        F.transform(
+            F.filter(sides, lambda s: s["turn"] != 0), lambda s: F.struct(*[s[n].alias(n) for n in "wexyz"])
+        ).alias("edges"),
+        (walk["low"] + shift).alias("west"),
+        (walk["high"] + shift).alias("east"),
+        F.array_min(F.transform(sides, lambda s: F.least(s["a"], apex(s, -1)))).alias("south"),
+        F.array_max(F.transform(sides, lambda s: F.greatest(s["a"], apex(s, 1)))).alias("north"),
+    )
+    return F.when(usable, shape).otherwise(
+        F.raise_error(F.lit("search ring must be closed, within a hemisphere and without a pole"))
+    )
+
+
 def is_strict(geom: Mapping[str, Any]) -> bool:
     crs = geom.get("crs") or {}
     return (crs.get("properties") or {}).get("name") == STRICT_WINDING

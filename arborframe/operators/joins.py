@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -115,77 +116,109 @@ def pair_sources(
     )
 
 
-# ---------------------------------------------------------------- spatial join
+# ---------------------------------------------------------------- spatial joins
+class _Grid:
+    """Grid cells on which documents and search areas meet.
+
+    A document lives in one cell; a search is copied to every cell its bounding
+    box touches.  As one cell may hold most of the documents, document rows are
+    spread over ``salts`` and the much smaller search side is repeated for each.
+    """
+
+    KEYS = ("_x", "_y", "_salt")
+
+    def __init__(self, degrees: float, salts: int):
+        self.degrees, self.salts = degrees, salts
+        self.columns, self.rows = math.ceil(360.0 / degrees), math.ceil(180.0 / degrees)
+
+    def _x(self, lon: Column) -> Column:
+        return F.least(F.floor((lon + 180.0) / self.degrees), F.lit(self.columns - 1)).cast("int")
+
+    def _y(self, lat: Column) -> Column:
+        return F.least(F.floor((lat + 90.0) / self.degrees), F.lit(self.rows - 1)).cast("int")
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        salt = F.pmod(F.xxhash64("_id_x"), F.lit(self.salts)).cast("int")
+        return docs.select(
+            "_id_x", "lon", "lat", self._x(F.col("lon")).alias("_x"), self._y(F.col("lat")).alias("_y"), salt.alias("_salt")
+        )
+
+    def _columns_between(self, west: Column, east: Column) -> Column:
+        """Cell columns of a longitude range that may run over the date line on one side."""
+        first, last = F.lit(0), F.lit(self.columns - 1)
+        left, right = self._x(west), self._x(east)
+        parts = (
+            F.when(east - west >= 360.0, F.array(F.sequence(first, last)))
+            .when(west < -180.0, F.array(F.sequence(self._x(west + 360.0), last), F.sequence(first, right)))
+            .when(east > 180.0, F.array(F.sequence(left, last), F.sequence(first, self._x(east - 360.0))))
+            .otherwise(F.array(F.sequence(left, right)))
+        )
+        return F.array_distinct(F.flatten(parts))
+
+    def searches(self, searches: DataFrame, west: Column, south: Column, east: Column, north: Column) -> DataFrame:
+        box = F.struct(west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"))
+        boxed = model.computed_once(searches, "_box", box)
+        low, high = F.greatest(F.col("_box.s"), F.lit(-90.0)), F.least(F.col("_box.n"), F.lit(90.0))
+        return (
+            boxed.withColumn("_x", F.explode(self._columns_between(F.col("_box.w"), F.col("_box.e"))))
+            .withColumn("_y", F.explode(F.sequence(self._y(low), self._y(high))))
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
+            .drop("_box")
+        )
+
+
+_SLACK = 1e-9  # degrees; keeps rounding from cutting a bounding box short
+
+
 def spatial_join(
     docs: DataFrame, searches: DataFrame, max_distance: float, cell_degrees: float | None = None, salts: int = 16
 ) -> DataFrame:
     """Documents within a radius of each search point: ``search_id, _id_x, dist_m``.
 
     ``searches`` has ``search_id, lon, lat, radius_m`` with radii of at most
-    ``max_distance``; larger ones raise.  Both sides meet on grid cells.  A
-    search is copied to the cells its circle can touch (their number is bounded
-    by the cell size); a document lives in one.  As one cell may hold most of
-    the documents, document rows are spread over ``salts`` and the much smaller
-    search side is repeated for each of them.
+    ``max_distance``; larger ones raise.  The default cell is as wide as that
+    distance, so a circle touches few cells.
     """
-    reach = max_distance / geo.EARTH_RADIUS_M * 180.0 / 3.141592653589793
-    cell = cell_degrees or max(reach, 0.01)
-    slack = 1e-9
-    columns, rows = int(-(-360.0 // cell)), int(-(-180.0 // cell))
-
-    def across(lon: Column) -> Column:
-        return F.least(F.floor((lon + 180.0) / cell), F.lit(columns - 1)).cast("int")
-
-    def down(lat: Column) -> Column:
-        return F.least(F.floor((lat + 90.0) / cell), F.lit(rows - 1)).cast("int")
-
+    reach = math.degrees(max_distance / geo.EARTH_RADIUS_M)
+    grid = _Grid(cell_degrees or min(max(reach, 0.01), 90.0), salts)
     radius = F.when(F.col("radius_m") <= max_distance, F.col("radius_m")).otherwise(
         F.raise_error(F.lit("search radius exceeds max_distance")).cast("double")
     )
-    degrees = F.degrees(radius / geo.EARTH_RADIUS_M) + slack
-    polar = F.abs("lat") + degrees >= 90.0
-    spread = (
-        F.degrees(F.asin(F.least(F.lit(1.0), F.sin(radius / geo.EARTH_RADIUS_M) / F.cos(F.radians("lat"))))) + slack
-    )
-    west, east = F.col("lon") - spread, F.col("lon") + spread
-    full = polar | (spread >= 180.0)
-    spans = (
-        F.when(full, F.array(F.struct(F.lit(0).alias("a"), F.lit(columns - 1).alias("b"))))
-        .when(west < -180.0, F.array(
-            F.struct(across(west + 360.0).alias("a"), F.lit(columns - 1).alias("b")),
-            F.struct(F.lit(0).alias("a"), across(east).alias("b"))))
-        .when(east > 180.0, F.array(
-            F.struct(across(west).alias("a"), F.lit(columns - 1).alias("b")),
-            F.struct(F.lit(0).alias("a"), across(east - 360.0).alias("b"))))
-        .otherwise(F.array(F.struct(across(west).alias("a"), across(east).alias("b"))))
-    )
-    xs = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))))
-    low, high = F.greatest(F.col("lat") - degrees, F.lit(-90.0)), F.least(F.col("lat") + degrees, F.lit(90.0))
-    placed = (
-        searches.select(
-            "search_id",
-            F.col("lon").alias("_lon"),
-            F.col("lat").alias("_lat"),
-            radius.alias("_radius"),
-            F.explode(xs).alias("_x"),
-            F.sequence(down(low), down(high)).alias("_ys"),
-        )
-        .withColumn("_y", F.explode("_ys"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .drop("_ys")
-    )
-    trees = docs.select(
-        "_id_x",
-        "lon",
-        "lat",
-        across(F.col("lon")).alias("_x"),
-        down(F.col("lat")).alias("_y"),
-        F.pmod(F.xxhash64("_id_x"), F.lit(salts)).cast("int").alias("_salt"),
+    lon, lat, angle = F.col("_lon"), F.col("_lat"), F.col("_radius") / geo.EARTH_RADIUS_M
+    degrees = F.degrees(angle) + _SLACK
+    narrow = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.cos(F.radians(lat))))) + _SLACK
+    spread = F.when(F.abs(lat) + degrees >= 90.0, 180.0).otherwise(narrow)
+    points = searches.select(
+        "search_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), radius.alias("_radius")
     )
-    distance = geo.distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
+    placed = grid.searches(points, lon - spread, lat - degrees, lon + spread, lat + degrees)
+    distance = geo.distance_m(F.col("lon"), F.col("lat"), lon, lat)
     return (
-        trees.join(placed, ["_x", "_y", "_salt"])
+        grid.documents(docs)
+        .join(placed, list(_Grid.KEYS))
         .withColumn("dist_m", distance)
         .where(F.col("dist_m") <= F.col("_radius"))
         .select("search_id", "_id_x", "dist_m")
     )
+
+
+def spatial_join_polygons(docs: DataFrame, searches: DataFrame, cell_degrees: float = 1.0, salts: int = 16) -> DataFrame:
+    """Documents inside each search polygon: ``search_id, _id_x``.
+
+    ``searches`` has ``search_id`` and ``ring ARRAY<ARRAY<DOUBLE>>``, a closed
+    ring with great-circle edges that lies within one hemisphere and encloses no
+    pole; other rings raise (use ``within_polygon`` for those).
+    """
+    grid, ring, sides, walk = _Grid(cell_degrees, salts), F.col("ring"), F.col("_sides"), F.col("_walk")
+    rings = model.computed_once(searches.select("search_id", "ring"), "_sides", geo.ring_sides(ring))
+    rings = model.computed_once(rings, "_walk", geo.ring_walk(ring, sides))
+    rings = model.computed_once(rings, "_ring", geo.ring_shape(ring, sides, walk))
+    box = [F.col(f"_ring.{name}") for name in ("west", "south", "east", "north")]
+    placed = grid.searches(rings, *[c + s for c, s in zip(box, (-_SLACK, -_SLACK, _SLACK, _SLACK))])
+    placed = placed.select("search_id", F.col("_ring.edges").alias("_edges"), *_Grid.KEYS)
+    return (
+        grid.documents(docs)
+        .join(placed, list(_Grid.KEYS))
+        .where(geo.inside_ring(F.col("_edges"), F.col("lon"), F.col("lat")))
+        .select("search_id", "_id_x")
+    )

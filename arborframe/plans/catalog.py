@@ -260,7 +260,7 @@ def _(spark, sf):
 
 @query(
     "get_items",
-    sql.with_trees("SELECT i.pos, t._id_x, t.id, t.species FROM (VALUES (0, 100), (1, 7), (2, 100), (3, 1499)) i(pos, n) JOIN t ON t._id_x = i.n"),
+    sql.with_trees("SELECT CAST(i.pos AS BIGINT) AS pos, t._id_x, t.id, t.species FROM (VALUES (0, 100), (1, 7), (2, 100), (3, 1499)) i(pos, n) JOIN t ON t._id_x = i.n"),
 )
 def _(spark, sf):
     return access.get_items(relational(spark, sf), [100, 7, 100, 1499]).select("pos", *IDS)
@@ -346,7 +346,7 @@ def _(spark, sf):
     return page.select(*IDS).withColumn("num_res", total.scalar())
 
 
-@query("field_projection", sql.trees_where(any_line(sql.flag("N")), "t._id_x, t.id, t.species, t.lon, t.lat, 0.0 AS elev"))
+@query("field_projection", sql.trees_where(any_line(sql.flag("N")), "t._id_x, t.id, t.species, t.lon, t.lat, CAST(0 AS DOUBLE) AS elev"))
 def _(spark, sf):
     return access.field_projection(match.where(relational(spark, sf), {f"{DATA}.mode": "N"}))
 
@@ -415,6 +415,17 @@ def _(spark, sf):
     )
 
 
+@query("spatial_join_polygons", sql.POLYGON_JOIN)
+def _(spark, sf):
+    key = F.col("s_suppkey")
+    lon, lat = (key * 37 % 3600 - 1800) / F.lit(10.0), (key * 53 % 1700 - 850) / F.lit(10.0)
+    corners = [(-9.03, -1.53), (9.47, -1.53), (9.47, 2.07), (-9.03, 2.07), (-9.03, -1.53)]
+    ring = F.array(*[F.array(lon + x, lat + y) for x, y in corners])
+    searches = table(spark, sf, "supplier").select(key.alias("search_id"), ring.alias("ring"))
+    hits = joins.spatial_join_polygons(relational(spark, sf).header, searches)
+    return hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_id_x").alias("ids"))
+
+
 @query("intersect_results", sql.trees_where(any_line("l.l_linenumber <= 2") + " AND " + any_line(sql.flag("R"))))
 def _(spark, sf):
     trees = relational(spark, sf)
@@ -556,7 +567,7 @@ def _(spark, sf):
 @query(
     "csv_general",
     sql.with_documents(
-        """SELECT t.id AS tree_id, t.species, t.lat AS lat_epsg4326, t.lon AS long_epsg4326, 0.0 AS elev_epsg4326,
+        """SELECT t.id AS tree_id, t.species, t.lat AS lat_epsg4326, t.lon AS long_epsg4326, CAST(0 AS DOUBLE) AS elev_epsg4326,
            m.x, m.y, m.z, m.crs AS xyz_crs FROM t LEFT JOIN m ON m._id_x = t._id_x AND m.crs IS NOT NULL"""
     ),
 )

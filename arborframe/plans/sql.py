@@ -121,6 +121,32 @@ SPATIAL_JOIN = with_trees(
     WHERE dist_m <= radius_m GROUP BY search_id"""
 )
 
+_CORNERS = [(-9.03, -1.53), (9.47, -1.53), (9.47, 2.07), (-9.03, 2.07)]
+
+
+def _corner(i: int) -> str:
+    dx, dy = _CORNERS[i]
+    lon, lat = f"radians(lon + {dx})", f"radians(lat + {dy})"
+    return f"cos({lat}) * cos({lon}) AS x{i}, cos({lat}) * sin({lon}) AS y{i}, sin({lat}) AS z{i}"
+
+
+def _turn(i: int, j: int) -> str:
+    normal = (
+        f"((s.y{i} * s.z{j} - s.z{i} * s.y{j}) * t.x + (s.z{i} * s.x{j} - s.x{i} * s.z{j}) * t.y "
+        f"+ (s.x{i} * s.y{j} - s.y{i} * s.x{j}) * t.z)"
+    )
+    seen = [f"(s.x{k} * t.x + s.y{k} * t.y + s.z{k} * t.z)" for k in (i, j)]
+    return f"atan2({normal}, s.x{i} * s.x{j} + s.y{i} * s.y{j} + s.z{i} * s.z{j} - {seen[0]} * {seen[1]})"
+
+
+POLYGON_JOIN = with_trees(
+    f"""SELECT search_id, count(*) AS n, CAST(sum(_id_x) AS BIGINT) AS ids FROM (
+    SELECT _id_x, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM t) t,
+    (SELECT search_id, {", ".join(map(_corner, range(4)))} FROM (SELECT s_suppkey AS search_id,
+      (s_suppkey * 37 % 3600 - 1800) / CAST(10 AS DOUBLE) AS lon, (s_suppkey * 53 % 1700 - 850) / CAST(10 AS DOUBLE) AS lat FROM supplier)) s
+    WHERE {" + ".join(_turn(i, (i + 1) % 4) for i in range(4))} > 3 GROUP BY search_id"""
+)
+
 MAP_CLUSTERS = with_trees(
     """SELECT zoom, gx, gy, count(*) AS n, CASE WHEN count(*) < 100 THEN 'small' WHEN count(*) < 1000 THEN 'medium' ELSE 'large' END AS size,
     CAST(sum(_id_x % 3600 - 1800) AS BIGINT) AS lon_tenths, CAST(sum((_id_x * 7) % 1700 - 850) AS BIGINT) AS lat_tenths FROM (
@@ -239,5 +265,5 @@ FLATTEN = with_documents(
 
 INVENTORY = """SELECT 'tree_id_' || c_custkey || '.geojson' AS _file, c_name AS id, c_mktsegment AS species,
   CAST('16.' || (c_custkey % 90 + 10) AS DOUBLE) AS lon, CAST('48.' || (c_custkey % 80 + 10) AS DOUBLE) AS lat,
-  CAST(c_custkey % 300 AS DOUBLE) AS dbh, c_custkey % 20 + 2.5 AS height, CAST(c_custkey % 9 + 1 AS DOUBLE) AS crown,
+  CAST(c_custkey % 300 AS DOUBLE) AS dbh, CAST(c_custkey % 20 + 2.5 AS DOUBLE) AS height, CAST(c_custkey % 9 + 1 AS DOUBLE) AS crown,
   '2024-05-01' AS date FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 17 <> 0"""

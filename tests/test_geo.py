@@ -132,6 +132,21 @@ def test_spatial_join_equals_pairwise_distances(spark, collection):
         joins.spatial_join(docs, searches, 100.0).collect()
 
 
+def test_polygon_join_equals_single_searches(spark, collection):
+    spots = [(lon, lat) for lon in (-179.5, -100.2, -1.0, 0.5, 20.0, 178.5) for lat in (-61.0, -10.5, 0.5, 49.8, 51.0)]
+    docs = collection(*[tree(i, lon=lon, lat=lat) for i, (lon, lat) in enumerate(spots)])
+    rings = [box(-2, -20, 2, 20), box(0, 40, 40, 50), box(170, -70, 190, 60), box(-190, -70, -175, 1)[::-1], box(-101, -62, 21, -60)]
+    rings = [[list(map(float, p)) for p in r] for r in rings]
+    searches = spark.createDataFrame(list(enumerate(rings)), "search_id int, ring array<array<double>>")
+    got = {(r["search_id"], r["_id_x"]) for r in joins.spatial_join_polygons(docs, searches, 5.0, 3).collect()}
+    want = {(i, found) for i, r in enumerate(rings) for found in ids(filters.within_polygon(docs, polygon(r)))}
+    assert got == want and {i for i, _ in want} == set(range(5))
+    cap = [[float(lon), 70.0] for lon in (-180, -120, -60, 0, 60, 120, -180)]
+    for bad in (cap, rings[0][:-1]):
+        with pytest.raises(Exception, match="search ring"):
+            joins.spatial_join_polygons(docs, spark.createDataFrame([(0, bad)], searches.schema)).collect()
+
+
 def test_map_clusters(collection):
     docs = collection(*[tree(i, lon=8.7, lat=49.0) for i in range(100)], tree(100, lon=-120.0, lat=-90.0), tree(101, lon=180.0, lat=90.0))
     rows = stats.map_clusters(docs, [0, 3]).collect()
