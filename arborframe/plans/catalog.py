@@ -17,7 +17,7 @@ from ..operators import access, filters, joins, match, nodes, stats, validate
 from ..operators import views as tables
 from ..session import scratch_path
 from ..sources import readers, stamp, writers
-from . import sql
+from . import packing, sql
 from .views import order_documents, order_text, relational, stored_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -661,32 +661,10 @@ def _(spark, sf):
     return writers.export_docs(docs, outdir, access.get_ids(hits)).select("_id_x", "_file")
 
 
-def _zip_bytes(names, texts):
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    def pack(name, text):
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as out:
-            out.writestr(f"trees/{name}", text)
-            out.writestr("readme.txt", "not a document")
-        return held.getvalue()
-
-    return pd.Series([pack(n, t) for n, t in zip(names, texts)])
-
-
-def _gzip_bytes(texts):
-    import gzip
-
-    return texts.map(lambda text: gzip.compress(f"[{text}]".encode()))
-
-
 @query("import_zip", sql.with_documents(f"SELECT t._file, {SUMMARY_SQL} FROM t"))
 def _(spark, sf):
     archives = order_text(spark, sf).select(
-        F.concat("_file", F.lit(".zip")).alias("path"), F.pandas_udf(_zip_bytes, "binary")("_file", "raw").alias("content")
+        F.concat("_file", F.lit(".zip")).alias("path"), F.pandas_udf(packing.zip_bytes, "binary")("_file", "raw").alias("content")
     )
     return _summary(model.documents(readers.zip_documents(archives)), "_file")
 
@@ -695,7 +673,7 @@ def _(spark, sf):
 def _(spark, sf):
     stored = writers.doc_json(order_text(spark, sf), metadata=True)
     files = stored.select(
-        F.lpad(F.col("_id_x").cast("string"), 12, "0").alias("path"), F.pandas_udf(_gzip_bytes, "binary")("json").alias("content")
+        F.lpad(F.col("_id_x").cast("string"), 12, "0").alias("path"), F.pandas_udf(packing.gzip_bytes, "binary")("json").alias("content")
     )
     rows = readers.dump_documents(files).drop("_id_x", "_date")
     return _summary(model.documents(stamp.stamp_metadata(rows, "path", "pos")), "_id_x", "_file")

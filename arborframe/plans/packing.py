@@ -1,0 +1,31 @@
+"""Archive bytes made inside tasks, as input for the archive readers."""
+
+from __future__ import annotations
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def zip_bytes(names, texts):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(name, text):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as out:
+            out.writestr(f"trees/{name}", text)
+            out.writestr("readme.txt", "not a document")
+        return held.getvalue()
+
+    return pd.Series([pack(n, t) for n, t in zip(names, texts)])
+
+
+def gzip_bytes(texts):
+    import gzip
+
+    return texts.map(lambda text: gzip.compress(f"[{text}]".encode()))

@@ -8,7 +8,7 @@ from conftest import ids, tree
 from pyspark.sql import functions as F
 
 from arborframe.functions import geo
-from arborframe.operators import filters, joins, stats
+from arborframe.operators import filters, joins, match, stats
 
 HUGE = [[-100, 60], [-100, 0], [-100, -60], [100, -60], [100, 60], [-100, 60]]
 
@@ -114,6 +114,16 @@ def test_box_reaches_the_scan(spark, collection, tmp_path):
         assert "GreaterThanOrEqual(lat" in plan and "LessThanOrEqual(lon" in plan
 
 
+def test_filters_read_only_the_leaves_they_name(spark, collection, tmp_path):
+    path = str(tmp_path / "docs")
+    collection(tree(0)).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    same = {"properties.data": {"$elemMatch": {"quality": {"$lte": 3}, "mode": "ALS"}}}
+    plan = match.where(spark.read.parquet(path), same).select("_id_x")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<_id_x:bigint,data:struct<mode:array<string>,quality:array<double>>>" in plan
+    assert "Exchange" not in plan
+
+
 def test_spatial_join_equals_pairwise_distances(spark, collection):
     spots = [(8.70, 49.00), (8.71, 49.01), (179.99, 10.0), (-179.99, 10.0), (0.0, 89.99), (120.0, 89.98), (-60.0, -30.0)]
     docs = collection(*[tree(i, lon=lon, lat=lat) for i, (lon, lat) in enumerate(spots * 3)])
