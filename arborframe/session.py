@@ -5,17 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only if none is set."""
+    """The checkpoint folder the cluster names.
+
+    Where none is set, a local session takes a temporary folder and a cluster
+    the warehouse, which all executors share: a machine-local folder there
+    would be invisible to the other executors.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.partition("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="run-")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again: its lineage ends there.
+
+    Unlike a cache, the table survives the loss of executors.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
