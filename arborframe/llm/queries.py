@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covering, language_id, token_files
+from . import covering, decontamination, language_id, mixing, token_files
 from .common import table
 
 
@@ -10,6 +10,14 @@ def op2_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.select_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.encode_and_index(spark, table(spark, sf_dir, "documents"))
 
@@ -20,6 +28,8 @@ def op9_covering_simhash(spark, sf_dir):
 
 QUERIES = {
     "op2_language_id": (op2_language_id, None),
+    "op3_mixing": (op3_mixing, None),
+    "op4_decontamination": (op4_decontamination, None),
     "op8_token_files": (op8_token_files, None),
     "op9_covering_simhash": (op9_covering_simhash, None),
 }
