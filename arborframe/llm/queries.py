@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covering, decontamination, language_id, mixing, token_files
+from . import covering, decontamination, language_id, mixing, multiset_hash, token_files
 from .common import table
 
 
@@ -26,10 +26,15 @@ def op9_covering_simhash(spark, sf_dir):
     return covering.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_multiset_hash(spark, sf_dir):
+    return multiset_hash.edited_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_language_id": (op2_language_id, None),
     "op3_mixing": (op3_mixing, None),
     "op4_decontamination": (op4_decontamination, None),
     "op8_token_files": (op8_token_files, None),
     "op9_covering_simhash": (op9_covering_simhash, None),
+    "op10_multiset_hash": (op10_multiset_hash, None),
 }
