@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
-from . import covering, decontamination, language_id, mixing, multiset_hash, token_files
+from . import covering, decontamination, language_id, mixing, multiset_hash, token_files, warc
 from .common import table
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+g AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS first_id FROM g)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> first_id THEN first_id END AS refers_to,
+  greatest(1, CASE WHEN n >= 1000 AND page_id <> first_id THEN 1 ELSE CAST(ceil(n / 1048576.0) AS INTEGER) END) AS chunks
+FROM m
+"""
+
+
+def op1_warc(spark, sf_dir):
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
 
 def op2_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -31,6 +46,7 @@ def op10_multiset_hash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": (op1_warc, OP1_SQL),
     "op2_language_id": (op2_language_id, None),
     "op3_mixing": (op3_mixing, None),
     "op4_decontamination": (op4_decontamination, None),
