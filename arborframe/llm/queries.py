@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covering, decontamination, language_id, mixing, multiset_hash, token_files, warc
+from . import covering, decontamination, language_id, mixing, multiset_hash, piece_counts, token_files, warc
 from .common import table
 
 OP1_SQL = """
@@ -33,6 +33,10 @@ def op4_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_piece_counts(spark, sf_dir):
+    return piece_counts.piece_counts(table(spark, sf_dir, "documents"), token_files.tokenizer_file())
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.encode_and_index(spark, table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_language_id": (op2_language_id, None),
     "op3_mixing": (op3_mixing, None),
     "op4_decontamination": (op4_decontamination, None),
+    "op5_piece_counts": (op5_piece_counts, None),
     "op8_token_files": (op8_token_files, None),
     "op9_covering_simhash": (op9_covering_simhash, None),
     "op10_multiset_hash": (op10_multiset_hash, None),
