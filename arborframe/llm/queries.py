@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covering, decontamination, language_id, mixing, multiset_hash, piece_counts, token_files, warc
+from . import covering, decontamination, katz, language_id, mixing, multiset_hash, piece_counts, token_files, warc
 from .common import table
 
 OP1_SQL = """
@@ -37,6 +37,10 @@ def op5_piece_counts(spark, sf_dir):
     return piece_counts.piece_counts(table(spark, sf_dir, "documents"), token_files.tokenizer_file())
 
 
+def op7_katz(spark, sf_dir):
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.encode_and_index(spark, table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_mixing": (op3_mixing, None),
     "op4_decontamination": (op4_decontamination, None),
     "op5_piece_counts": (op5_piece_counts, None),
+    "op7_katz": (op7_katz, None),
     "op8_token_files": (op8_token_files, None),
     "op9_covering_simhash": (op9_covering_simhash, None),
     "op10_multiset_hash": (op10_multiset_hash, None),
