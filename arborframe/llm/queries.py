@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covering, decontamination, katz, language_id, mixing, multiset_hash, piece_counts, token_files, warc
+from . import covering, decontamination, katz, language_id, license_scan, mixing, multiset_hash, piece_counts, token_files, warc
 from .common import table
 
 OP1_SQL = """
@@ -37,6 +37,10 @@ def op5_piece_counts(spark, sf_dir):
     return piece_counts.piece_counts(table(spark, sf_dir, "documents"), token_files.tokenizer_file())
 
 
+def op6_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_katz(spark, sf_dir):
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_mixing": (op3_mixing, None),
     "op4_decontamination": (op4_decontamination, None),
     "op5_piece_counts": (op5_piece_counts, None),
+    "op6_license_scan": (op6_license_scan, license_scan.SQL),
     "op7_katz": (op7_katz, None),
     "op8_token_files": (op8_token_files, None),
     "op9_covering_simhash": (op9_covering_simhash, None),
