@@ -166,7 +166,7 @@ def _sql() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     templates = ", ".join(f"('{label}', {[w.decode() for w in sorted(set(words_of(text.encode())))]})" for label, text in TEMPLATES.items())
     places = " UNION ALL ".join(
-        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(words)), i -> {' AND '.join(f'words[i + {k}] = {chr(39)}{w}{chr(39)}' for k, w in enumerate(phrase.split(), 1))})) AS spot FROM d"
+        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(words)), lambda i: {' AND '.join(f'words[i + {k}] = {chr(39)}{w}{chr(39)}' for k, w in enumerate(phrase.split(), 1))})) AS spot FROM d"
         for phrase, label in PHRASES.items()
     )
     return f"""
