@@ -271,7 +271,8 @@ def _blocks(shared, buckets: int):
             base = add(what != RARE, p[what])
             fixed = add(history == RARE, p[what])
             rare = add(what == RARE, np.ones(len(what))).astype(np.int64)
-            yield batch_of(DOCUMENT, {"slot": slots, "doc_id": [h[0] for h in held], "held_out": [h[1] for h in held], "n_tokens": lengths, "n_known": lengths - rare, "n_rare": rare, "base": base, "fixed": fixed})
+            known = add(model.counts[what] > 0, np.ones(len(what))).astype(np.int64)
+            yield batch_of(DOCUMENT, {"slot": slots, "doc_id": [h[0] for h in held], "held_out": [h[1] for h in held], "n_tokens": lengths, "n_known": known, "n_rare": rare, "base": base, "fixed": fixed})
             pairs = history != RARE
             words = np.concatenate([h[3] for h in held])
             for kind, keys, at in ((BIGRAM, (history[pairs] << SHIFT) | what[pairs], where[pairs]), (WORD, words, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))):

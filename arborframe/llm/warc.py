@@ -153,21 +153,23 @@ class _Members:
 
     def __init__(self, stream, length: int) -> None:
         self.stream, self.left, self.raw, self.ready = stream, length, b"", b""
-        self.member = zlib.decompressobj(31)
+        self.member, self.fresh, self.full = zlib.decompressobj(31), True, False
 
     def more(self) -> bool:
         while True:
             if self.member.eof:
-                self.raw, self.member = self.member.unused_data + self.raw, zlib.decompressobj(31)
-            if not self.raw:
-                if not self.left:
-                    return False
-                self.raw = self.stream.read(min(PIECE, self.left))
-                if not self.raw:
-                    raise EOFError("archive ends inside a segment")
+                self.raw, self.member, self.fresh, self.full = self.member.unused_data, zlib.decompressobj(31), True, False
+            if not self.raw and not self.full:  # a full piece may have more behind it, without further input
+                self.raw = self.stream.read(min(PIECE, self.left)) if self.left else b""
                 self.left -= len(self.raw)
+                if not self.raw:
+                    if self.left or not self.fresh:
+                        raise EOFError("archive ends inside a record")
+                    return False
             made = self.member.decompress(self.raw, PIECE)
-            self.raw = self.member.unconsumed_tail
+            # at a member's end the rest is in unused_data alone
+            self.raw = b"" if self.member.eof else self.member.unconsumed_tail
+            self.fresh, self.full = False, len(made) == PIECE
             if made:
                 self.ready += made
                 return True
