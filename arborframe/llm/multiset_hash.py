@@ -1,17 +1,20 @@
 """Operator 10: homomorphic multiset hash of a text's paragraphs, in DataFrame operations only.
 
 A text is the multiset of its paragraphs (line breaks and sentence ends divide
-it, blank pieces do not count).  Its state is a sum of vectors hashed from them:
+it, blank pieces do not count).  Its state, an array of longs, is a sum of
+vectors hashed from them:
 
-* ``n``: their number;
-* ``sums``: eight lanes modulo 2^32, from four 64-bit hashes of each paragraph;
-  equal multisets have equal sums, others with negligible probability not;
-* ``odd``: 1024 lanes modulo 2, of which each paragraph adds to one.
+* their number;
+* eight lanes modulo 2^32, from four 64-bit hashes of each paragraph: equal
+  multisets have equal sums, others with negligible probability do too;
+* 252 lanes modulo 2^8, seven to a word; each paragraph adds an odd number, drawn
+  from its hash, to one of them.
 
 States add and subtract lane by lane, so paragraphs can be inserted and deleted
-in any order without reading the rest (``add``, ``remove``).  The number of odd
-lanes of a difference estimates how many paragraphs differ, which gives the
-``likeness`` of two states: the estimated Jaccard similarity, 1 for equal states.
+in any order without reading the rest (``add``, ``remove``).  The number of lanes
+that are not zero estimates how many different paragraphs a state has, and that
+of lanes in which two states differ how many paragraphs do; from these follows
+the ``likeness``: the estimated Jaccard similarity, 1 for equal states.
 
 Defined results: a null text is empty; texts without paragraphs are equal to
 each other, with likeness 1 between them and 0 to others; equal texts have
@@ -29,9 +32,14 @@ from pyspark.sql.window import Window
 
 PARAGRAPH_END = r"[\r\n]+|(?<=[.!?])[ \t]+"
 HASHES = 4
+SUMS = 2 * HASHES
 LOW = (1 << 32) - 1
-WORDS = 16
-LANES = 64 * WORDS
+WORDS = 36
+PER_WORD = 7  # lanes of a byte; the eighth stays free, so that no sum overflows
+LANES = PER_WORD * WORDS
+ALL = (1 << 8 * PER_WORD) - 1
+HIGH = sum(0x80 << 8 * i for i in range(PER_WORD))  # the top bit of each lane
+REST = ALL ^ HIGH
 CHUNK_ROWS = 1000  # documents that are ordered together
 MAX_CHUNKS = 1 << 16  # bounds the list of chunk starts that the driver sees
 
@@ -40,47 +48,75 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), lambda p: F.trim(p) != "")
 
 
-def state(text: Column) -> Column:
-    """``struct<n, sums, odd>`` of a text."""
-    return state_of(paragraphs(text))
+def with_state(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Add the state of a text column.
+
+    The paragraphs and their hashes are columns on the way, so that each is
+    computed once although every lane reads them.
+    """
+    return with_state_of(rows.withColumn(f"__parts_{name}", paragraphs(F.col(text_col))), f"__parts_{name}", name)
 
 
-def state_of(parts: Column) -> Column:
-    """``struct<n, sums, odd>`` of an array of paragraphs."""
+def _hashed(parts: str, seed: int) -> Column:
+    return F.transform(parts, lambda p: F.xxhash64(F.lit(seed), p))
 
-    def lanes(seed: int, high: bool) -> Column:
-        def add(total: Column, p: Column) -> Column:
-            h = F.xxhash64(F.lit(seed), p)
-            return (total + (F.shiftrightunsigned(h, 32) if high else h.bitwiseAND(F.lit(LOW)))).bitwiseAND(F.lit(LOW))
 
-        return F.aggregate(parts, F.lit(0).cast("long"), add)
+def with_state_of(rows: DataFrame, parts_col: str, name: str) -> DataFrame:
+    """Add the state of an array of paragraphs, which is dropped."""
+    hashes = [f"__hash{seed}_{name}" for seed in range(HASHES)]
+    for seed, column in enumerate(hashes):
+        rows = rows.withColumn(column, _hashed(parts_col, seed))
+    places = f"__places_{name}"
+    rows = rows.withColumn(places, F.transform(hashes[0], _place))
 
-    places = F.transform(parts, lambda p: F.xxhash64(F.lit(HASHES), p).bitwiseAND(F.lit(LANES - 1)).cast("int"))
+    def lane(column: str, high: bool) -> Column:
+        part = (lambda h: F.shiftrightunsigned(h, 32)) if high else (lambda h: h.bitwiseAND(F.lit(LOW)))
+        return F.aggregate(column, F.lit(0).cast("long"), lambda total, h: (total + part(h)).bitwiseAND(F.lit(LOW)))
 
     def word(i: Column) -> Column:
-        mine = F.filter(places, lambda at: F.shiftright(at, 6) == i)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, at: bits.bitwiseXOR(_one_bit(at)))
+        mine = F.filter(places, lambda at: F.shiftright(at, 56) == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), _add_lanes)
 
-    return F.struct(
-        F.size(parts).cast("long").alias("n"),
-        F.array(*[lanes(seed, high) for seed in range(HASHES) for high in (False, True)]).alias("sums"),
-        F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word).alias("odd"),
-    )
+    number = F.array(F.size(parts_col).cast("long"))
+    sums = F.array(*[lane(column, high) for column in hashes for high in (False, True)])
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word)
+    return rows.withColumn(name, F.concat(number, sums, lanes)).drop(parts_col, places, *hashes)
+
+
+_FACTORS = [1 << 8 * i for i in range(PER_WORD)]
+
+
+def _place(h: Column) -> Column:
+    """Word of a paragraph's lane above bit 56, below it the odd number at the lane's place."""
+    lane = F.pmod(h, F.lit(LANES))
+    odd = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(255)).bitwiseOR(F.lit(1))
+    factor = F.element_at(F.lit(_FACTORS).cast("array<bigint>"), (lane % PER_WORD).cast("int") + 1)
+    return F.shiftleft(F.floor(lane / PER_WORD), 56) + odd * factor
 
 
-_BITS = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
+def _add_lanes(a: Column, b: Column) -> Column:
+    """Sum of bytes modulo 2^8 each; whatever stands above the lanes of ``b`` is left out."""
+    low = a.bitwiseAND(F.lit(REST)) + b.bitwiseAND(F.lit(REST))
+    return low.bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(F.lit(HIGH)))
 
 
-def _one_bit(at: Column) -> Column:
-    return F.element_at(F.lit(_BITS).cast("array<bigint>"), at.bitwiseAND(F.lit(63)) + 1)
+def _subtract_lanes(a: Column, b: Column) -> Column:
+    low = a.bitwiseOR(F.lit(HIGH)) - b.bitwiseAND(F.lit(REST))
+    return low.bitwiseXOR(a.bitwiseXOR(b).bitwiseXOR(F.lit(ALL)).bitwiseAND(F.lit(HIGH)))
+
+
+def _used_lanes(w: Column) -> Column:
+    """Number of bytes of a word that are not zero."""
+    return F.bit_count((w.bitwiseAND(F.lit(REST)) + F.lit(REST)).bitwiseOR(w).bitwiseAND(F.lit(HIGH)))
 
 
 def _lanewise(a: Column, b: Column, sign: int) -> Column:
-    return F.struct(
-        (a["n"] + sign * b["n"]).alias("n"),
-        F.zip_with(a["sums"], b["sums"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(LOW))).alias("sums"),
-        F.zip_with(a["odd"], b["odd"], lambda x, y: x.bitwiseXOR(y)).alias("odd"),
-    )
+    def part(start: int, size: int, merge) -> Column:
+        return F.zip_with(F.slice(a, start, size), F.slice(b, start, size), merge)
+
+    number = part(1, 1, lambda x, y: x + sign * y)
+    sums = part(2, SUMS, lambda x, y: (x + sign * y).bitwiseAND(F.lit(LOW)))
+    return F.concat(number, sums, part(2 + SUMS, WORDS, _add_lanes if sign > 0 else _subtract_lanes))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -94,19 +130,24 @@ def remove(a: Column, b: Column) -> Column:
 
 
 def fingerprint(s: Column) -> Column:
-    """The state as hexadecimal text: number, sums, odd lanes."""
-    sums = F.array_join(F.transform(s["sums"], lambda x: F.lpad(F.hex(x), 8, "0")), "")
-    odd = F.array_join(F.transform(s["odd"], lambda x: F.lpad(F.hex(x), 16, "0")), "")
-    return F.lower(F.concat(F.lpad(F.hex(s["n"]), 8, "0"), sums, odd))
+    """The state as hexadecimal text: number, sums, lanes."""
+    return F.lower(F.array_join(F.transform(s, lambda x, i: F.lpad(F.hex(x), F.when(i <= SUMS, 8).otherwise(2 * PER_WORD), F.lit("0"))), ""))
+
+
+def _kinds(words: Column) -> Column:
+    """Estimated number of different paragraphs, from the share of lanes that are used (linear counting)."""
+    used = F.aggregate(words, F.lit(0), lambda t, w: t + _used_lanes(w))
+    return -LANES * F.log(1 - F.least(used, F.lit(LANES - 0.5)) / LANES)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two multisets, from 0 to 1."""
-    odd = F.aggregate(F.zip_with(a["odd"], b["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    both = (a["n"] + b["n"]).cast("double")
-    differing = F.when(2 * odd >= LANES, both).otherwise(F.log1p(-2.0 * odd / LANES) / F.lit(math.log1p(-2.0 / LANES)))
-    differing = F.greatest(F.abs(a["n"] - b["n"]).cast("double"), F.least(differing, both))
-    return F.when((a["n"] == b["n"]) & (a["sums"] == b["sums"]), 1.0).otherwise((both - differing) / (both + differing))
+    x, y = (F.slice(s, 2 + SUMS, WORDS) for s in (a, b))
+    both = _kinds(x) + _kinds(y)
+    differing = _kinds(F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w)))
+    # (both - differing) / (both + differing), from one evaluation of each
+    ratio = F.greatest(F.lit(0.0), F.lit(2.0) / (1 + F.coalesce(F.try_divide(differing, both), F.lit(1.0))) - 1)
+    return F.when(F.slice(a, 1, 1 + SUMS) == F.slice(b, 1, 1 + SUMS), 1.0).otherwise(ratio)
 
 
 def _chunk_starts(ids: DataFrame) -> tuple[list[int], bool]:
@@ -150,14 +191,15 @@ def edited_table(docs: DataFrame) -> DataFrame:
     first = F.col("chunk") == 0
     guest = F.struct(F.when(first, F.lit(len(starts) - 1)).otherwise(F.col("chunk") - 1).alias("chunk"), F.lit(False).alias("own"), first.alias("wraps"))
     spread = placed.select("doc_id", "text", F.explode(F.when(F.coalesce(leads, F.lit(False)), F.array(home, guest)).otherwise(F.array(home))).alias("at"))
-    chunks = spread.select("doc_id", "text", "at.*").repartition("chunk").withColumn("state", state(F.col("text")))
+    chunks = spread.select("doc_id", "text", "at.*").repartition("chunk")
+    chunks = with_state(chunks, "text", "state")
     order = Window.partitionBy("chunk").orderBy("wraps", F.asc_nulls_first("doc_id"), "text", F.desc("own"))
     following = chunks.withColumn("next_text", F.lead("text").over(order)).withColumn("next_state", F.lead("state").over(order)).where("own")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", "text"), F.lit(1), half))
     made = following.select("doc_id", n.cast("long").alias("n_chars"), "state", F.coalesce("next_state", "state").alias("next_state"), edited.alias("edited"))
-    made = made.withColumn("edited_state", state(F.col("edited")))
+    made = with_state(made, "edited", "edited_state")
     return made.select(
         "doc_id",
         "n_chars",
