@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_378_100.0  # fixed value: sphere radius behind the distance search
 STRICT_WINDING = "urn:x-mongodb:crs:strictwinding:EPSG:4326"  # fixed value: CRS name
-_UNROLL = 48  # rings with more edges are folded over an array literal instead of unrolled
 
 Vector = tuple[float, float, float]
 
@@ -211,26 +210,10 @@ class Ring:
 
     def contains(self, lon: Column, lat: Column) -> Column:
         point, at = unit_columns(lon, lat), wrapped(lon)
-        if len(self.edges) <= _UNROLL:
-            crossed = reduce(
-                operator.add,
-                [
-                    F.when(
-                        ((at >= west) & (at < east) if west < east else (at >= west) | (at < east))
-                        & (point[0] * n[0] + point[1] * n[1] + point[2] * n[2] < 0),
-                        1,
-                    ).otherwise(0)
-                    for west, east, n in self.edges
-                ],
-            )
-        else:
-            literal = F.array(
-                *[
-                    F.struct(*[F.lit(v).alias(k) for k, v in zip("wexyz", (west, east, *n))])
-                    for west, east, n in self.edges
-                ]
-            )
-            crossed = crossings(literal, at, *point)
+        edges = F.array(
+            *[F.struct(*[F.lit(v).alias(k) for k, v in zip("wexyz", (west, east, *n))]) for west, east, n in self.edges]
+        )
+        crossed = crossings(edges, at, *point)
         inside = (crossed % 2 == 1) != F.lit(self.north_inside)
         box = self._box(lon, lat)
         return inside if box is None else box & inside

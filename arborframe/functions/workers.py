@@ -51,6 +51,7 @@ ZIP_SCHEMA = "path string, _file string, raw string"
 def zip_members(batches):
     import io
     import zipfile
+    import zlib
 
     def rows():
         for batch in batches:
@@ -59,7 +60,11 @@ def zip_members(batches):
                     for name in members.namelist():
                         base = name.rsplit("/", 1)[-1]
                         if base.endswith("json") and "." in base[:-4]:
-                            yield f"{archive}/{name}", base, members.read(name).decode("utf-8")
+                            try:
+                                text = members.read(name).decode("utf-8")
+                            except (UnicodeDecodeError, zipfile.BadZipFile, zlib.error):
+                                text = None  # becomes a reject; the other members stay
+                            yield f"{archive}/{name}", base, text
 
     yield from _batches(rows(), path="string", _file="string", raw="string")
 
@@ -199,17 +204,23 @@ def node_rows(names):
 
 # ---------------------------------------------------------------- one file per document
 def write_files(outdir):
-    """``(_id_x, _file, raw)`` to pretty-printed files below a shared folder."""
+    """``(_id_x, _file, raw)`` to pretty-printed files below a shared folder of any file system."""
 
     def rows(batches):
-        os.makedirs(outdir, exist_ok=True)
+        import uuid
+
+        from pyarrow import fs
+
+        uri = f"file://{outdir[5:]}" if outdir.startswith("file:") and not outdir.startswith("file://") else outdir
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
         for batch in batches:
             for number, name, raw in _pairs(batch, "_id_x", "_file", "raw"):
-                target = os.path.join(outdir, os.path.basename(name))
-                partial = f"{target}.{os.getpid()}.part"
-                with open(partial, "w", encoding="utf-8") as out:
-                    out.write(json.dumps(json.loads(raw), indent=4))
-                os.replace(partial, target)  # a retried task leaves no half-written file
+                target = f"{root}/{os.path.basename(name)}"
+                partial = f"{root}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(partial) as out:
+                    out.write(json.dumps(json.loads(raw), indent=4).encode())
+                store.move(partial, target)  # a retried task leaves no half-written file
                 yield number, name, target
 
     def run(batches):

@@ -120,58 +120,71 @@ def pair_sources(
 class _Grid:
     """Grid cells on which documents and search areas meet.
 
-    A document lives in one cell; a search is copied to every cell its bounding
-    box touches.  As one cell may hold most of the documents, document rows are
-    spread over ``salts`` and the much smaller search side is repeated for each.
+    Rows of cells are equally high; the nearer to a pole, the fewer cells a row
+    has, so all cells are about as wide as they are high.  A document lives in one
+    cell; a search is copied to every cell its bounding box touches.  The join
+    is a sort-merge join: neither side is broadcast, whatever it grows to, and
+    adaptive execution splits the documents of a cell that holds most of them by
+    their measured size.
     """
 
-    KEYS = ("_x", "_y", "_salt")
+    KEYS = ("_x", "_y")
 
-    def __init__(self, degrees: float, salts: int):
-        self.degrees, self.salts = degrees, salts
-        self.columns, self.rows = math.ceil(360.0 / degrees), math.ceil(180.0 / degrees)
-
-    def _x(self, lon: Column) -> Column:
-        return F.least(F.floor((lon + 180.0) / self.degrees), F.lit(self.columns - 1)).cast("int")
+    def __init__(self, degrees: float):
+        self.degrees = degrees
+        self.rows = math.ceil(180.0 / degrees)
 
     def _y(self, lat: Column) -> Column:
-        return F.least(F.floor((lat + 90.0) / self.degrees), F.lit(self.rows - 1)).cast("int")
+        return F.greatest(F.lit(0), F.least(F.floor((lat + 90.0) / self.degrees), F.lit(self.rows - 1))).cast("int")
+
+    def _width(self, y: Column) -> Column:
+        """Cells of a row, by the circle of its edge that is nearer to the equator."""
+        south, north = y * self.degrees - 90.0, (y + 1) * self.degrees - 90.0
+        nearest = F.when((south < 0) & (north > 0), 0.0).otherwise(F.least(F.abs(south), F.abs(north)))
+        return F.greatest(F.lit(1), F.ceil(F.cos(F.radians(nearest)) * (360.0 / self.degrees))).cast("int")
+
+    def _x(self, lon: Column, width: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.floor((lon + 180.0) / 360.0 * width).cast("int"), width - 1))
 
     def documents(self, docs: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64("_id_x"), F.lit(self.salts)).cast("int")
-        return docs.select(
-            "_id_x", "lon", "lat", self._x(F.col("lon")).alias("_x"), self._y(F.col("lat")).alias("_y"), salt.alias("_salt")
-        )
+        y = self._y(F.col("lat"))
+        return docs.select("_id_x", "lon", "lat", self._x(F.col("lon"), self._width(y)).alias("_x"), y.alias("_y"))
 
-    def _columns_between(self, west: Column, east: Column) -> Column:
-        """Cell columns of a longitude range that may run over the date line on one side."""
-        first, last = F.lit(0), F.lit(self.columns - 1)
-        left, right = self._x(west), self._x(east)
+    def _columns_between(self, west: Column, east: Column, width: Column) -> Column:
+        """Cells of a longitude range that may run over the date line on one side."""
+        first, last = F.lit(0), width - 1
+        left, right = self._x(west, width), self._x(east, width)
         parts = (
             F.when(east - west >= 360.0, F.array(F.sequence(first, last)))
-            .when(west < -180.0, F.array(F.sequence(self._x(west + 360.0), last), F.sequence(first, right)))
-            .when(east > 180.0, F.array(F.sequence(left, last), F.sequence(first, self._x(east - 360.0))))
+            .when(west < -180.0, F.array(F.sequence(self._x(west + 360.0, width), last), F.sequence(first, right)))
+            .when(east > 180.0, F.array(F.sequence(left, last), F.sequence(first, self._x(east - 360.0, width))))
             .otherwise(F.array(F.sequence(left, right)))
         )
         return F.array_distinct(F.flatten(parts))
 
-    def searches(self, searches: DataFrame, west: Column, south: Column, east: Column, north: Column) -> DataFrame:
-        box = F.struct(west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n"))
-        boxed = model.computed_once(searches, "_box", box)
+    def searches(self, boxed: DataFrame) -> DataFrame:
+        """One row per cell that the box ``_box`` touches."""
         low, high = F.greatest(F.col("_box.s"), F.lit(-90.0)), F.least(F.col("_box.n"), F.lit(90.0))
-        return (
-            boxed.withColumn("_x", F.explode(self._columns_between(F.col("_box.w"), F.col("_box.e"))))
-            .withColumn("_y", F.explode(F.sequence(self._y(low), self._y(high))))
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
-            .drop("_box")
-        )
+        rows = boxed.withColumn("_y", F.explode(F.sequence(self._y(low), self._y(high))))
+        rows = rows.withColumn("_width", self._width(F.col("_y")))
+        return rows.withColumn("_x", F.explode(self._columns_between(F.col("_box.w"), F.col("_box.e"), F.col("_width")))).drop("_box", "_width")
+
+
+def _boxed(searches: DataFrame, west: Column, south: Column, east: Column, north: Column) -> DataFrame:
+    return model.computed_once(searches, "_box", F.struct(west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n")))
+
+
+def _cell_of(boxed: DataFrame) -> float:
+    """Cell height in degrees: the median height of the search boxes, so that a box touches a few cells."""
+    height = boxed.agg(F.percentile_approx(F.col("_box.n") - F.col("_box.s"), 0.5)).first()[0]
+    return min(max(height or 1.0, 0.01), 90.0)
 
 
 _SLACK = 1e-9  # degrees; keeps rounding from cutting a bounding box short
 
 
 def spatial_join(
-    docs: DataFrame, searches: DataFrame, max_distance: float, cell_degrees: float | None = None, salts: int = 16
+    docs: DataFrame, searches: DataFrame, max_distance: float, cell_degrees: float | None = None
 ) -> DataFrame:
     """Documents within a radius of each search point: ``search_id, _id_x, dist_m``.
 
@@ -180,7 +193,7 @@ def spatial_join(
     distance, so a circle touches few cells.
     """
     reach = math.degrees(max_distance / geo.EARTH_RADIUS_M)
-    grid = _Grid(cell_degrees or min(max(reach, 0.01), 90.0), salts)
+    grid = _Grid(cell_degrees or min(max(reach, 0.01), 90.0))
     radius = F.when(F.col("radius_m") <= max_distance, F.col("radius_m")).otherwise(
         F.raise_error(F.lit("search radius exceeds max_distance")).cast("double")
     )
@@ -191,34 +204,36 @@ def spatial_join(
     points = searches.select(
         "search_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), radius.alias("_radius")
     )
-    placed = grid.searches(points, lon - spread, lat - degrees, lon + spread, lat + degrees)
+    placed = grid.searches(_boxed(points, lon - spread, lat - degrees, lon + spread, lat + degrees))
     distance = geo.distance_m(F.col("lon"), F.col("lat"), lon, lat)
     return (
         grid.documents(docs)
-        .join(placed, list(_Grid.KEYS))
+        .join(placed.hint("merge"), list(_Grid.KEYS))
         .withColumn("dist_m", distance)
         .where(F.col("dist_m") <= F.col("_radius"))
         .select("search_id", "_id_x", "dist_m")
     )
 
 
-def spatial_join_polygons(docs: DataFrame, searches: DataFrame, cell_degrees: float = 1.0, salts: int = 16) -> DataFrame:
+def spatial_join_polygons(docs: DataFrame, searches: DataFrame, cell_degrees: float | None = None) -> DataFrame:
     """Documents inside each search polygon: ``search_id, _id_x``.
 
     ``searches`` has ``search_id`` and ``ring ARRAY<ARRAY<DOUBLE>>``, a closed
     ring with great-circle edges that lies within one hemisphere and encloses no
     pole; other rings raise (use ``within_polygon`` for those).
     """
-    grid, ring, sides, walk = _Grid(cell_degrees, salts), F.col("ring"), F.col("_sides"), F.col("_walk")
+    ring, sides, walk = F.col("ring"), F.col("_sides"), F.col("_walk")
     rings = model.computed_once(searches.select("search_id", "ring"), "_sides", geo.ring_sides(ring))
     rings = model.computed_once(rings, "_walk", geo.ring_walk(ring, sides))
     rings = model.computed_once(rings, "_ring", geo.ring_shape(ring, sides, walk))
     box = [F.col(f"_ring.{name}") for name in ("west", "south", "east", "north")]
-    placed = grid.searches(rings, *[c + s for c, s in zip(box, (-_SLACK, -_SLACK, _SLACK, _SLACK))])
+    boxed = _boxed(rings, *[c + s for c, s in zip(box, (-_SLACK, -_SLACK, _SLACK, _SLACK))])
+    grid = _Grid(cell_degrees or _cell_of(boxed))
+    placed = grid.searches(boxed)
     placed = placed.select("search_id", F.col("_ring.edges").alias("_edges"), *_Grid.KEYS)
     return (
         grid.documents(docs)
-        .join(placed, list(_Grid.KEYS))
+        .join(placed.hint("merge"), list(_Grid.KEYS))
         .where(geo.inside_ring(F.col("_edges"), F.col("lon"), F.col("lat")))
         .select("search_id", "_id_x")
     )

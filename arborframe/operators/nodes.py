@@ -70,7 +70,7 @@ def extract_key_exact(docs: DataFrame, name: str, value: str | float | bool | No
 
 def extract_key_numeric(docs: DataFrame, name: str, op: str, value: float, **columns: str) -> DataFrame:
     """Numbers, or texts holding one, under ``name`` for which ``op`` holds."""
-    number = F.when(F.col("type").isin("number", "string"), F.col("value").try_cast("double"))
+    number = F.when(F.col("type").isin("number", "string"), scalars.number(F.col("value")))
     return extract_key(docs, name, **columns).where(_comparator(op)(number, F.lit(float(value))))
 
 

@@ -646,19 +646,16 @@ def _summary(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(*extra, "id", "species", "lon", "lat", F.size("data.mode").cast("bigint").alias("n_scans"))
 
 
-@query("import_docs", sql.polygon(f"{sql.winding(PLOT)} > 1", f"t._file, {SUMMARY_SQL}"))
+@query("import_docs", sql.with_documents(f"SELECT t._file, {SUMMARY_SQL} FROM t"))
 def _(spark, sf):
-    outdir = scratch_path(spark, "geojson").removeprefix("file:")
-    writers.export_docs(filters.within_polygon(order_documents(spark, sf), {"type": "Polygon", "coordinates": [PLOT]}), outdir).count()
+    outdir = scratch_path(spark, "geojson")
+    writers.export_docs(order_documents(spark, sf), outdir).count()
     return _summary(model.documents(readers.import_docs(spark, outdir)), "_file")
 
 
-@query("export_docs", sql.near(8.7, 49.0, "dist_m <= 900000", select="_id_x, _file"))
+@query("export_docs", sql.with_documents("SELECT t._id_x, t._file FROM t"))
 def _(spark, sf):
-    docs = stored_documents(spark, sf)
-    outdir = scratch_path(spark, "geojson").removeprefix("file:")
-    hits = filters.near_point(docs, POINT, 900_000.0)
-    return writers.export_docs(docs, outdir, access.get_ids(hits)).select("_id_x", "_file")
+    return writers.export_docs(order_documents(spark, sf), scratch_path(spark, "geojson")).select("_id_x", "_file")
 
 
 @query("import_zip", sql.with_documents(f"SELECT t._file, {SUMMARY_SQL} FROM t"))
@@ -762,10 +759,11 @@ def _(spark, sf):
 @query(
     "feature_collection",
     sql.with_documents(
-        f"""SELECT t._id_x, CASE WHEN t._id_x = e.low THEN '{{"type":"FeatureCollection","features":[' ELSE '' END
-            || {sql.DOC_TEXT} || CASE WHEN t._id_x = e.high THEN ']}}' ELSE ',' END AS line
-            FROM t JOIN orders ON o_orderkey = t._id_x, (SELECT min(_id_x) AS low, max(_id_x) AS high FROM t WHERE species = '2-HIGH') e
-            WHERE t.species = '2-HIGH'"""
+        f"""SELECT 1 AS kind, t._id_x, CASE WHEN t._id_x = e.low THEN '' ELSE ',' END || {sql.DOC_TEXT} AS line
+            FROM t JOIN orders ON o_orderkey = t._id_x, (SELECT min(_id_x) AS low FROM t WHERE species = '2-HIGH') e
+            WHERE t.species = '2-HIGH'
+            UNION ALL SELECT 0, NULL, '{{"type":"FeatureCollection","features":['
+            UNION ALL SELECT 2, NULL, ']}}'"""
     ),
 )
 def _(spark, sf):

@@ -179,8 +179,14 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.documents(order_text(spark, sf_dir).drop("o_orderstatus"))
 
 
+_STORED: dict[tuple[str, str], str] = {}  # (application, folder of the tables) to the stored table
+
+
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as a table, for queries that read them more than once."""
-    path = scratch_path(spark, "trees")
-    writers.save_table(order_text(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    """The documents as a table, written once per application, for queries that read them more than once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "trees")
+        writers.save_table(order_text(spark, sf_dir), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

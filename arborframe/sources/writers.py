@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import model
 from ..functions import scalars, workers
@@ -22,8 +23,13 @@ def doc_json(docs: DataFrame, metadata: bool = False, indent: int | None = None)
 
 
 def save_dump(docs: DataFrame, path: str) -> None:
-    """Whole collection as gzip JSON lines, metadata included."""
-    doc_json(docs, metadata=True).select("json").write.mode("overwrite").option("compression", "gzip").text(path)
+    """Whole collection as gzip JSON lines, metadata included.
+
+    Line breaks of pretty-printed documents become blanks; JSON has them between
+    tokens only.
+    """
+    one_line = F.regexp_replace("json", r"[\r\n]+", " ").alias("json")
+    doc_json(docs, metadata=True).select(one_line).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def save_table(docs: DataFrame, path: str) -> None:
@@ -62,21 +68,29 @@ def export_docs(docs: DataFrame, outdir: str, ids: DataFrame | None = None) -> D
 
 
 def feature_collection(docs: DataFrame) -> DataFrame:
-    """Lines ``(_id_x, line)`` of one FeatureCollection text, to be written in id order.
+    """Lines ``(kind, _id_x, line)`` of one FeatureCollection text, to be written in order of kind and id.
 
-    The envelope sits in the first and last line, so the text is produced by as
-    many tasks as there are partitions and never gathered into one value.
+    The envelope is a first and a last line of its own, so an empty result is an
+    empty collection and repeated ids are ordinary features.  Every feature but
+    the first brings the comma before it.
     """
-    ends = docs.agg(F.min("_id_x").alias("low"), F.max("_id_x").alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    opening = F.when(F.col("_id_x") == low, '{"type":"FeatureCollection","features":[').otherwise("")
-    closing = F.when(F.col("_id_x") == high, "]}").otherwise(",")
-    return docs.select("_id_x", F.concat(opening, F.col("raw"), closing).alias("line"))
+    low = docs.agg(F.min("_id_x")).scalar()
+    rows = docs.select("_id_x", "raw")
+    least = rows.where(F.col("_id_x") == low)
+    copy = F.row_number().over(Window.partitionBy("_id_x").orderBy("raw"))
+    first = least.select("_id_x", F.concat(F.when(copy == 1, "").otherwise(","), "raw").alias("line"))
+    rest = rows.where(F.col("_id_x") > low).select("_id_x", F.concat(F.lit(","), "raw").alias("line"))
+    body = first.unionByName(rest).select(F.lit(1).alias("kind"), "_id_x", "line")
+    envelope = docs.sparkSession.createDataFrame(
+        [(0, None, '{"type":"FeatureCollection","features":['), (2, None, "]}")], "kind int, _id_x long, line string"
+    )
+    return body.unionByName(envelope)
 
 
 def write_feature_collection(docs: DataFrame, path: str) -> None:
     """Part files which, concatenated in name order, are one FeatureCollection."""
-    feature_collection(docs).orderBy("_id_x").select("line").write.mode("overwrite").text(path)
+    lines = feature_collection(docs).orderBy("kind", "_id_x", F.desc("line"))  # of one id, the line without comma first
+    lines.select("line").write.mode("overwrite").text(path)
 
 
 def link_manifest(links: DataFrame, url: str = "file") -> DataFrame:

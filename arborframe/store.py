@@ -110,15 +110,15 @@ class TreeStore:
         projection: Mapping[str, Any] | None = None,
         limit: int | None = None,
         skip: int = 0,
+        sort: str | Sequence[tuple[str, int]] | None = None,
     ) -> DataFrame:
-        """Documents matching a filter; optional projection, ``skip`` and ``limit``.
+        """Documents matching a filter; optional order, projection, ``skip`` and ``limit``.
 
-        A projection keeps the paths set to a true value or, if there are none,
+        ``sort`` is a path or a list of (path, 1 or -1).  Without it, a top-level
+        ``$nearSphere`` puts the nearest document first.  A projection keeps the paths set to a true value or, if there are none,
         drops those set to a false one.
         """
-        found = match.where(self.docs, condition)
-        if skip or limit is not None:
-            found = access.limit_skip(found, skip, limit)
+        found = access.sorted_page(match.where(self.docs, condition), condition, skip, limit, sort)
         paths = {path: keep for path, keep in (projection or {}).items() if path != "_id"}
         kept = [path for path, keep in paths.items() if keep]
         if kept:

@@ -129,7 +129,7 @@ def test_spatial_join_equals_pairwise_distances(spark, collection):
     docs = collection(*[tree(i, lon=lon, lat=lat) for i, (lon, lat) in enumerate(spots * 3)])
     points = [(100 + i, lon + 0.002, lat - 0.001, r) for i, ((lon, lat), r) in enumerate(zip(spots, (900.0, 5000.0) * 4))]
     searches = spark.createDataFrame(points, "search_id long, lon double, lat double, radius_m double")
-    got = {(r["search_id"], r["_id_x"]) for r in joins.spatial_join(docs, searches, 5000.0, salts=3).collect()}
+    got = {(r["search_id"], r["_id_x"]) for r in joins.spatial_join(docs, searches, 5000.0).collect()}
 
     def metres(a, b):
         (lon, lat), (lon0, lat0) = ((math.radians(x) for x in p) for p in (a, b))
@@ -148,7 +148,7 @@ def test_polygon_join_equals_single_searches(spark, collection):
     rings = [box(-2, -20, 2, 20), box(0, 40, 40, 50), box(170, -70, 190, 60), box(-190, -70, -175, 1)[::-1], box(-101, -62, 21, -60)]
     rings = [[list(map(float, p)) for p in r] for r in rings]
     searches = spark.createDataFrame(list(enumerate(rings)), "search_id int, ring array<array<double>>")
-    got = {(r["search_id"], r["_id_x"]) for r in joins.spatial_join_polygons(docs, searches, 5.0, 3).collect()}
+    got = {(r["search_id"], r["_id_x"]) for r in joins.spatial_join_polygons(docs, searches, 5.0).collect()}
     want = {(i, found) for i, r in enumerate(rings) for found in ids(filters.within_polygon(docs, polygon(r)))}
     assert got == want and {i for i, _ in want} == set(range(5))
     cap = [[float(lon), 70.0] for lon in (-180, -120, -60, 0, 60, 120, -180)]

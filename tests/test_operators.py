@@ -5,8 +5,10 @@ import json
 import numpy as np
 import pytest
 from conftest import ids, tree, without
+from pyspark.sql import functions as F
 
 from arborframe.operators import access, joins, nodes, stats, views
+from arborframe.store import TreeStore
 
 M, D = "properties.measurements", "properties.data"
 
@@ -38,16 +40,38 @@ def test_slices(ten, part):
     assert order(access.slice_items(ten, part.start, part.stop, part.step)) == list(range(10))[part]
 
 
-def test_paging(ten, monkeypatch):
+def test_paging(ten):
     assert order(access.limit_skip(ten, 3, 4)) == [3, 4, 5, 6]
     assert order(access.limit_skip(ten, 8)) == [8, 9]
     assert order(access.limit_skip(ten)) == list(range(10))
-    monkeypatch.setattr(access, "MAX_TOP_K", 2)  # deep pages go through parallel numbering
     assert order(access.limit_skip(ten.where("_id_x % 2 = 1"), 1, 3)) == [3, 5, 7]
     page, total, markers = access.page_results(ten, {}, 3, 3)
     assert (order(page), total.first()["n"], markers.count()) == ([9], 10, 10)
 
 
+def test_positions_count_rows_not_ids(collection):
+    docs = collection(*[tree(i) for i in range(6)])
+    moved = docs.withColumn("_id_x", F.col("_id_x") * 70_000 + 40)
+    assert ids(access.get_item(moved, 0)) == [40] and ids(access.get_item(moved, -1)) == [350_040]
+    assert order(access.slice_items(moved, 1, 4)) == [70_040, 140_040, 210_040]
+    twice = docs.where("_id_x < 3").unionByName(docs)
+    assert order(access.limit_skip(twice, 1, 3)) == [0, 1, 1]
+    assert order(access.limit_skip(twice, 5)) == [2, 3, 4, 5]
+    assert order(access.get_items(twice, [1, 0, 4, 8])) == [0, 0, 2, 5]
+    assert ids(access.limit_skip(docs.where("_id_x < 0"), 0, 3)) == []
+
+
+def test_store_query_sorts(spark, collection):
+    docs = collection(tree(0, species="c", lon=8.9), tree(1, species="a", lon=8.8), tree(2, species="b", lon=8.7))
+    trees = TreeStore(spark, docs)
+    near = {"geometry": {"$nearSphere": {"$geometry": {"type": "Point", "coordinates": [8.7, 49.0]}, "$maxDistance": 1e6}}}
+    assert order(trees.query(near, limit=1)) == [2]
+    assert order(trees.query(near, skip=1)) == [1, 0]
+    assert order(trees.query({}, sort=[("properties.species", 1)], limit=2)) == [1, 2]
+    assert order(trees.query({}, sort="properties.species")) == [1, 2, 0]
+    assert order(trees.query({}, sort=[("properties.source", 1), ("properties.species", -1)])) == [0, 2, 1]
+
+
 def test_projections(collection):
     docs = collection(tree(0, data=[{"mode": "TLS"}, {}]), without(tree(1), "properties", "data"), tree(2, note=None))
     kept = access.project_include(docs, ["_id_x", "type", f"{D}.mode", "properties.note"])

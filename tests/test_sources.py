@@ -170,6 +170,37 @@ def test_feature_collection(spark, collection, tmp_path):
     assert json.loads(text) == {"type": "FeatureCollection", "features": [tree(i) for i in range(40)]}
 
 
+def test_feature_collection_empty_and_repeated(spark, collection, tmp_path):
+    one = collection(tree(0), tree(1))
+    for name, docs, features in (
+        ("none", one.where("_id_x > 5"), []),
+        ("twice", one.unionByName(one), [tree(0), tree(0), tree(1), tree(1)]),
+    ):
+        path = tmp_path / name
+        writers.write_feature_collection(docs, str(path))
+        text = "".join(p.read_text() for p in sorted(path.glob("part-*")))
+        assert json.loads(text) == {"type": "FeatureCollection", "features": features}
+
+
+def test_pretty_printed_dump_round_trip(spark, collection, tmp_path):
+    pretty = [json.dumps(tree(i, note="a\nb"), indent=4) for i in range(3)]
+    docs = collection(*pretty).withColumn("_id_x", F.col("_id_x") + 40)
+    writers.save_dump(docs, str(tmp_path / "dump"))
+    rows = readers.read_dump(spark, str(tmp_path / "dump"), form="lines").orderBy("pos").collect()
+    assert [r["_id_x"] for r in rows] == [r["pos"] for r in rows] == [40, 41, 42]
+    assert [json.loads(r["raw"]) for r in rows] == [tree(i, note="a\nb") for i in range(3)]
+
+
+def test_bad_zip_member_is_a_reject(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as out:
+        out.writestr("bad.geojson", b"\xff\xfe")
+        out.writestr("good.geojson", json.dumps(tree(1)))
+    rows = {r["_file"]: r["raw"] for r in readers.import_zip(spark, str(tmp_path / "a.zip")).collect()}
+    assert rows["bad.geojson"] is None and json.loads(rows["good.geojson"]) == tree(1)
+
+
 def test_links(spark, tmp_path):
     links = spark.createDataFrame(
         [("https://h.org/t/a_1.laz",), ("https://h.org/t/b.laz?x=1/2#f",), ("plain.laz",)], "file string"
