@@ -21,9 +21,11 @@ a null id is reported as null; empty tables give no rows.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ WINDOW = 5
 COVERAGE = 0.6
 LITERALS = 3  # words of a window that must not be placeholders
 BLOOM_WORDS = 1 << 16  # 64-bit words of the filter: half a megabyte, whatever the size of the benchmark
-MEMO = 400_000  # words a task remembers before it starts anew; no effect on results
+MEMO = 600_000  # words a worker remembers before it starts anew; no effect on results
+PART_CHARS = 1 << 20  # text that is worked on at a time
 
 # Written units of measure and of money, singular and plural.
 UNITS = frozenset(
@@ -57,83 +60,124 @@ _PLACEHOLDER = np.array([0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x6A09E667F3BCC
 def _canonical(raw: str) -> tuple[str, int, bool, bool]:
     """Lower-cased word, kind of placeholder (-1: none), capitalised, ends a sentence."""
     ends = raw[-1] in ".!?:" or raw[-2:] in (".”", '."', "?”", '?"')
-    word = _OUTER.sub("", raw)
+    word = raw if raw.isalpha() else raw[:-1] if raw[:-1].isalpha() and raw[-1] in ",.;:!?" else _OUTER.sub("", raw)
     low = word.lower()
-    if number := _NUMBER.fullmatch(word):
-        return low, MEASURE if number[1].strip("+-") or number[3].lower() in UNITS and number[3] else NUM, False, ends
     if low in UNITS:
         return low, UNIT, False, ends
-    capital = word[:1].isupper() and not word.isupper()
-    return low.strip("+-"), -1, capital or (word.isupper() and len(word) > 1), ends
+    if not word.isalpha() and (number := _NUMBER.fullmatch(word)):
+        return low, MEASURE if number[1].strip("+-") or number[3].lower() in UNITS and number[3] else NUM, False, ends
+    return low.strip("+-"), -1, len(word) > 1 and word[0].isupper(), ends
 
 
 class Words(dict):
-    """White-space separated word to its row in the arrays below."""
+    """White-space separated word to its row in arrays of code, kind, capital and end of sentence."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[tuple[int, int, bool, bool]] = []
-        self.arrays = None
+        self.fresh: list[tuple[int, int, bool, bool]] = []  # rows that are not in the arrays yet
+        self.used = 0
+        self.arrays = [np.zeros(1 << 12, kind) for kind in (np.uint64, np.int8, bool, bool)]
 
     def __missing__(self, raw: str) -> int:
-        import xxhash
-
         low, kind, capital, ends = _canonical(raw)
         code = int(_PLACEHOLDER[kind]) if kind >= 0 else xxhash.xxh64_intdigest(low, 1) if low else 0
-        self[raw] = at = len(self.rows)
-        self.rows.append((code, kind, capital, ends))
+        self[raw] = at = self.used + len(self.fresh)
+        self.fresh.append((code, kind, capital, ends))
         return at
 
-    def columns(self, at: np.ndarray):
-        if self.arrays is None or len(self.arrays[0]) < len(self.rows):
-            code, kind, capital, ends = zip(*self.rows, strict=True)
-            self.arrays = np.array(code, np.uint64), np.array(kind, np.int8), np.array(capital, bool), np.array(ends, bool)
+    def columns(self, at: np.ndarray) -> list[np.ndarray]:
+        if self.fresh:
+            end = self.used + len(self.fresh)
+            if end > len(self.arrays[0]):
+                self.arrays = [np.resize(a, 2 * end) for a in self.arrays]
+            for array, values in zip(self.arrays, zip(*self.fresh, strict=True), strict=True):
+                array[self.used : end] = np.array(values, dtype=array.dtype)
+            self.used, self.fresh = end, []
         return [a[at] for a in self.arrays]
 
 
-def windows(text: str, memo: Words, window: int):
-    """Canonical windows of a text.
+@lru_cache(maxsize=1)
+def _memo() -> Words:
+    """The words that this worker has seen."""
+    return Words()
+
+
+def _hashes(code: np.ndarray, size: int, named: bool) -> np.ndarray:
+    """Hash of every run of ``size`` codes."""
+    n = len(code) - size + 1
+    mixed = np.full(n, size * 2 + named, dtype=np.uint64)
+    for i in range(size):
+        mixed = (mixed ^ code[i : i + n]) * np.uint64(_ODD)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
 
-    Gives ``(raw, readings, end)``: the raw words left, per reading (plain, with
-    names) the hashes of its windows, their numbers of literal words and the
-    kinds of the words; one short window if the text has fewer words.
+
+def windows(texts: list[str], window: int, literals: int, accept):
+    """Canonical windows of texts for which ``accept(hashes)`` is true.
+
+    Rows ``(number of the text, named, hash, pos, size, words, slots)``; ``pos`` counts
+    the ``words`` canonical words of the text.  A text with fewer words than a
+    window is one window of its own.
     """
-    raw = text.split()
+    memo = _memo()
+    if len(memo) > MEMO:
+        memo.__init__()
+        memo.clear()
+    raw: list[str] = []
+    counts = []
+    for text in texts:
+        words = text.split()
+        raw += words
+        counts.append(len(words))
     if not raw:
-        return None
+        return []
     at = np.fromiter(map(memo.__getitem__, raw), dtype=np.int64, count=len(raw))
     code, kind, capital, ends = memo.columns(at)
-    name = capital & np.r_[False, ~ends[:-1]]
+    text_of = np.repeat(np.arange(len(texts)), counts)
+    same = np.r_[False, text_of[1:] == text_of[:-1]]
+    name = capital & same & ~np.r_[True, ends[:-1]]
     # a unit after a number is one slot with it; words of punctuation only are left out
-    joined = np.r_[False, (kind[:-1] == NUM) & (kind[1:] == UNIT)]
+    joined = same & np.r_[False, (kind[:-1] == NUM) & (kind[1:] == UNIT)]
     measure = np.r_[joined[1:], False]
     code, kind = np.where(measure, _PLACEHOLDER[MEASURE], code), np.where(measure, np.int8(MEASURE), kind)
     left = np.flatnonzero((code != 0) & ~joined)
-    if not len(left):
-        return None
-    code, kind, name = code[left], kind[left], name[left] & (kind[left] < 0)
-    size = min(window, len(left))
-    readings = []
-    for named in (False, True):
-        c, k = (np.where(name, _PLACEHOLDER[NAME], code), np.where(name, np.int8(NAME), kind)) if named else (code, kind)
-        n = len(c) - size + 1
-        mixed = np.full(n, size * 2 + named, dtype=np.uint64)
-        for i in range(size):
-            mixed = (mixed ^ c[i : i + n]) * np.uint64(_ODD)
-            mixed ^= mixed >> np.uint64(29)
-        literal = np.r_[0, np.cumsum(k < 0)]
-        readings.append((mixed, literal[size:] - literal[:-size], k))
-    return raw, left, readings, size
-
-
-def _slots(raw, left, kinds, start: int, size: int) -> list[str]:
-    """Values of the placeholders of a window, with kind and place."""
+    code, kind, text_of = code[left], kind[left], text_of[left]
+    name = name[left] & (kind < 0)
+    n_words = np.bincount(text_of, minlength=len(texts))
+    begin = np.r_[0, np.cumsum(n_words)]
     found = []
-    for i in range(start, start + size):
-        if kinds[i] >= 0:
-            j = int(left[i])
-            value = raw[j] if kinds[i] != MEASURE or j + 1 >= len(raw) or (i + 1 < len(left) and left[i + 1] == j + 1) else f"{raw[j]} {raw[j + 1]}"
-            found.append(f"{kinds[i]}:{_OUTER.sub('', value).lower()}")
+
+    def look(first: int, last: int, size: int) -> None:
+        """Windows of ``size`` words inside words ``first`` to ``last`` that lie in one text."""
+        own = text_of[first:last]
+        whole = own[: len(own) - size + 1] == own[size - 1 :]
+        for named in (False, True):
+            c, k = code[first:last], kind[first:last]
+            if named:
+                mask = name[first:last]
+                if not mask.any():
+                    break
+                c, k = np.where(mask, _PLACEHOLDER[NAME], c), np.where(mask, np.int8(NAME), k)
+            literal = np.r_[0, np.cumsum(k < 0)]
+            ok = whole & (literal[size:] - literal[:-size] >= min(literals, size))
+            if named:  # a window without names is the same in both readings
+                names = np.r_[0, np.cumsum(k == NAME)]
+                ok &= names[size:] > names[:-size]
+            hashes = _hashes(c, size, named)
+            for i in np.flatnonzero(ok & accept(hashes)):
+                text = int(own[i])
+                slots = []
+                for w in range(i, i + size):
+                    if k[w] >= 0:
+                        j = int(left[first + w])
+                        value = f"{raw[j]} {raw[j + 1]}" if k[w] == MEASURE and j + 1 < len(joined) and joined[j + 1] else raw[j]
+                        slots.append(f"{k[w]}:{_OUTER.sub('', value).lower()}")
+                found.append((text, named, int(hashes[i].view(np.int64)), first + int(i) - int(begin[text]), size, int(n_words[text]), slots))
+
+    if len(left) >= window:
+        look(0, len(left), window)
+    for text in np.flatnonzero((n_words > 0) & (n_words < window)):
+        look(int(begin[text]), int(begin[text + 1]), int(n_words[text]))
     return found
 
 
@@ -144,32 +188,23 @@ def _find(window: int, literals: int, bits):
     """Task function: rows (key, UTF-8 text) to the windows with enough literal words; with ``bits``, those the filter lets through."""
     schema = pa.schema([("key", pa.int64()), ("named", pa.bool_()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.string()))])
 
+    def accept(hashes: np.ndarray) -> np.ndarray:
+        return np.ones(len(hashes), dtype=bool) if bits is None else in_filter(hashes, bits.value)
+
     def run(batches):
-        table = None if bits is None else bits.value
-        memo = Words()
         for batch in batches:
-            rows = []
-            for key, data in zip(batch.column(0), batch.column(1), strict=True):
-                if len(memo.rows) > MEMO:
-                    memo = Words()
-                found = windows(data.as_py().decode(), memo, window)
-                if found is None:
+            part, keys, size = [], [], 0
+            ends = batch.num_rows - 1
+            for i, (key, data) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                part.append(data.as_py().decode())
+                keys.append(key.as_py())
+                size += len(part[-1])
+                if size < PART_CHARS and i < ends:
                     continue
-                raw, left, readings, size = found
-                for named, (hashes, n, kinds) in enumerate(readings):
-                    if named:
-                        # a window without names is the same in both readings
-                        has = np.r_[0, np.cumsum(kinds == NAME)]
-                        ok = (has[size:] - has[:-size]) > 0
-                    else:
-                        ok = np.ones(len(hashes), dtype=bool)
-                    ok &= n >= min(literals, size)
-                    if table is not None:
-                        ok &= in_filter(hashes, table)
-                    for i in np.flatnonzero(ok):
-                        rows.append((key.as_py(), bool(named), int(hashes[i].view(np.int64)), int(i), size, len(left), _slots(raw, left, kinds, i, size)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                if rows := windows(part, window, literals, accept):
+                    rows = [(keys[row[0]], *row[1:]) for row in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                part, keys, size = [], [], 0
 
     return run
 
