@@ -35,6 +35,7 @@ HASHES = 4
 SUMS = 2 * HASHES
 LOW = (1 << 32) - 1
 WORDS = 36
+GROUP = 6  # words that are filled together
 PER_WORD = 7  # lanes of a byte; the eighth stays free, so that no sum overflows
 LANES = PER_WORD * WORDS
 ALL = (1 << 8 * PER_WORD) - 1
@@ -73,13 +74,17 @@ def with_state_of(rows: DataFrame, parts_col: str, name: str) -> DataFrame:
         part = (lambda h: F.shiftrightunsigned(h, 32)) if high else (lambda h: h.bitwiseAND(F.lit(LOW)))
         return F.aggregate(column, F.lit(0).cast("long"), lambda total, h: (total + part(h)).bitwiseAND(F.lit(LOW)))
 
-    def word(i: Column) -> Column:
-        mine = F.filter(places, lambda at: F.shiftright(at, 56) == i)
-        return F.aggregate(mine, F.lit(0).cast("long"), _add_lanes)
+    def group(g: Column) -> Column:
+        """Six words from the places that belong to them, picked out once and held in an array of one."""
+        mine = F.array(F.filter(places, lambda at: F.shiftright(at, 59) == g))
+        return F.transform(mine, lambda few: F.transform(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda i: word(few, i)))[0]
+
+    def word(few: Column, i: Column) -> Column:
+        return F.aggregate(F.filter(few, lambda at: _word_of(at) == i), F.lit(0).cast("long"), _add_lanes)
 
     number = F.array(F.size(parts_col).cast("long"))
     sums = F.array(*[lane(column, high) for column in hashes for high in (False, True)])
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word)
+    lanes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WORDS // GROUP - 1)), group))
     return rows.withColumn(name, F.concat(number, sums, lanes)).drop(parts_col, places, *hashes)
 
 
@@ -87,11 +92,17 @@ _FACTORS = [1 << 8 * i for i in range(PER_WORD)]
 
 
 def _place(h: Column) -> Column:
-    """Word of a paragraph's lane above bit 56, below it the odd number at the lane's place."""
+    """Group of a paragraph's lane above bit 59 and its word in the group above bit 56; below, the odd number at the lane's place."""
     lane = F.pmod(h, F.lit(LANES))
     odd = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(255)).bitwiseOR(F.lit(1))
     factor = F.element_at(F.lit(_FACTORS).cast("array<bigint>"), (lane % PER_WORD).cast("int") + 1)
-    return F.shiftleft(F.floor(lane / PER_WORD), 56) + odd * factor
+    word = F.floor(lane / PER_WORD)
+    return F.shiftleft(F.floor(word / GROUP), 59) + F.shiftleft(word % GROUP, 56) + odd * factor
+
+
+def _word_of(place: Column) -> Column:
+    """Word of a place within its group."""
+    return F.shiftright(place, 56).bitwiseAND(F.lit(7))
 
 
 def _add_lanes(a: Column, b: Column) -> Column:
