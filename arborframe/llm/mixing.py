@@ -116,13 +116,14 @@ def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """``domain, language, source, tokens, budget`` of every leaf."""
     weights = dict(zip(LEVELS, (plan.domains, plan.languages, plan.sources), strict=True))
     tokens = leaves.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    total = tokens.agg(F.sum("tokens").alias("all_tokens"))
-    total = total.select(F.least(F.floor(F.col("all_tokens") * plan.budget_permille / 1000), F.col("all_tokens") * plan.max_epochs).cast("long").alias("given"), F.lit(1).alias("root"))
+    granted = F.least(F.floor(F.sum("tokens") * plan.budget_permille / 1000), F.sum("tokens") * plan.max_epochs).cast("long")
+    given = F.coalesce(tokens.agg(granted).scalar(), F.lit(0).cast("long"))
     supply = tokens.withColumn("supply", F.col("tokens") * plan.max_epochs).withColumn("root", F.lit(1))
-    above, parent = total, ["root"]
+    above, parent = None, ["root"]
     for level in LEVELS:
         key = [*parent, level]
-        nodes = supply.groupBy(*key).agg(F.sum("supply").alias("supply")).join(above, parent)
+        nodes = supply.groupBy(*key).agg(F.sum("supply").alias("supply"))
+        nodes = nodes.withColumn("given", given) if above is None else nodes.join(above, parent)
         filled = fill(nodes.withColumn("weight", _weight(level, weights[level])), parent, level)
         above, parent = filled.select(*key, F.col("budget").alias("given")), key
     return tokens.join(above.drop("root"), list(LEVELS)).withColumnRenamed("given", "budget")
