@@ -13,11 +13,13 @@ unseen events by their unigram probability, so that each history's
 probabilities add up to exactly 1: a history without loss counts one event more
 than it has, and one that has seen all events is scaled instead.
 
-Tables.  Bigram and word counts are Parquet tables dealt by bucket.  A task
-reads texts, packs the distinct bigrams and rare words of a few thousand documents with
-the places where they occur, and sends one block to each bucket; there the
-blocks meet the counts, each token is looked up (bigram, else backoff weight and
-unigram) and leaves as one sum per document.  Only tables bounded by the vocabulary size
+Tables.  Bigram counts and the counts of rare words are Parquet tables partitioned by
+bucket; a bigram's bucket depends on both words, so a frequent word is spread
+over all of them.  To count and to look up, a task packs the distinct bigrams of a
+few thousand documents and sends one compressed block to each bucket.  The task of
+a bucket reads its own partition of the table, looks each token up (bigram, else
+backoff weight and unigram) and gives one sum per document.  Buckets grow in
+number with the corpus, not in size.  Only tables bounded by the vocabulary size
 are collected and broadcast: the frequent words and one row per history.
 
 Defined results: a null or blank text is its end alone; equal rows have equal
@@ -33,13 +35,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
-from .common import in_fold, ship, utf8
+from ..session import saved, scratch_path
+from .common import in_fold, open_store, ship, utf8
 
 VOCABULARY = 1 << 18
 DISCOUNTED = 5
@@ -62,6 +66,9 @@ class Model:
     discount: np.ndarray = field(default=None, repr=False)  # by count, up to DISCOUNTED
     denominator: np.ndarray = field(default=None, repr=False)  # log10, by history
     alpha: np.ndarray = field(default=None, repr=False)  # log10, by history
+    buckets: int = 1
+    bigram_table: str = ""
+    word_table: str = ""
 
     @property
     def rare_tokens(self) -> int:
@@ -116,8 +123,8 @@ def _numbers(model: Model) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(model.words, FIRST)}
 
 
-def bigram_counts(texts: DataFrame, shared) -> DataFrame:
-    """``key, n``: history id above bit ``SHIFT``, event id below."""
+def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
+    """``bucket, key, n``: the key has the history's id above bit ``SHIFT`` and the event's below."""
 
     def count(batches):
         number = _numbers(shared.value)
@@ -126,7 +133,12 @@ def bigram_counts(texts: DataFrame, shared) -> DataFrame:
             ids = np.concatenate(parts)
             keys = (ids[:-1] << SHIFT) | ids[1:]
             keys, n = np.unique(keys[(ids[:-1] != RARE) & (ids[1:] != BEGIN)], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+            part = bucket_of(keys, BIGRAM, buckets)
+            order = np.argsort(part, kind="stable")
+            keys, n, part = keys[order], n[order], part[order]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            blocks = [_pack(keys[i:j], np.zeros(j - i), n[i:j]) for i, j in zip(starts, [*starts[1:], len(part)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
         parts, size = [], 0
         for batch in batches:
@@ -140,7 +152,23 @@ def bigram_counts(texts: DataFrame, shared) -> DataFrame:
         if parts:
             yield rows(parts)
 
-    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def merge(blocks: pa.Table) -> pa.Table:
+        unpacked = [_unpack(block.as_py()) for block in blocks.column("block")]
+        keys = np.concatenate([u[0] for u in unpacked])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], np.concatenate([u[3] for u in unpacked]).astype(np.int64)[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        bucket = np.full(len(first), blocks.column("bucket")[0].as_py(), dtype=np.int32)
+        return pa.table({"bucket": bucket, "key": keys[first], "n": np.add.reduceat(n, first)})
+
+    return texts.mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(merge, "bucket int, key long, n long")
+
+
+def _table(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Rows with a ``bucket`` as a table partitioned by it, one file each, and its place."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.partitionBy("bucket").parquet(path)
+    return rows.sparkSession.read.schema("key long, n long, bucket int").parquet(path), path
 
 
 def discounts(of_counts: dict[int, int], k: int = DISCOUNTED) -> np.ndarray:
@@ -186,17 +214,24 @@ def backoff(n: float, kept: float, seen: float, events: float, all_events: int)
     return denominator, (1 - kept / denominator) / (1 - seen)
 
 
-def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int = VOCABULARY) -> tuple[Model, DataFrame, DataFrame]:
-    """The model and its tables: all words with counts, all bigrams with counts."""
-    ship(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
+def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int = VOCABULARY) -> Model:
+    """The model; its tables are in the shared folder."""
+    spark = docs.sparkSession
+    ship(spark)
+    context = spark.sparkContext
     texts = docs.select(utf8(text_col).alias("data"))
     words = saved(word_counts(texts), "katz-words")
     n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     top = words.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(vocabulary_size).collect()
     model = Model([bytes(r["word"]) for r in top], np.array([ends, 0, 0, *(r["n"] for r in top)], dtype=np.int64), n, v)
-    shared = context.broadcast(model)
-    bigrams = saved(bigram_counts(texts, shared), "katz-bigrams")
+    model.buckets = max(1, -(-n // BUCKET_TOKENS))
+    bigrams, model.bigram_table = _table(bigram_counts(texts, context.broadcast(model), model.buckets), "katz-bigrams")
+    rare = words.where("word IS NOT NULL")
+    if top:  # the frequent words are known everywhere
+        least, last = top[-1]["n"], bytes(top[-1]["word"])
+        rare = rare.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(last))))
+    hashed = rare.select(F.xxhash64("word").alias("key"), "n").withColumn("bucket", F.pmod("key", F.lit(model.buckets)).cast("int"))
+    _, model.word_table = _table(hashed.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-rare-words")
     of_counts = {r["n"]: r["bigrams"] for r in bigrams.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("bigrams")).collect()}
     model.discount = discounts(of_counts)
     events = len(model.counts) - 1  # all but the beginning
@@ -206,7 +241,7 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int = VOCABULA
         denominator[row["history"]], alpha[row["history"]] = backoff(row["n"], row["kept"], row["seen"], row["events"], events)
     with np.errstate(divide="ignore"):
         model.denominator, model.alpha = np.log10(denominator), np.log10(alpha)
-    return model, words, bigrams
+    return model
 
 
 # ---------------------------------------------------------------- blocks
@@ -272,7 +307,7 @@ def _blocks(shared, buckets: int):
             fixed = add(history == RARE, p[what])
             rare = add(what == RARE, np.ones(len(what))).astype(np.int64)
             known = add(model.counts[what] > 0, np.ones(len(what))).astype(np.int64)
-            yield batch_of(DOCUMENT, {"slot": slots, "doc_id": [h[0] for h in held], "held_out": [h[1] for h in held], "n_tokens": lengths, "n_known": known, "n_rare": rare, "base": base, "fixed": fixed})
+            yield batch_of(DOCUMENT, {"bucket": np.full(len(held), chunk % buckets), "slot": slots, "doc_id": [h[0] for h in held], "held_out": [h[1] for h in held], "n_tokens": lengths, "n_known": known, "n_rare": rare, "base": base, "fixed": fixed})
             pairs = history != RARE
             words = np.concatenate([h[3] for h in held])
             for kind, keys, at in ((BIGRAM, (history[pairs] << SHIFT) | what[pairs], where[pairs]), (WORD, words, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))):
@@ -303,76 +338,82 @@ def _blocks(shared, buckets: int):
     return run
 
 
+_SUMS = "slot long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, fixed double, rare_sum double, pair_sum double"
+
+
+def _counts(path: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts of one partition of a table."""
+    store, root = open_store(path)
+    folder = f"{root}/bucket={bucket}"
+    if store.get_file_info(folder).type == fs.FileType.NotFound:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table = pq.read_table(folder, columns=["key", "n"], filesystem=store, partitioning=None)
+    keys, n = (table.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], n[order]
+
+
 def _look_up(shared):
-    """Task function: the blocks of a bucket and its counts to sums per document."""
-    schema = pa.schema([("slot", pa.int64()), ("n_known", pa.int64()), ("rare_sum", pa.float64()), ("pair_sum", pa.float64())])
+    """Task function: the rows of a kind and bucket to sums per document."""
+    schema = pa.schema([(f.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.split()[1]]) for f in _SUMS.split(", ")])
 
-    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+    def rows_of(size: int, **columns) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def run(rows: pa.Table) -> pa.Table:
         model = shared.value
+        kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+        if kind == DOCUMENT:
+            names = ("slot", "doc_id", "held_out", "n_tokens", "n_known", "n_rare", "base", "fixed")
+            return rows_of(rows.num_rows, **{c: rows.column(c).combine_chunks() for c in names})
         with np.errstate(divide="ignore"):
             p = np.log10(model.unigram())
-        keys, n = (counts.column(c).to_numpy() for c in ("key", "n"))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
+        keys, n = _counts(model.word_table if kind == WORD else model.bigram_table, bucket)
         out = []
-        for kind, chunk, block in zip(*(blocks.column(c) for c in ("kind", "chunk", "block")), strict=True):
+        for chunk, block in zip(rows.column("chunk"), rows.column("block"), strict=True):
             asked, runs, docs, times = _unpack(block.as_py())
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                 found = np.where(keys[at] == asked, n[at], 0)
             else:
                 found = np.zeros(len(asked), dtype=np.int64)
-            if kind.as_py() == WORD:
-                value, known = np.log10(found + 1.0), (found > 0).astype(float)
+            if kind == WORD:
+                value = np.log10(found + 1.0)
             else:
                 history, event = asked >> SHIFT, asked & ((1 << SHIFT) - 1)
                 with np.errstate(divide="ignore"):
                     seen = np.log10(discounted(found, model.discount)) - model.denominator[history]
-                value, known = np.where(found > 0, seen, model.alpha[history] + p[event]), np.zeros(len(asked))
-            size = int(docs.max()) + 1
-            total = np.bincount(docs, weights=np.repeat(value, runs) * times, minlength=size)
-            n_known = np.bincount(docs, weights=np.repeat(known, runs) * times, minlength=size)
-            has = np.flatnonzero(np.bincount(docs, minlength=size))
-            zero = np.zeros(len(has))
-            sums = (total[has], zero) if kind.as_py() == WORD else (zero, total[has])
-            out.append(pa.Table.from_arrays([pa.array(has + (chunk.as_py() << 20)), pa.array(n_known[has].astype(np.int64)), *map(pa.array, sums)], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+                value = np.where(found > 0, seen, model.alpha[history] + p[event])
+            total = np.bincount(docs, weights=np.repeat(value, runs) * times)
+            has = np.flatnonzero(np.bincount(docs))
+            slots = has + (chunk.as_py() << 20)
+            if kind == WORD:
+                known = np.bincount(docs, weights=np.repeat((found > 0).astype(float), runs) * times)
+                out.append(rows_of(len(has), slot=slots, n_known=known[has].astype(np.int64), rare_sum=total[has]))
+            else:
+                out.append(rows_of(len(has), slot=slots, pair_sum=total[has]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def score(docs: DataFrame, fitted: tuple[Model, DataFrame, DataFrame], held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    spark = docs.sparkSession
-    model, words, bigrams = fitted
-    shared = spark.sparkContext.broadcast(model)
-    buckets = max(1, -(-model.n // BUCKET_TOKENS))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), utf8(text_col).alias("data"))
-    blocks = saved(rows.mapInArrow(_blocks(shared, buckets), _BLOCKS), "katz-blocks")
-    pair = (F.shiftright("key", SHIFT) * 31 + F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1))) % buckets
-    asked = bigrams.select(F.lit(BIGRAM).alias("kind"), pair.cast("int").alias("bucket"), "key", "n")
-    rare = words.where("word IS NOT NULL")
-    if model.words:  # the frequent words are known everywhere
-        least, last = int(model.counts[-1]), model.words[-1]
-        rare = rare.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(last))))
-    hashed = rare.select(F.xxhash64("word").alias("key"), "n").groupBy("key").agg(F.max("n").alias("n"))
-    counts = asked.unionByName(hashed.select(F.lit(WORD).alias("kind"), F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "n"))
-    left = blocks.where(F.col("kind") != DOCUMENT).select("kind", "bucket", "chunk", "block")
-    looked = left.groupBy("kind", "bucket").cogroup(counts.groupBy("kind", "bucket")).applyInArrow(_look_up(shared), "slot long, n_known long, rare_sum double, pair_sum double")
-    sums = looked.groupBy("slot").agg(F.sum("n_known").alias("rare_known"), F.sum("rare_sum").alias("rare_sum"), F.sum("pair_sum").alias("pair_sum"))
-    sums = sums.withColumnRenamed("slot", "__slot")
-    each = blocks.where(F.col("kind") == DOCUMENT).select("slot", "doc_id", "held_out", "n_tokens", "n_known", "n_rare", "base", "fixed")
-    joined = each.join(sums, each["slot"] == sums["__slot"], "left")
-    part = lambda c: F.coalesce(c, F.lit(0.0))
+    blocks = rows.mapInArrow(_blocks(shared, model.buckets), _BLOCKS)
+    parts = blocks.groupBy("kind", "bucket").applyInArrow(_look_up(shared), _SUMS)
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_known", "n_rare", "base", "fixed", "rare_sum", "pair_sum")]
+    each = parts.groupBy("slot").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *totals)
     in_class = float(np.log10(model.rare_tokens + model.rare_types + 1.0))
-    return joined.select(
+    return each.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + part("rare_sum") - F.col("n_rare") * float(np.log10(model.total))).alias("base_score"),
-        (F.col("fixed") + part("pair_sum") + part("rare_sum") - F.col("n_rare") * in_class).alias("score"),
+        (F.col("base") + F.col("rare_sum") - F.col("n_rare") * float(np.log10(model.total))).alias("base_score"),
+        (F.col("fixed") + F.col("pair_sum") + F.col("rare_sum") - F.col("n_rare") * in_class).alias("score"),
     )
 
 

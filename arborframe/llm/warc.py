@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved, scratch_path
-from .common import ship, utf8
+from .common import open_store, ship, utf8
 
 MIN_REVISIT_BYTES = 1000
 CHUNK_BYTES = 1 << 20
@@ -48,15 +48,6 @@ CHUNKS = (
 SEGMENTS = "path string, start long, length long, records long"
 
 
-def open_store(uri: str):
-    """File system and path of a shared folder, for tasks."""
-    from pyarrow import fs
-
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 def record_table(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """``id, uri, payload, digest, refers_to`` (null for responses).
 
