@@ -93,9 +93,46 @@ class ElementScope:
             return self._has(path) & self._value(path).isNull()
         return self._unanswered(path)
 
+    def lacks(self, path: str) -> Column:
+        return F.lit(False)  # an element is no array: ``has`` says it all
+
+    def size(self, path: str, n: int) -> Column:
+        return self._unanswered(path)
+
     def element(self, path: str, build: Callable) -> Column:
         return self._unanswered(path)
 
+    def itself(self) -> ValueScope:
+        self._unanswered("")
+        return ValueScope(None)
+
+
+class ValueScope:
+    """A bare array member, addressed by the empty path; ``None`` for a member that is an object."""
+
+    def __init__(self, value: Column | None):
+        self._value = value
+
+    def any(self, path: str, kind: str, test: Callable[[Column], Column]) -> Column:
+        return F.lit(False) if self._value is None else test(model.typed(self._value, kind))
+
+    def has(self, path: str) -> Column:
+        return F.lit(True)
+
+    def is_null(self, path: str) -> Column:
+        return F.lit(False) if self._value is None else F.is_variant_null(self._value)
+
+    def lacks(self, path: str) -> Column:
+        return F.lit(False)
+
+    def size(self, path: str, n: int) -> Column:
+        return F.lit(False) if self._value is None else F.size(model.as_array(self._value)) == n
+
+    def element(self, path: str, build: Callable) -> Column:
+        if self._value is None:
+            return F.lit(False)
+        return F.exists(model.as_array(self._value), lambda v: build(VariantScope(v)))
+
 
 class VariantScope:
     """Any path of a VARIANT value, with array fan-out at every step."""
@@ -129,6 +166,25 @@ class VariantScope:
     def is_null(self, path: str) -> Column:
         return F.exists(self.leaves(path), lambda v: F.is_variant_null(v))
 
+    def lacks(self, path: str) -> Column:
+        """Some array element on the way is an object without the next key."""
+        found, missing = F.array(self._root), []
+        for name in path.split("."):
+            none = F.array().cast("array<variant>")
+            members = F.flatten(F.transform(found, lambda v: F.coalesce(model.as_array(v), none)))
+            if not name.isdigit():
+                missing.append(
+                    F.exists(members, lambda v: F.schema_of_variant(v).startswith("OBJECT") & model.child(v, name).isNull())
+                )
+            found = self._step(found, name)
+        return _any(missing)
+
+    def size(self, path: str, n: int) -> Column:
+        return F.exists(self._values(path), lambda v: F.size(model.as_array(v)) == n)
+
+    def itself(self) -> ValueScope:
+        return ValueScope(self._root)
+
     def element(self, path: str, build: Callable) -> Column:
         none = F.array().cast("array<variant>")
         members = F.flatten(F.transform(self._values(path), lambda v: F.coalesce(model.as_array(v), none)))
@@ -171,6 +227,17 @@ class DocumentScope:
     def is_null(self, path: str) -> Column:
         return F.col(path).isNull() if path in model.METADATA else self._variant.is_null(path)
 
+    def lacks(self, path: str) -> Column:
+        if path in model.METADATA:
+            return F.lit(False)
+        member = self._member(path)
+        if member and "." not in member[1]:
+            return F.exists(F.col(f"{member[0]}._keys"), lambda keys: ~F.array_contains(keys, member[1]))
+        return self._variant.lacks(path)
+
+    def size(self, path: str, n: int) -> Column:
+        return self._variant.size(path, n)
+
     def element(self, path: str, build: Callable) -> Column:
         if path not in model.ARRAYS:
             return self._variant.element(path, build)
@@ -246,6 +313,15 @@ class RelationalScope:
         table, name, fields = self._member(path)
         return self._flag(table, self._element(fields).is_null(name)) if name in fields else F.lit(False)
 
+    def lacks(self, path: str) -> Column:
+        if path in self._docs.scalars:
+            return F.lit(False)
+        table, name, fields = self._member(path)
+        return self._flag(table, _negate(fields[name].has())) if name in fields else F.lit(False)
+
+    def size(self, path: str, n: int) -> Column:
+        raise ValueError(f"$size on {path} needs columnar documents")
+
     def element(self, path: str, build: Callable) -> Column:
         if path not in self._docs.arrays:
             raise ValueError(f"no such array in these tables: {path}")
@@ -284,8 +360,8 @@ def _field(path: str, spec: Any, scope) -> Column:
 
 
 def _equals(path: str, value: Any, scope) -> Column:
-    if value is None:  # matches a null value and a missing key alike
-        return _negate(scope.has(path)) | F.coalesce(scope.is_null(path), F.lit(False))
+    if value is None:  # matches a null value and a missing key alike, in any element
+        return _negate(scope.has(path)) | _any([F.coalesce(c, F.lit(False)) for c in (scope.is_null(path), scope.lacks(path))])
     return scope.any(path, kind_of(value), lambda c: c == F.lit(value))
 
 
@@ -330,7 +406,18 @@ def _operator(path: str, name: str, value: Any, spec: Mapping[str, Any], scope)
     if name == "$not":
         return _negate(_field(path, value, scope))
     if name == "$elemMatch":
+        if isinstance(value, Mapping) and value and all(key.startswith("$") and key not in _LOGICAL for key in value):
+            return scope.element(path, lambda inner: _field("", value, inner.itself()))
         return scope.element(path, lambda inner: compile_filter(value, inner))
+    if name == "$all":
+        if not isinstance(value, (list, tuple)):
+            raise ValueError(f"$all on {path} needs a list")
+        return _all([_equals(path, member, scope) for member in value]) if value else F.lit(False)
+    if name == "$size":
+        return scope.size(path, int(value))
+    if name == "$mod":
+        divisor, rest = value
+        return scope.any(path, NUMBER, lambda c: F.try_mod(c.cast("bigint"), F.lit(int(divisor))) == int(rest))
     if name == "$geoWithin":
         return geo.within_polygon(value["$geometry"], *scope.point())
     if name == "$nearSphere":

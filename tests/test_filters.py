@@ -62,6 +62,34 @@ def test_null_missing_and_other_types(collection):
     assert found(docs, {M: {"$elemMatch": {"height_m": None}}}) == [0, 1]
 
 
+def test_null_in_some_element(collection):
+    docs = collection(
+        tree(0, measurements=[{"height_m": 3}, {}], extra=[{"a": 1}, {"b": 2}]),
+        tree(1, measurements=[{"height_m": 3}], extra=[{"a": 1}, 5]),
+        tree(2, measurements=[{"height_m": 3}, {"height_m": None}], extra=[{"a": None}]),
+    )
+    path = f"{M}.height_m"
+    assert found(docs, {path: None}) == [0, 2]
+    assert found(docs, {path: {"$ne": None}}) == [1]
+    assert found(docs, {path: {"$in": [None]}}) == [0, 2]
+    assert found(docs, {"properties.extra.a": None}) == [0, 2]
+
+
+def test_operators_on_bare_members(collection):
+    docs = collection(tree(0, tags=[1, 7, "x"]), tree(1, tags=[3, 9]), tree(2, tags=[]), tree(3, lon=50.0))
+    tags = "properties.tags"
+    assert found(docs, {tags: {"$elemMatch": {"$gt": 3, "$lt": 8}}}) == [0]
+    assert found(docs, {tags: {"$gt": 3, "$lt": 8}}) == [0, 1]
+    assert found(docs, {"geometry.coordinates": {"$elemMatch": {"$gt": 49.5}}}) == [3]
+    assert found(docs, {M: {"$elemMatch": {"$gt": 0}}}) == []
+    assert found(docs, {tags: {"$all": [1, "x"]}}) == [0]
+    assert found(docs, {tags: {"$all": []}}) == []
+    assert found(docs, {tags: {"$size": 2}}) == [1]
+    assert found(docs, {tags: {"$size": 0}}) == [2]
+    assert found(docs, {D: {"$size": 1}}) == [0, 1, 2, 3]
+    assert found(docs, {tags: {"$mod": [3, 0]}}) == [1]
+
+
 def test_paths_outside_the_typed_columns(collection):
     docs = collection(
         tree(0, extra={"owner": {"name": "A"}, "tags": ["x", "y"]}, measurements=[{"position_xyz": [1, 2, 3]}]),
