@@ -249,11 +249,16 @@ def variant_elements(docs: DataFrame, path: str, *keep: str | Column) -> DataFra
 # ---------------------------------------------------------------- relational documents
 @dataclass(frozen=True)
 class ElementField:
-    """Typed column of an element table; ``present`` says whether the key exists."""
+    """Typed column of an element table; ``present`` says whether the key exists.
+
+    ``moment`` is the DATE or TIMESTAMP column behind a ``Y-M-D`` text, if there is
+    one: date ranges compare it as it is stored, so that they reach the scan.
+    """
 
     kind: str
     value: Column
     present: Column | None = None
+    moment: Column | None = None
 
     def has(self) -> Column:
         return self.value.isNotNull() if self.present is None else self.present

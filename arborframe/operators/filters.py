@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
 from ..model import TEXT
-from .match import where, where_scope
+from .match import compile_filter, where, where_scope
 
 SPECIES = "properties.species"
 
@@ -38,25 +38,47 @@ def _iso_midnight(day: str) -> str:
         raise ValueError("Date format is required as string 'YYYY-MM-DD'") from err
 
 
+def _midnight(day: datetime.date) -> Column:
+    """A text literal: it takes the type of the column it is compared with, so that no column is cast."""
+    return F.lit(f"{day.isoformat()} 00:00:00")
+
+
+def _next(day: datetime.date) -> datetime.date:
+    return day + datetime.timedelta(days=1)
+
+
 def by_date(docs, key: str, start: str, end: str | None = None) -> DataFrame:
     """Some value at ``key`` is >= start and some value is <= end, compared as text.
 
     The bounds are midnight timestamps, so a date-only value equal to ``start``
-    is left out and one equal to ``end`` is kept.
+    is left out and one equal to ``end`` is kept.  Stored dates are compared as
+    such, from the day after ``start`` to the end of ``end``.
     """
+    first = _iso_midnight(start)
     last = datetime.datetime.now().isoformat() if end is None else _iso_midnight(end)
-    return where(docs, {key: {"$gte": _iso_midnight(start), "$lte": last}})
+
+    def build(scope) -> Column:
+        stored = scope.moment(key) if hasattr(scope, "moment") else None
+        if stored is None:
+            return compile_filter({key: {"$gte": first, "$lte": last}}, scope)
+        low, high = (datetime.date.fromisoformat(bound[:10]) for bound in (first, last))
+        return stored(lambda at: at >= _midnight(_next(low))) & stored(lambda at: at < _midnight(_next(high)))
+
+    return where_scope(docs, build)
 
 
 def by_date_same_element(docs, key: str, start: str, end: str | None = None) -> DataFrame:
     """One value at ``key`` is a day of the closed interval [start, end]."""
-    first = F.lit(_iso_midnight(start)[:10]).cast("date")
-    last = F.current_date() if end is None else F.lit(_iso_midnight(end)[:10]).cast("date")
+    low = datetime.date.fromisoformat(_iso_midnight(start)[:10])
+    high = datetime.date.today() if end is None else datetime.date.fromisoformat(_iso_midnight(end)[:10])
 
-    def inside(value: Column) -> Column:
-        return scalars.lenient_date(value).between(first, last)
+    def build(scope) -> Column:
+        stored = scope.moment(key) if hasattr(scope, "moment") else None
+        if stored is not None:
+            return stored(lambda at: (at >= _midnight(low)) & (at < _midnight(_next(high))))
+        return scope.any(key, TEXT, lambda text: scalars.lenient_date(text).between(F.lit(low), F.lit(high)))
 
-    return where_scope(docs, lambda scope: scope.any(key, TEXT, inside))
+    return where_scope(docs, build)
 
 
 # ---------------------------------------------------------------- places

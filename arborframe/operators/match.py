@@ -301,6 +301,14 @@ class RelationalScope:
             return F.lit(False)
         return self._flag(table, test(fields[name].value))
 
+    def moment(self, path: str) -> Callable[[Callable[[Column], Column]], Column] | None:
+        """For a path with a stored date: a function that turns a test of it into an any-element condition."""
+        if path in self._docs.scalars:
+            return None
+        table, name, fields = self._member(path)
+        stored = fields[name].moment if name in fields else None
+        return None if stored is None else lambda test: self._flag(table, test(stored))
+
     def has(self, path: str) -> Column:
         if path in self._docs.scalars:
             return F.col(self._docs.scalars[path][1]).isNotNull()

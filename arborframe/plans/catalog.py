@@ -210,7 +210,7 @@ def _(spark, sf):
 # Ring corners lie between the tree positions: a tree exactly on an edge has no defined side.
 PLOT = [(10.05, 40.05), (20.55, 40.05), (20.55, 60.05), (10.05, 60.05), (10.05, 40.05)]
 HOLE = [(13.05, 45.05), (17.05, 45.05), (17.05, 50.05), (13.05, 50.05), (13.05, 45.05)]
-HUGE = [(-100.05, 60.05), (-100.05, 0.05), (-100.05, -60.05), (100.05, -60.05), (100.05, 60.05), (-100.05, 60.05)]
+HUGE = [(-115.15, 48.35), (-112.25, -3.45), (-115.15, -52.35), (92.45, -51.05), (92.45, 50.55), (-115.15, 48.35)]
 
 
 @query("within_polygon", sql.polygon(f"{sql.winding(PLOT)} > 1"))

@@ -62,7 +62,7 @@ def relational(spark: SparkSession, sf_dir: str) -> RelationalDocs:
         "canopy_condition": ElementField(TEXT, F.col("l_linestatus")),
         "quality": ElementField(NUMBER, F.col("l_linenumber")),
         "point_count": ElementField(NUMBER, F.col("l_quantity").cast("bigint")),
-        "date": ElementField(TEXT, day),
+        "date": ElementField(TEXT, day, moment=F.col("l_shipdate")),
         "file": ElementField(TEXT, link),
     }
     tall = F.col("l_discount") >= 0.02
@@ -70,7 +70,7 @@ def relational(spark: SparkSession, sf_dir: str) -> RelationalDocs:
     later = F.col("l_linenumber") != 1
     measurements = {
         "source": ElementField(TEXT, F.col("l_returnflag")),
-        "date": ElementField(TEXT, day),
+        "date": ElementField(TEXT, day, moment=F.col("l_shipdate")),
         "canopy_condition": ElementField(TEXT, F.when(later, F.col("l_linestatus")), later),
         "DBH_cm": ElementField(NUMBER, F.when(in_a, F.col("l_quantity")), in_a),
         "height_m": ElementField(NUMBER, F.when(tall, F.col("l_extendedprice")), F.lit(True)),

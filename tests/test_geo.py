@@ -4,13 +4,14 @@ import json
 import math
 
 import pytest
-from conftest import ids, tree
+from conftest import SF_DIR, ids, tree
 from pyspark.sql import functions as F
 
 from arborframe.functions import geo
 from arborframe.operators import filters, joins, match, stats
+from arborframe.plans.views import relational
 
-HUGE = [[-100, 60], [-100, 0], [-100, -60], [100, -60], [100, 60], [-100, 60]]
+HUGE = [[-115, 48], [-112, -3], [-115, -52], [92, -51], [92, 50], [-115, 48]]
 
 
 def polygon(*rings, strict=False):
@@ -124,6 +125,22 @@ def test_filters_read_only_the_leaves_they_name(spark, collection, tmp_path):
     assert "Exchange" not in plan
 
 
+def test_date_ranges_reach_the_scan(spark):
+    docs = relational(spark, SF_DIR)
+    for by in (filters.by_date, filters.by_date_same_element):
+        plan = by(docs, "properties.data.date", "1998-01-01", "1998-06-30")._jdf.queryExecution().executedPlan().toString()
+        pushed = [line for line in plan.split("\n") if "PushedFilters" in line and "l_shipdate" in line]
+        assert pushed and "1998-0" in pushed[0].split("PushedFilters")[1]
+
+
+def test_spatial_joins_do_not_broadcast(spark, collection):
+    docs = collection(*[tree(i, lon=8.7, lat=49.0) for i in range(50)])
+    searches = spark.createDataFrame([(1, 8.7, 49.0, 900.0), (2, 20.0, 89.9999, 150.0)], "search_id int, lon double, lat double, radius_m double")
+    found = joins.spatial_join(docs, searches, 1000.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.groupBy("search_id").count().collect() == [(1, 50)]
+
+
 def test_spatial_join_equals_pairwise_distances(spark, collection):
     spots = [(8.70, 49.00), (8.71, 49.01), (179.99, 10.0), (-179.99, 10.0), (0.0, 89.99), (120.0, 89.98), (-60.0, -30.0)]
     docs = collection(*[tree(i, lon=lon, lat=lat) for i, (lon, lat) in enumerate(spots * 3)])
