@@ -222,13 +222,13 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int = VOCABULA
     texts = docs.select(utf8(text_col).alias("data"))
     words = saved(word_counts(texts), "katz-words")
     n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
-    top = words.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(vocabulary_size).collect()
-    model = Model([bytes(r["word"]) for r in top], np.array([ends, 0, 0, *(r["n"] for r in top)], dtype=np.int64), n, v)
+    top = words.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(vocabulary_size).toArrow()
+    model = Model(top.column("word").to_pylist(), np.r_[ends, 0, 0, top.column("n").to_numpy()].astype(np.int64), n, v)
     model.buckets = max(1, -(-n // BUCKET_TOKENS))
     bigrams, model.bigram_table = _table(bigram_counts(texts, context.broadcast(model), model.buckets), "katz-bigrams")
     rare = words.where("word IS NOT NULL")
-    if top:  # the frequent words are known everywhere
-        least, last = top[-1]["n"], bytes(top[-1]["word"])
+    if model.words:  # the frequent words are known everywhere
+        least, last = int(model.counts[-1]), model.words[-1]
         rare = rare.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(last))))
     hashed = rare.select(F.xxhash64("word").alias("key"), "n").withColumn("bucket", F.pmod("key", F.lit(model.buckets)).cast("int"))
     _, model.word_table = _table(hashed.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-rare-words")
@@ -237,8 +237,9 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int = VOCABULA
     events = len(model.counts) - 1  # all but the beginning
     size = len(model.counts)
     denominator, alpha = np.ones(size), np.ones(size)
-    for row in history_sums(bigrams, context.broadcast(model)).collect():
-        denominator[row["history"]], alpha[row["history"]] = backoff(row["n"], row["kept"], row["seen"], row["events"], events)
+    sums = history_sums(bigrams, context.broadcast(model)).toArrow()
+    for history, *row in zip(*(sums.column(c).to_pylist() for c in ("history", "n", "kept", "seen", "events")), strict=True):
+        denominator[history], alpha[history] = backoff(*row, events)
     with np.errstate(divide="ignore"):
         model.denominator, model.alpha = np.log10(denominator), np.log10(alpha)
     return model
