@@ -17,8 +17,10 @@ table gives no rows; other columns are not stored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,38 +34,46 @@ from ..session import scratch_path
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
-CACHE_WORDS = 300_000  # entries of a worker's word cache before it starts anew; no effect on results
+CACHE_WORDS = 1_000_000  # entries of a worker's word cache before it starts anew; no effect on results
 
 # Characters for which a blank before a non-blank always starts a new piece, and
 # a blank between two white spaces that does not.
-_BLANK_RUN = re.compile(r"\s (?:\s|\Z)|[\x1c-\x1f]")
+_BLANK_RUN = re.compile(r"\s (?:\s|\Z)")
+_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")  # found quickly; only then is the rest looked at
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to one side only
 
 
 class WordIds(dict):
-    """Token ids of a word with the blank before it, found once per worker."""
+    """Packed token ids of a word, found once per worker; ``before`` stands in front of each word."""
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer, before: str) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.before = tokenizer, before
 
     def learn(self, words: set[str]) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, dtype=np.uint16 if max(found.ids, default=0) < 65536 else np.int32)
+        new = list(words.difference(self))
+        found = self.tokenizer.encode_batch_fast([self.before + word for word in new], add_special_tokens=False)
+        for word, encoding in zip(new, found, strict=True):
+            self[word] = array("i", encoding.ids).tobytes()
 
 
 @lru_cache(maxsize=2)
 def _load(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, added, WordIds(tokenizer)
+    return tokenizer, added, WordIds(tokenizer, ""), WordIds(tokenizer, " ")
+
+
+def _is_whole(text: str, added: list[str]) -> bool:
+    """Whether a text must be encoded as a whole."""
+    if _BEFORE_SPACE.search(text) and _BLANK_RUN.search(text):
+        return True
+    return any(token in text for token in added) or _SEPARATORS.search(text) is not None
 
 
 def encode_texts(path: str, texts: list[str], end_id: int | None) -> list[np.ndarray]:
@@ -74,23 +84,22 @@ def encode_texts(path: str, texts: list[str], end_id: int | None) -> list[np.nda
     each word only once.  Texts with such blanks or with added tokens go to the
     tokenizer as they are.
     """
-    tokenizer, added, known = _load(path)
-    end = [] if end_id is None else [end_id]
-    parts: list[list[str] | None] = []
-    for text in texts:
-        if _BLANK_RUN.search(text) or any(token in text for token in added):
-            parts.append(None)
-            continue
-        first, *rest = text.split(" ")
-        parts.append([first] + [" " + word for word in rest])
-    known.learn({word for words in parts if words for word in words})
+    tokenizer, added, first, later = _load(path)
+    end = b"" if end_id is None else array("i", [end_id]).tobytes()
+    parts = [None if _is_whole(text, added) else text.split(" ") for text in texts]
+    first.learn({words[0] for words in parts if words})
+    words_seen: set[str] = set()
+    for words in parts:
+        if words:
+            words_seen.update(words)
+    later.learn(words_seen)
     found = []
     for text, words in zip(texts, parts, strict=True):
         if words is None:
-            ids = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)]
+            packed = array("i", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         else:
-            ids = [known[word] for word in words]
-        found.append(np.concatenate([*ids, np.array(end, dtype=np.int32)]).astype(np.int32))
+            packed = first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
+        found.append(np.frombuffer(packed + end, dtype=np.int32))
     return found
 
 
