@@ -36,7 +36,7 @@ WINDOW = 5
 COVERAGE = 0.6
 LITERALS = 3  # words of a window that must not be placeholders
 BLOOM_WORDS = 1 << 16  # 64-bit words of the filter: half a megabyte, whatever the size of the benchmark
-MEMO = 600_000  # words a worker remembers before it starts anew; no effect on results
+MEMO = 400_000  # words a worker remembers before it starts anew; no effect on results
 PART_CHARS = 1 << 20  # text that is worked on at a time
 
 # Written units of measure and of money, singular and plural.
