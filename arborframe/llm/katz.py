@@ -49,7 +49,7 @@ VOCABULARY = 1 << 18
 DISCOUNTED = 5
 END, BEGIN, RARE, FIRST = 0, 1, 2, 3  # ids of the special events; words follow
 SHIFT = 20  # bits of an event id
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 6_000_000  # tokens per bucket: bounds what a task holds of the counts
 DISTINCT_WORDS = 400_000  # of a task, before it passes its counts on
 SEED = 42
@@ -267,11 +267,23 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.cumsum(steps, dtype=np.uint64).view(np.int64), runs, docs, times
 
 
+def _to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(data) as stream:
+        return stream.read_all()
+
+
 BIGRAM, WORD = 0, 1
-_BLOCKS = "kind int, bucket int, chunk long, block binary, slot long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, fixed double"
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-_NAMES = [part.split()[0] for part in _BLOCKS.split(", ")]
-DOCUMENT = 2  # kind of the rows with one document each
+DOCUMENT = 2  # kind of the blocks with what a chunk's documents know by themselves
+_BLOCKS = "kind int, bucket int, chunk long, block binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary())])
+_FOUND = "doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, fixed double, rare_sum double, pair_sum double"
 
 
 def bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
@@ -281,11 +293,8 @@ def bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
 def _blocks(shared, buckets: int):
     """Task function: rows (doc_id, held_out, data) to one row per document and the blocks of each chunk of documents."""
 
-    def batch_of(kind, rows):
-        columns = dict.fromkeys(_NAMES) | rows
-        size = len(next(iter(rows.values())))
-        columns["kind"] = [kind] * size
-        return pa.RecordBatch.from_arrays([pa.array(columns[c] if columns[c] is not None else [None] * size, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
+    def batch_of(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     def run(batches):
         model = shared.value
@@ -297,7 +306,6 @@ def _blocks(shared, buckets: int):
         size = 0
 
         def flush():
-            slots = np.arange(len(held), dtype=np.int64) + (chunk << 20)
             ids = np.concatenate([np.r_[BEGIN, h[2], END] for h in held])
             lengths = np.array([len(h[2]) + 1 for h in held])
             docs = np.repeat(np.arange(len(held)), lengths + 1)
@@ -308,7 +316,14 @@ def _blocks(shared, buckets: int):
             fixed = add(history == RARE, p[what])
             rare = add(what == RARE, np.ones(len(what))).astype(np.int64)
             known = add(model.counts[what] > 0, np.ones(len(what))).astype(np.int64)
-            yield batch_of(DOCUMENT, {"bucket": np.full(len(held), chunk % buckets), "slot": slots, "doc_id": [h[0] for h in held], "held_out": [h[1] for h in held], "n_tokens": lengths, "n_known": known, "n_rare": rare, "base": base, "fixed": fixed})
+            own = pa.table(
+                {
+                    "doc_id": pa.array([h[0] for h in held], pa.int64()),
+                    "held_out": pa.array([h[1] for h in held], pa.bool_()),
+                    **{"n_tokens": lengths, "n_known": known, "n_rare": rare, "base": base, "fixed": fixed},
+                }
+            )
+            yield batch_of([DOCUMENT], [chunk % (1 << 31)], [chunk], [_to_bytes(own)])
             pairs = history != RARE
             words = np.concatenate([h[3] for h in held])
             for kind, keys, at in ((BIGRAM, (history[pairs] << SHIFT) | what[pairs], where[pairs]), (WORD, words, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))):
@@ -322,7 +337,8 @@ def _blocks(shared, buckets: int):
                 keys, at, part = keys[first], at[first], part[first]
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 ends = np.r_[starts[1:], len(part)]
-                yield batch_of(kind, {"bucket": part[starts], "chunk": np.full(len(starts), chunk), "block": [_pack(keys[a:b], at[a:b], times[a:b]) for a, b in zip(starts, ends, strict=True)]})
+                blocks = [_pack(keys[a:b], at[a:b], times[a:b]) for a, b in zip(starts, ends, strict=True)]
+                yield batch_of(np.full(len(starts), kind), part[starts], np.full(len(starts), chunk), blocks)
 
         for batch in batches:
             for doc_id, out, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -330,7 +346,7 @@ def _blocks(shared, buckets: int):
                 rare = [xxhash.xxh64_intdigest(words[i], SEED) for i in np.flatnonzero(ids == RARE)]
                 held.append((doc_id.as_py(), out.as_py(), ids, np.array(rare, dtype=np.uint64).view(np.int64)))
                 size += len(ids) + 1
-                if size >= CHUNK_TOKENS or len(held) >= 1 << 20:
+                if size >= CHUNK_TOKENS:
                     yield from flush()
                     held, size, chunk = [], 0, chunk + 1
         if held:
@@ -339,9 +355,6 @@ def _blocks(shared, buckets: int):
     return run
 
 
-_SUMS = "slot long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, fixed double, rare_sum double, pair_sum double"
-
-
 def _counts(path: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and counts of one partition of a table."""
     store, root = open_store(path)
@@ -355,23 +368,18 @@ def _counts(path: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _look_up(shared):
-    """Task function: the rows of a kind and bucket to sums per document."""
-    schema = pa.schema([(f.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.split()[1]]) for f in _SUMS.split(", ")])
-
-    def rows_of(size: int, **columns) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+    """Task function: the blocks of a kind and bucket to one block per chunk: documents with their sums."""
 
     def run(rows: pa.Table) -> pa.Table:
-        model = shared.value
         kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
         if kind == DOCUMENT:
-            names = ("slot", "doc_id", "held_out", "n_tokens", "n_known", "n_rare", "base", "fixed")
-            return rows_of(rows.num_rows, **{c: rows.column(c).combine_chunks() for c in names})
+            return rows.select(["kind", "chunk", "block"])
+        model = shared.value
         with np.errstate(divide="ignore"):
             p = np.log10(model.unigram())
         keys, n = _counts(model.word_table if kind == WORD else model.bigram_table, bucket)
         out = []
-        for chunk, block in zip(rows.column("chunk"), rows.column("block"), strict=True):
+        for block in rows.column("block"):
             asked, runs, docs, times = _unpack(block.as_py())
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
@@ -386,26 +394,38 @@ def _look_up(shared):
                     seen = np.log10(discounted(found, model.discount)) - model.denominator[history]
                 value = np.where(found > 0, seen, model.alpha[history] + p[event])
             total = np.bincount(docs, weights=np.repeat(value, runs) * times)
+            known = np.bincount(docs, weights=np.repeat((found > 0).astype(float), runs) * times)
             has = np.flatnonzero(np.bincount(docs))
-            slots = has + (chunk.as_py() << 20)
-            if kind == WORD:
-                known = np.bincount(docs, weights=np.repeat((found > 0).astype(float), runs) * times)
-                out.append(rows_of(len(has), slot=slots, n_known=known[has].astype(np.int64), rare_sum=total[has]))
-            else:
-                out.append(rows_of(len(has), slot=slots, pair_sum=total[has]))
-        return pa.concat_tables(out)
+            out.append(_to_bytes(pa.table({"at": has, "sum": total[has], "known": known[has]})))
+        return pa.table({"kind": rows.column("kind"), "chunk": rows.column("chunk"), "block": pa.array(out, pa.binary())})
 
     return run
 
 
+def _combine(rows: pa.Table) -> pa.Table:
+    """Task function: everything about a chunk to one row per document."""
+    kinds = rows.column("kind").to_pylist()
+    own = _from_bytes(rows.column("block")[kinds.index(DOCUMENT)].as_py())
+    sums = {BIGRAM: np.zeros(own.num_rows), WORD: np.zeros(own.num_rows)}
+    known = own.column("n_known").to_numpy().astype(np.int64)
+    # in a fixed order, so that the sums do not depend on which block came first
+    for kind, block in sorted((k, b.as_py()) for k, b in zip(kinds, rows.column("block"), strict=True) if k != DOCUMENT):
+        found = _from_bytes(block)
+        at = found.column("at").to_numpy()
+        sums[kind][at] += found.column("sum").to_numpy()
+        if kind == WORD:
+            known[at] += found.column("known").to_numpy().astype(np.int64)
+    own = own.set_column(own.schema.get_field_index("n_known"), "n_known", pa.array(known))
+    return own.append_column("rare_sum", pa.array(sums[WORD])).append_column("pair_sum", pa.array(sums[BIGRAM]))
+
+
 def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), utf8(text_col).alias("data"))
     blocks = rows.mapInArrow(_blocks(shared, model.buckets), _BLOCKS)
-    parts = blocks.groupBy("kind", "bucket").applyInArrow(_look_up(shared), _SUMS)
-    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_known", "n_rare", "base", "fixed", "rare_sum", "pair_sum")]
-    each = parts.groupBy("slot").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *totals)
+    looked = blocks.groupBy("kind", "bucket").applyInArrow(_look_up(shared), "kind int, chunk long, block binary")
+    each = looked.groupBy("chunk").applyInArrow(_combine, _FOUND)
     in_class = float(np.log10(model.rare_tokens + model.rare_types + 1.0))
     return each.select(
         "doc_id",
