@@ -311,7 +311,7 @@ def _blocks(shared, buckets: int):
             docs = np.repeat(np.arange(len(held)), lengths + 1)
             event = np.flatnonzero(ids != BEGIN)
             history, what, where = ids[event - 1], ids[event], docs[event]
-            add = lambda mask, values: np.bincount(where[mask], weights=values[mask], minlength=len(held))
+            add = lambda mask, values: np.bincount(where[mask], weights=values[mask], minlength=len(held)).astype(float)
             base = add(what != RARE, p[what])
             fixed = add(history == RARE, p[what])
             rare = add(what == RARE, np.ones(len(what))).astype(np.int64)
