@@ -1,10 +1,11 @@
 """Operator 7: a Katz backoff bigram model of the corpus, and log10 probabilities of texts.
 
-Counts.  All training words are counted.  The ``vocabulary_size`` most frequent
-words, the end of a text and one class for all other words are the events of
-the bigram counts; a word of that class is then drawn from it in proportion to
-its count plus one.  Histories are the frequent words and the beginning of a text;
-after a word of the class, the unigram level speaks.
+Counts.  All training words are counted.  Every one of them, the end of a text
+and one class for words that training lacks are the events of the bigram counts;
+every training word and the beginning of a text are histories, and after a word that
+training lacks the unigram level speaks.  With a ``vocabulary_size``, all but the
+most frequent words are events of the class instead, drawn from it in proportion to
+their count plus one, and after them the unigram level speaks as well.
 
 Discounts.  Bigram counts r of 1 to 5 are multiplied by Good-Turing ratios (from
 the numbers of bigrams with each count; where those give none between 0 and 1,
@@ -19,8 +20,11 @@ over all of them.  To count and to look up, a task packs the distinct bigrams of
 few thousand documents and sends one compressed block to each bucket.  The task of
 a bucket reads its own partition of the table, looks each token up (bigram, else
 backoff weight and unigram) and gives one sum per document.  Buckets grow in
-number with the corpus, not in size.  Only tables bounded by the vocabulary size
-are collected and broadcast: the frequent words and one row per history.
+number with the corpus, not in size.  Only tables bounded by ``NUMBERED`` (or the
+vocabulary size) are collected and broadcast: the frequent words and one row for each
+as a history.  This is no bound of the model: any other word goes by its 64-bit hash, its
+backoff weight stands in the table of rare words, and a bigram with such a word has a row
+in a table of its own, keyed by a 64-bit hash of both, with what it adds to the backed-off value.
 
 Defined results: a null or blank text is its end alone; equal rows have equal
 results; rows with equal or null ids stay apart; without training
@@ -45,7 +49,7 @@ from pyspark.sql import functions as F
 from ..session import saved, scratch_path
 from .common import in_fold, open_store, ship, utf8
 
-VOCABULARY = 1 << 18
+NUMBERED = 1 << 18  # frequent words that every task knows by number; no effect on results
 DISCOUNTED = 5
 END, BEGIN, RARE, FIRST = 0, 1, 2, 3  # ids of the special events; words follow
 SHIFT = 20  # bits of an event id
@@ -69,6 +73,8 @@ class Model:
     buckets: int = 1
     bigram_table: str = ""
     word_table: str = ""
+    whole: bool = True  # whether words without a number are events and histories of their own
+    gain_table: str = ""
 
     @property
     def rare_tokens(self) -> int:
@@ -87,7 +93,7 @@ class Model:
         """Probability of each event; the class has those of all its words and of unseen ones."""
         p = (self.counts + 1.0) / self.total
         p[BEGIN] = 0.0
-        p[RARE] = (self.rare_tokens + self.rare_types + 1.0) / self.total
+        p[RARE] = 1.0 / self.total if self.whole else (self.rare_tokens + self.rare_types + 1.0) / self.total
         return p
 
 
@@ -123,52 +129,96 @@ def _numbers(model: Model) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(model.words, FIRST)}
 
 
+def _hashes(words: list[bytes], at: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places."""
+    return np.array([xxhash.xxh64_intdigest(words[i], SEED) for i in at], dtype=np.uint64).view(np.int64)
+
+
+def pair_key(history: np.ndarray, event: np.ndarray) -> np.ndarray:
+    """64-bit hash of two ids, each a number or the hash of a word."""
+    x = history.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + event.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
-    """``bucket, key, n``: the key has the history's id above bit ``SHIFT`` and the event's below."""
+    """``bucket, key, event, n``: the key has the history's number above bit ``SHIFT`` and the event's below.
+
+    Bigrams with a word that goes by its hash are in the buckets from ``buckets``
+    on, with the history's id as key and the event's in ``event``.
+    """
 
     def count(batches):
-        number = _numbers(shared.value)
+        number, whole = _numbers(shared.value), shared.value.whole
+
+        def batch_of(part, blocks):
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
-        def rows(parts):
+        def rows(parts, hashed):
             ids = np.concatenate(parts)
-            keys = (ids[:-1] << SHIFT) | ids[1:]
-            keys, n = np.unique(keys[(ids[:-1] != RARE) & (ids[1:] != BEGIN)], return_counts=True)
-            part = bucket_of(keys, BIGRAM, buckets)
-            order = np.argsort(part, kind="stable")
-            keys, n, part = keys[order], n[order], part[order]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            blocks = [_pack(keys[i:j], np.zeros(j - i), n[i:j]) for i, j in zip(starts, [*starts[1:], len(part)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
-
-        parts, size = [], 0
+            history, event = ids[:-1], ids[1:]
+            rare = (history == RARE) | (event == RARE)
+            inside = event != BEGIN
+            keys = (history << SHIFT) | event
+            keys, n = np.unique(keys[inside & (~rare if whole else history != RARE)], return_counts=True)
+            if len(keys):
+                part = bucket_of(keys, BIGRAM, buckets)
+                order = np.argsort(part, kind="stable")
+                keys, n, part = keys[order], n[order], part[order]
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                yield batch_of(part[starts], [_pack(keys[i:j], np.zeros(j - i), n[i:j]) for i, j in zip(starts, [*starts[1:], len(part)], strict=True)])
+            if whole and (rare & inside).any():
+                ids = ids.copy()
+                ids[ids == RARE] = np.concatenate(hashed)
+                keys, n = _counted(np.c_[ids[:-1], ids[1:]][rare & inside])
+                part = pair_key(keys[:, 0].copy(), keys[:, 1].copy()) % buckets
+                mine = [(b, part == b) for b in np.unique(part)]
+                yield batch_of([buckets + b for b, _ in mine], [zlib.compress(np.c_[keys[m], n[m]].astype("<i8").T.tobytes(), 1) for _, m in mine])
+
+        parts, hashed, size = [], [], 0
         for batch in batches:
             for data in batch.column(0):
-                ids = np.r_[BEGIN, _ids(data.as_py(), number)[1], END]
-                parts.append(ids)
-                size += len(ids)
+                words, ids = _ids(data.as_py(), number)
+                if whole:
+                    hashed.append(_hashes(words, np.flatnonzero(ids == RARE)))
+                parts.append(np.r_[BEGIN, ids, END])
+                size += len(parts[-1])
                 if size > CHUNK_TOKENS:
-                    yield rows(parts)
-                    parts, size = [], 0
+                    yield from rows(parts, hashed)
+                    parts, hashed, size = [], [], 0
         if parts:
-            yield rows(parts)
+            yield from rows(parts, hashed)
 
     def merge(blocks: pa.Table) -> pa.Table:
+        if (bucket := blocks.column("bucket")[0].as_py()) >= buckets:
+            found = np.concatenate([np.frombuffer(zlib.decompress(block.as_py()), "<i8").reshape(3, -1) for block in blocks.column("block")], axis=1)
+            keys, n = _counted(found[:2].T, found[2])
+            return pa.table({"bucket": np.full(len(n), bucket, dtype=np.int32), "key": keys[:, 0].copy(), "event": keys[:, 1].copy(), "n": n})
         unpacked = [_unpack(block.as_py()) for block in blocks.column("block")]
         keys = np.concatenate([u[0] for u in unpacked])
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], np.concatenate([u[3] for u in unpacked]).astype(np.int64)[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        bucket = np.full(len(first), blocks.column("bucket")[0].as_py(), dtype=np.int32)
-        return pa.table({"bucket": bucket, "key": keys[first], "n": np.add.reduceat(n, first)})
+        place = np.full(len(first), bucket, dtype=np.int32)
+        return pa.table({"bucket": place, "key": keys[first], "event": np.zeros(len(first), np.int64), "n": np.add.reduceat(n, first)})
+
+    return texts.mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(merge, "bucket int, key long, event long, n long")
 
-    return texts.mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(merge, "bucket int, key long, n long")
+
+def _counted(pairs: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of pairs in order, and how often each occurs (or the sums of ``n``)."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
+    return pairs[first], np.add.reduceat(np.ones(len(pairs), np.int64) if n is None else n[order], first)
 
 
 def _table(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Rows with a ``bucket`` as a table partitioned by it, one file each, and its place."""
     path = scratch_path(rows.sparkSession, name)
     rows.write.partitionBy("bucket").parquet(path)
-    return rows.sparkSession.read.schema("key long, n long, bucket int").parquet(path), path
+    return rows.sparkSession.read.schema("key long, event long, n long, bucket int").parquet(path), path
 
 
 def discounts(of_counts: dict[int, int], k: int = DISCOUNTED) -> np.ndarray:
@@ -214,7 +264,46 @@ def backoff(n: float, kept: float, seen: float, events: float, all_events: int)
     return denominator, (1 - kept / denominator) / (1 - seen)
 
 
-def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int = VOCABULARY) -> Model:
+def _wide_sums(bigrams: DataFrame, rare: DataFrame, model: Model, shared) -> tuple[DataFrame, DataFrame]:
+    """Bigrams with a hashed word and the count of their event, and the sums of their histories as in ``history_sums``."""
+
+    def known(batches):
+        for batch in batches:
+            events = shared.value.counts[batch.column(1).to_numpy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(events)], names=["history", "event", "n", "n_event"])
+
+    wide = bigrams.where(F.col("bucket") >= model.buckets).select(F.col("key").alias("history"), "event", "n")
+    # numbered events are many bigrams each: they take their counts from the model and stay out of the join
+    inside = F.col("event").between(0, len(model.counts) - 1)
+    fields = "history long, event long, n long, n_event long"
+    counts = rare.select(F.col("key").alias("event"), F.col("n").alias("n_event"))
+    wide = saved(wide.where(inside).mapInArrow(known, fields).unionByName(wide.where(~inside).join(counts, "event")), "katz-wide")
+    factors = F.array(*[F.lit(float(x)) for x in model.discount])
+    factor = F.element_at(factors, F.least(F.col("n"), F.lit(len(model.discount) - 1)).cast("int") + 1)
+    sums = wide.groupBy("history").agg(
+        F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * factor).alias("kept"), F.sum((F.col("n_event") + 1.0) / float(model.total)).alias("seen"), F.count(F.lit(1)).cast("double").alias("events")
+    )
+    return wide, sums
+
+
+def _gains(shared, buckets: int):
+    """Task function: rows (history, event, n, n_event, denominator, alpha) to bucket, key and what the bigram has beyond its backed-off value."""
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            history, event, n, n_event = (batch.column(i).to_numpy() for i in range(4))
+            inside = (history >= 0) & (history < len(model.counts))
+            at = np.where(inside, history, 0)
+            denominator, alpha = (np.where(inside, own[at], batch.column(i).to_numpy(zero_copy_only=False)) for own, i in ((model.denominator, 4), (model.alpha, 5)))
+            gain = np.log10(discounted(n, model.discount)) - denominator - np.log10((n_event + 1.0) / model.total) - alpha
+            key = pair_key(history.copy(), event.copy())
+            yield pa.RecordBatch.from_arrays([pa.array((key % buckets).astype(np.int32)), pa.array(key), pa.array(gain)], names=["bucket", "key", "gain"])
+
+    return run
+
+
+def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int | None = None) -> Model:
     """The model; its tables are in the shared folder."""
     spark = docs.sparkSession
     ship(spark)
@@ -222,26 +311,50 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int = VOCABULA
     texts = docs.select(utf8(text_col).alias("data"))
     words = saved(word_counts(texts), "katz-words")
     n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
-    top = words.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(vocabulary_size).toArrow()
-    model = Model(top.column("word").to_pylist(), np.r_[ends, 0, 0, top.column("n").to_numpy()].astype(np.int64), n, v)
+    top = words.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(NUMBERED if vocabulary_size is None else vocabulary_size).toArrow()
+    model = Model(top.column("word").to_pylist(), np.r_[ends, 0, 0, top.column("n").to_numpy()].astype(np.int64), n, v, whole=vocabulary_size is None)
     model.buckets = max(1, -(-n // BUCKET_TOKENS))
-    bigrams, model.bigram_table = _table(bigram_counts(texts, context.broadcast(model), model.buckets), "katz-bigrams")
+    shared = context.broadcast(model)
+    bigrams, model.bigram_table = _table(bigram_counts(texts, shared, model.buckets), "katz-bigrams")
     rare = words.where("word IS NOT NULL")
     if model.words:  # the frequent words are known everywhere
         least, last = int(model.counts[-1]), model.words[-1]
         rare = rare.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(last))))
     hashed = rare.select(F.xxhash64("word").alias("key"), "n").withColumn("bucket", F.pmod("key", F.lit(model.buckets)).cast("int"))
-    _, model.word_table = _table(hashed.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-rare-words")
     of_counts = {r["n"]: r["bigrams"] for r in bigrams.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("bigrams")).collect()}
     model.discount = discounts(of_counts)
-    events = len(model.counts) - 1  # all but the beginning
     size = len(model.counts)
+    # all but the beginning
+    events = v - (ends > 0) + 2 if model.whole else size - 1
+    total = np.zeros((4, size))
+    names = ("n", "kept", "seen", "events")
+
+    def gather(sums: DataFrame) -> None:
+        found = sums.toArrow()
+        for row, name in zip(total, names, strict=True):
+            np.add.at(row, found.column("history").to_numpy(), found.column(name).to_numpy())
+
+    gather(history_sums(bigrams.where(F.col("bucket") < model.buckets), context.broadcast(model)))
+    if model.whole:
+        wide, sums = _wide_sums(bigrams, hashed, model, shared)
+        sums = saved(sums, "katz-histories")
+        inside = F.col("history").between(0, size - 1)
+        gather(sums.where(inside))
     denominator, alpha = np.ones(size), np.ones(size)
-    sums = history_sums(bigrams, context.broadcast(model)).toArrow()
-    for history, *row in zip(*(sums.column(c).to_pylist() for c in ("history", "n", "kept", "seen", "events")), strict=True):
-        denominator[history], alpha[history] = backoff(*row, events)
+    for history in np.flatnonzero(total[3]):
+        denominator[history], alpha[history] = backoff(*total[:, history].tolist(), events)
     with np.errstate(divide="ignore"):
         model.denominator, model.alpha = np.log10(denominator), np.log10(alpha)
+    if model.whole:  # the class of unseen words is never seen, so that ``backoff`` has but one case here
+        whole = F.when(F.col("kept") < F.col("n") * (1 - 1e-12), F.col("n")).otherwise(F.col("n") + 1)
+        weights = sums.where(~inside).select("history", F.log10(whole).alias("denominator"), F.log10((1 - F.col("kept") / whole) / (1 - F.col("seen"))).alias("alpha"))
+        none = F.lit(None).cast("double")
+        placed = wide.where(~inside).join(weights, "history").unionByName(wide.where(inside).withColumns({"denominator": none, "alpha": none}))
+        ordered = placed.select("history", "event", "n", "n_event", "denominator", "alpha")
+        gains = ordered.mapInArrow(_gains(context.broadcast(model), model.buckets), "bucket int, key long, gain double")
+        _, model.gain_table = _table(gains.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-gains")
+        hashed = hashed.join(weights.select(F.col("history").alias("key"), "alpha"), "key", "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
+    _, model.word_table = _table(hashed.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-rare-words")
     return model
 
 
@@ -279,11 +392,11 @@ def _from_bytes(data: bytes) -> pa.Table:
         return stream.read_all()
 
 
-BIGRAM, WORD = 0, 1
+BIGRAM, WORD, PAIR = 0, 1, 3
 DOCUMENT = 2  # kind of the blocks with what a chunk's documents know by themselves
 _BLOCKS = "kind int, bucket int, chunk long, block binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary())])
-_FOUND = "doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, fixed double, rare_sum double, pair_sum double"
+_FOUND = "doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, fixed double, rare_sum double, alpha_sum double, pair_sum double, gain_sum double"
 
 
 def bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
@@ -302,7 +415,7 @@ def _blocks(shared, buckets: int):
         with np.errstate(divide="ignore"):
             p = np.log10(model.unigram())
         chunk = TaskContext.get().partitionId() << 24
-        held = []  # (doc_id, held_out, ids, rare word hashes)
+        held = []  # (doc_id, held_out, ids, hashes of words without a number)
         size = 0
 
         def flush():
@@ -313,7 +426,10 @@ def _blocks(shared, buckets: int):
             history, what, where = ids[event - 1], ids[event], docs[event]
             add = lambda mask, values: np.bincount(where[mask], weights=values[mask], minlength=len(held)).astype(float)
             base = add(what != RARE, p[what])
-            fixed = add(history == RARE, p[what])
+            if model.whole:
+                fixed = add((history == RARE) & (what != RARE), p[what]) + add((history != RARE) & (what == RARE), model.alpha[history])
+            else:
+                fixed = add(history == RARE, p[what])
             rare = add(what == RARE, np.ones(len(what))).astype(np.int64)
             known = add(model.counts[what] > 0, np.ones(len(what))).astype(np.int64)
             own = pa.table(
@@ -324,9 +440,15 @@ def _blocks(shared, buckets: int):
                 }
             )
             yield batch_of([DOCUMENT], [chunk % (1 << 31)], [chunk], [_to_bytes(own)])
-            pairs = history != RARE
             words = np.concatenate([h[3] for h in held])
-            for kind, keys, at in ((BIGRAM, (history[pairs] << SHIFT) | what[pairs], where[pairs]), (WORD, words, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))):
+            pairs = history != RARE
+            kinds = [(WORD, words, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))]
+            if model.whole:
+                pairs &= what != RARE
+                full = ids.copy()
+                full[ids == RARE] = words
+                kinds.append((PAIR, pair_key(full[event - 1][~pairs], full[event][~pairs]), where[~pairs]))
+            for kind, keys, at in ((BIGRAM, (history[pairs] << SHIFT) | what[pairs], where[pairs]), *kinds):
                 if not len(keys):
                     continue
                 part = bucket_of(keys, kind, buckets)
@@ -343,8 +465,7 @@ def _blocks(shared, buckets: int):
         for batch in batches:
             for doc_id, out, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 words, ids = _ids(data.as_py(), number)
-                rare = [xxhash.xxh64_intdigest(words[i], SEED) for i in np.flatnonzero(ids == RARE)]
-                held.append((doc_id.as_py(), out.as_py(), ids, np.array(rare, dtype=np.uint64).view(np.int64)))
+                held.append((doc_id.as_py(), out.as_py(), ids, _hashes(words, np.flatnonzero(ids == RARE))))
                 size += len(ids) + 1
                 if size >= CHUNK_TOKENS:
                     yield from flush()
@@ -355,16 +476,16 @@ def _blocks(shared, buckets: int):
     return run
 
 
-def _counts(path: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of one partition of a table."""
+def _values(path: str, bucket: int, names: list[str]) -> list[np.ndarray]:
+    """Sorted keys of one partition of a table and their values."""
     store, root = open_store(path)
     folder = f"{root}/bucket={bucket}"
     if store.get_file_info(folder).type == fs.FileType.NotFound:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    table = pq.read_table(folder, columns=["key", "n"], filesystem=store, partitioning=None)
-    keys, n = (table.column(c).to_numpy() for c in ("key", "n"))
-    order = np.argsort(keys, kind="stable")
-    return keys[order], n[order]
+        return [np.zeros(0, np.int64) for _ in ["key", *names]]
+    table = pq.read_table(folder, columns=["key", *names], filesystem=store, partitioning=None)
+    columns = [table.column(c).to_numpy() for c in ("key", *names)]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
 
 
 def _look_up(shared):
@@ -377,17 +498,21 @@ def _look_up(shared):
         model = shared.value
         with np.errstate(divide="ignore"):
             p = np.log10(model.unigram())
-        keys, n = _counts(model.word_table if kind == WORD else model.bigram_table, bucket)
+        path, names = {BIGRAM: (model.bigram_table, ["n"]), WORD: (model.word_table, ["n", "alpha"] if model.whole else ["n"]), PAIR: (model.gain_table, ["gain"])}[kind]
+        keys, *own = _values(path, bucket, names)
         out = []
         for block in rows.column("block"):
             asked, runs, docs, times = _unpack(block.as_py())
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                found = np.where(keys[at] == asked, n[at], 0)
+                found, *more = (np.where(keys[at] == asked, x[at], 0) for x in own)
             else:
-                found = np.zeros(len(asked), dtype=np.int64)
+                found, *more = (np.zeros(len(asked), dtype=np.int64) for _ in own)
+            weight = more[0] if more else np.zeros(len(asked))
             if kind == WORD:
                 value = np.log10(found + 1.0)
+            elif kind == PAIR:
+                value = found
             else:
                 history, event = asked >> SHIFT, asked & ((1 << SHIFT) - 1)
                 with np.errstate(divide="ignore"):
@@ -395,8 +520,9 @@ def _look_up(shared):
                 value = np.where(found > 0, seen, model.alpha[history] + p[event])
             total = np.bincount(docs, weights=np.repeat(value, runs) * times)
             known = np.bincount(docs, weights=np.repeat((found > 0).astype(float), runs) * times)
+            weights = np.bincount(docs, weights=np.repeat(weight, runs) * times)
             has = np.flatnonzero(np.bincount(docs))
-            out.append(_to_bytes(pa.table({"at": has, "sum": total[has], "known": known[has]})))
+            out.append(_to_bytes(pa.table({"at": has, "sum": total[has], "known": known[has], "alpha": weights[has]})))
         return pa.table({"kind": rows.column("kind"), "chunk": rows.column("chunk"), "block": pa.array(out, pa.binary())})
 
     return run
@@ -406,7 +532,8 @@ def _combine(rows: pa.Table) -> pa.Table:
     """Task function: everything about a chunk to one row per document."""
     kinds = rows.column("kind").to_pylist()
     own = _from_bytes(rows.column("block")[kinds.index(DOCUMENT)].as_py())
-    sums = {BIGRAM: np.zeros(own.num_rows), WORD: np.zeros(own.num_rows)}
+    sums = {kind: np.zeros(own.num_rows) for kind in (BIGRAM, WORD, PAIR)}
+    alpha = np.zeros(own.num_rows)
     known = own.column("n_known").to_numpy().astype(np.int64)
     # in a fixed order, so that the sums do not depend on which block came first
     for kind, block in sorted((k, b.as_py()) for k, b in zip(kinds, rows.column("block"), strict=True) if k != DOCUMENT):
@@ -415,8 +542,11 @@ def _combine(rows: pa.Table) -> pa.Table:
         sums[kind][at] += found.column("sum").to_numpy()
         if kind == WORD:
             known[at] += found.column("known").to_numpy().astype(np.int64)
+            alpha[at] += found.column("alpha").to_numpy()
     own = own.set_column(own.schema.get_field_index("n_known"), "n_known", pa.array(known))
-    return own.append_column("rare_sum", pa.array(sums[WORD])).append_column("pair_sum", pa.array(sums[BIGRAM]))
+    for name, column in (("rare_sum", sums[WORD]), ("alpha_sum", alpha), ("pair_sum", sums[BIGRAM]), ("gain_sum", sums[PAIR])):
+        own = own.append_column(name, pa.array(column))
+    return own
 
 
 def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,7 +556,7 @@ def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_
     blocks = rows.mapInArrow(_blocks(shared, model.buckets), _BLOCKS)
     looked = blocks.groupBy("kind", "bucket").applyInArrow(_look_up(shared), "kind int, chunk long, block binary")
     each = looked.groupBy("chunk").applyInArrow(_combine, _FOUND)
-    in_class = float(np.log10(model.rare_tokens + model.rare_types + 1.0))
+    in_class = float(np.log10(model.total if model.whole else model.rare_tokens + model.rare_types + 1.0))
     return each.select(
         "doc_id",
         "held_out",
@@ -434,11 +564,11 @@ def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_
         "n_known",
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("rare_sum") - F.col("n_rare") * float(np.log10(model.total))).alias("base_score"),
-        (F.col("fixed") + F.col("pair_sum") + F.col("rare_sum") - F.col("n_rare") * in_class).alias("score"),
+        (F.col("fixed") + F.col("pair_sum") + F.col("gain_sum") + F.col("alpha_sum") + F.col("rare_sum") - F.col("n_rare") * in_class).alias("score"),
     )
 
 
-def score_documents(docs: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary_size: int | None = None) -> DataFrame:
     """Learn from the documents whose crc32(id) mod 7 is not 2 and score all."""
     held = in_fold("doc_id", 7, 2)
     return score(docs, fit(docs.where(~held), vocabulary_size=vocabulary_size), held)

@@ -376,6 +376,22 @@ def test_katz_scores(spark, docs, size):
         assert math.isclose(r["score"], expected[4], rel_tol=1e-9, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("numbered", [3, 40, 100_000])
+def test_katz_keeps_every_history_and_event(spark, numbered, monkeypatch):
+    """However few words the tasks know by number, the default is the model of all words."""
+    monkeypatch.setattr(katz, "NUMBERED", numbered)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 7_000)
+    rng = random.Random(1)
+    texts = TEXTS + [" ".join(rng.choices([f"w{int(x)}" for x in (1.03 ** i for i in range(200))], k=rng.randint(1, 60))) for _ in range(60)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    rows = by_id(katz.score_documents(build(spark, texts)))
+    for i, expected in enumerate(katz_by_hand(texts, held, 100_000)):
+        r = rows[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == expected[:3]
+        assert math.isclose(r["base_score"], expected[3], rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r["score"], expected[4], rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_katz_without_training_text_and_repeats(spark, empty):
     assert katz.score_documents(empty).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
