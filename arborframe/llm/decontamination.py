@@ -4,9 +4,11 @@ Texts become canonical words: numbers, units, and in one of two readings names,
 are replaced by typed placeholders; other words lose case and outer punctuation.
 Windows of ``WINDOW`` canonical words are hashed and joined with those of the
 benchmark, so a question that was asked again with other numbers or names still
-matches.  A matched place counts only if its slots are consistent: along one
-alignment of a document and an item, each value of an item's slot stands for
-one value of the document and the other way round.
+matches.  A matched window counts only if its slots are consistent: along one
+alignment of a document and an item, a slot keeps the item's value or has the
+value that the most slots with that item value have (among equally many, the
+first one).  Windows with any other slot are left out, and only those; different
+item values may get the same value.
 
 An item is reported if consistent windows cover at least ``COVERAGE`` of its
 words; shorter shared phrases are not.  Before the join, a Bloom filter of fixed
@@ -115,7 +117,7 @@ def _hashes(code: np.ndarray, size: int, named: bool) -> np.ndarray:
 def windows(texts: list[str], window: int, literals: int, accept):
     """Canonical windows of texts for which ``accept(hashes)`` is true.
 
-    Rows ``(number of the text, named, hash, pos, size, words, slots)``; ``pos`` counts
+    Rows ``(number of the text, named, hash, pos, size, words, slots, offsets)``; ``pos`` counts
     the ``words`` canonical words of the text.  A text with fewer words than a
     window is one window of its own.
     """
@@ -166,13 +168,14 @@ def windows(texts: list[str], window: int, literals: int, accept):
             hashes = _hashes(c, size, named)
             for i in np.flatnonzero(ok & accept(hashes)):
                 text = int(own[i])
-                slots = []
+                slots, offsets = [], []
                 for w in range(i, i + size):
                     if k[w] >= 0:
                         j = int(left[first + w])
                         value = f"{raw[j]} {raw[j + 1]}" if k[w] == MEASURE and j + 1 < len(joined) and joined[j + 1] else raw[j]
                         slots.append(f"{k[w]}:{_OUTER.sub('', value).lower()}")
-                found.append((text, named, int(hashes[i].view(np.int64)), first + int(i) - int(begin[text]), size, int(n_words[text]), slots))
+                        offsets.append(w - int(i))
+                found.append((text, named, int(hashes[i].view(np.int64)), first + int(i) - int(begin[text]), size, int(n_words[text]), slots, offsets))
 
     if len(left) >= window:
         look(0, len(left), window)
@@ -181,12 +184,12 @@ def windows(texts: list[str], window: int, literals: int, accept):
     return found
 
 
-_FIELDS = "key long, named boolean, hash long, pos int, size int, words int, slots array<string>"
+_FIELDS = "key long, named boolean, hash long, pos int, size int, words int, slots array<string>, offsets array<int>"
 
 
 def _find(window: int, literals: int, bits):
     """Task function: rows (key, UTF-8 text) to the windows with enough literal words; with ``bits``, those the filter lets through."""
-    schema = pa.schema([("key", pa.int64()), ("named", pa.bool_()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.string()))])
+    schema = pa.schema([("key", pa.int64()), ("named", pa.bool_()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.string())), ("offsets", pa.list_(pa.int32()))])
 
     def accept(hashes: np.ndarray) -> np.ndarray:
         return np.ones(len(hashes), dtype=bool) if bits is None else in_filter(hashes, bits.value)
@@ -238,6 +241,34 @@ def build_filter(windows_: DataFrame, words: int = BLOOM_WORDS) -> np.ndarray:
     return table.view(np.uint64)
 
 
+def consistent(hits: list[tuple[int, int, list[str], list[str], list[int]]]) -> tuple[list[int], bool]:
+    """Item words in consistent windows of one alignment, and whether a slot of them has another value.
+
+    A window has its place in the item, its size, the values of its slots in the
+    item and in the document, and where in the window they are.
+    """
+    slots = {(pos + at, a, b) for pos, _, ours, theirs, offsets in hits for a, b, at in zip(ours, theirs, offsets, strict=True)}
+    votes: dict[str, dict[str, int]] = {}
+    for _, a, b in sorted(slots):
+        own = votes.setdefault(a, {})
+        own[b] = own.get(b, 0) + 1
+    stands = {a: max(own, key=own.__getitem__) for a, own in votes.items()}
+    covered, changed = set(), False
+    for pos, size, ours, theirs, _ in hits:
+        if all(b in (a, stands[a]) for a, b in zip(ours, theirs, strict=True)):
+            covered.update(range(pos, pos + size))
+            changed |= ours != theirs
+    return sorted(covered), changed
+
+
+def _covered(batches):
+    """Task function: alignments with their windows to the item words that are covered."""
+    for batch in batches:
+        found = [consistent([tuple(h.values()) for h in hits.as_py()]) for hits in batch.column(3)]
+        places, changed = ([f[i] for f in found] for i in range(2))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(changed, pa.bool_())], names=["doc_id", "item_id", "words", "places", "changed"])
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -259,27 +290,17 @@ def contaminated(
     items = saved(benchmark.select(F.col(item_col).cast("long").alias("key"), utf8(item_text_col).alias("text")).mapInArrow(_find(window, literals, None), _FIELDS), "items")
     bits = spark.sparkContext.broadcast(build_filter(items))
     found = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("text")).mapInArrow(_find(window, literals, bits), _FIELDS)
-    asked = items.select(F.col("key").alias("item_id"), "named", "hash", F.col("pos").alias("item_pos"), "size", "words", F.col("slots").alias("item_slots")).distinct()
+    asked = items.select(F.col("key").alias("item_id"), "named", "hash", F.col("pos").alias("item_pos"), "size", "words", F.col("slots").alias("item_slots"), "offsets").distinct()
     placed = found.select(F.col("key").alias("doc_id"), "named", "hash", "pos", "size", "slots")
     hits = placed.join(asked, ["hash", "named", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     # one alignment is one shift; it has at most as many windows as the item
-    pairs = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs")))
-    slots = hits.select("doc_id", "item_id", "named", "shift", "item_pos", "size", "words", pairs.alias("slot"))
-    runs = slots.groupBy("doc_id", "item_id", "named", "shift", "words", "size").agg(
-        F.collect_set("item_pos").alias("places"),
-        F.count_distinct("slot.ours").alias("ours"),
-        F.count_distinct("slot.theirs").alias("theirs"),
-        F.count_distinct("slot.ours", "slot.theirs").alias("both"),
-        F.coalesce(F.bool_or(F.col("slot.ours") != F.col("slot.theirs")), F.lit(False)).alias("changed"),
-    )
-    consistent = runs.where((F.col("ours") == F.col("both")) & (F.col("theirs") == F.col("both")))
-    per_item = consistent.groupBy("doc_id", "item_id", "words", "size").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"), F.bool_or("changed").alias("slots_changed")
+    window_ = F.struct("item_pos", "size", F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"), "offsets")
+    runs = hits.groupBy("doc_id", "item_id", "words", "named", "shift").agg(F.collect_set(window_).alias("hits"))
+    placed = runs.select("doc_id", "item_id", "words", "hits").mapInArrow(_covered, "doc_id long, item_id long, words int, places array<int>, changed boolean")
+    per_item = placed.where(F.size("places") > 0).groupBy("doc_id", "item_id", "words").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"), F.bool_or("changed").alias("slots_changed")
     )
-    # words covered by windows at these sorted places: full size, less what overlaps the window before
-    steps = F.transform(F.sequence(F.lit(1), F.size("places")), lambda i: F.when(i == 1, F.col("size")).otherwise(F.least(F.col("size"), F.element_at("places", i.cast("int")) - F.element_at("places", (i - 1).cast("int")))))
-    covered = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-    scored = per_item.select("doc_id", "item_id", covered.alias("covered"), F.col("words").alias("n_words"), "slots_changed")
+    scored = per_item.select("doc_id", "item_id", "covered", F.col("words").alias("n_words"), "slots_changed")
     return scored.where(F.col("covered") >= F.lit(coverage) * F.col("n_words"))
 
 

@@ -234,6 +234,19 @@ def test_inconsistent_numbers_are_no_match(spark):
     assert [r["doc_id"] for r in decontamination.contaminated(build(spark, texts), bench).collect()] == [0]
 
 
+def test_only_windows_with_a_clashing_slot_are_left_out(spark):
+    tail = " and then the children carry all of them slowly over the old wooden bridge before supper"
+    bench = spark.createDataFrame([(0, "take 5 red apples then add 5 green pears" + tail), (1, "with 3 small carts and 5 large ones the farmer drove" + tail[9:])], "item_id long, text string")
+    texts = [
+        "take 5 red apples then add 6 green pears" + tail,  # one of two equal numbers was edited
+        "with 4 small carts and 4 large ones the farmer drove" + tail[9:],  # new values coincide
+        "take 7 red apples then add 8 green pears" + tail,  # one value in two slots
+    ]
+    found = decontamination.contaminated(build(spark, texts), bench, coverage=0.7).collect()
+    assert {(0, 0), (1, 1), (2, 0)} <= {(r["doc_id"], r["item_id"]) for r in found}
+    assert decontamination.consistent([(0, 2, ["5"], ["6"], [1]), (2, 2, ["5"], ["7"], [0]), (4, 2, ["5"], ["5"], [0]), (6, 2, [], [], [])]) == ([0, 1, 4, 5, 6, 7], True)
+
+
 def test_filter_has_no_misses():
     rng = np.random.default_rng(2)
     hashes = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
