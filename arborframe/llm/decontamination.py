@@ -10,13 +10,17 @@ value that the most slots with that item value have (among equally many, the
 first one).  Windows with any other slot are left out, and only those; different
 item values may get the same value.
 
+A window with fewer than ``LITERALS`` words that are not placeholders matches only
+with equal values in all of its slots.
+
 An item is reported if consistent windows cover at least ``COVERAGE`` of its
-words; shorter shared phrases are not.  Before the join, a Bloom filter of fixed
+words, or ``RUN`` words in a row along one alignment; shorter shared phrases are
+not.  Before the join, a Bloom filter of fixed
 size drops the windows that no item has; the join itself is exact.
 
 Defined results: null and blank texts have no windows; items shorter than a
-window are one window of their own length, documents shorter than it match
-only items of the same length; repeated rows give equal results, reported once;
+window are one window of their own length, and documents are searched with
+windows of each such length as well; repeated rows give equal results, reported once;
 a null id is reported as null; empty tables give no rows.
 """
 
@@ -36,6 +40,7 @@ from .common import keep_ids, ship, utf8
 
 WINDOW = 5
 COVERAGE = 0.6
+RUN = 13  # words in a row that are enough in an item of any length
 LITERALS = 3  # words of a window that must not be placeholders
 BLOOM_WORDS = 1 << 16  # 64-bit words of the filter: half a megabyte, whatever the size of the benchmark
 MEMO = 400_000  # words a worker remembers before it starts anew; no effect on results
@@ -54,9 +59,9 @@ UNITS = frozenset(
 
 _NUMBER = re.compile(r"([+\-]?[$€£¥]?)(\d[\d.,:/]*)(.*)", re.S)
 _OUTER = re.compile(r"^[^\w$€£¥%°+\-]+|[^\w$€£¥%°]+$")
-NUM, UNIT, MEASURE, NAME = range(4)
+NUM, UNIT, MEASURE, NAME, LETTER = range(5)  # a letter is a unit only after a number
 _ODD = 0x9E3779B97F4A7C15
-_PLACEHOLDER = np.array([0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B], dtype=np.uint64)
+_PLACEHOLDER = np.array([0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0], dtype=np.uint64)
 
 
 def _canonical(raw: str) -> tuple[str, int, bool, bool]:
@@ -65,26 +70,27 @@ def _canonical(raw: str) -> tuple[str, int, bool, bool]:
     word = raw if raw.isalpha() else raw[:-1] if raw[:-1].isalpha() and raw[-1] in ",.;:!?" else _OUTER.sub("", raw)
     low = word.lower()
     if low in UNITS:
-        return low, UNIT, False, ends
+        return low, LETTER if len(low) == 1 and low.isalpha() else UNIT, False, ends
     if not word.isalpha() and (number := _NUMBER.fullmatch(word)):
         return low, MEASURE if number[1].strip("+-") or number[3].lower() in UNITS and number[3] else NUM, False, ends
     return low.strip("+-"), -1, len(word) > 1 and word[0].isupper(), ends
 
 
 class Words(dict):
-    """White-space separated word to its row in arrays of code, kind, capital and end of sentence."""
+    """White-space separated word to its row in arrays of code, code without placeholder, kind, capital and end of sentence."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.fresh: list[tuple[int, int, bool, bool]] = []  # rows that are not in the arrays yet
+        self.fresh: list[tuple[int, int, int, bool, bool]] = []  # rows that are not in the arrays yet
         self.used = 0
-        self.arrays = [np.zeros(1 << 12, kind) for kind in (np.uint64, np.int8, bool, bool)]
+        self.arrays = [np.zeros(1 << 12, kind) for kind in (np.uint64, np.uint64, np.int8, bool, bool)]
 
     def __missing__(self, raw: str) -> int:
         low, kind, capital, ends = _canonical(raw)
-        code = int(_PLACEHOLDER[kind]) if kind >= 0 else xxhash.xxh64_intdigest(low, 1) if low else 0
+        plain = xxhash.xxh64_intdigest(low, 1) if low else 0
+        code = int(_PLACEHOLDER[kind]) if 0 <= kind < LETTER else plain
         self[raw] = at = self.used + len(self.fresh)
-        self.fresh.append((code, kind, capital, ends))
+        self.fresh.append((code, plain, kind, capital, ends))
         return at
 
     def columns(self, at: np.ndarray) -> list[np.ndarray]:
@@ -104,22 +110,25 @@ def _memo() -> Words:
     return Words()
 
 
-def _hashes(code: np.ndarray, size: int, named: bool) -> np.ndarray:
+def _hashes(code: np.ndarray, size: int, reading: int) -> np.ndarray:
     """Hash of every run of ``size`` codes."""
     n = len(code) - size + 1
-    mixed = np.full(n, size * 2 + named, dtype=np.uint64)
+    mixed = np.full(n, size * 4 + reading, dtype=np.uint64)
     for i in range(size):
         mixed = (mixed ^ code[i : i + n]) * np.uint64(_ODD)
         mixed ^= mixed >> np.uint64(29)
     return mixed
 
 
-def windows(texts: list[str], window: int, literals: int, accept):
+PLAIN, NAMED, EXACT = range(3)  # readings: without and with placeholders for names, without any
+
+
+def windows(texts: list[str], window: int, literals: int, accept, sizes: list[int] | None = None):
     """Canonical windows of texts for which ``accept(hashes)`` is true.
 
     Rows ``(number of the text, named, hash, pos, size, words, slots, offsets)``; ``pos`` counts
     the ``words`` canonical words of the text.  A text with fewer words than a
-    window is one window of its own.
+    window is one window of its own; with ``sizes``, all windows of these sizes are taken instead.
     """
     memo = _memo()
     if len(memo) > MEMO:
@@ -134,16 +143,17 @@ def windows(texts: list[str], window: int, literals: int, accept):
     if not raw:
         return []
     at = np.fromiter(map(memo.__getitem__, raw), dtype=np.int64, count=len(raw))
-    code, kind, capital, ends = memo.columns(at)
+    code, exact, kind, capital, ends = memo.columns(at)
     text_of = np.repeat(np.arange(len(texts)), counts)
     same = np.r_[False, text_of[1:] == text_of[:-1]]
     name = capital & same & ~np.r_[True, ends[:-1]]
     # a unit after a number is one slot with it; words of punctuation only are left out
-    joined = same & np.r_[False, (kind[:-1] == NUM) & (kind[1:] == UNIT)]
+    joined = same & np.r_[False, (kind[:-1] == NUM) & ((kind[1:] == UNIT) | (kind[1:] == LETTER))]
     measure = np.r_[joined[1:], False]
-    code, kind = np.where(measure, _PLACEHOLDER[MEASURE], code), np.where(measure, np.int8(MEASURE), kind)
+    code, kind = np.where(measure, _PLACEHOLDER[MEASURE], code), np.where(measure, np.int8(MEASURE), np.where(kind == LETTER, np.int8(-1), kind))
+    exact = np.where(measure, exact * np.uint64(_ODD) + np.r_[exact[1:], exact[:1]], exact)
     left = np.flatnonzero((code != 0) & ~joined)
-    code, kind, text_of = code[left], kind[left], text_of[left]
+    code, exact, kind, text_of = code[left], exact[left], kind[left], text_of[left]
     name = name[left] & (kind < 0)
     n_words = np.bincount(text_of, minlength=len(texts))
     begin = np.r_[0, np.cumsum(n_words)]
@@ -153,20 +163,27 @@ def windows(texts: list[str], window: int, literals: int, accept):
         """Windows of ``size`` words inside words ``first`` to ``last`` that lie in one text."""
         own = text_of[first:last]
         whole = own[: len(own) - size + 1] == own[size - 1 :]
-        for named in (False, True):
+        for reading in (PLAIN, NAMED, EXACT):
             c, k = code[first:last], kind[first:last]
-            if named:
+            if reading == NAMED:
                 mask = name[first:last]
                 if not mask.any():
-                    break
+                    continue
                 c, k = np.where(mask, _PLACEHOLDER[NAME], c), np.where(mask, np.int8(NAME), k)
             literal = np.r_[0, np.cumsum(k < 0)]
-            ok = whole & (literal[size:] - literal[:-size] >= min(literals, size))
-            if named:  # a window without names is the same in both readings
+            enough = literal[size:] - literal[:-size] >= min(literals, size)
+            ok = whole & (~enough if reading == EXACT else enough)
+            if reading == NAMED:  # a window without names is the same in both readings
                 names = np.r_[0, np.cumsum(k == NAME)]
                 ok &= names[size:] > names[:-size]
-            hashes = _hashes(c, size, named)
-            for i in np.flatnonzero(ok & accept(hashes)):
+            elif reading == EXACT:
+                if not ok.any():
+                    continue
+                c, k = exact[first:last], np.full(last - first, -1, dtype=np.int8)
+            hashes = _hashes(c, size, reading)
+            named = reading == NAMED
+            chosen = np.flatnonzero(ok)
+            for i in chosen[accept(hashes[chosen])]:
                 text = int(own[i])
                 slots, offsets = [], []
                 for w in range(i, i + size):
@@ -179,7 +196,10 @@ def windows(texts: list[str], window: int, literals: int, accept):
 
     if len(left) >= window:
         look(0, len(left), window)
-    for text in np.flatnonzero((n_words > 0) & (n_words < window)):
+    for size in sizes or []:
+        if len(left) >= size:
+            look(0, len(left), size)
+    for text in np.flatnonzero((n_words > 0) & (n_words < window)) if sizes is None else []:
         look(int(begin[text]), int(begin[text + 1]), int(n_words[text]))
     return found
 
@@ -187,8 +207,8 @@ def windows(texts: list[str], window: int, literals: int, accept):
 _FIELDS = "key long, named boolean, hash long, pos int, size int, words int, slots array<string>, offsets array<int>"
 
 
-def _find(window: int, literals: int, bits):
-    """Task function: rows (key, UTF-8 text) to the windows with enough literal words; with ``bits``, those the filter lets through."""
+def _find(window: int, literals: int, bits, sizes: list[int] | None = None):
+    """Task function: rows (key, UTF-8 text) to its windows; with ``bits``, those the filter lets through."""
     schema = pa.schema([("key", pa.int64()), ("named", pa.bool_()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.string())), ("offsets", pa.list_(pa.int32()))])
 
     def accept(hashes: np.ndarray) -> np.ndarray:
@@ -204,7 +224,7 @@ def _find(window: int, literals: int, bits):
                 size += len(part[-1])
                 if size < PART_CHARS and i < ends:
                     continue
-                if rows := windows(part, window, literals, accept):
+                if rows := windows(part, window, literals, accept, sizes):
                     rows = [(keys[row[0]], *row[1:]) for row in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 part, keys, size = [], [], 0
@@ -261,12 +281,23 @@ def consistent(hits: list[tuple[int, int, list[str], list[str], list[int]]]) ->
     return sorted(covered), changed
 
 
+def longest_run(places: list[int]) -> int:
+    """Length of the longest row of consecutive numbers in ascending ones."""
+    if not places:
+        return 0
+    breaks = np.flatnonzero(np.diff(places) != 1) + 1
+    return int(np.diff(np.r_[0, breaks, len(places)]).max())
+
+
 def _covered(batches):
-    """Task function: alignments with their windows to the item words that are covered."""
+    """Task function: alignments with their windows to the item words that are covered, and the longest run of them."""
     for batch in batches:
         found = [consistent([tuple(h.values()) for h in hits.as_py()]) for hits in batch.column(3)]
         places, changed = ([f[i] for f in found] for i in range(2))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(changed, pa.bool_())], names=["doc_id", "item_id", "words", "places", "changed"])
+        runs = [longest_run(p) for p in places]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(runs, pa.int32()), pa.array(changed, pa.bool_())], names=["doc_id", "item_id", "words", "places", "run", "changed"]
+        )
 
 
 def contaminated(
@@ -279,29 +310,31 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    run: int = RUN,
 ) -> DataFrame:
     """``doc_id, item_id, covered, n_words, slots_changed`` of the items that documents hold.
 
     ``covered`` of the item's ``n_words`` canonical words lie in consistent
-    windows; ``slots_changed`` tells whether a slot has another value there.
+    windows, or ``run`` in a row; ``slots_changed`` tells whether a slot has another value there.
     """
     spark = docs.sparkSession
     ship(spark)
     items = saved(benchmark.select(F.col(item_col).cast("long").alias("key"), utf8(item_text_col).alias("text")).mapInArrow(_find(window, literals, None), _FIELDS), "items")
     bits = spark.sparkContext.broadcast(build_filter(items))
-    found = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("text")).mapInArrow(_find(window, literals, bits), _FIELDS)
+    sizes = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
+    found = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("text")).mapInArrow(_find(window, literals, bits, sizes), _FIELDS)
     asked = items.select(F.col("key").alias("item_id"), "named", "hash", F.col("pos").alias("item_pos"), "size", "words", F.col("slots").alias("item_slots"), "offsets").distinct()
     placed = found.select(F.col("key").alias("doc_id"), "named", "hash", "pos", "size", "slots")
     hits = placed.join(asked, ["hash", "named", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     # one alignment is one shift; it has at most as many windows as the item
     window_ = F.struct("item_pos", "size", F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"), "offsets")
     runs = hits.groupBy("doc_id", "item_id", "words", "named", "shift").agg(F.collect_set(window_).alias("hits"))
-    placed = runs.select("doc_id", "item_id", "words", "hits").mapInArrow(_covered, "doc_id long, item_id long, words int, places array<int>, changed boolean")
+    placed = runs.select("doc_id", "item_id", "words", "hits").mapInArrow(_covered, "doc_id long, item_id long, words int, places array<int>, run int, changed boolean")
     per_item = placed.where(F.size("places") > 0).groupBy("doc_id", "item_id", "words").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"), F.bool_or("changed").alias("slots_changed")
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"), F.max("run").alias("run"), F.bool_or("changed").alias("slots_changed")
     )
-    scored = per_item.select("doc_id", "item_id", "covered", F.col("words").alias("n_words"), "slots_changed")
-    return scored.where(F.col("covered") >= F.lit(coverage) * F.col("n_words"))
+    enough = (F.col("covered") >= F.lit(coverage) * F.col("words")) | (F.col("run") >= run)
+    return per_item.where(enough).select("doc_id", "item_id", "covered", F.col("words").alias("n_words"), "slots_changed")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

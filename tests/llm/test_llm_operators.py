@@ -247,6 +247,23 @@ def test_only_windows_with_a_clashing_slot_are_left_out(spark):
     assert decontamination.consistent([(0, 2, ["5"], ["6"], [1]), (2, 2, ["5"], ["7"], [0]), (4, 2, ["5"], ["5"], [0]), (6, 2, [], [], [])]) == ([0, 1, 4, 5, 6, 7], True)
 
 
+def test_number_heavy_short_and_partly_copied_items(spark):
+    long = " ".join(f"{a}{b}" for a in ("ba", "ke", "li", "mo", "nu", "po", "ra") for b in ("den", "fos", "gim", "hul", "jar", "kep", "lon", "mis"))
+    bench = spark.createDataFrame([(0, "What is 12 + 5 - 3 * 7?"), (1, "name seven seas"), (2, long), (3, "is 4 a prime")], "item_id long, text string")
+    pad = "lorem ipsum dolor sit amet consectetur adipiscing elit "
+    texts = [
+        pad + "what is 12 + 5 - 3 * 7? " + pad,
+        pad + "what is 13 + 6 - 4 * 8? " + pad,
+        pad + "Name seven seas, please " + pad,
+        pad + " ".join(long.split()[10:35]) + " " + pad,
+        pad + " ".join(long.split()[10:20]) + " " + pad,
+        pad + "tell me: is 4 a prime " + pad,
+        pad + "a list of words, and m or s " + pad,
+    ]
+    found = decontamination.contaminated(build(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(0, 0), (2, 1), (3, 2), (5, 3)]
+
+
 def test_filter_has_no_misses():
     rng = np.random.default_rng(2)
     hashes = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
