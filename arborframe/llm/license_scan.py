@@ -1,8 +1,10 @@
 """Operator 6: licence labels by phrases and by an exact set-similarity join.
 
 Phrases are places where given words stand consecutively.  The join finds every
-block (line) of a text that holds at least ``threshold`` of the distinct words of
-a template.  Words are ordered by their frequency over all documents, rarest
+block of a text that holds at least ``threshold`` of the distinct words of
+a template.  The blocks are all windows of ``SPREAD`` times as many words as the
+template has, across line breaks, so a notice may be wrapped and words that are
+scattered over a longer text are none.  Words are ordered by their frequency over all documents, rarest
 first.  To hold o of a template's n words, a block must have one of the template's
 n - o + 1 rarest words (prefix filter) and at least o words (length filter),
 and at any shared word the words after it on both sides must still suffice
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import ship, utf8
 
 THRESHOLD = 0.9
+SPREAD = 1.25  # words of a block to words of the template
 
 # Labels of phrases, and notices as the licences themselves word them.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -56,12 +59,13 @@ def words_of(data: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """Templates in the global word order, and which of them each prefix word may start."""
+    """Templates in the global word order, which of them each prefix word may start, and the words of their blocks."""
 
     rank: dict[bytes, int]
     templates: dict[str, tuple[bytes, ...]]
     needed: dict[str, int]
     prefix: dict[bytes, tuple[tuple[str, int], ...]]
+    span: dict[str, int] = field(default_factory=dict)
 
 
 def build_index(templates: dict[str, str], frequency: dict[bytes, int], threshold: float) -> Index:
@@ -75,7 +79,8 @@ def build_index(templates: dict[str, str], frequency: dict[bytes, int], threshol
     for label, words in ordered.items():
         for i, word in enumerate(words[: len(words) - needed[label] + 1]):
             prefix.setdefault(word, []).append((label, i))
-    return Index(rank, ordered, needed, {w: tuple(found) for w, found in prefix.items()})
+    span = {label: math.ceil(SPREAD * len(words_of(text.encode()))) for label, text in templates.items()}
+    return Index(rank, ordered, needed, {w: tuple(found) for w, found in prefix.items()}, span)
 
 
 def matches(block: set[bytes], index: Index) -> dict[str, float]:
@@ -97,6 +102,44 @@ def matches(block: set[bytes], index: Index) -> dict[str, float]:
     return found
 
 
+def window_matches(words: list[bytes], index: Index) -> dict[str, float]:
+    """Largest containment by label of the templates that a window of the text meets.
+
+    Only windows with a prefix word are looked at: places that are close to each
+    other are one stretch, which is filtered as a block before windows slide over it.
+    """
+    places: dict[str, list[int]] = {}
+    for at, word in enumerate(words):
+        for label, _ in index.prefix.get(word, ()):
+            places.setdefault(label, []).append(at)
+    found: dict[str, float] = {}
+    for label, at in places.items():
+        template, needed, span = index.templates[label], index.needed[label], index.span[label]
+        mine, first = set(template), 0
+        for i in range(1, len(at) + 1):
+            if i < len(at) and at[i] - at[i - 1] < span:
+                continue
+            start, end = max(0, at[first] - span + 1), at[i - 1] + span
+            first = i
+            if label not in matches(set(words[start:end]), index):
+                continue
+            hits = [k for k in range(start, min(end, len(words))) if words[k] in mine]
+            inside: dict[bytes, int] = {}
+            left = best = 0
+            for k in hits:
+                inside[words[k]] = inside.get(words[k], 0) + 1
+                while hits[left] <= k - span:
+                    old = words[hits[left]]
+                    inside[old] -= 1
+                    if not inside[old]:
+                        del inside[old]
+                    left += 1
+                best = max(best, len(inside))
+            if best >= needed:
+                found[label] = max(found.get(label, 0.0), best / len(template))
+    return found
+
+
 def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> tuple[list[int], set[str]]:
     """Starts of all phrases, in words from 0, and their labels."""
     line = b" " + b" ".join(words) + b" "
@@ -146,11 +189,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
             data = x.as_py() or b""
             words = words_of(data)
             starts, base = phrase_places(words, encoded)
-            found: dict[str, float] = {}
-            if not index.prefix.keys().isdisjoint(words):
-                for line in data.split(b"\n"):
-                    for label, share in matches(set(words_of(line)), index).items():
-                        found[label] = max(share, found.get(label, 0.0))
+            found = {} if index.prefix.keys().isdisjoint(words) else window_matches(words, index)
             out.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | found.keys())), max(found.values(), default=0.0)))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 7
@@ -161,7 +200,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
 
 
 def _sql() -> str:
-    """SQL twin: every line against every template, without filters."""
+    """SQL twin: every line against every template, without filters; the same where notices stand on short lines of their own."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     templates = ", ".join(f"('{label}', {[w.decode() for w in sorted(set(words_of(text.encode())))]})" for label, text in TEMPLATES.items())

@@ -344,6 +344,33 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_and_scattered_words(spark):
+    wrapped = {label: "\n".join(f" * {' '.join(w)}" for w in (text.split()[i : i + 5] for i in range(0, len(text.split()), 5))) for label, text in license_scan.TEMPLATES.items()}
+    texts = [f"{EN}\n{text}\n{DE}" for text in wrapped.values()]
+    scattered = " ".join(w + " lorem ipsum dolor" for w in license_scan.TEMPLATES["mit-notice"].split())
+    rows = by_id(license_scan.scan(build(spark, [*texts, scattered])))
+    for i, label in enumerate(wrapped):
+        assert label in rows[i]["labels"].split(",") and rows[i]["score"] == 1.0
+    assert (rows[len(texts)]["labels"], rows[len(texts)]["score"]) == ("", 0.0)
+
+
+def test_windows_find_what_all_windows_find():
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(12)]
+    for threshold in (0.5, 0.7, 1.0):
+        templates = {f"t{i}": " ".join(rng.choices(vocabulary, k=rng.randint(1, 8))) for i in range(6)}
+        index = license_scan.build_index(templates, {w.encode(): rng.randint(0, 5) for w in vocabulary}, threshold)
+        for _ in range(100):
+            words = [w.encode() for w in rng.choices(vocabulary + ["other"] * 12, k=rng.randint(0, 60))]
+            expected = {}
+            for label, text in templates.items():
+                mine, span = {w.encode() for w in text.split()}, math.ceil(license_scan.SPREAD * len(text.split()))
+                best = max(len(mine & set(words[max(0, i - span) : i])) for i in range(len(words) + 1))
+                if best >= threshold * len(mine) - 1e-9:
+                    expected[label] = best / len(mine)
+            assert license_scan.window_matches(words, index) == expected
+
+
 # ---------------------------------------------------------------- 7
 def katz_by_hand(texts, held, size):
     """Scores by the same definition, one token at a time."""
