@@ -8,12 +8,15 @@ vectors hashed from them:
 * eight lanes modulo 2^32, from four 64-bit hashes of each paragraph: equal
   multisets have equal sums, others with negligible probability do too;
 * 252 lanes modulo 2^8, seven to a word; each paragraph adds an odd number, drawn
-  from its hash, to one of them.
+  from its hash, to one of them;
+* six times as many lanes again, of which level j has those paragraphs only whose hash
+  ends in 2 j zero bits, one in 4^j.
 
 States add and subtract lane by lane, so paragraphs can be inserted and deleted
 in any order without reading the rest (``add``, ``remove``).  The number of lanes
 that are not zero estimates how many different paragraphs a state has, and that
-of lanes in which two states differ how many paragraphs do; from these follows
+of lanes in which two states differ how many paragraphs do, on the first level where
+at most ``FULL`` lanes are; from these follows
 the ``likeness``: the estimated Jaccard similarity, 1 for equal states.
 
 Defined results: a null text is empty; texts without paragraphs are equal to
@@ -38,6 +41,8 @@ WORDS = 36
 GROUP = 6  # words that are filled together
 PER_WORD = 7  # lanes of a byte; the eighth stays free, so that no sum overflows
 LANES = PER_WORD * WORDS
+LEVELS = 7  # up to a million different paragraphs
+FULL = 200  # lanes of a level that may be used
 ALL = (1 << 8 * PER_WORD) - 1
 HIGH = sum(0x80 << 8 * i for i in range(PER_WORD))  # the top bit of each lane
 REST = ALL ^ HIGH
@@ -67,16 +72,22 @@ def with_state_of(rows: DataFrame, parts_col: str, name: str) -> DataFrame:
     hashes = [f"__hash{seed}_{name}" for seed in range(HASHES)]
     for seed, column in enumerate(hashes):
         rows = rows.withColumn(column, _hashed(parts_col, seed))
-    places = f"__places_{name}"
-    rows = rows.withColumn(places, F.transform(hashes[0], _place))
+    places = [f"__places{level}_{name}" for level in range(LEVELS)]
+    rows = rows.withColumn(places[0], F.transform(hashes[0], _place))
+
+    def chosen(level: int) -> Column:
+        return F.filter(places[0], lambda _, i: F.get(hashes[1], i).bitwiseAND(F.lit((1 << 2 * level) - 1)) == 0)
+
+    for level, column in enumerate(places[1:], 1):
+        rows = rows.withColumn(column, chosen(level))
 
     def lane(column: str, high: bool) -> Column:
         part = (lambda h: F.shiftrightunsigned(h, 32)) if high else (lambda h: h.bitwiseAND(F.lit(LOW)))
         return F.aggregate(column, F.lit(0).cast("long"), lambda total, h: (total + part(h)).bitwiseAND(F.lit(LOW)))
 
-    def group(g: Column) -> Column:
+    def group(places_col: str, g: Column) -> Column:
         """Six words from the places that belong to them, picked out once and held in an array of one."""
-        mine = F.array(F.filter(places, lambda at: F.shiftright(at, 59) == g))
+        mine = F.array(F.filter(places_col, lambda at: F.shiftright(at, 59) == g))
         return F.transform(mine, lambda few: F.transform(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda i: word(few, i)))[0]
 
     def word(few: Column, i: Column) -> Column:
@@ -84,8 +95,13 @@ def with_state_of(rows: DataFrame, parts_col: str, name: str) -> DataFrame:
 
     number = F.array(F.size(parts_col).cast("long"))
     sums = F.array(*[lane(column, high) for column in hashes for high in (False, True)])
-    lanes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WORDS // GROUP - 1)), group))
-    return rows.withColumn(name, F.concat(number, sums, lanes)).drop(parts_col, places, *hashes)
+    none = F.array_repeat(F.lit(0).cast("long"), WORDS)
+
+    def words_of(column: str) -> Column:
+        lanes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WORDS // GROUP - 1)), lambda g: group(column, g)))
+        return F.when(F.size(column) == 0, none).otherwise(lanes)
+
+    return rows.withColumn(name, F.concat(number, sums, *map(words_of, places))).drop(parts_col, *places, *hashes)
 
 
 _FACTORS = [1 << 8 * i for i in range(PER_WORD)]
@@ -127,7 +143,7 @@ def _lanewise(a: Column, b: Column, sign: int) -> Column:
 
     number = part(1, 1, lambda x, y: x + sign * y)
     sums = part(2, SUMS, lambda x, y: (x + sign * y).bitwiseAND(F.lit(LOW)))
-    return F.concat(number, sums, part(2 + SUMS, WORDS, _add_lanes if sign > 0 else _subtract_lanes))
+    return F.concat(number, sums, part(2 + SUMS, WORDS * LEVELS, _add_lanes if sign > 0 else _subtract_lanes))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -141,24 +157,39 @@ def remove(a: Column, b: Column) -> Column:
 
 
 def fingerprint(s: Column) -> Column:
-    """The state as hexadecimal text: number, sums, lanes."""
-    return F.lower(F.array_join(F.transform(s, lambda x, i: F.lpad(F.hex(x), F.when(i <= SUMS, 8).otherwise(2 * PER_WORD), F.lit("0"))), ""))
+    """Number, sums and lanes of all paragraphs as hexadecimal text."""
+    return F.lower(F.array_join(F.transform(F.slice(s, 1, 1 + SUMS + WORDS), lambda x, i: F.lpad(F.hex(x), F.when(i <= SUMS, 8).otherwise(2 * PER_WORD), F.lit("0"))), ""))
+
 
+def _used(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda t, w: t + _used_lanes(w))
 
-def _kinds(words: Column) -> Column:
-    """Estimated number of different paragraphs, from the share of lanes that are used (linear counting)."""
-    used = F.aggregate(words, F.lit(0), lambda t, w: t + _used_lanes(w))
+
+def _kinds(used: Column) -> Column:
+    """Estimated number of different paragraphs, from the number of lanes that are used (linear counting)."""
     return -LANES * F.log(1 - F.least(used, F.lit(LANES - 0.5)) / LANES)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two multisets, from 0 to 1."""
-    x, y = (F.slice(s, 2 + SUMS, WORDS) for s in (a, b))
-    both = _kinds(x) + _kinds(y)
-    differing = _kinds(F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w)))
-    # (both - differing) / (both + differing), from one evaluation of each
-    ratio = F.greatest(F.lit(0.0), F.lit(2.0) / (1 + F.coalesce(F.try_divide(differing, both), F.lit(1.0))) - 1)
-    return F.when(F.slice(a, 1, 1 + SUMS) == F.slice(b, 1, 1 + SUMS), 1.0).otherwise(ratio)
+
+    def used(level: Column) -> Column:
+        x, y = (F.slice(s, F.lit(2 + SUMS) + level * WORDS, F.lit(WORDS)) for s in (a, b))
+        return F.array(_used(x), _used(y), _used(F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))))
+
+    def ratio(u: Column) -> Column:
+        # (both - differing) / (both + differing), from one evaluation of each
+        both = _kinds(u[0]) + _kinds(u[1])
+        return F.greatest(F.lit(0.0), F.lit(2.0) / (1 + F.coalesce(F.try_divide(_kinds(u[2]), both), F.lit(1.0))) - 1)
+
+    # the first level that is not too full, or else the last; the levels after it are not looked at
+    chosen = F.aggregate(
+        F.sequence(F.lit(0), F.lit(LEVELS - 1)),
+        F.array().cast("array<int>"),
+        lambda found, level: F.when((F.size(found) > 0) & (F.array_max(found) <= FULL), found).otherwise(used(level)),
+    )
+    estimate = F.transform(F.array(chosen), ratio)[0]
+    return F.when(F.slice(a, 1, 1 + SUMS) == F.slice(b, 1, 1 + SUMS), 1.0).otherwise(estimate)
 
 
 def _chunk_starts(ids: DataFrame) -> tuple[list[int], bool]:

@@ -592,3 +592,15 @@ def test_states_add_and_remove(spark):
         frame = multiset_hash.with_state(frame, column, f"s_{column}")
     r = frame.select("s_a", "s_both", multiset_hash.add(F.col("s_a"), F.col("s_b")).alias("sum"), multiset_hash.remove(F.col("s_both"), F.col("s_b")).alias("rest")).first()
     assert r["sum"] == r["s_both"] and r["rest"] == r["s_a"]
+
+
+@pytest.mark.parametrize("n", [20, 2_000, 6_000, 20_000])
+def test_likeness_of_long_texts(spark, n):
+    a, b = ([f"{name} paragraph {i}" for i in range(n)] for name in "ab")
+    half = a[: n // 2] + b[: n // 2]
+    frame = spark.createDataFrame([tuple("\n".join(x) for x in (a, b, half))], "a string, b string, half string")
+    for column in ("a", "b", "half"):
+        frame = multiset_hash.with_state(frame, column, f"s_{column}")
+    r = frame.select(*[multiset_hash.likeness(F.col("s_a"), F.col(f"s_{c}")).alias(c) for c in ("a", "b", "half")]).first()
+    exact = len({*a} & {*half}) / len({*a} | {*half})
+    assert r["a"] == 1.0 and r["b"] < 0.15 and abs(r["half"] - exact) < 0.15
