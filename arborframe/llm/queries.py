@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covering, decontamination, katz, language_id, license_scan, mixing, multiset_hash, piece_counts, token_files, warc
+from . import covering, decontamination, hard_negatives, katz, language_id, license_scan, mixing, multiset_hash, piece_counts, token_files, warc
 from .common import table
 
 OP1_SQL = """
@@ -57,6 +57,10 @@ def op10_multiset_hash(spark, sf_dir):
     return multiset_hash.edited_table(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_language_id": (op2_language_id, None),
@@ -68,4 +72,5 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_covering_simhash": (op9_covering_simhash, None),
     "op10_multiset_hash": (op10_multiset_hash, None),
+    "op11_hard_negatives": (op11_hard_negatives, hard_negatives.SQL),
 }
