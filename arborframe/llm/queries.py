@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covering, decontamination, hard_negatives, katz, language_id, license_scan, mixing, multiset_hash, piece_counts, prefix_trie, token_files, warc
+from . import covering, decontamination, hard_negatives, katz, language_id, license_scan, mixing, multi_index, multiset_hash, piece_counts, prefix_trie, token_files, warc
 from .common import table
 
 OP1_SQL = """
@@ -61,6 +61,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
 
 
+def op12_multi_index(spark, sf_dir):
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -77,5 +81,6 @@ QUERIES = {
     "op9_covering_simhash": (op9_covering_simhash, None),
     "op10_multiset_hash": (op10_multiset_hash, None),
     "op11_hard_negatives": (op11_hard_negatives, hard_negatives.SQL),
+    "op12_multi_index": (op12_multi_index, None),
     "op13_prefix_trie": (op13_prefix_trie, prefix_trie.SQL),
 }
