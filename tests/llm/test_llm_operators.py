@@ -49,7 +49,7 @@ def by_id(frame):
 
 
 def test_names():
-    assert [n.partition("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.partition("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 # ---------------------------------------------------------------- 1
