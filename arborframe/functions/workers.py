@@ -1,7 +1,7 @@
 """Python code that runs inside Spark tasks.
 
-Only what has no built-in expression: archive members, compressed JSON arrays,
-depth-unbounded walks over a document, one file per row.  Each function maps an
+Only what has no built-in expression: depth-unbounded walks over a document,
+one file per row.  Each function maps an
 iterator of Arrow batches and keeps no state across documents.
 The module is pickled by value, so executors need no installed package.
 """
@@ -16,9 +16,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK = 1 << 20
 ROWS = 2000
-METADATA = ("_id_x", "_date", "_file")
 
 
 def _batches(rows, **types):
@@ -44,88 +42,6 @@ def _keyed_batches(batches, rows_of, **types):
         yield from _batches(rows_of(_pairs(batch, "key", "text")), key=batch.schema.field("key").type, **types)
 
 
-# ---------------------------------------------------------------- archives and dumps
-ZIP_SCHEMA = "path string, _file string, raw string"
-
-
-def zip_members(batches):
-    import io
-    import zipfile
-    import zlib
-
-    def rows():
-        for batch in batches:
-            for archive, content in _pairs(batch, "path", "content"):
-                with zipfile.ZipFile(io.BytesIO(content)) as members:
-                    for name in members.namelist():
-                        base = name.rsplit("/", 1)[-1]
-                        if base.endswith("json") and "." in base[:-4]:
-                            try:
-                                text = members.read(name).decode("utf-8")
-                            except (UnicodeDecodeError, zipfile.BadZipFile, zlib.error):
-                                text = None  # becomes a reject; the other members stay
-                            yield f"{archive}/{name}", base, text
-
-    yield from _batches(rows(), path="string", _file="string", raw="string")
-
-
-DUMP_SCHEMA = "path string, pos long, raw string, _id_x long, _date string, _file string"
-
-
-def _text_chunks(content):
-    import codecs
-    import zlib
-
-    decode = codecs.getincrementaldecoder("utf-8")().decode
-    if content[:2] != b"\x1f\x8b":
-        for at in range(0, len(content), CHUNK):
-            yield decode(content[at : at + CHUNK])
-        return
-    inflate, at = zlib.decompressobj(31), 0
-    while at < len(content):
-        yield decode(inflate.decompress(content[at : at + CHUNK]))
-        at += CHUNK
-        if inflate.eof:  # a gzip file may consist of several members
-            rest = inflate.unused_data + content[at:]
-            inflate, content, at = zlib.decompressobj(31), rest, 0
-    if content and not inflate.eof:
-        raise ValueError("compressed dump is truncated")
-
-
-def _json_values(chunks):
-    """Members of one JSON array, or of a sequence of values, read piecewise."""
-    decoder, text, at, started = json.JSONDecoder(), "", 0, False
-    for chunk in chunks:
-        text, at = text[at:] + chunk, 0
-        while True:
-            while at < len(text) and (text[at] in " \t\r\n,]" or (text[at] == "[" and not started)):
-                started = started or text[at] == "["
-                at += 1
-            if at >= len(text):
-                break
-            try:
-                value, at = decoder.raw_decode(text, at)
-            except ValueError:
-                break  # incomplete: wait for the next chunk
-            started = True
-            yield value
-    if text[at:].strip(" \t\r\n,]"):
-        raise ValueError("dump is not valid JSON")
-
-
-def dump_members(batches):
-    def rows():
-        for batch in batches:
-            for path, content in _pairs(batch, "path", "content"):
-                for pos, tree in enumerate(_json_values(_text_chunks(content))):
-                    kept = {k: tree.pop(k, None) for k in METADATA}
-                    yield path, pos, json.dumps(tree), kept["_id_x"], kept["_date"], kept["_file"]
-
-    yield from _batches(
-        rows(), path="string", pos="int64", raw="string", _id_x="int64", _date="string", _file="string"
-    )
-
-
 # ---------------------------------------------------------------- document walks
 def _scalar(value):
     """Text and JSON type of a leaf; text is as written, without quotes."""

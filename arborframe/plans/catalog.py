@@ -17,7 +17,7 @@ from ..operators import access, filters, joins, match, nodes, stats, validate
 from ..operators import views as tables
 from ..session import scratch_path
 from ..sources import readers, stamp, writers
-from . import packing, sql
+from . import sql
 from .views import order_documents, order_text, relational, stored_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -660,22 +660,27 @@ def _(spark, sf):
 
 @query("import_zip", sql.with_documents(f"SELECT t._file, {SUMMARY_SQL} FROM t"))
 def _(spark, sf):
-    archives = order_text(spark, sf).select(
-        F.concat("_file", F.lit(".zip")).alias("path"), F.pandas_udf(packing.zip_bytes, "binary")("_file", "raw").alias("content")
-    )
-    return _summary(model.documents(readers.zip_documents(archives)), "_file")
+    folder = scratch_path(spark, "archives")
+    writers.save_archives(order_text(spark, sf), folder)
+    return _summary(model.documents(readers.import_zip(spark, folder)), "_file")
 
 
 @query("import_dump", sql.with_documents(f"SELECT t._id_x, t._file, {SUMMARY_SQL} FROM t"))
 def _(spark, sf):
-    stored = writers.doc_json(order_text(spark, sf), metadata=True)
-    files = stored.select(
-        F.lpad(F.col("_id_x").cast("string"), 12, "0").alias("path"), F.pandas_udf(packing.gzip_bytes, "binary")("json").alias("content")
-    )
-    rows = readers.dump_documents(files).drop("_id_x", "_date")
+    folder = scratch_path(spark, "arrays")
+    writers.save_arrays(order_text(spark, sf), folder)
+    rows = readers.read_dump(spark, folder).where("rejected IS NULL").drop("_id_x", "_date", "rejected")
     return _summary(model.documents(stamp.stamp_metadata(rows, "path", "pos")), "_id_x", "_file")
 
 
+@query("import_dump_lines", sql.with_documents(f"SELECT t._file, t._id_x AS stored_id, {SUMMARY_SQL} FROM t"))
+def _(spark, sf):
+    """The splittable dump is a sequence of values to the scanner."""
+    path = scratch_path(spark, "dump")
+    writers.save_dump(order_text(spark, sf), path)
+    return _summary(readers.load_dump(spark, path, form="array"), "_file", "_id_x").withColumnRenamed("_id_x", "stored_id")
+
+
 @query("save_dump", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders")
 def _(spark, sf):
     path = scratch_path(spark, "dump")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import model
-from ..functions import scalars, workers
+from ..functions import archives, scalars, workers
+from ..session import saved
 
 
 def doc_json(docs: DataFrame, metadata: bool = False, indent: int | None = None) -> DataFrame:
@@ -32,6 +33,25 @@ def save_dump(docs: DataFrame, path: str) -> None:
     doc_json(docs, metadata=True).select(one_line).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def save_arrays(docs: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Whole collection as compressed JSON arrays, metadata included, in id order over the part files.
+
+    Returns the files written; as each is written whole, a part is best kept to some 100 MB.
+    """
+    order = ["_id_x", "raw"]
+    placed = docs.repartitionByRange(files, *order) if files else docs.repartitionByRange(*order)
+    texts = doc_json(placed.sortWithinPartitions(*order), metadata=True).select(F.lit("").alias("name"), F.col("json").alias("text"))
+    return saved(texts.mapInArrow(archives.write_arrays(path), archives.WRITTEN), "written")
+
+
+def save_archives(docs: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Document texts as ZIP archives, one per partition; returns the files written."""
+    order = ["_id_x", "raw"]
+    placed = docs.repartitionByRange(files, *order) if files else docs.repartitionByRange(*order)
+    texts = placed.select(F.concat(F.lit("trees/"), "_file").alias("name"), F.col("raw").alias("text")).where("_file IS NOT NULL AND raw IS NOT NULL")
+    return saved(texts.mapInArrow(archives.write_zips(path), archives.WRITTEN), "written")
+
+
 def save_table(docs: DataFrame, path: str) -> None:
     """Whole collection (columnar, or just its text) as Parquet, sorted so that species and place skip row groups.
 

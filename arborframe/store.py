@@ -52,12 +52,12 @@ class TreeStore:
 
     def import_db(self, path: str, overwrite: bool = False) -> int:
         """All documents of a dump, with new ids and dates; returns how many were added."""
-        rows = readers.read_dump(self.spark, path).select("path", "pos", "_file", "raw")
+        rows = readers.read_dump(self.spark, path).where("rejected IS NULL").select("path", "pos", "_file", "raw")
         return self._add(rows, [stamp.path_order(F.col("path")), "pos"], overwrite)
 
     def load(self, path: str) -> None:
         """Replace the collection by a dump, ids and dates as stored."""
-        self._set_text(readers.read_dump(self.spark, path).select(*TEXT))
+        self._set_text(readers.read_dump(self.spark, path).where("rejected IS NULL").select(*TEXT))
 
     def save(self, path: str) -> None:
         """Write the collection as a Parquet table."""
