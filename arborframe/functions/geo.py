@@ -329,6 +329,42 @@ def ring_shape(ring: Column, sides: Column, walk: Column) -> Column:
     )
 
 
+def ring_arcs(sides: Column) -> Column:
+    """Sides of a ring as arcs: unit normal ``x, y, z``, middle ``mx, my, mz`` and half the length."""
+
+    def ends(s: Column) -> Column:
+        west_lat, east_lat = F.when(s["turn"] > 0, s["a"]).otherwise(s["b"]), F.when(s["turn"] > 0, s["b"]).otherwise(s["a"])
+        units = [F.struct(*[c.alias(n) for n, c in zip("xyz", unit_columns(lon, lat))]) for lon, lat in ((s["w"], west_lat), (s["e"], east_lat))]
+        return F.struct(s.alias("s"), units[0].alias("p"), units[1].alias("q"))
+
+    def arc(u: Column) -> Column:
+        p, q, n = ([u[end][k] for k in "xyz"] for end in "pqs")
+        length = F.sqrt(_dot(n, n))
+        middle = [i + j for i, j in zip(p, q)]
+        scale = F.sqrt(_dot(middle, middle))
+        normal = [F.when(length > 0, k / length).otherwise(0.0).alias(c) for c, k in zip("xyz", n)]
+        centre = [F.when(scale > 0, k / scale).otherwise(0.0).alias(f"m{c}") for c, k in zip("xyz", middle)]
+        chord = [i - j for i, j in zip(p, q)]
+        return F.struct(*normal, *centre, F.asin(F.least(F.lit(1.0), F.sqrt(_dot(chord, chord)) / 2)).alias("half"))
+
+    return F.transform(F.transform(sides, ends), arc)
+
+
+def any_arc_within(arcs: Column, x: Column, y: Column, z: Column, radius: Column) -> Column:
+    """False only if no arc comes within ``radius`` (an angle) of the point.
+
+    An arc is at least as far away as its great circle, and as its middle less
+    half its length.
+    """
+
+    def near(a: Column) -> Column:
+        circle = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * a["x"] + y * a["y"] + z * a["z"]))))
+        middle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * a["mx"] + y * a["my"] + z * a["mz"])))
+        return (circle <= radius) & (middle <= radius + a["half"] + 1e-9)
+
+    return F.exists(arcs, near)
+
+
 def is_strict(geom: Mapping[str, Any]) -> bool:
     crs = geom.get("crs") or {}
     return (crs.get("properties") or {}).get("name") == STRICT_WINDING

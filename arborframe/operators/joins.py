@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import geo
+from ..session import saved
 from .match import ElementScope, compile_filter
 
 
@@ -125,14 +126,14 @@ class _Grid:
     cell; a search is copied to every cell its bounding box touches.  The join
     is a sort-merge join: neither side is broadcast, whatever it grows to, and
     adaptive execution splits the documents of a cell that holds most of them by
-    their measured size.
+    their measured size.  The height of a cell may be a column.
     """
 
     KEYS = ("_x", "_y")
 
-    def __init__(self, degrees: float):
+    def __init__(self, degrees: float | Column, rows: int | Column | None = None):
         self.degrees = degrees
-        self.rows = math.ceil(180.0 / degrees)
+        self.rows = math.ceil(180.0 / degrees) if rows is None else rows
 
     def _y(self, lat: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.floor((lat + 90.0) / self.degrees), F.lit(self.rows - 1))).cast("int")
@@ -174,12 +175,6 @@ def _boxed(searches: DataFrame, west: Column, south: Column, east: Column, north
     return model.computed_once(searches, "_box", F.struct(west.alias("w"), south.alias("s"), east.alias("e"), north.alias("n")))
 
 
-def _cell_of(boxed: DataFrame) -> float:
-    """Cell height in degrees: the median height of the search boxes, so that a box touches a few cells."""
-    height = boxed.agg(F.percentile_approx(F.col("_box.n") - F.col("_box.s"), 0.5)).first()[0]
-    return min(max(height or 1.0, 0.01), 90.0)
-
-
 _SLACK = 1e-9  # degrees; keeps rounding from cutting a bounding box short
 
 
@@ -215,25 +210,69 @@ def spatial_join(
     )
 
 
-def spatial_join_polygons(docs: DataFrame, searches: DataFrame, cell_degrees: float | None = None) -> DataFrame:
-    """Documents inside each search polygon: ``search_id, _id_x``.
+#: Levels of the covering: a cell of level n is 180 / 2**n degrees high.
+_COARSEST, _FINEST = 1, 16
 
-    ``searches`` has ``search_id`` and ``ring ARRAY<ARRAY<DOUBLE>>``, a closed
-    ring with great-circle edges that lies within one hemisphere and encloses no
-    pole; other rings raise (use ``within_polygon`` for those).
+
+def _level_grid() -> _Grid:
+    rows = F.expr("shiftleft(1, _level)")
+    return _Grid(F.lit(180.0) / rows, rows)
+
+
+def ring_cover(searches: DataFrame, cells_across: float = 8.0) -> DataFrame:
+    """Cells of each search ring: ``search_id, _level, _x, _y, _whole, _edges``.
+
+    A search has cells of one size, by its own size, so that about
+    ``cells_across`` of them lie side by side whatever the others need. A cell
+    that no side of the ring can reach is dropped where its centre is outside
+    and is ``_whole`` where it is inside; only the cells on the border carry the
+    ring's edges.
     """
     ring, sides, walk = F.col("ring"), F.col("_sides"), F.col("_walk")
     rings = model.computed_once(searches.select("search_id", "ring"), "_sides", geo.ring_sides(ring))
     rings = model.computed_once(rings, "_walk", geo.ring_walk(ring, sides))
     rings = model.computed_once(rings, "_ring", geo.ring_shape(ring, sides, walk))
+    rings = model.computed_once(rings, "_arcs", geo.ring_arcs(sides))
     box = [F.col(f"_ring.{name}") for name in ("west", "south", "east", "north")]
     boxed = _boxed(rings, *[c + s for c, s in zip(box, (-_SLACK, -_SLACK, _SLACK, _SLACK))])
-    grid = _Grid(cell_degrees or _cell_of(boxed))
-    placed = grid.searches(boxed)
-    placed = placed.select("search_id", F.col("_ring.edges").alias("_edges"), *_Grid.KEYS)
+    south, north = F.col("_box.s"), F.col("_box.n")
+    nearest = F.when((south < 0) & (north > 0), 0.0).otherwise(F.least(F.abs(south), F.abs(north)))
+    size = F.greatest(north - south, (F.col("_box.e") - F.col("_box.w")) * F.cos(F.radians(nearest)), F.lit(1e-6))
+    level = F.floor(F.log2(F.lit(180.0 * cells_across) / size))
+    boxed = model.computed_once(boxed, "_level", F.greatest(F.lit(_COARSEST), F.least(F.lit(_FINEST), level)).cast("int"))
+    grid = _level_grid()
+    placed = grid.searches(boxed.select("search_id", "_ring", "_arcs", "_box", "_level"))
+    width = F.lit(360.0) / grid._width(F.col("_y"))
+    lon, lat = (F.col("_x") + 0.5) * width - 180.0, (F.col("_y") + 0.5) * grid.degrees - 90.0
+    # The point of a cell that is farthest from its centre is a corner.
+    corners = [geo.distance_m(lon, lat, lon + width / 2, lat + way * grid.degrees / 2) for way in (-1, 1)]
+    radius = F.greatest(*corners) / geo.EARTH_RADIUS_M + _SLACK
+    centre = model.computed_once(placed, "_at", F.struct(lon.alias("lon"), lat.alias("lat"), radius.alias("radius"), *[c.alias(n) for n, c in zip("xyz", geo.unit_columns(lon, lat))]))
+    border = geo.any_arc_within(F.col("_arcs"), *[F.col(f"_at.{n}") for n in "xyz"], F.col("_at.radius"))
+    judged = model.computed_once(centre, "_border", border)
+    edges = F.col("_ring.edges")
+    kept = judged.where(F.col("_border") | geo.inside_ring(edges, F.col("_at.lon"), F.col("_at.lat")))
+    return kept.select("search_id", "_level", *_Grid.KEYS, (~F.col("_border")).alias("_whole"), F.when(F.col("_border"), edges).alias("_edges"))
+
+
+def spatial_join_polygons(docs: DataFrame, searches: DataFrame, cells_across: float = 8.0) -> DataFrame:
+    """Documents inside each search polygon: ``search_id, _id_x``.
+
+    ``searches`` has ``search_id`` and ``ring ARRAY<ARRAY<DOUBLE>>``, a closed
+    ring with great-circle edges that lies within one hemisphere and encloses no
+    pole; other rings raise (use ``within_polygon`` for those).
+
+    Searches are covered by cells of a size of their own (see ``ring_cover``);
+    a document joins once per size that occurs, of which there are at most 16,
+    and the ring itself is only tested in cells on its border.
+    """
+    cover = saved(ring_cover(searches, cells_across), "cover")
+    levels = [r["_level"] for r in cover.select("_level").distinct().collect()]  # at most 16
+    lived = docs.select("_id_x", "lon", "lat", F.explode(F.array(*map(F.lit, sorted(levels) or [_COARSEST]))).alias("_level"))
+    grid, y = _level_grid(), _level_grid()._y(F.col("lat"))
+    lived = lived.select("*", grid._x(F.col("lon"), grid._width(y)).alias("_x"), y.alias("_y"))
     return (
-        grid.documents(docs)
-        .join(placed.hint("merge"), list(_Grid.KEYS))
-        .where(geo.inside_ring(F.col("_edges"), F.col("lon"), F.col("lat")))
+        lived.join(cover.hint("merge"), ["_level", *_Grid.KEYS])
+        .where(F.col("_whole") | geo.inside_ring(F.col("_edges"), F.col("lon"), F.col("lat")))
         .select("search_id", "_id_x")
     )

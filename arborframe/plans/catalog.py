@@ -426,6 +426,19 @@ def _(spark, sf):
     return hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_id_x").alias("ids"))
 
 
+@query("spatial_join_polygon_sizes", sql.POLYGON_JOIN_SIZES)
+def _(spark, sf):
+    """Searches whose sizes differ by a factor of 60."""
+    key = F.col("s_suppkey")
+    lon, lat = (key * 37 % 3600 - 1800) / F.lit(10.0), (key * 53 % 1400 - 700) / F.lit(10.0)
+    corners = [(-9.03, -1.53), (9.47, -1.53), (9.47, 2.07), (-9.03, 2.07), (-9.03, -1.53)]
+    factor = F.element_at(F.array(*map(F.lit, (3.0, 0.05, 0.3, 1.0))), (key % 4 + 1).cast("int"))
+    ring = F.array(*[F.array(lon + factor * x, lat + factor * y) for x, y in corners])
+    searches = table(spark, sf, "supplier").select(key.alias("search_id"), ring.alias("ring"))
+    hits = joins.spatial_join_polygons(relational(spark, sf).header, searches)
+    return hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_id_x").alias("ids"))
+
+
 @query("intersect_results", sql.trees_where(any_line("l.l_linenumber <= 2") + " AND " + any_line(sql.flag("R"))))
 def _(spark, sf):
     trees = relational(spark, sf)

@@ -147,6 +147,21 @@ POLYGON_JOIN = with_trees(
     WHERE {" + ".join(_turn(i, (i + 1) % 4) for i in range(4))} > 3 GROUP BY search_id"""
 )
 
+def _scaled_corner(i: int) -> str:
+    dx, dy = _CORNERS[i]
+    lon, lat = f"radians(lon + f * {dx})", f"radians(lat + f * {dy})"
+    return f"cos({lat}) * cos({lon}) AS x{i}, cos({lat}) * sin({lon}) AS y{i}, sin({lat}) AS z{i}"
+
+
+POLYGON_JOIN_SIZES = with_trees(
+    f"""SELECT search_id, count(*) AS n, CAST(sum(_id_x) AS BIGINT) AS ids FROM (
+    SELECT _id_x, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM t) t,
+    (SELECT search_id, {", ".join(map(_scaled_corner, range(4)))} FROM (SELECT s_suppkey AS search_id,
+      CASE s_suppkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 0.05 WHEN 2 THEN 0.3 ELSE 1 END AS f,
+      (s_suppkey * 37 % 3600 - 1800) / CAST(10 AS DOUBLE) AS lon, (s_suppkey * 53 % 1400 - 700) / CAST(10 AS DOUBLE) AS lat FROM supplier)) s
+    WHERE {" + ".join(_turn(i, (i + 1) % 4) for i in range(4))} > 3 GROUP BY search_id"""
+)
+
 MAP_CLUSTERS = with_trees(
     """SELECT zoom, gx, gy, count(*) AS n, CASE WHEN count(*) < 100 THEN 'small' WHEN count(*) < 1000 THEN 'medium' ELSE 'large' END AS size,
     CAST(sum(_id_x % 3600 - 1800) AS BIGINT) AS lon_tenths, CAST(sum((_id_x * 7) % 1700 - 850) AS BIGINT) AS lat_tenths FROM (

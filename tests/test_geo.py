@@ -174,6 +174,28 @@ def test_polygon_join_equals_single_searches(spark, collection):
             joins.spatial_join_polygons(docs, spark.createDataFrame([(0, bad)], searches.schema)).collect()
 
 
+def test_polygon_cover_follows_each_search(spark, collection):
+    """One search of 20 degrees among twenty of 0.01: cells by each one's own size, whole ones without edges."""
+    small = [box(x / 10, 50.0, x / 10 + 0.01, 50.01) for x in range(20)]
+    star = [(10.0, 10.0), (14.0, 20.0), (10.0, 30.0), (20.0, 26.0), (30.0, 30.0), (26.0, 20.0), (30.0, 10.0), (20.0, 14.0), (10.0, 10.0)]
+    wide = [box(0, 0, 20, 20), star, box(170, -70, 190, 60), box(-60, -89.5, 60, -80)]
+    rings = [[list(map(float, p)) for p in r] for r in small + wide]
+    searches = spark.createDataFrame(list(enumerate(rings)), "search_id int, ring array<array<double>>")
+    cover = joins.ring_cover(searches).groupBy("search_id").agg(F.count("*").alias("n"), F.count_if("_whole").alias("whole"), F.min("_level").alias("level")).collect()
+    assert max(r["n"] for r in cover) <= 150 and {r["level"] for r in cover if r["search_id"] < 20} == {16}
+    by = {r["search_id"]: r for r in cover}
+    assert by[20]["whole"] > 20 and by[20]["level"] == 6 and by[21]["whole"] >= 8
+    spots = [(lon / 2 + 0.013, lat / 2 + 0.017) for lon in range(-10, 80) for lat in range(-4, 70)] + [(x / 10 + 0.005, 50.005) for x in range(20)] + [(179.9, -69.0), (-179.9, 59.0), (0.3, -85.0), (59.0, -81.0), (61.0, -81.0)]
+    docs = collection(*[tree(i, lon=lon, lat=lat) for i, (lon, lat) in enumerate(spots)])
+    joined = joins.spatial_join_polygons(docs, searches)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    got = {(r["search_id"], r["_id_x"]) for r in joined.collect()}
+    places = docs.select("_id_x", "lon", "lat").cache()
+    want = {(i, found) for i, r in enumerate(rings) for found in ids(filters.within_polygon(places, polygon(r)))}
+    assert got == want and {i for i, _ in want} == set(range(len(rings)))
+    assert joins.spatial_join_polygons(docs, searches.limit(0)).count() == 0
+
+
 def test_map_clusters(collection):
     docs = collection(*[tree(i, lon=8.7, lat=49.0) for i in range(100)], tree(100, lon=-120.0, lat=-90.0), tree(101, lon=180.0, lat=90.0))
     rows = stats.map_clusters(docs, [0, 3]).collect()
