@@ -8,15 +8,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .. import model
 from ..functions import geo
+from . import positions, values
 from .match import where
 
-ID_RANGE = 1 << 16  # ids that are ordered together when positions are counted
-
 
 def header(docs) -> DataFrame:
     return docs if isinstance(docs, DataFrame) else docs.header
@@ -26,66 +23,19 @@ def count_docs(docs) -> DataFrame:
     return header(docs).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _size(docs) -> int:
-    return count_docs(docs).first()["n"]
-
-
-def _positions(indices: Sequence[int], size: int) -> list[int]:
-    for i in indices:
-        if not -size <= i < size:
-            raise IndexError(i)
-    return [int(i) + size if i < 0 else int(i) for i in indices]
-
-
-def _places(table: DataFrame) -> DataFrame:
-    """``_id_x, _start, _copies``: where the rows of each id stand in id order.
-
-    Only ids are read.  They are counted in ranges of consecutive ids, and the
-    ranges are then shifted by the size of those before them.
-    """
-    per_id = table.groupBy("_id_x").agg(F.count(F.lit(1)).alias("_copies"))
-    per_id = per_id.withColumn("_range", F.floor(F.col("_id_x") / ID_RANGE))
-    ranges = per_id.groupBy("_range").agg(F.sum("_copies").alias("_size"))
-    offsets = ranges.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    inside = F.sum("_copies").over(Window.partitionBy("_range").orderBy("_id_x")) - F.col("_copies")
-    placed = per_id.withColumn("_inside", inside).join(offsets, "_range")
-    return placed.select("_id_x", (F.col("_before") + F.col("_inside")).alias("_start"), "_copies")
-
-
-def _copies(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose id is wanted, with the number of the copy among rows of one id."""
-    plain = [f.name for f in table.schema if isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType)) and f.name != "_id_x"]
-    rows = table.join(wanted.select("_id_x").distinct(), "_id_x", "left_semi")
-    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_id_x").orderBy("_id_x", *plain)) - 1)
-
-
-def _at(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows at the positions ``_at`` of ``wanted``, next to its other columns."""
-    places = _places(table)
-    each = places.withColumn("_at", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1)))
-    found = wanted.join(each, "_at").withColumn("_copy", (F.col("_at") - F.col("_start")).cast("int")).drop("_start", "_copies", "_at")
-    return _copies(table, found).join(found, ["_id_x", "_copy"]).drop("_copy")
-
-
 def get_item(docs, index: int) -> DataFrame:
     """The document at a position in id order; negative positions count from the end."""
-    return get_items(docs, [index]).drop("pos")
+    return positions.at(header(docs), [index]).drop("pos")
 
 
 def get_items(docs, indices: Sequence[int]) -> DataFrame:
     """Documents at the given positions, order and repeats kept (column ``pos``)."""
-    indices = _positions(indices, _size(docs))
-    table = header(docs)
-    wanted = table.sparkSession.createDataFrame(list(enumerate(indices)), "pos long, _at long")
-    return _at(table, wanted).orderBy("pos")
+    return positions.at(header(docs), list(indices))
 
 
 def slice_items(docs, start: int | None = None, stop: int | None = None, step: int | None = None) -> DataFrame:
     """Documents of a Python slice, in slice order."""
-    taken = range(*slice(start, stop, step).indices(_size(docs)))
-    table = header(docs)
-    wanted = table.sparkSession.range(len(taken)).select(F.col("id").alias("pos"), (F.col("id") * taken.step + taken.start).alias("_at"))
-    return _at(table, wanted).orderBy("pos").drop("pos")
+    return positions.sliced(header(docs), start, stop, step)
 
 
 def get_ids(docs) -> DataFrame:
@@ -173,15 +123,13 @@ def field_projection(docs) -> DataFrame:
 def limit_skip(docs, skip: int = 0, limit: int | None = None) -> DataFrame:
     """Documents in id order from ``skip``, at most ``limit`` of them.
 
-    The page's ids are found on ids alone, whatever its depth; rows that repeat
-    an id are ordered by their plain columns.
+    The page is found from counts of id ranges, whatever its depth; rows that
+    repeat an id are ordered by their plain columns.
     """
     table = header(docs)
-    last = F.col("_start") + F.col("_copies")
-    page = _places(table).where((last > skip) & (F.lit(True) if limit is None else F.col("_start") < skip + limit))
-    rows = _copies(table, page).join(page, "_id_x").withColumn("_at", F.col("_start") + F.col("_copy"))
-    rows = rows.where((F.col("_at") >= skip) & (F.lit(True) if limit is None else F.col("_at") < skip + limit))
-    return rows.orderBy("_at").select(*table.columns)
+    if limit is not None and limit <= 0:
+        return table.limit(0)
+    return positions.span(table, skip, None if limit is None else skip + limit - 1).orderBy(*positions.order(table))
 
 
 def _nearness(condition: Mapping[str, Any]) -> Column | None:
@@ -196,11 +144,12 @@ def _nearness(condition: Mapping[str, Any]) -> Column | None:
 def sorted_page(
     docs, condition: Mapping[str, Any], skip: int = 0, limit: int | None = None, sort: str | Sequence[tuple[str, int]] | None = None
 ) -> DataFrame:
-    """A page in the order asked for: ``sort``, else nearest first, else by id."""
+    """A page in the order asked for: ``sort``, else nearest first, else by id.
+
+    ``sort`` orders values of all types, see ``values.sort_key``.
+    """
     if sort is not None:
-        paths = [(sort, 1)] if isinstance(sort, str) else list(sort)
-        keys = [F.try_variant_get("doc", f"$.{path}", "string") if path not in model.METADATA else F.col(path) for path, _ in paths]
-        keys = [key.asc_nulls_first() if way > 0 else key.desc_nulls_last() for key, (_, way) in zip(keys, paths)]
+        keys = [values.sort_key(header(docs), path, way) for path, way in ([(sort, 1)] if isinstance(sort, str) else sort)]
     elif (near := _nearness(condition)) is not None:
         keys = [near]
     elif skip or limit is not None:

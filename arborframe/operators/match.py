@@ -13,7 +13,8 @@ Rules that every scope keeps:
 * comparisons only match values of the same type; null never compares;
 * ``$ne``/``$nin``/``$not``/``$nor`` negate the whole any-element test, so a
   document without the key matches;
-* ``$exists`` tests the key, not the value.
+* ``$exists`` tests the key, not the value;
+* an array or object equals a value with the same members (of an object in any order).
 
 SQL's unknown is harmless in a ``where`` unless it is negated, so it is turned
 into false exactly there (``_negate``); leaves stay bare and push down.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import geo
 from ..model import FLAG, NUMBER, TEXT
+from . import values
 
 _COMPARISONS = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
 _LOGICAL = ("$and", "$or", "$nor")
@@ -99,6 +101,9 @@ class ElementScope:
     def size(self, path: str, n: int) -> Column:
         return self._unanswered(path)
 
+    def value(self, path: str, test: Callable[[Column], Column]) -> Column:
+        return self._unanswered(path)
+
     def element(self, path: str, build: Callable) -> Column:
         return self._unanswered(path)
 
@@ -128,6 +133,9 @@ class ValueScope:
     def size(self, path: str, n: int) -> Column:
         return F.lit(False) if self._value is None else F.size(model.as_array(self._value)) == n
 
+    def value(self, path: str, test: Callable[[Column], Column]) -> Column:
+        return F.lit(False) if self._value is None else test(self._value)
+
     def element(self, path: str, build: Callable) -> Column:
         if self._value is None:
             return F.lit(False)
@@ -140,7 +148,7 @@ class VariantScope:
     def __init__(self, value: Column):
         self._root = value
 
-    def _values(self, path: str) -> Column:
+    def values(self, path: str) -> Column:
         return reduce(self._step, path.split("."), F.array(self._root))
 
     @staticmethod
@@ -154,14 +162,14 @@ class VariantScope:
     def leaves(self, path: str) -> Column:
         none = F.array().cast("array<variant>")
         return F.flatten(
-            F.transform(self._values(path), lambda v: F.concat(F.array(v), F.coalesce(model.as_array(v), none)))
+            F.transform(self.values(path), lambda v: F.concat(F.array(v), F.coalesce(model.as_array(v), none)))
         )
 
     def any(self, path: str, kind: str, test: Callable[[Column], Column]) -> Column:
         return F.exists(self.leaves(path), lambda v: test(model.typed(v, kind)))
 
     def has(self, path: str) -> Column:
-        return F.size(self._values(path)) > 0
+        return F.size(self.values(path)) > 0
 
     def is_null(self, path: str) -> Column:
         return F.exists(self.leaves(path), lambda v: F.is_variant_null(v))
@@ -180,14 +188,18 @@ class VariantScope:
         return _any(missing)
 
     def size(self, path: str, n: int) -> Column:
-        return F.exists(self._values(path), lambda v: F.size(model.as_array(v)) == n)
+        return F.exists(self.values(path), lambda v: F.size(model.as_array(v)) == n)
+
+    def value(self, path: str, test: Callable[[Column], Column]) -> Column:
+        """A value under the path, or a member of one that is an array, passes the test."""
+        return F.exists(self.leaves(path), test)
 
     def itself(self) -> ValueScope:
         return ValueScope(self._root)
 
     def element(self, path: str, build: Callable) -> Column:
         none = F.array().cast("array<variant>")
-        members = F.flatten(F.transform(self._values(path), lambda v: F.coalesce(model.as_array(v), none)))
+        members = F.flatten(F.transform(self.values(path), lambda v: F.coalesce(model.as_array(v), none)))
         return F.exists(members, lambda v: build(VariantScope(v)))
 
 
@@ -238,6 +250,9 @@ class DocumentScope:
     def size(self, path: str, n: int) -> Column:
         return self._variant.size(path, n)
 
+    def value(self, path: str, test: Callable[[Column], Column]) -> Column:
+        return F.lit(False) if path in model.METADATA else self._variant.value(path, test)
+
     def element(self, path: str, build: Callable) -> Column:
         if path not in model.ARRAYS:
             return self._variant.element(path, build)
@@ -330,6 +345,9 @@ class RelationalScope:
     def size(self, path: str, n: int) -> Column:
         raise ValueError(f"$size on {path} needs columnar documents")
 
+    def value(self, path: str, test: Callable[[Column], Column]) -> Column:
+        raise ValueError(f"arrays, objects and their types under {path} need columnar documents")
+
     def element(self, path: str, build: Callable) -> Column:
         if path not in self._docs.arrays:
             raise ValueError(f"no such array in these tables: {path}")
@@ -362,30 +380,36 @@ def compile_filter(query: Mapping[str, Any], scope) -> Column:
 def _field(path: str, spec: Any, scope) -> Column:
     if not isinstance(spec, Mapping):
         return _equals(path, spec, scope)
-    if not spec or not all(name.startswith("$") for name in spec):
-        raise ValueError(f"expected operators for {path}, got {spec!r}")
+    if not any(name.startswith("$") for name in spec):
+        return _equals(path, spec, scope)
+    if not all(name.startswith("$") for name in spec):
+        raise ValueError(f"operators and keys are mixed for {path}: {spec!r}")
     return _all([_operator(path, name, value, spec, scope) for name, value in spec.items() if name != "$options"])
 
 
 def _equals(path: str, value: Any, scope) -> Column:
     if value is None:  # matches a null value and a missing key alike, in any element
         return _negate(scope.has(path)) | _any([F.coalesce(c, F.lit(False)) for c in (scope.is_null(path), scope.lacks(path))])
+    if isinstance(value, (Mapping, list, tuple)):
+        return scope.value(path, lambda v: values.equals(v, value))
     return scope.any(path, kind_of(value), lambda c: c == F.lit(value))
 
 
-def _one_of(path: str, values: Any, scope) -> Column:
-    if not isinstance(values, (list, tuple)):
+def _one_of(path: str, wanted: Any, scope) -> Column:
+    if not isinstance(wanted, (list, tuple)):
         raise ValueError(f"$in/$nin on {path} need a list")
     by_kind: dict[str, list[Any]] = {}
-    for value in values:
-        if value is not None:
+    whole = [value for value in wanted if isinstance(value, (Mapping, list, tuple))]
+    for value in wanted:
+        if value is not None and not isinstance(value, (Mapping, list, tuple)):
             by_kind.setdefault(kind_of(value), []).append(value)
 
     def listed(members: list[Any]) -> Callable[[Column], Column]:
         return lambda c: c.isin(members)
 
     tests = [scope.any(path, kind, listed(members)) for kind, members in by_kind.items()]
-    return _any(tests + [_equals(path, None, scope)] if None in values else tests)
+    tests += [_equals(path, value, scope) for value in whole]
+    return _any(tests + [_equals(path, None, scope)] if None in wanted else tests)
 
 
 def _regex(path: str, pattern: Any, options: str, scope) -> Column:
@@ -395,6 +419,21 @@ def _regex(path: str, pattern: Any, options: str, scope) -> Column:
     return scope.any(path, TEXT, lambda c: c.rlike(flags + pattern))
 
 
+def _of_type(path: str, given: Any, scope) -> Column:
+    """``$type``: a name or number of a type, or a list of them; typed columns answer what they can."""
+    names = [values.type_name(one) for one in (given if isinstance(given, (list, tuple)) else [given])]
+    if not names:
+        raise ValueError(f"$type on {path} needs a type")
+    simple = {"string": TEXT, "number": NUMBER, "bool": FLAG}
+
+    def one(name: str) -> Column:
+        if name in simple:
+            return scope.any(path, simple[name], lambda c: c.isNotNull())
+        return scope.is_null(path) if name == "null" else scope.value(path, lambda v: values.has_type(v, name))
+
+    return _any([F.coalesce(one(name), F.lit(False)) for name in names])
+
+
 def _operator(path: str, name: str, value: Any, spec: Mapping[str, Any], scope) -> Column:
     if name in _COMPARISONS:
         return scope.any(path, kind_of(value), lambda c: _COMPARISONS[name](c, F.lit(value)))
@@ -421,6 +460,8 @@ def _operator(path: str, name: str, value: Any, spec: Mapping[str, Any], scope)
         if not isinstance(value, (list, tuple)):
             raise ValueError(f"$all on {path} needs a list")
         return _all([_equals(path, member, scope) for member in value]) if value else F.lit(False)
+    if name == "$type":
+        return _of_type(path, value, scope)
     if name == "$size":
         return scope.size(path, int(value))
     if name == "$mod":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
@@ -124,11 +125,13 @@ def test_bad_filters_raise(collection):
         {"$what": 1},
         {"a": {"$what": 1}},
         {"$and": []},
-        {"a": {"b": 1}},
+        {"a": {"b": 1, "$gt": 2}},
         {"a": {"$in": 3}},
+        {"a": {"$type": "decimal"}},
+        {"a": {"$type": []}},
+        {"a": {"b": {1, 2}}},
         {"a": {"$regex": 3}},
         ["a"],
-        {"a": [1]},
     ):
         with pytest.raises(ValueError):
             match.where(docs, bad)
@@ -239,6 +242,103 @@ def brute(doc, query):
     return all(done)
 
 
+def same_value(a, b):
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same_value, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same_value(a[k], b[k]) for k in a)
+    return kind(a) is kind(b) and a == b
+
+
+def json_value(rng, depth=0):
+    pick = rng.randrange(7 if depth < 3 else 5)
+    if pick < 5:
+        return rng.choice([None, True, False, 0, 1, 1.0, 2.5, "", "a", "1", -3, 3_000_000_000])
+    if pick == 5:
+        return [json_value(rng, depth + 1) for _ in range(rng.randrange(3))]
+    return {k: json_value(rng, depth + 1) for k in rng.sample(["a", "b", "c d"], rng.randrange(3))}
+
+
+def test_equality_with_arrays_and_objects(collection):
+    rng = random.Random(11)
+    raw = [{"x": json_value(rng), "deep": [{"y": json_value(rng)} for _ in range(rng.randrange(3))]} for _ in range(250)]
+    raw += [{"x": {"a": 1, "b": [1, 2.50]}}, {"x": {"b": [1.0, 2.5], "a": 1}}, {"x": [{"a": 1, "b": [1, 2.5]}]}, {}]
+    docs = collection(*raw).cache()
+    wanted = [v for d in raw for v in leaves(d, "x") + leaves(d, "deep.y") if isinstance(v, (list, dict))]
+    wanted = [v for i, v in enumerate(wanted) if not any(same_value(v, w) for w in wanted[:i])][:45] + [{"a": 1, "b": [1, 2.5]}]
+    queries = {f"{path[0]}{i}": (path, v) for i, v in enumerate(wanted) for path in ("x", "deep.y")}
+    rows = match.with_conditions(docs, {n: {p: v} if i % 2 else {p: {"$eq": v}} for i, (n, (p, v)) in enumerate(queries.items())}).select("_id_x", *queries).collect()
+    for name, (path, value) in queries.items():
+        assert [r["_id_x"] for r in rows if r[name]] == [i for i, d in enumerate(raw) if any(same_value(v, value) for v in leaves(d, path))], (path, value)
+    some = {"a": 1, "b": [1, 2.5]}
+    assert found(docs, {"x": {"$in": [some, "a"]}}) == [i for i, d in enumerate(raw) if any(same_value(v, some) or v == "a" for v in leaves(d, "x"))]
+    assert found(docs, {"x": {"$ne": []}}) == [i for i, d in enumerate(raw) if not any(same_value(v, []) for v in leaves(d, "x"))]
+    assert found(docs, {"geometry.coordinates": [1.0, 2.0, 0.0]}) == []
+    assert found(collection(tree(0, lon=1, lat=2.0), tree(1)), {"geometry.coordinates": [1.0, 2.0, 1.5]}) == [0]
+    assert found(collection(tree(0, data=[{"tags": ["u", 1]}]), tree(1)), {D: {"$elemMatch": {"tags": ["u", 1], "mode": "ALS"}}}) == [0]
+
+
+def test_types(spark, collection):
+    raw = [{"x": v} for v in (None, True, 1, 3_000_000_000, 1.5, "1", [], ["a", 2], {}, [[1]])] + [{}]
+    docs = collection(*raw)
+    expected = {
+        "null": [0], "bool": [1], "int": [2, 7], "long": [3], "double": [4], "number": [2, 3, 4, 7], "string": [5, 7], "array": [6, 7, 9], "object": [8],
+        10: [0], 16: [2, 7], 4: [6, 7, 9],
+    }
+    for name, rows in expected.items():
+        assert found(docs, {"x": {"$type": name}}) == rows, name
+    assert found(docs, {"x": {"$type": ["null", "bool"]}}) == [0, 1]
+    assert found(docs, {"x": {"$not": {"$type": "array"}}}) == [0, 1, 2, 3, 4, 5, 8, 10]
+    tables = as_relational(spark, [{"properties": {"id": "T", "species": "S", "measurements": [{"source": "FI"}], "data": []}}])
+    assert ids(match.where(tables, {f"{M}.source": {"$type": "string"}})) == [0]
+    with pytest.raises(ValueError):
+        match.where(tables, {M: {"$type": "array"}})
+
+
+def plain_key(value, empty_first=True):
+    if isinstance(value, bool):
+        return 6, int(value)
+    if value is None:
+        return 1, 0
+    if isinstance(value, (int, float)):
+        return 2, value
+    if isinstance(value, str):
+        return 3, value
+    return (4 if isinstance(value, dict) else 5), json.dumps(value, separators=(",", ":"), sort_keys=True)
+
+
+def plain_order(raw, path, way):
+    def key(doc):
+        keys = [k for v in values(doc, path) for k in ([plain_key(m) for m in v] or [(0, 0)] if isinstance(v, list) else [plain_key(v)])]
+        for head in [path.rpartition(".")[0]] if "." in path else []:
+            keys += [(1, 0) for v in values(doc, head) if isinstance(v, list) for e in v if isinstance(e, dict) and path.rpartition(".")[2] not in e]
+        return (min(keys) if way > 0 else max(keys)) if keys else (1, 0)
+
+    return sorted(range(len(raw)), key=lambda i: key(raw[i]), reverse=False) if way > 0 else sorted(range(len(raw)), key=lambda i: key(raw[i]), reverse=True)
+
+
+def test_sorting_over_all_types(spark, collection):
+    from arborframe.operators import access
+
+    rng = random.Random(5)
+    flat = [None, True, False, -1, 0, 9, 10, 100, 2, 2.5, "", "10", "9", "a", {"a": 1}, {"b": 1}, {}, [], [5, 1], ["z"], [[1]], [None], [True, "a"]]
+    raw = [{"x": v, "deep": [{"y": rng.choice([v for v in flat if not isinstance(v, (list, dict))])} if rng.random() < 0.8 else {} for _ in range(rng.randrange(3))]} for v in flat] + [{}, {"x": 7}]
+    docs = collection(*raw)
+    for path in ("x", "deep.y"):
+        for way in (1, -1):
+            got = [r["_id_x"] for r in access.sorted_page(docs, {}, sort=[(path, way)]).select("_id_x").collect()]
+            assert got == plain_order(raw, path, way), (path, way)
+    ages = collection(*[{"age": a} for a in (10, 9, 100, 2)])
+    assert [r["_id_x"] for r in access.sorted_page(ages, {}, sort="age", limit=3).collect()] == [3, 1, 0]
+    odd = collection(tree(0, species="b"), tree(1, species="a"), tree(2, species=5), without(tree(3), "properties", "species"))
+    assert [r["_id_x"] for r in access.sorted_page(odd, {}, sort="properties.species").collect()] == [3, 2, 1, 0]
+    assert [r["_id_x"] for r in access.sorted_page(odd, {}, sort=[("properties.species", -1), ("_id_x", 1)], skip=1).collect()] == [1, 2, 3]
+    tables = as_relational(spark, random_documents(rng, 9))
+    assert access.sorted_page(tables, {}, sort="properties.species").count() == 9
+    with pytest.raises(ValueError):
+        access.sorted_page(tables, {}, sort="properties.age")
+
+
 def random_documents(rng, count):
     def maybe(name, choices):
         return {} if rng.random() < 0.3 else {name: rng.choice(choices)}

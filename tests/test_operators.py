@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pytest
 from conftest import ids, tree, without
 from pyspark.sql import functions as F
 
-from arborframe.operators import access, joins, nodes, stats, views
+from arborframe.operators import access, joins, nodes, positions, stats, views
 from arborframe.store import TreeStore
 
 M, D = "properties.measurements", "properties.data"
@@ -61,6 +62,55 @@ def test_positions_count_rows_not_ids(collection):
     assert ids(access.limit_skip(docs.where("_id_x < 0"), 0, 3)) == []
 
 
+def shuffles(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"(?m)^[^\w]*Exchange ", plan))
+
+
+@pytest.mark.parametrize("ranked", [2, 1 << 13])
+def test_positions_at_all_depths(spark, monkeypatch, ranked):
+    """Dense, sparse, negative and repeated ids, with ranges of few rows, against a plain list."""
+    monkeypatch.setattr(positions, "RANKED", ranked)
+    monkeypatch.setattr(positions, "SPLIT_BITS", 2)
+    monkeypatch.setattr(positions, "STEP_BITS", 4)
+    given = {
+        "dense": list(range(60)),
+        "sparse": [i * i * 977 for i in range(50)] + [10**15],
+        "negative": [-(2**63), -5, -4, 0, 1, 2**63 - 1],
+        "repeated": sorted([3] * 9 + [4] + [70_000] * 5 + list(range(100, 110))),
+        "single": [8] * 6,
+    }
+    for name, numbers in given.items():
+        rows = [(n, f"{at:03d}") for at, n in enumerate(numbers)]
+        table = spark.createDataFrame([*rows[::-1], (None, "none")], "_id_x long, note string").repartition(3).cache()
+        size = len(rows)
+        picked = [0, size - 1, size // 2, -1, 1, size // 2]
+        assert [(r["pos"], r["note"]) for r in access.get_items(table, picked).collect()] == [(p, rows[i][1]) for p, i in enumerate(picked)], name
+        assert access.get_item(table, size - 2).first()["note"] == rows[-2][1]
+        for skip, limit in ((size // 3, 4), (size - 2, 9), (2, None), (1, size - 2), (size, 2), (0, None)):
+            page = access.limit_skip(table, skip, limit)
+            assert [r["note"] for r in page.collect()] == [n for _, n in rows[skip:][: size if limit is None else limit]], (name, skip, limit)
+        for part in (slice(1, -1), slice(None, None, 3), slice(-2, 1, -4)):
+            assert [r["note"] for r in access.slice_items(table, part.start, part.stop, part.step).collect()] == [n for _, n in rows[part]], (name, part)
+    nobody = spark.createDataFrame([(None, "x")], "_id_x long, note string")
+    assert access.limit_skip(nobody, 0, 5).count() == access.slice_items(nobody).count() == access.get_items(nobody, []).count() == 0
+    with pytest.raises(IndexError):
+        access.get_item(nobody, 0)
+
+
+def test_positions_read_only_their_ranges(spark, tmp_path):
+    spark.range(200_000).select(F.col("id").alias("_id_x"), F.lit("x").alias("note")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for frame, most in ((access.get_item(table, 150_000), 1), (access.get_items(table, [150_000, 3, -1]), 2), (access.limit_skip(table, 123_456, 20), 2), (access.slice_items(table, 100, 900, 7), 2)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert shuffles(frame) <= most, plan
+        assert "GreaterThanOrEqual(_id_x" in plan, plan
+    page = access.limit_skip(table, 123_456, 20)
+    assert order(page) == list(range(123_456, 123_476))
+    scanned = page._jdf.queryExecution().executedPlan().toString()
+    assert "_id_x#" in scanned and "Or(" not in scanned  # one range, of some thousand ids
+
+
 def test_store_query_sorts(spark, collection):
     docs = collection(tree(0, species="c", lon=8.9), tree(1, species="a", lon=8.8), tree(2, species="b", lon=8.7))
     trees = TreeStore(spark, docs)
