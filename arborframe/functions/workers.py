@@ -134,8 +134,9 @@ def write_files(outdir):
             for number, name, raw in _pairs(batch, "_id_x", "_file", "raw"):
                 target = f"{root}/{os.path.basename(name)}"
                 partial = f"{root}/.{uuid.uuid4().hex}.part"
+                document = _parsed(raw)
                 with store.open_output_stream(partial) as out:
-                    out.write(json.dumps(json.loads(raw), indent=4).encode())
+                    out.write((raw if document is None else json.dumps(document, indent=4)).encode())
                 store.move(partial, target)  # a retried task leaves no half-written file
                 yield number, name, target
 

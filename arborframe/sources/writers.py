@@ -39,6 +39,7 @@ def save_arrays(docs: DataFrame, path: str, files: int | None = None) -> DataFra
     Returns the files written; as each is written whole, a part is best kept to some 100 MB.
     """
     order = ["_id_x", "raw"]
+    archives.clear_parts(path, ".db")
     placed = docs.repartitionByRange(files, *order) if files else docs.repartitionByRange(*order)
     texts = doc_json(placed.sortWithinPartitions(*order), metadata=True).select(F.lit("").alias("name"), F.col("json").alias("text"))
     return saved(texts.mapInArrow(archives.write_arrays(path), archives.WRITTEN), "written")
@@ -47,6 +48,7 @@ def save_arrays(docs: DataFrame, path: str, files: int | None = None) -> DataFra
 def save_archives(docs: DataFrame, path: str, files: int | None = None) -> DataFrame:
     """Document texts as ZIP archives, one per partition; returns the files written."""
     order = ["_id_x", "raw"]
+    archives.clear_parts(path, ".zip")
     placed = docs.repartitionByRange(files, *order) if files else docs.repartitionByRange(*order)
     texts = placed.select(F.concat(F.lit("trees/"), "_file").alias("name"), F.col("raw").alias("text")).where("_file IS NOT NULL AND raw IS NOT NULL")
     return saved(texts.mapInArrow(archives.write_zips(path), archives.WRITTEN), "written")
@@ -79,7 +81,8 @@ def export_docs(docs: DataFrame, outdir: str, ids: DataFrame | None = None) -> D
     """One GeoJSON file per document below a shared folder; rows are the files written.
 
     Of documents sharing a file name the one with the highest id is written,
-    which is what writing them in id order would leave behind.
+    which is what writing them in id order would leave behind. A text that is
+    not JSON is written as it is.
     """
     last = F.max_by(F.struct("_id_x", "raw"), "_id_x").alias("d")
     unique = restrict(docs, ids).where(F.col("_file").isNotNull()).groupBy("_file").agg(last)
@@ -87,13 +90,16 @@ def export_docs(docs: DataFrame, outdir: str, ids: DataFrame | None = None) -> D
     return rows.mapInArrow(workers.write_files(outdir), "_id_x long, _file string, path string")
 
 
-def feature_collection(docs: DataFrame) -> DataFrame:
+def feature_collection(docs: DataFrame, metadata: bool = False) -> DataFrame:
     """Lines ``(kind, _id_x, line)`` of one FeatureCollection text, to be written in order of kind and id.
 
     The envelope is a first and a last line of its own, so an empty result is an
     empty collection and repeated ids are ordinary features.  Every feature but
-    the first brings the comma before it.
+    the first brings the comma before it. With ``metadata`` a feature carries
+    ``_id_x``, ``_date`` and ``_file`` as well.
     """
+    if metadata:
+        docs = doc_json(docs, metadata=True).withColumnRenamed("json", "raw")
     low = docs.agg(F.min("_id_x")).scalar()
     rows = docs.select("_id_x", "raw")
     least = rows.where(F.col("_id_x") == low)
@@ -107,9 +113,9 @@ def feature_collection(docs: DataFrame) -> DataFrame:
     return body.unionByName(envelope)
 
 
-def write_feature_collection(docs: DataFrame, path: str) -> None:
+def write_feature_collection(docs: DataFrame, path: str, metadata: bool = False) -> None:
     """Part files which, concatenated in name order, are one FeatureCollection."""
-    lines = feature_collection(docs).orderBy("kind", "_id_x", F.desc("line"))  # of one id, the line without comma first
+    lines = feature_collection(docs, metadata).orderBy("kind", "_id_x", F.desc("line"))  # of one id, the line without comma first
     lines.select("line").write.mode("overwrite").text(path)
 
 
@@ -118,9 +124,18 @@ def link_manifest(links: DataFrame, url: str = "file") -> DataFrame:
     return links.withColumn("filename", scalars.url_filename(F.col(url)))
 
 
-def write_link_list(links: DataFrame, path: str, url: str = "file") -> None:
-    """Comma-joined URLs, as the bulk download script expects them."""
-    links.select(url).write.mode("overwrite").option("lineSep", ",").text(path)
+def write_link_list(links: DataFrame, path: str, url: str = "file") -> DataFrame:
+    """Comma-joined URLs in document order, as the bulk download script splits them.
+
+    The part files concatenate, in name order, to one list without a comma at
+    either end. Links are ordered by their document, their place in it if there
+    is a ``pos``, and the URL; null ones are left out. Returns the files.
+    """
+    archives.clear_parts(path, ".txt")
+    order = [c for c in ("_id_x", "pos") if c in links.columns] + [url]
+    # The first range of a range partitioning always holds the least row.
+    texts = links.where(F.col(url).isNotNull()).orderBy(*order).select(F.lit("").alias("name"), F.col(url).alias("text"))
+    return saved(texts.mapInArrow(archives.write_joined(path, ".txt", ","), archives.WRITTEN), "written")
 
 
 def write_csv(table: DataFrame, path: str, none_str: str = "") -> None:

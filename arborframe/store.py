@@ -153,6 +153,6 @@ class TreeStore:
             writers.write_csv(table, path)
         return paths
 
-    def export_collection(self, condition: Mapping[str, Any], path: str) -> None:
-        """A query result as one GeoJSON FeatureCollection."""
-        writers.write_feature_collection(self.query(condition), path)
+    def export_collection(self, condition: Mapping[str, Any], path: str, metadata: bool = True) -> None:
+        """A query result as one GeoJSON FeatureCollection, with the ids, dates and file names unless told otherwise."""
+        writers.write_feature_collection(self.query(condition), path, metadata)

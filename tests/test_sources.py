@@ -208,8 +208,44 @@ def test_links(spark, tmp_path):
     names = [r["filename"] for r in writers.link_manifest(links).collect()]
     assert names == ["a_1.laz", "b.laz", "plain.laz"]
     writers.write_link_list(links.coalesce(1), str(tmp_path / "urls"))
-    (part,) = (tmp_path / "urls").glob("part-*")
-    assert part.read_text().rstrip(",").split(",") == [r["file"] for r in links.collect()]
+    assert joined(tmp_path / "urls").split(",") == [r["file"] for r in links.collect()]
+
+
+def joined(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_link_list_is_ordered_and_splits(spark, tmp_path):
+    """The list of many partitions, split at its commas as the download script does, is the list of links."""
+    rows = [(i, p, f"https://h.org/{(i * 7) % 500}_{p}.laz") for i in range(500) for p in range(3)] + [(7, 3, None)]
+    links = spark.createDataFrame(rows, "_id_x long, pos int, file string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written = writers.write_link_list(links, str(tmp_path / "urls"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert written.count() > 3 and joined(tmp_path / "urls").split(",") == [r[2] for r in rows[:-1]]
+    (tmp_path / "urls" / "keep.txt").write_text("x")
+    writers.write_link_list(links.where("_id_x = 3"), str(tmp_path / "urls"))  # an earlier list is gone, other files stay
+    assert joined(tmp_path / "urls").split(",") == [r[2] for r in rows if r[0] == 3] and (tmp_path / "urls" / "keep.txt").exists()
+    writers.write_link_list(links.limit(0), str(tmp_path / "urls"))
+    assert joined(tmp_path / "urls") == ""
+
+
+def test_collection_with_metadata(spark, collection, tmp_path):
+    docs = collection(tree(0), tree(1, species="x"), tree(2))
+    store = TreeStore(spark, docs)
+    store.export_collection({"properties.species": "Abies alba"}, str(tmp_path / "with"))
+    features = json.loads("".join(p.read_text() for p in sorted((tmp_path / "with").glob("part-*.txt"))))["features"]
+    assert features == [{**tree(i), "_file": f"f{i}.geojson", "_id_x": i, "_date": "2024-01-01T00:00:00"} for i in (0, 2)]
+    store.export_collection({}, str(tmp_path / "plain"), metadata=False)
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "plain").glob("part-*.txt"))))["features"] == [tree(0), tree(1, species="x"), tree(2)]
+
+
+def test_export_of_text_that_is_not_json(spark, collection, tmp_path):
+    docs = collection(tree(0), "{bad")
+    assert writers.export_docs(docs, str(tmp_path / "out")).count() == 2
+    assert (tmp_path / "out" / "f1.geojson").read_text() == "{bad"
 
 
 def test_csv_quoting(spark, tmp_path):
