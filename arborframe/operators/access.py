@@ -58,19 +58,18 @@ def pointcloud_urls(docs, matching: DataFrame | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- projections
 def _pick(value: Column, tree: Mapping[str, Any]) -> Column:
-    """Members of a VARIANT object named by ``tree``, as an object again."""
-
+    """Members of a VARIANT object named by ``tree``, as an object again; the values themselves stay as stored."""
 
     def member(name: str, below: Mapping[str, Any]) -> Column:
         inner = model.child(value, name)
         if not below:
             return inner
         many = F.transform(model.as_array(inner), lambda e: _pick(e, below))
-        return F.coalesce(F.parse_json(F.to_json(many)), _pick(inner, below))
+        return F.coalesce(F.to_variant_object(many), _pick(inner, below))
 
-    picked = F.struct(*[member(name, below).alias(name) for name, below in tree.items()])
-    is_object = F.schema_of_variant(value).startswith("OBJECT")
-    return F.when(is_object, F.parse_json(F.to_json(picked)))
+    members = F.array(*[F.struct(F.lit(name).alias("key"), member(name, below).alias("value")) for name, below in tree.items()])
+    picked = F.map_from_entries(F.filter(members, lambda m: m["value"].isNotNull()))
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.to_variant_object(picked))
 
 
 def _tree(paths: Sequence[str]) -> dict[str, Any]:
@@ -90,12 +89,11 @@ def project_include(docs: DataFrame, paths: Sequence[str]) -> DataFrame:
 
 
 def _without(value: Column, tree: Mapping[str, Any]) -> Column:
-    """A VARIANT object without the leaves named by ``tree``."""
-
+    """A VARIANT object without the leaves named by ``tree``; other values stay as stored."""
 
     def reduced(inner: Column, below: Mapping[str, Any]) -> Column:
         many = F.transform(model.as_array(inner), lambda e: _without(e, below))
-        return F.coalesce(F.parse_json(F.to_json(many)), _without(inner, below))
+        return F.coalesce(F.to_variant_object(many), _without(inner, below))
 
     def member(key: Column, inner: Column) -> Column:
         changed = [(key == name, reduced(inner, below)) for name, below in tree.items() if below]
@@ -103,7 +101,7 @@ def _without(value: Column, tree: Mapping[str, Any]) -> Column:
 
     gone = [name for name, below in tree.items() if not below]
     kept = F.map_filter(model.as_map(value), lambda key, _: ~key.isin(gone))
-    return F.coalesce(F.parse_json(F.to_json(F.transform_values(kept, member))), value)
+    return F.coalesce(F.to_variant_object(F.transform_values(kept, member)), value)
 
 
 def project_exclude(docs: DataFrame, paths: Sequence[str]) -> DataFrame:

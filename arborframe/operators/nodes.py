@@ -6,9 +6,10 @@ values is a Spark expression.
 
 from __future__ import annotations
 
+import json
 import operator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -44,10 +45,20 @@ def flatten_docs(docs: DataFrame, key: str = "_id_x", text: str = "raw") -> Data
     return leaves.withColumnRenamed("key", key)
 
 
+def _may_hold(text: Column, name: str) -> Column:
+    """False only for a text without the key: it is neither there in quotes nor spelt with escapes."""
+    plain = text.contains(json.dumps(name, ensure_ascii=False))
+    always_escaped = any(c in '"\\/' or ord(c) < 32 for c in name)
+    return plain | text.contains("\\" if always_escaped else "\\u")
+
+
 def extract_key(docs: DataFrame, name: str, key: str = "_id_x", text: str = "raw") -> DataFrame:
-    """Every value stored under ``name``, parents before children (``ord``)."""
+    """Every value stored under ``name``, parents before children (``ord``).
+
+    Only texts that may hold the key are walked.
+    """
     pairs, kind = _keyed_text(docs, key, text)
-    nodes = pairs.mapInArrow(workers.node_rows([name]), f"key {kind.simpleString()}, {workers.NODE_FIELDS}")
+    nodes = pairs.where(_may_hold(F.col("text"), name)).mapInArrow(workers.node_rows([name]), f"key {kind.simpleString()}, {workers.NODE_FIELDS}")
     return nodes.withColumnRenamed("key", key)
 
 

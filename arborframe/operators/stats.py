@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -114,28 +115,40 @@ def _size_class(count: Column) -> Column:
     return F.when(count < few, small).when(count < some, medium).otherwise("large")
 
 
-def map_clusters(docs, zooms: Sequence[int] = range(MAX_ZOOM + 1)) -> DataFrame:
+#: Zoom levels that are counted from one finer level; a cell is repeated once for each of them.
+LEVELS_AT_ONCE = 4
+
+
+def map_clusters(docs, zooms: Sequence[int] = range(MAX_ZOOM + 1), box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Markers per map grid cell and zoom level: count, mean place, size class.
 
-    Cells of one level are quarters of a cell one level up, so the documents
-    are reduced to the finest cells first and only those are repeated per zoom.
+    Cells of one level are quarters of a cell one level up. The documents are
+    reduced to the finest cells, and each group of ``LEVELS_AT_ONCE`` levels is
+    summed from the coarsest level of the group below it. ``box`` is a map view
+    ``(west, south, east, north)`` that reaches the scan.
     """
-    finest = max(zooms)
-    x, y = geo.mercator(F.col("lon"), F.col("lat"))
-    cells = float(2**finest) * TILE_EXTENT / CLUSTER_RADIUS
-    fine = (
-        header(docs)
-        .groupBy(F.floor(x * cells).alias("fx"), F.floor(y * cells).alias("fy"))
-        .agg(F.count(F.lit(1)).alias("fn"), F.sum("lon").alias("flon"), F.sum("lat").alias("flat"))
-    )
-    levels = fine.withColumn("zoom", F.explode(F.array(*[F.lit(int(z)) for z in zooms])))
-    up = F.lit(finest) - F.col("zoom")
-    return (
-        levels.groupBy(
-            "zoom",
-            F.call_function("shiftright", F.col("fx"), up).alias("gx"),
-            F.call_function("shiftright", F.col("fy"), up).alias("gy"),
-        )
-        .agg(F.sum("fn").alias("n"), (F.sum("flon") / F.sum("fn")).alias("lon"), (F.sum("flat") / F.sum("fn")).alias("lat"))
-        .withColumn("size", _size_class(F.col("n")))
+    table = header(docs)
+    if box is not None:
+        table = table.where(geo.within_viewport(*box, F.col("lon"), F.col("lat")))
+    wanted = sorted({int(z) for z in zooms}, reverse=True)
+    source, x, y = wanted[0], *geo.mercator(F.col("lon"), F.col("lat"))
+    cells = float(2**source) * TILE_EXTENT / CLUSTER_RADIUS
+    sums = [F.sum(c).alias(c) for c in ("n", "slon", "slat")]
+    below = (
+        table.groupBy(F.floor(x * cells).alias("gx"), F.floor(y * cells).alias("gy"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("lon").alias("slon"), F.sum("lat").alias("slat"))
+        .withColumn("zoom", F.lit(source))
     )
+    levels, rest = [below], wanted[1:]
+    while rest:
+        group, rest = rest[:LEVELS_AT_ONCE], rest[LEVELS_AT_ONCE:]
+        up = below.drop("zoom").withColumn("zoom", F.explode(F.array(*map(F.lit, group))))
+        step = F.lit(source) - F.col("zoom")
+        halved = [F.call_function("shiftright", F.col(c), step).alias(c) for c in ("gx", "gy")]
+        summed = up.groupBy("zoom", *halved).agg(*sums)
+        levels.append(summed)
+        source = group[-1]
+        below = summed.where(F.col("zoom") == source)
+    counted = reduce(DataFrame.unionByName, levels)
+    place = [(F.col(s) / F.col("n")).alias(c) for s, c in (("slon", "lon"), ("slat", "lat"))]
+    return counted.select("zoom", "gx", "gy", "n", *place, _size_class(F.col("n")).alias("size"))

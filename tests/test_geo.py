@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pytest
 from conftest import SF_DIR, ids, tree
@@ -206,6 +207,35 @@ def test_map_clusters(collection):
     assert place["lon"] == pytest.approx(8.7) and place["lat"] == pytest.approx(49.0)
 
 
+def test_map_clusters_of_a_view_and_levels(spark, collection):
+    spots = [(8.7 + (i % 17) / 50, 49.0 + (i % 13) / 90) for i in range(90)] + [(-60.0, -30.0), (170.0, 60.0)]
+    docs = collection(*[tree(i, lon=lon, lat=lat) for i, (lon, lat) in enumerate(spots)]).select("_id_x", "lon", "lat").cache()
+
+    def plain(zooms, inside):
+        out = {}
+        for lon, lat in filter(inside, spots):
+            s = math.sin(math.radians(lat))
+            x, y = lon / 360 + 0.5, 0.5 - 0.25 * math.log((1 + s) / (1 - s)) / math.pi
+            for z in zooms:
+                key = z, math.floor(x * 2**z * 256 / 60), math.floor(y * 2**z * 256 / 60)
+                n, a, b = out.get(key, (0, 0.0, 0.0))
+                out[key] = n + 1, a + lon, b + lat
+        return {k: (n, round(a / n, 9), round(b / n, 9)) for k, (n, a, b) in out.items()}
+
+    def found(frame):
+        return {(r["zoom"], r["gx"], r["gy"]): (r["n"], round(r["lon"], 9), round(r["lat"], 9)) for r in frame.collect()}
+
+    assert found(stats.map_clusters(docs)) == plain(range(19), lambda p: True)
+    view = (8.75, 48.0, 9.0, 49.1)
+    inside = lambda p: view[0] <= p[0] <= view[2] and view[1] <= p[1] <= view[3]
+    assert found(stats.map_clusters(docs, [12, 3, 3, 7], view)) == plain([12, 7, 3], inside)
+    assert found(stats.map_clusters(docs, [9], view)) == plain([9], inside)
+    clusters = stats.map_clusters(docs)
+    clusters.collect()
+    copies = [int(n) for n in re.findall(r"explode\(\[([^\]]*)\]", clusters._jdf.queryExecution().optimizedPlan().toString()) for n in [len(n.split(","))]]
+    assert copies and max(copies) <= stats.LEVELS_AT_ONCE
+
+
 def test_distance_column_accepts_columns(spark):
     row = spark.range(1).select(geo.distance_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("d")).first()
     assert row["d"] == pytest.approx(math.radians(1) * geo.EARTH_RADIUS_M)

@@ -294,3 +294,29 @@ def test_conditions_on_values(texts):
     assert got(nodes.extract_key_date(docs, "v", "ne", "2019-01-01")) == ["2020-03-04-x"]
     with pytest.raises(ValueError):
         nodes.extract_key_numeric(docs, "v", "like", 1)
+
+
+def test_only_texts_that_may_hold_the_key_are_walked(spark):
+    texts = ['{"k": 1}', '{"\\u006b": 2}', '{"a": "k"}', '{"a": {"k": null}}', '{"b/c": 3}', '{"b\\/c": 4}', '{"q\\"r": 5}', '{"ü": 6}', '{"\\u00fc": 7}', "k", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id_x long, raw string")
+    for name, expected in (("k", [(0, "1"), (1, "2"), (3, None)]), ("b/c", [(4, "3"), (5, "4")]), ('q"r', [(6, "5")]), ("ü", [(7, "6"), (8, "7")])):
+        assert sorted((r["_id_x"], r["value"]) for r in nodes.extract_key(docs, name).collect()) == expected
+    plan = nodes.extract_key(docs, "k")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow.*\n.*(Filter|Project).*", plan) and "Contains" in plan
+
+
+def test_projections_keep_values_as_stored(spark, collection):
+    raw = {"type": "Feature", "properties": {"id": "T", "a": [{"x": 12.50, "y": 1}, {"y": 2}, 5, None], "n": None, "big": 12345678901234567890, "e": 1e-7, "s": "1"}}
+    docs = collection(raw)
+    kept = access.project_include(docs, ["_id_x", "properties.a.x", "properties.n", "properties.big", "properties.e", "properties.gone"])
+    text = kept.select(F.to_json("doc").alias("t"), F.expr("schema_of_variant(doc:properties.big)").alias("kind")).first()
+    assert json.loads(text["t"]) == {"properties": {"a": [{"x": 12.5}, {}, None, None], "n": None, "big": 12345678901234567890, "e": 1e-7}}
+    assert text["kind"].startswith("DECIMAL")
+    rest = access.project_exclude(docs, ["properties.a.x", "properties.id"])
+    assert json.loads(rest.select(F.to_json("doc").alias("t")).first()["t"]) == {
+        "type": "Feature",
+        "properties": {"a": [{"y": 1}, {"y": 2}, 5, None], "n": None, "big": 12345678901234567890, "e": 1e-7, "s": "1"},
+    }
+    stored = docs.select("_id_x", "_file", "_date", "doc").cache()
+    for frame in (access.project_include(stored, ["properties.a.x"]), access.project_exclude(stored, ["properties.a.x"])):
+        assert "parse_json" not in frame._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
