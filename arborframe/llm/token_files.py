@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,29 +35,83 @@ from ..session import scratch_path
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
-CACHE_WORDS = 1_000_000  # entries of a worker's word cache before it starts anew; no effect on results
+CACHE_WORDS = 1_000_000  # entries of a worker's word cache, both generations; no effect on results
+JOINED_WORDS = 200  # new words that are encoded in one call
+BATCH_CHARS = 4 << 20  # characters whose words are looked up together
+MARKS = ".,;:!?"
+BLANK = "Ġ"  # fixed value: the sign of a blank in byte-level vocabularies
 
 # Characters for which a blank before a non-blank always starts a new piece, and
 # a blank between two white spaces that does not.
 _BLANK_RUN = re.compile(r"\s (?:\s|\Z)")
 _BEFORE_SPACE = re.compile(r" (?:\s|\Z)")  # found quickly; only then is the rest looked at
+_SPACE = re.compile(r"\s")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to one side only
 
 
-class WordIds(dict):
-    """Packed token ids of a word, found once per worker; ``before`` stands in front of each word."""
+class WordIds:
+    """Packed token ids of words, found once per worker; ``before`` stands in front of each word.
+
+    A full cache becomes the old generation, from which words that are met
+    again move to the new one, so that frequent words are never forgotten.
+    """
 
     def __init__(self, tokenizer, before: str) -> None:
-        super().__init__()
         self.tokenizer, self.before = tokenizer, before
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = list(words.difference(self))
-        found = self.tokenizer.encode_batch_fast([self.before + word for word in new], add_special_tokens=False)
-        for word, encoding in zip(new, found, strict=True):
-            self[word] = array("i", encoding.ids).tobytes()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        starts = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        for token, number in tokenizer.get_vocab().items():
+            starts[number] = token.startswith(BLANK)
+        self.starts = starts if before and starts.any() else None
+
+    def find(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        if None in found:
+            absent = [(at, words[at]) for at, ids in enumerate(found) if ids is None]
+            new = list({word for _, word in absent if word not in self.old})
+            if len(self.young) + len(absent) > CACHE_WORDS // 2:
+                self.old, self.young = {word: self.old[word] for _, word in absent if word in self.old} | self.young, {}
+            self.young.update(self._learn(new))
+            for at, word in absent:
+                if word not in self.young:
+                    self.young[word] = self.old[word]
+                found[at] = self.young[word]
+        return found
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words; marks at the end of a word are a piece of their own if a letter or digit comes before them."""
+        if self.starts is None:
+            return self._encoded(words, self.before)
+        stems, ends = {}, {}
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem != word and stem[-1:].isalnum():
+                stems[word], ends[word] = stem, word[len(stem) :]
+        known = {stem: ids for stem in set(stems.values()) if (ids := self.young.get(stem) or self.old.get(stem))}
+        plain = {stems.get(word, word) for word in words}.difference(known)
+        known |= self._joined([word for word in plain if word and not _SPACE.search(word)])
+        known |= self._encoded([word for word in plain if word not in known], self.before)
+        marks = self._encoded(list(set(ends.values())), "")
+        for word, stem in stems.items():
+            known[word] = known[stem] + marks[ends[word]]
+        return known
+
+    def _encoded(self, words: list[str], before: str) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast([before + word for word in words], add_special_tokens=False)
+        return {word: array("i", encoding.ids).tobytes() for word, encoding in zip(words, found, strict=True)}
+
+    def _joined(self, words: list[str]) -> dict[str, bytes]:
+        """Words without white space, encoded joined by blanks and cut where a token starts with one."""
+        groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        known: dict[str, bytes] = {}
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, dtype=np.int32)
+            cuts = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
+            if len(cuts) == len(group) + 1 and cuts[0] == 0:
+                packed = ids.tobytes()
+                known.update(zip(group, [packed[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        return known
 
 
 @lru_cache(maxsize=2)
@@ -76,38 +131,74 @@ def _is_whole(text: str, added: list[str]) -> bool:
     return any(token in text for token in added) or _SEPARATORS.search(text) is not None
 
 
-def encode_texts(path: str, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-    """Ids of whole texts, each followed by ``end_id``.
+def _is_odd(text: str, added: list[str]) -> bool:
+    return bool(_BEFORE_SPACE.search(text) or _SEPARATORS.search(text) or any(token in text for token in added))
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray, list[str]]:
+    """Where each text's words start, all words by their number, and the first word of each text."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets, lists.values.dictionary_encode(), lists.values.take(pa.array(offsets[:-1])).to_pylist()
+
+
+def encode_batch(path: str, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, each followed by ``end_id``, one after the other, and their numbers.
 
     The split before the merges never joins two words across a blank, unless
-    the blank stands between white space; so a text is encoded word by word and
-    each word only once.  Texts with such blanks or with added tokens go to the
-    tokenizer as they are.
+    the blank stands between white space; so texts are cut at blanks, and each
+    different word is looked up once per batch.  Texts with such blanks or with
+    added tokens go to the tokenizer as they are.
     """
+    if not texts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     tokenizer, added, first, later = _load(path)
-    end = b"" if end_id is None else array("i", [end_id]).tobytes()
-    parts = [None if _is_whole(text, added) else text.split(" ") for text in texts]
-    first.learn({words[0] for words in parts if words})
-    words_seen: set[str] = set()
-    for words in parts:
-        if words:
-            words_seen.update(words)
-    later.learn(words_seen)
-    found = []
-    for text, words in zip(texts, parts, strict=True):
-        if words is None:
-            packed = array("i", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        else:
-            packed = first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
-        found.append(np.frombuffer(packed + end, dtype=np.int32))
-    return found
-
-
-def _list_array(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    values = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    offsets, words, heads = _words(texts)
+    different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    whole = {}
+    # Only a text with a word that is empty, starts with white space, or holds something odd can need the tokenizer as a whole.
+    if _is_odd(" " + " ".join(different), added):
+        whole = {at: text for at, text in enumerate(texts) if _is_whole(text, added)}
+        offsets, words, heads = _words(["" if at in whole else text for at, text in enumerate(texts)])
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes = words.indices.to_numpy().astype(np.int64)
+    packed = later.find(different)
+    # A text's first word has no blank before it; a whole text stands in its place.
+    codes[offsets[:-1]] = len(packed) + np.arange(len(texts))
+    starts = first.find(heads)
+    for at, text in whole.items():
+        starts[at] = array("i", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    packed += starts
+    if end_id is not None:
+        codes = np.insert(codes, offsets[1:], len(packed))
+        offsets = offsets + np.arange(len(offsets))
+        packed.append(array("i", [end_id]).tobytes())
+    table = np.frombuffer(b"".join(packed), dtype=np.int32)
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    places = np.cumsum(sizes) - sizes
+    counts = sizes[codes]
+    ends = np.cumsum(counts)
+    ids = table[np.repeat(places[codes] - (ends - counts), counts) + np.arange(ends[-1])]
+    totals = np.concatenate(([0], ends))[offsets]
+    return ids, np.diff(totals)
+
+
+def encode_texts(path: str, texts: list[str], end_id: int | None) -> list[np.ndarray]:
+    """Ids of whole texts, each followed by ``end_id``."""
+    ids, counts = encode_batch(path, texts, end_id)
+    return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+
+
+def _portions(texts: list[str]):
+    """Slices of about ``BATCH_CHARS`` characters."""
+    start, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if size >= BATCH_CHARS:
+            yield texts[start : at + 1]
+            start, size = at + 1, 0
+    if start < len(texts):
+        yield texts[start:]
 
 
 def token_ids(path: str, end_id: int | None = END_ID):
@@ -115,9 +206,10 @@ def token_ids(path: str, end_id: int | None = END_ID):
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        parts = [encode_texts(path, [t or "" for t in texts[i : i + 500]], end_id) for i in range(0, len(texts), 500)]
-        return _list_array([row for part in parts for row in part])
+        parts = [encode_batch(path, part, end_id) for part in _portions([t or "" for t in text.to_pylist()])]
+        offsets = np.concatenate([[0], *[counts for _, counts in parts]]).cumsum()
+        values = np.concatenate([ids for ids, _ in parts]) if parts else np.zeros(0, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
     return encode
 
@@ -135,7 +227,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         "orc.bloom.filter.columns": "doc_id",
         "orc.stripe.size": str(STRIPE_BYTES),
         "orc.row.index.stride": str(ROW_INDEX_STRIDE),
-        "compression": "zstd",
+        "compression": "lz4",
     }
     encoded.write.options(**options).orc(folder)
 

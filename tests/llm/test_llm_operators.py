@@ -604,3 +604,19 @@ def test_likeness_of_long_texts(spark, n):
     r = frame.select(*[multiset_hash.likeness(F.col("s_a"), F.col(f"s_{c}")).alias(c) for c in ("a", "b", "half")]).first()
     exact = len({*a} & {*half}) / len({*a} | {*half})
     assert r["a"] == 1.0 and r["b"] < 0.15 and abs(r["half"] - exact) < 0.15
+
+
+def test_encoding_by_words_equals_the_tokenizer(monkeypatch):
+    """Random texts of letters, digits, marks, white space and added tokens, with a cache that turns over all the time."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 400)
+    monkeypatch.setattr(token_files, "BATCH_CHARS", 3000)
+    path = token_files.tokenizer_file()
+    tokenizer, draw = Tokenizer.from_file(path), random.Random(4)
+    pieces = ["a", "the", "don't", "I'll", "x1", "12", "²", "é", "é", "日本", "🙂", ".", ",", "!?", "...", ";:", "\"", "(", ").", "-", "'s", " ", " ", " ", " ", "\n", "\t", " ", "\x1d", "  ", "<|endoftext|>", "Ġ"]
+    weights = [6] * 11 + [2] * 10 + [9] * 4 + [3, 1, 1, 0.1, 1, 0.1, 1]
+    texts = ["".join(draw.choices(pieces, weights, k=draw.randrange(60))) for _ in range(1500)]
+    got = [row for part in token_files._portions(texts) for row in token_files.encode_texts(path, part, 2)]
+    assert [g.tolist() for g in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert token_files.encode_texts(path, [], 2) == []
