@@ -671,6 +671,15 @@ def _(spark, sf):
     return writers.export_docs(order_documents(spark, sf), scratch_path(spark, "geojson")).select("_id_x", "_file")
 
 
+@query("import_stamped", sql.with_documents(f"SELECT t._id_x, t._file, {SUMMARY_SQL} FROM t JOIN orders ON o_orderkey = t._id_x"))
+def _(spark, sf):
+    """Files numbered in path order: their names sort as their ids do."""
+    outdir = scratch_path(spark, "geojson")
+    writers.export_docs(order_documents(spark, sf), outdir).count()
+    rows = readers.import_docs(spark, outdir)
+    return _summary(model.documents(stamp.stamp_files(rows, rows)), "_id_x", "_file")
+
+
 @query("import_zip", sql.with_documents(f"SELECT t._file, {SUMMARY_SQL} FROM t"))
 def _(spark, sf):
     folder = scratch_path(spark, "archives")
@@ -682,8 +691,8 @@ def _(spark, sf):
 def _(spark, sf):
     folder = scratch_path(spark, "arrays")
     writers.save_arrays(order_text(spark, sf), folder)
-    rows = readers.read_dump(spark, folder).where("rejected IS NULL").drop("_id_x", "_date", "rejected")
-    return _summary(model.documents(stamp.stamp_metadata(rows, "path", "pos")), "_id_x", "_file")
+    rows = readers.read_dump(spark, folder).where("rejected IS NULL").select("path", "place", "_file", "raw")
+    return _summary(model.documents(stamp.stamp_members(rows)), "_id_x", "_file")
 
 
 @query("import_dump_lines", sql.with_documents(f"SELECT t._file, t._id_x AS stored_id, {SUMMARY_SQL} FROM t"))

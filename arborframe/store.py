@@ -27,37 +27,40 @@ class TreeStore:
     def __init__(self, spark: SparkSession, docs: DataFrame | None = None):
         self.spark = spark
         if docs is None:
-            self._set_text(spark.createDataFrame([], RAW))
+            self._set_docs(model.documents(spark.createDataFrame([], RAW)))
         else:
             self._set_docs(docs)
+        self._empty = docs is None
 
     def _set_docs(self, docs: DataFrame) -> None:
-        self.docs, self.text = docs, docs.select(*TEXT)
-
-    def _set_text(self, text: DataFrame) -> None:
-        self.text, self.docs = text, model.documents(text)
+        self.docs, self.text, self._empty = docs, docs.select(*TEXT), False
 
     # ---- import
-    def _add(self, rows: DataFrame, order: Sequence[Any], overwrite: bool) -> int:
-        start = 0 if overwrite else stamp.next_id(self.text)
-        fresh = stamp.stamp_metadata(rows, *order, start=start).select(*TEXT)
-        self._set_text(fresh if overwrite else self.text.unionByName(fresh))
-        return fresh.count()
+    def _start(self, overwrite: bool) -> int:
+        return 0 if overwrite else stamp.next_id(self.docs)
+
+    def _add(self, fresh: DataFrame, overwrite: bool) -> int:
+        """Keep freshly stamped texts as a table of their own, so that no later query reads the imported files."""
+        path = scratch_path(self.spark, "trees")
+        writers.save_table(fresh.select(*TEXT), path)
+        added = self.spark.read.parquet(path)
+        self._set_docs(added if overwrite or self._empty else self.docs.unionByName(added))
+        return added.count()
 
     def import_data(self, path: str, overwrite: bool = False) -> int:
         """Valid documents of a directory, or of a ZIP archive; returns how many were added."""
         rows = readers.import_zip(self.spark, path) if path.endswith(".zip") else readers.import_docs(self.spark, path)
-        valid = validate.accepted(model.parsed(rows)).select("path", "_file", "raw")
-        return self._add(valid, [stamp.path_order(F.col("path"))], overwrite)
+        valid = validate.accepted(model.parsed(rows))
+        return self._add(stamp.stamp_files(rows, valid, self._start(overwrite)), overwrite)
 
     def import_db(self, path: str, overwrite: bool = False) -> int:
         """All documents of a dump, with new ids and dates; returns how many were added."""
-        rows = readers.read_dump(self.spark, path).where("rejected IS NULL").select("path", "pos", "_file", "raw")
-        return self._add(rows, [stamp.path_order(F.col("path")), "pos"], overwrite)
+        rows = readers.read_dump(self.spark, path).where("rejected IS NULL")
+        return self._add(stamp.stamp_members(rows.select("path", "place", "_file", "raw"), self._start(overwrite)), overwrite)
 
     def load(self, path: str) -> None:
         """Replace the collection by a dump, ids and dates as stored."""
-        self._set_text(readers.read_dump(self.spark, path).where("rejected IS NULL").select(*TEXT))
+        self._add(readers.read_dump(self.spark, path).where("rejected IS NULL"), True)
 
     def save(self, path: str) -> None:
         """Write the collection as a Parquet table."""
