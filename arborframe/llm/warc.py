@@ -38,6 +38,8 @@ CHUNK_BYTES = 1 << 20
 PIECE = 1 << 16  # bytes handled at a time
 SEGMENT_BYTES = 64 << 20
 ARCHIVE_BYTES = 1 << 30
+READ_BYTES = 16 << 20  # packed bytes of the segments that one task reads
+MOST_TASKS = 100_000
 ID = "urn:record:"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -53,14 +55,17 @@ def record_table(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url"
 
     Equal payloads are found on digests and lengths; only groups of two or more
     take part in the join, and a large group is split by adaptive execution.
+    Shorter payloads, of which very many may be equal, go around the join.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), utf8(payload_col).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
     long_enough = F.octet_length("payload") >= min_bytes
-    groups = rows.where(long_enough).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("first_id")).where("n > 1")
+    short, rows = (rows.where(c).withColumn("digest", F.sha1("payload")) for c in (~long_enough, long_enough))
+    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("first_id")).where("n > 1")
     groups = groups.select(F.col("digest").alias("__digest"), "first_id")
-    joined = rows.join(groups, (rows["digest"] == groups["__digest"]) & long_enough, "left")
-    return joined.select("id", "uri", "payload", "digest", F.when(F.col("id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    joined = rows.join(groups, rows["digest"] == groups["__digest"], "left")
+    columns = ["id", "uri", "payload", "digest"]
+    refers_to = F.when(F.col("id") != F.col("first_id"), F.col("first_id")).alias("refers_to")
+    return joined.select(*columns, refers_to).unionByName(short.select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
 
 def _hex_to_label(digest: str) -> str:
@@ -249,11 +254,18 @@ def _read(folder: str, chunk_bytes: int):
     return run
 
 
-def read_chunks(segments: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk table of the archives that ``segments`` names."""
-    ship(segments.sparkSession)
-    spread = segments.repartition(F.col("path"), F.col("start"))
-    return spread.mapInArrow(_read(folder, chunk_bytes), CHUNKS)
+def read_chunks(segments: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, task_bytes: int = READ_BYTES) -> DataFrame:
+    """The chunk table of the archives that ``segments`` names.
+
+    The segments are dealt to a number of tasks that is counted from their
+    packed bytes. Were it left to adaptive execution, the few bytes of the
+    segment rows would bring them all into one task.
+    """
+    spark = segments.sparkSession
+    ship(spark)
+    count, packed = segments.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(count, max(-(-packed // task_bytes), min(count, spark.sparkContext.defaultParallelism)), MOST_TASKS))
+    return segments.repartition(tasks, "path", "start").mapInArrow(_read(folder, chunk_bytes), CHUNKS)
 
 
 def page_records(pages: DataFrame) -> DataFrame:

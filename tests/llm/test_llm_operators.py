@@ -82,6 +82,18 @@ def test_warc_chunks_carry_running_digests(spark, tmp_path):
     assert [r["last"] for r in rows] == [False] * 9 + [True]
 
 
+def test_warc_segments_are_read_by_many_tasks(spark, tmp_path):
+    """500 segments with adaptive execution on."""
+    pages = page_table(spark, [(i, "http://x.org/", f"page {i} " + "z" * (i % 7) * 300) for i in range(500)])
+    segments = warc.write_archives(warc.record_table(pages), f"file:{tmp_path}/w", segment_bytes=1)
+    assert segments.count() == 500 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    chunks = warc.read_chunks(segments, f"file:{tmp_path}/w", task_bytes=1)
+    readers = chunks.select(F.spark_partition_id().alias("task"), "id").distinct().collect()
+    assert len({r["task"] for r in readers}) > 100 and {r["id"] for r in readers} == set(range(500))
+    few = warc.read_chunks(segments, f"file:{tmp_path}/w").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert few >= min(4, spark.sparkContext.defaultParallelism)
+
+
 # ---------------------------------------------------------------- 2
 def test_language_id(spark, empty):
     rng = random.Random(3)
