@@ -226,9 +226,46 @@ def documents(raw: DataFrame) -> DataFrame:
         columns[name] = either(F.get(plain_places, i), careful)
     for path, (column, fields) in ARRAYS.items():
         columns[column] = F.struct(keys(path), *[member(path, n, k) for n, k in fields.items()])
+    columns[SHAPE], columns[POSITION] = _shape(child(doc, "properties")), _last_position(doc)
     return rows.withColumns(columns).drop("_typed", "_regular", "_maps", "_named")
 
 
+# The keys of ``properties`` and the last measured position, which questions about
+# keys and the relational view read in place of the VARIANT.
+SHAPE, POSITION = "_shape", "_position"
+
+
+def _shape(properties: Column) -> Column:
+    """Sorted keys as one JSON text; after a star those of an array's members.
+
+    There are few different ones, so that Parquet stores each once per row group
+    and a short number per document.
+    """
+
+    def text(keys: Column) -> Column:
+        return F.to_json(F.array_sort(F.array_distinct(keys)))
+
+    none = F.array().cast("array<string>")
+    members = F.flatten(F.transform(as_array(properties), lambda v: F.coalesce(F.map_keys(as_map(v)), none)))
+    return F.coalesce(text(F.map_keys(as_map(properties))), F.concat(F.lit("*"), text(members)))
+
+
+def shape_holds(name: str) -> Column | None:
+    """Whether ``properties`` has this key, from its shape; ``None`` for names that it may spell in another way."""
+    if name.isdigit() or not name or any(c in '"\\/' or ord(c) < 32 or ord(c) == 127 for c in name):
+        return None
+    return F.coalesce(F.col(SHAPE).contains(f'"{name}"'), F.lit(False))
+
+
+def _last_position(doc: Column) -> Column:
+    """``x, y, z, crs`` of the last measurement with a position."""
+    last = F.try_element_at(F.filter(_variant_array("properties.measurements"), lambda e: child(e, "position_xyz").isNotNull()), F.lit(-1))
+    place = [F.try_variant_get(last, f"$.position_xyz[{i}]", "double").alias(n) for i, n in enumerate("xyz")]
+    found = F.struct(*place, F.try_variant_get(last, "$.crs", "string").alias("crs"))
+    mentioned = F.col("raw").contains("position_xyz") | F.col("raw").contains("\\u")
+    return F.when(mentioned & last.isNotNull(), found)
+
+
 def elements(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """One row per array element of columnar documents: ``pos`` plus typed fields.
 

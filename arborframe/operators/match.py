@@ -23,7 +23,7 @@ into false exactly there (``_negate``); leaves stay bare and push down.
 from __future__ import annotations
 
 import operator
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -206,8 +206,8 @@ class VariantScope:
 class DocumentScope:
     """Columnar documents: typed leaves where they exist, the VARIANT otherwise."""
 
-    def __init__(self) -> None:
-        self._variant = VariantScope(F.col("doc"))
+    def __init__(self, columns: Sequence[str] = ()) -> None:
+        self._variant, self._columns = VariantScope(F.col("doc")), frozenset(columns)
 
     @staticmethod
     def _member(path: str) -> tuple[str, str, Mapping[str, str]] | None:
@@ -234,6 +234,9 @@ class DocumentScope:
         member = self._member(path)
         if member and "." not in member[1]:
             return F.exists(F.col(f"{member[0]}._keys"), lambda keys: F.array_contains(keys, member[1]))
+        above, _, name = path.rpartition(".")
+        if above == "properties" and model.SHAPE in self._columns and (held := model.shape_holds(name)) is not None:
+            return held
         return self._variant.has(path)
 
     def is_null(self, path: str) -> Column:
@@ -490,7 +493,7 @@ def where_scope(docs, build: Callable[[Any], Column]) -> DataFrame:
     partial row per task.
     """
     if isinstance(docs, DataFrame):
-        return docs.where(build(DocumentScope()))
+        return docs.where(build(DocumentScope(docs.columns)))
     scope = RelationalScope(docs)
     condition = build(scope)
     return _with_flags(docs, scope).where(condition).select(*docs.header.columns)
@@ -498,7 +501,7 @@ def where_scope(docs, build: Callable[[Any], Column]) -> DataFrame:
 
 def with_conditions(docs, queries: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """All documents plus one boolean column per named filter, from one scan."""
-    scope = DocumentScope() if isinstance(docs, DataFrame) else RelationalScope(docs)
+    scope = DocumentScope(docs.columns) if isinstance(docs, DataFrame) else RelationalScope(docs)
     held = {name: F.coalesce(compile_filter(q, scope), F.lit(False)) for name, q in queries.items()}
     if isinstance(docs, DataFrame):
         return docs.withColumns(held)

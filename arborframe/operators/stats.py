@@ -45,10 +45,14 @@ def distinct_any_path(docs, path: str) -> DataFrame:
 
 
 def shared_properties(docs: DataFrame) -> DataFrame:
-    """Keys of ``properties`` present in every document, sorted."""
-    keys = docs.select(F.explode(F.map_keys(model.as_map(model.child(F.col("doc"), "properties")))).alias("key"))
+    """Keys of ``properties`` present in every document, sorted.
+
+    The documents are counted by shape, and only the shapes are looked into.
+    """
+    shapes = docs.where(~F.col(model.SHAPE).startswith("*")).groupBy(model.SHAPE).agg(F.count(F.lit(1)).alias("n"))
+    keys = shapes.select(F.explode(F.from_json(model.SHAPE, "array<string>")).alias("key"), "n")
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counted = keys.groupBy("key").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") == total).select("key").orderBy("key")
 
 

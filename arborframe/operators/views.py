@@ -28,17 +28,10 @@ def tree_general(docs: DataFrame) -> DataFrame:
         F.col("lon").alias("long_epsg4326"),
         F.col("elev").alias("elev_epsg4326"),
     ]
-    positioned = F.exists("measurements._keys", lambda keys: F.array_contains(keys, "position_xyz"))
-    if not docs.agg(F.bool_or(positioned).alias("any")).first()["any"]:
+    if not docs.agg(F.bool_or(F.col(model.POSITION).isNotNull()).alias("any")).first()["any"]:
         return docs.select(*base)
-    with_position = F.filter(
-        F.try_variant_get(F.col("doc"), f"$.{MEASUREMENTS}", "array<variant>"),
-        lambda e: model.child(e, "position_xyz").isNotNull(),
-    )
-    rows = docs.select(*base, F.try_element_at(with_position, F.lit(-1)).alias("_last"))
-    place = [F.try_variant_get("_last", f"$.position_xyz[{i}]", "double").alias(n) for i, n in enumerate("xyz")]
-    crs = F.try_variant_get("_last", "$.crs", "string").alias("xyz_crs")
-    return rows.select(*rows.columns[:-1], *place, crs)
+    place = [F.col(f"{model.POSITION}.{n}").alias(n) for n in "xyz"]
+    return docs.select(*base, *place, F.col(f"{model.POSITION}.crs").alias("xyz_crs"))
 
 
 def tree_metrics(docs: DataFrame) -> DataFrame:

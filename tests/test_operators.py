@@ -8,7 +8,7 @@ import pytest
 from conftest import ids, tree, without
 from pyspark.sql import functions as F
 
-from arborframe.operators import access, joins, nodes, positions, stats, views
+from arborframe.operators import access, joins, match, nodes, positions, stats, views
 from arborframe.store import TreeStore
 
 M, D = "properties.measurements", "properties.data"
@@ -320,3 +320,23 @@ def test_projections_keep_values_as_stored(spark, collection):
     stored = docs.select("_id_x", "_file", "_date", "doc").cache()
     for frame in (access.project_include(stored, ["properties.a.x"]), access.project_exclude(stored, ["properties.a.x"])):
         assert "parse_json" not in frame._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+
+
+def test_key_questions_do_not_read_the_document(spark, collection, tmp_path):
+    raw = [tree(0, extra=1, **{"ü": None}), tree(1, measurements=[{}, {"position_xyz": [1, 2, 3], "crs": "c"}, {"position_xyz": [4, 5, 6]}]), {"properties": [{"id": 1, "extra": 2}, 5]}, {"properties": 3}, {}]
+    raw += [{"properties": {'q"id"': 1, "a\\b": 2, "0": 3, "x/y": 4}}]
+    collection(*raw).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+
+    def read(frame):
+        return " ".join(re.findall(r"ReadSchema: (.*)", frame._jdf.queryExecution().executedPlan().toString()))
+
+    for name, rows in {"extra": [0, 2], "id": [0, 1, 2], "ü": [0], "a\\b": [5], "0": [2, 5], "x/y": [5], "gone": []}.items():
+        assert ids(match.where(docs, {f"properties.{name}": {"$exists": True}})) == rows, name
+        assert ids(match.where(docs, {f"properties.{name}": {"$exists": False}})) == [i for i in range(6) if i not in rows]
+    assert "doc" not in read(match.where(docs, {"properties.extra": {"$exists": True}}).select("_id_x"))
+    general = views.tree_general(docs)
+    assert {r["tree_id"]: (r["x"], r["y"], r["z"], r["xyz_crs"]) for r in general.collect() if r["tree_id"]} == {"T0": (None,) * 4, "T1": (4.0, 5.0, 6.0, None)}
+    assert "doc" not in read(general) and "doc" not in read(stats.shared_properties(docs))
+    assert [r["key"] for r in stats.shared_properties(docs.where("_id_x in (0, 1)")).collect()] == ["data", "id", "measurements", "source", "species"]
+    assert stats.shared_properties(docs.where("_id_x in (0, 2)")).collect() == []
