@@ -35,7 +35,7 @@ def _iso_midnight(day: str) -> str:
     try:
         return datetime.datetime.strptime(day, "%Y-%m-%d").isoformat()
     except (TypeError, ValueError) as err:
-        raise ValueError("Date format is required as string 'YYYY-MM-DD'") from err
+        raise ValueError(f"{day!r} is no calendar day written as year-month-day") from err
 
 
 def _midnight(day: datetime.date) -> Column:

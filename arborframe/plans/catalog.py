@@ -6,6 +6,7 @@ written against the flat tables and shares no code with the Spark side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -210,7 +211,21 @@ def _(spark, sf):
 # Ring corners lie between the tree positions: a tree exactly on an edge has no defined side.
 PLOT = [(10.05, 40.05), (20.55, 40.05), (20.55, 60.05), (10.05, 60.05), (10.05, 40.05)]
 HOLE = [(13.05, 45.05), (17.05, 45.05), (17.05, 50.05), (13.05, 50.05), (13.05, 45.05)]
-HUGE = [(-115.15, 48.35), (-112.25, -3.45), (-115.15, -52.35), (92.45, -51.05), (92.45, 50.55), (-115.15, 48.35)]
+
+
+def circle(lon: float, lat: float, degrees: float, corners: int) -> list[tuple[float, float]]:
+    """A closed ring of points at one distance from a centre, which lies to the right of it."""
+    a, b, d = math.radians(lon), math.radians(lat), math.radians(degrees)
+    ring = []
+    for bearing in (math.tau * i / corners for i in range(corners)):
+        up = math.asin(math.sin(b) * math.cos(d) + math.cos(b) * math.sin(d) * math.cos(bearing))
+        east = math.atan2(math.sin(bearing) * math.sin(d) * math.cos(b), math.cos(d) - math.sin(b) * math.sin(up))
+        ring.append(((math.degrees(a + east) + 540.0) % 360.0 - 180.0, math.degrees(up)))
+    return [*ring, ring[0]]
+
+
+#: The left side of this ring is all but a circle of 77 degrees.
+HUGE = circle(171.13, -4.27, 77.0, 7)
 
 
 @query("within_polygon", sql.polygon(f"{sql.winding(PLOT)} > 1"))

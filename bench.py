@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from arborframe.operators import filters, match, nodes, stats, views  # noqa: E402
+from arborframe.operators import access, filters, match, nodes, stats, views  # noqa: E402
 from arborframe.plans.catalog import CATALOG, DATA, MEASURED  # noqa: E402
 from arborframe.plans.views import order_text  # noqa: E402
 from arborframe.session import scratch_path  # noqa: E402
@@ -24,7 +24,7 @@ from arborframe.sources import stamp, writers  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-FLAT = ("stats", "species_regex", "logical_and", "elem_match", "date_range", "near_point", "within_polygon", "spatial_join", "map_clusters")
+FLAT = ("stats", "species_regex", "logical_and", "elem_match", "date_range", "near_point", "within_polygon", "spatial_join", "spatial_join_polygons", "map_clusters")
 POINT = {"type": "Point", "coordinates": [8.7, 49.0]}
 
 
@@ -51,6 +51,16 @@ def document_queries(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def eager_queries(docs: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """Queries that count id ranges before they return a frame; the counts are timed as well."""
+    return {
+        "doc_get_item": lambda: access.get_item(docs, -1000).select("_id_x"),
+        "doc_page": lambda: access.limit_skip(docs, 100_000, 50).select("_id_x"),
+        "doc_slice": lambda: access.slice_items(docs, 10, -10, 1000).select("_id_x"),
+        "doc_shared_properties": lambda: stats.shared_properties(docs),
+    }
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -76,6 +86,11 @@ def main() -> None:
     for name, frame in document_queries(docs).items():
         seconds(frame)
         timings[name] = min(seconds(frame) for _ in range(2))
+    for name, run in eager_queries(docs).items():
+        run().collect()
+        started = time.perf_counter()
+        run().collect()
+        timings[name] = time.perf_counter() - started
     timings = {name: round(value, 3) for name, value in timings.items()}
     print(
         json.dumps(

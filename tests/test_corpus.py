@@ -65,6 +65,7 @@ def test_places(store):
     def near(lon, lat, metres):
         return store.query_by_geometry({"type": "Point", "coordinates": [lon, lat]}, metres).count()
 
+    # Points and a plot of the public corpus.
     assert near(8.6995085, 49.0131634, 150.0) == 4
     assert near(8.682112, 49.014387, 2000.0) == 92
     ring = [

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from arborframe.functions import geo
 from arborframe.operators import filters, joins, match, stats
+from arborframe.plans.catalog import circle
 from arborframe.plans.views import relational
 
-HUGE = [[-115, 48], [-112, -3], [-115, -52], [92, -51], [92, 50], [-115, 48]]
+HUGE = circle(-175.0, 3.0, 64.0, 9)
 
 
 def polygon(*rings, strict=False):
