@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved
-from .common import keep_ids, ship, utf8
+from .common import ship, utf8
 
 WINDOW = 5
 COVERAGE = 0.6
@@ -204,12 +204,12 @@ def windows(texts: list[str], window: int, literals: int, accept, sizes: list[in
     return found
 
 
-_FIELDS = "key long, named boolean, hash long, pos int, size int, words int, slots array<string>, offsets array<int>"
+_FIELDS = "key long, mark long, named boolean, hash long, pos int, size int, words int, slots array<string>, offsets array<int>"
 
 
 def _find(window: int, literals: int, bits, sizes: list[int] | None = None):
-    """Task function: rows (key, UTF-8 text) to its windows; with ``bits``, those the filter lets through."""
-    schema = pa.schema([("key", pa.int64()), ("named", pa.bool_()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.string())), ("offsets", pa.list_(pa.int32()))])
+    """Task function: rows (key, mark, UTF-8 text) to its windows; with ``bits``, those the filter lets through."""
+    schema = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("named", pa.bool_()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.string())), ("offsets", pa.list_(pa.int32()))])
 
     def accept(hashes: np.ndarray) -> np.ndarray:
         return np.ones(len(hashes), dtype=bool) if bits is None else in_filter(hashes, bits.value)
@@ -218,14 +218,14 @@ def _find(window: int, literals: int, bits, sizes: list[int] | None = None):
         for batch in batches:
             part, keys, size = [], [], 0
             ends = batch.num_rows - 1
-            for i, (key, data) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+            for i, (key, mark, data) in enumerate(zip(*batch.columns[:3], strict=True)):
                 part.append(data.as_py().decode())
-                keys.append(key.as_py())
+                keys.append((key.as_py(), mark.as_py()))
                 size += len(part[-1])
                 if size < PART_CHARS and i < ends:
                     continue
                 if rows := windows(part, window, literals, accept, sizes):
-                    rows = [(keys[row[0]], *row[1:]) for row in rows]
+                    rows = [(*keys[row[0]], *row[1:]) for row in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 part, keys, size = [], [], 0
 
@@ -289,17 +289,50 @@ def longest_run(places: list[int]) -> int:
     return int(np.diff(np.r_[0, breaks, len(places)]).max())
 
 
+#: A document and an item: rows that share an id, or have none, are told apart by their text.
+PAIR = ["doc_id", "doc_mark", "item_id", "item_mark"]
+
+
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, mark, text``: the mark is a hash of the text."""
+    text = utf8(text_col)
+    return rows.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
 def _covered(batches):
     """Task function: alignments with their windows to the item words that are covered, and the longest run of them."""
     for batch in batches:
-        found = [consistent([tuple(h.values()) for h in hits.as_py()]) for hits in batch.column(3)]
+        found = [consistent([tuple(h.values()) for h in hits.as_py()]) for hits in batch.column(5)]
         places, changed = ([f[i] for f in found] for i in range(2))
         runs = [longest_run(p) for p in places]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(runs, pa.int32()), pa.array(changed, pa.bool_())], names=["doc_id", "item_id", "words", "places", "run", "changed"]
+            [*batch.columns[:5], pa.array(places, pa.list_(pa.int32())), pa.array(runs, pa.int32()), pa.array(changed, pa.bool_())], names=[*PAIR, "words", "places", "run", "changed"]
         )
 
 
+def _contaminated(docs, benchmark, window, coverage, literals, id_col, text_col, item_col, item_text_col, run) -> DataFrame:
+    spark = docs.sparkSession
+    ship(spark)
+    items = saved(_keyed(benchmark, item_col, item_text_col).mapInArrow(_find(window, literals, None), _FIELDS), "items")
+    bits = spark.sparkContext.broadcast(build_filter(items))
+    sizes = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
+    found = _keyed(docs, id_col, text_col).mapInArrow(_find(window, literals, bits, sizes), _FIELDS)
+    named = [F.col("key").alias("item_id"), F.col("mark").alias("item_mark")]
+    asked = items.select(*named, "named", "hash", F.col("pos").alias("item_pos"), "size", "words", F.col("slots").alias("item_slots"), "offsets").distinct()
+    placed = found.select(F.col("key").alias("doc_id"), F.col("mark").alias("doc_mark"), "named", "hash", "pos", "size", "slots")
+    hits = placed.join(asked, ["hash", "named", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    # one alignment is one shift; it has at most as many windows as the item
+    window_ = F.struct("item_pos", "size", F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"), "offsets")
+    runs = hits.groupBy(*PAIR, "words", "named", "shift").agg(F.collect_set(window_).alias("hits"))
+    kinds = ", ".join(f"{name} long" for name in PAIR)
+    placed = runs.select(*PAIR, "words", "hits").mapInArrow(_covered, f"{kinds}, words int, places array<int>, run int, changed boolean")
+    per_item = placed.where(F.size("places") > 0).groupBy(*PAIR, "words").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"), F.max("run").alias("run"), F.bool_or("changed").alias("slots_changed")
+    )
+    enough = (F.col("covered") >= F.lit(coverage) * F.col("words")) | (F.col("run") >= run)
+    return per_item.where(enough)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -316,27 +349,27 @@ def contaminated(
 
     ``covered`` of the item's ``n_words`` canonical words lie in consistent
     windows, or ``run`` in a row; ``slots_changed`` tells whether a slot has another value there.
+    Rows that share an id, or have none, are documents (and items) of their own
+    unless their texts are equal.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = saved(benchmark.select(F.col(item_col).cast("long").alias("key"), utf8(item_text_col).alias("text")).mapInArrow(_find(window, literals, None), _FIELDS), "items")
-    bits = spark.sparkContext.broadcast(build_filter(items))
-    sizes = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())
-    found = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("text")).mapInArrow(_find(window, literals, bits, sizes), _FIELDS)
-    asked = items.select(F.col("key").alias("item_id"), "named", "hash", F.col("pos").alias("item_pos"), "size", "words", F.col("slots").alias("item_slots"), "offsets").distinct()
-    placed = found.select(F.col("key").alias("doc_id"), "named", "hash", "pos", "size", "slots")
-    hits = placed.join(asked, ["hash", "named", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    # one alignment is one shift; it has at most as many windows as the item
-    window_ = F.struct("item_pos", "size", F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"), "offsets")
-    runs = hits.groupBy("doc_id", "item_id", "words", "named", "shift").agg(F.collect_set(window_).alias("hits"))
-    placed = runs.select("doc_id", "item_id", "words", "hits").mapInArrow(_covered, "doc_id long, item_id long, words int, places array<int>, run int, changed boolean")
-    per_item = placed.where(F.size("places") > 0).groupBy("doc_id", "item_id", "words").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"), F.max("run").alias("run"), F.bool_or("changed").alias("slots_changed")
-    )
-    enough = (F.col("covered") >= F.lit(coverage) * F.col("words")) | (F.col("run") >= run)
-    return per_item.where(enough).select("doc_id", "item_id", "covered", F.col("words").alias("n_words"), "slots_changed")
+    found = _contaminated(docs, benchmark, window, coverage, literals, id_col, text_col, item_col, item_text_col, run)
+    return found.select("doc_id", "item_id", "covered", F.col("words").alias("n_words"), "slots_changed")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents that hold no item; columns and all other rows stay."""
-    return keep_ids(docs, contaminated(docs, benchmark, **options).select("doc_id").distinct(), "left_anti")
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    coverage: float = COVERAGE,
+    literals: int = LITERALS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    run: int = RUN,
+) -> DataFrame:
+    """Documents that hold no item; columns and all other rows stay, also those that share an id with one that goes."""
+    found = _contaminated(docs, benchmark, window, coverage, literals, id_col, text_col, item_col, item_text_col, run)
+    gone = found.select(F.col("doc_id").alias("__gone_id"), F.col("doc_mark").alias("__gone_mark")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["__gone_id"]) & (F.xxhash64(utf8(docs[text_col])) == gone["__gone_mark"])
+    return docs.join(gone, same, "left_anti")

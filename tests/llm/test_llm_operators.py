@@ -240,6 +240,20 @@ def test_decontamination(spark, empty):
     assert decontamination.contaminated(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_rows_of_one_id_apart(spark):
+    """Halves of an item in different rows of one id, or of none, are no whole; only the row with the item goes."""
+    words = "seven wise old owls count every bright silver coin that rolls slowly down the narrow wooden stairs at dawn".split()
+    item = " ".join(words)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    halves = [" ".join(words[:9]), " ".join(words[9:])]
+    for ids in ([5, 5], [None, None], [5, 6]):
+        assert decontamination.contaminated(build(spark, halves, ids=ids), bench, run=99).count() == 0
+    table = build(spark, [item, "clean and short", item, "another clean text"], ids=[None, None, 3, 3])
+    assert sorted(r["text"] for r in decontamination.drop_contaminated(table, bench).collect()) == ["another clean text", "clean and short"]
+    split = spark.createDataFrame([(None, halves[0] + " and more words follow here now"), (None, halves[1] + " and other words end it all then")], "item_id long, text string")
+    assert decontamination.contaminated(build(spark, [halves[0] + " then " + halves[1]]), split, coverage=0.7, run=99).count() == 0
+
+
 def test_inconsistent_numbers_are_no_match(spark):
     bench = spark.createDataFrame([(0, "take 5 red apples then add 5 green apples and again 5 blue apples")], "item_id long, text string")
     texts = ["take 7 red apples then add 7 green apples and again 7 blue apples", "take 7 red apples then add 8 green apples and again 9 blue apples"]
