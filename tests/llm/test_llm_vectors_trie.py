@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from arborframe.llm import hard_negatives, multi_index, prefix_trie
+from arborframe.llm import hard_negatives, multi_index, prefix_trie, queries
 
 # ---------------------------------------------------------------- vectors
 VECTORS = "vec_id long, embedding array<float>, label int, row long, vector string, codes int, cell int, rank int, score int"
@@ -76,6 +76,46 @@ def test_hard_negatives_of_few_or_no_rows(spark):
     assert [tuple(r) for r in hard_negatives.mine(vector_table(spark, few)).collect()] == [(100, 102, 1, 103, 65536, 32768), (100, 102, 2, 103, 65536, 32768)]
 
 
+def by_contract(rows):
+    """Every pair of the query's rows scored in Python integers; a score that no long holds is None."""
+    usable = []
+    for vec_id, vector, label in rows:
+        if vector is not None and label is not None and all(x is not None and math.isfinite(x) for x in vector):
+            usable.append((vec_id, (label + 1) % 10 if vec_id % 7 == 0 else label, [math.floor(256 * x) for x in vector]))
+    out = []
+    for a, label, v in usable:
+        if a % 100:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), b, other == label) for b, other, w in usable if b != a)
+        for score, positive, _ in [s for s in scored if s[2]][:5]:
+            band = [s for s in scored if not s[2] and 30 * -score <= 100 * -s[0] <= 90 * -score][:10]
+            held = [(p if -(2**63) <= p < 2**63 else None for p in (-score, -s)) for s, _, _ in band]
+            out += [(a, positive, rank, b, *pair) for rank, ((_, b, _), pair) in enumerate(zip(band, held, strict=True), 1)]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(1e5,), (1e6,), (1, 1, 1e5, 1e7), (0, 1, 1e8, 1e30)])
+def test_hard_negatives_of_long_vectors(spark, tmp_path, sizes):
+    """Vectors whose scores exceed 2**53, and some that exceed a long, take part with exact scores."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(300):
+        size = draw.choice(sizes)
+        rows.append((i, [float(np.float32(size * draw.gauss(0.3, 0.4))) for _ in range(16)], draw.randrange(4)))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    expected = by_contract(rows)
+    got = [tuple(r) for r in queries.op11_hard_negatives(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and len(expected) > 40
+
+
+def test_order_keys_follow_the_scores():
+    numbers = sorted(s * (2**k + d) for k in (62, 63, 64, 71, 72, 200, 2000) for d in (-1, 0, 1) for s in (-1, 1))
+    keys = [hard_negatives.order_key(n) for n in numbers]
+    assert [k or hard_negatives.FITS for k in keys] == sorted(k or hard_negatives.FITS for k in keys)
+    assert all(hard_negatives.from_order_key(k) == n for k, n in zip(keys, numbers, strict=True) if k)
+    assert [n for k, n in zip(keys, numbers, strict=True) if k is None] == [n for n in numbers if -(2**63) <= n < 2**63]
+
+
 def test_intervals_hold_every_product():
     draw = np.random.default_rng(5)
     for width in (1, 3, 64, 100):
