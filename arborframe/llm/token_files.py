@@ -22,6 +22,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,12 @@ from ..session import scratch_path
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
-CACHE_WORDS = 1_000_000  # entries of a worker's word cache, both generations; no effect on results
+CACHE_WORDS = 600_000  # entries of a worker's word cache, both generations; no effect on results
 JOINED_WORDS = 200  # new words that are encoded in one call
 BATCH_CHARS = 4 << 20  # characters whose words are looked up together
-MARKS = ".,;:!?"
+MARKS = frozenset(punctuation)
 BLANK = "Ġ"  # fixed value: the sign of a blank in byte-level vocabularies
+LINE = "\x01"  # stands in front of a word that follows a line break in place of a blank
 
 # Characters for which a blank before a non-blank always starts a new piece, and
 # a blank between two white spaces that does not.
@@ -47,54 +49,66 @@ _BLANK_RUN = re.compile(r"\s (?:\s|\Z)")
 _BEFORE_SPACE = re.compile(r" (?:\s|\Z)")  # found quickly; only then is the rest looked at
 _SPACE = re.compile(r"\s")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to one side only
+# A line break with white space beside it, as it shows among words; elsewhere it is a piece of its own.
+_ODD_LINE = re.compile(LINE + r"(?:\s|\Z)|[^\S ](?: |\Z)")
+_LONE_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 class WordIds:
     """Packed token ids of words, found once per worker; ``before`` stands in front of each word.
 
-    A full cache becomes the old generation, from which words that are met
-    again move to the new one, so that frequent words are never forgotten.
+    ASCII marks at the end of a word are a piece of their own if a letter or
+    digit comes before them, so that words are kept without them. A full cache
+    becomes the old generation, from which words that are met again move to the
+    new one, so that frequent words are never forgotten.
     """
 
-    def __init__(self, tokenizer, before: str) -> None:
-        self.tokenizer, self.before = tokenizer, before
+    def __init__(self, tokenizer, before: str, starts: np.ndarray | None) -> None:
+        self.tokenizer, self.before, self.starts = tokenizer, before, starts
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        starts = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-        for token, number in tokenizer.get_vocab().items():
-            starts[number] = token.startswith(BLANK)
-        self.starts = starts if before and starts.any() else None
+        self.marks: dict[str, bytes] = {}
 
     def find(self, words: list[str]) -> list[bytes]:
+        if self.starts is None:
+            return self._find(words)
+        stems, ends = words.copy(), {}
+        for at in [at for at, word in enumerate(words) if word[-1:] in MARKS]:
+            stem = words[at].rstrip(punctuation)
+            if stem[-1:].isalnum():
+                stems[at], ends[at] = stem, words[at][len(stem) :]
+        if new := set(ends.values()).difference(self.marks):
+            if len(self.marks) + len(new) > CACHE_WORDS // 10:
+                self.marks, new = {}, set(ends.values())
+            self.marks.update(self._encoded(list(new), ""))
+        found = self._find(stems)
+        for at, end in ends.items():
+            found[at] += self.marks[end]
+        return found
+
+    def _find(self, words: list[str]) -> list[bytes]:
         found = list(map(self.young.get, words))
         if None in found:
-            absent = [(at, words[at]) for at, ids in enumerate(found) if ids is None]
-            new = list({word for _, word in absent if word not in self.old})
-            if len(self.young) + len(absent) > CACHE_WORDS // 2:
-                self.old, self.young = {word: self.old[word] for _, word in absent if word in self.old} | self.young, {}
-            self.young.update(self._learn(new))
-            for at, word in absent:
-                if word not in self.young:
-                    self.young[word] = self.old[word]
-                found[at] = self.young[word]
+            absent = [at for at, ids in enumerate(found) if ids is None]
+            lacking = {words[at] for at in absent}
+            known = {word: ids for word in lacking if (ids := self.old.get(word)) is not None}
+            if len(self.young) + len(lacking) > CACHE_WORDS // 2:
+                self.old, self.young = self.young, {}
+            self.young.update(known)
+            self.young.update(self._learn([word for word in lacking if word not in known]))
+            for at in absent:
+                found[at] = self.young[words[at]]
         return found
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words; marks at the end of a word are a piece of their own if a letter or digit comes before them."""
         if self.starts is None:
             return self._encoded(words, self.before)
-        stems, ends = {}, {}
-        for word in words:
-            stem = word.rstrip(MARKS)
-            if stem != word and stem[-1:].isalnum():
-                stems[word], ends[word] = stem, word[len(stem) :]
-        known = {stem: ids for stem in set(stems.values()) if (ids := self.young.get(stem) or self.old.get(stem))}
-        plain = {stems.get(word, word) for word in words}.difference(known)
-        known |= self._joined([word for word in plain if word and not _SPACE.search(word)])
-        known |= self._encoded([word for word in plain if word not in known], self.before)
-        marks = self._encoded(list(set(ends.values())), "")
-        for word, stem in stems.items():
-            known[word] = known[stem] + marks[ends[word]]
+        if len(" ".join(words).split()) == len(words):  # no word is empty or holds white space
+            known = self._joined(words)
+        else:
+            known = self._joined([word for word in words if word and not _SPACE.search(word)])
+        if len(known) < len(words):
+            known |= self._encoded([word for word in words if word not in known], self.before)
         return known
 
     def _encoded(self, words: list[str], before: str) -> dict[str, bytes]:
@@ -102,10 +116,10 @@ class WordIds:
         return {word: array("i", encoding.ids).tobytes() for word, encoding in zip(words, found, strict=True)}
 
     def _joined(self, words: list[str]) -> dict[str, bytes]:
-        """Words without white space, encoded joined by blanks and cut where a token starts with one."""
+        """Words without white space, encoded joined by ``before`` and cut where a token starts with it."""
         groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
         known: dict[str, bytes] = {}
-        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([self.before + self.before.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(encoding.ids, dtype=np.int32)
             cuts = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
             if len(cuts) == len(group) + 1 and cuts[0] == 0:
@@ -120,8 +134,18 @@ def _load(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)  # a word comes here once, so that its cache only costs time
     added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, added, WordIds(tokenizer, ""), WordIds(tokenizer, " ")
+    vocabulary = tokenizer.get_vocab()
+    starts = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+    for token, number in vocabulary.items():
+        starts[number] = token.startswith(BLANK)
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
+    lines = None
+    if starts.any() and len(line) == 1 and not any("\n" in token or LINE in token for token in added):
+        lines = WordIds(tokenizer, "\n", np.arange(len(starts)) == line[0])
+    return tokenizer, added, WordIds(tokenizer, "", None), WordIds(tokenizer, " ", starts if starts.any() else None), lines
 
 
 def _is_whole(text: str, added: list[str]) -> bool:
@@ -135,6 +159,30 @@ def _is_odd(text: str, added: list[str]) -> bool:
     return bool(_BEFORE_SPACE.search(text) or _SEPARATORS.search(text) or any(token in text for token in added))
 
 
+def _cut(text: str) -> str:
+    """The text with a blank and ``LINE`` for every line break between words."""
+    lines = text.split("\n")
+    if len(lines) == 1:
+        return text
+    if any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
+        return _LONE_LINE.sub(" " + LINE, text)
+    return (" " + LINE).join(lines)
+
+
+def _find(later: WordIds, lines: WordIds | None, words: list[str]) -> list[bytes]:
+    """Packed ids of words that follow a blank or a line break."""
+    if lines is None:
+        return later.find(words)
+    at_lines = [at for at, word in enumerate(words) if word[:1] == LINE]
+    of_lines = lines.find([words[at][1:] for at in at_lines])
+    for at in at_lines:
+        words[at] = ""  # found below, and not used
+    packed = later.find(words)
+    for at, ids in zip(at_lines, of_lines, strict=True):
+        packed[at] = ids
+    return packed
+
+
 def _words(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray, list[str]]:
     """Where each text's words start, all words by their number, and the first word of each text."""
     lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -146,23 +194,26 @@ def encode_batch(path: str, texts: list[str], end_id: int | None) -> tuple[np.nd
     """Ids of whole texts, each followed by ``end_id``, one after the other, and their numbers.
 
     The split before the merges never joins two words across a blank, unless
-    the blank stands between white space; so texts are cut at blanks, and each
-    different word is looked up once per batch.  Texts with such blanks or with
-    added tokens go to the tokenizer as they are.
+    the blank stands between white space; nor does it across a line break
+    between two words.  So texts are cut at both, and each different word is
+    looked up once per batch.  Texts with such blanks or with added tokens go to
+    the tokenizer as they are.
     """
     if not texts:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    tokenizer, added, first, later = _load(path)
-    offsets, words, heads = _words(texts)
+    tokenizer, added, first, later, lines = _load(path)
+    whole = {at: text for at, text in enumerate(texts) if LINE in text} if lines else {}
+    cut = texts if lines is None else ["" if at in whole else text.replace("\n", " " + LINE) for at, text in enumerate(texts)]
+    offsets, words, heads = _words(cut)
     different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-    whole = {}
+    joined = " " + " ".join(different)
     # Only a text with a word that is empty, starts with white space, or holds something odd can need the tokenizer as a whole.
-    if _is_odd(" " + " ".join(different), added):
-        whole = {at: text for at, text in enumerate(texts) if _is_whole(text, added)}
-        offsets, words, heads = _words(["" if at in whole else text for at, text in enumerate(texts)])
+    if _is_odd(joined, added) or (lines and _ODD_LINE.search(joined)):
+        whole |= {at: text for at, text in enumerate(texts) if _is_whole(text, added)}
+        offsets, words, heads = _words(["" if at in whole else text if lines is None else _cut(text) for at, text in enumerate(texts)])
         different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
     codes = words.indices.to_numpy().astype(np.int64)
-    packed = later.find(different)
+    packed = _find(later, lines, different)
     # A text's first word has no blank before it; a whole text stands in its place.
     codes[offsets[:-1]] = len(packed) + np.arange(len(texts))
     starts = first.find(heads)

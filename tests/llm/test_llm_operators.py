@@ -508,6 +508,26 @@ def test_token_files_round_trip(spark, empty):
     assert token_files.encode_and_index(spark, empty).count() == 0
 
 
+def test_texts_are_cut_at_blanks_and_lone_line_breaks():
+    """Cut texts give the tokenizer's ids, and a line break between words makes no new word."""
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_file()
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(7)
+    parts = ["a", "B", "é", "1", "²", "'", "'s", "'ll", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\x01", ".", "_", "$$", "<|", "Ġ", "字", " \n", "\n\n", "Word,", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(6000)]
+    for size in (1, 7, len(texts)):
+        for at in range(0, len(texts) if size > 1 else 500, size):
+            some = texts[at : at + size]
+            expected = [[*ids.ids, 2] for ids in tokenizer.encode_batch(some, add_special_tokens=False)]
+            assert [ids.tolist() for ids in token_files.encode_texts(path, some, 2)] == expected
+    token_files._load.cache_clear()
+    token_files.encode_texts(path, ["one two.\nThree four%%%\nFive", "two two.\nFive four"], None)
+    _, _, first, later, lines = token_files._load(path)
+    assert (set(first.young), set(later.young) - {""}, set(lines.young)) == ({"one", "two"}, {"one", "two", "four"}, {"Three", "Five"})
+
+
 def test_token_files_prune(spark, docs, tmp_path):
     path = f"{tmp_path}/tokens"
     token_files.write_token_files(docs, path, token_files.tokenizer_file())
