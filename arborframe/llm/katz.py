@@ -33,9 +33,9 @@ text all probabilities are 1; an empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +121,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _ids(data: bytes, number: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
     words = data.lower().split()
-    get = number.get
-    return words, np.fromiter((get(w, RARE) for w in words), dtype=np.int64, count=len(words))
+    return words, np.fromiter(map(number.get, words, repeat(RARE)), dtype=np.int64, count=len(words))
 
 
 def _numbers(model: Model) -> dict[bytes, int]:
@@ -164,7 +163,7 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
             keys, n = np.unique(keys[inside & (~rare if whole else history != RARE)], return_counts=True)
             if len(keys):
                 part = bucket_of(keys, BIGRAM, buckets)
-                order = np.argsort(part, kind="stable")
+                order = _by_bucket(part)
                 keys, n, part = keys[order], n[order], part[order]
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 yield batch_of(part[starts], [_pack(keys[i:j], np.zeros(j - i), n[i:j]) for i, j in zip(starts, [*starts[1:], len(part)], strict=True)])
@@ -174,7 +173,7 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
                 keys, n = _counted(np.c_[ids[:-1], ids[1:]][rare & inside])
                 part = pair_key(keys[:, 0].copy(), keys[:, 1].copy()) % buckets
                 mine = [(b, part == b) for b in np.unique(part)]
-                yield batch_of([buckets + b for b, _ in mine], [zlib.compress(np.c_[keys[m], n[m]].astype("<i8").T.tobytes(), 1) for _, m in mine])
+                yield batch_of([buckets + b for b, _ in mine], [_squeeze(np.c_[keys[m], n[m]].astype("<i8").T.tobytes()) for _, m in mine])
 
         parts, hashed, size = [], [], 0
         for batch in batches:
@@ -192,7 +191,7 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
 
     def merge(blocks: pa.Table) -> pa.Table:
         if (bucket := blocks.column("bucket")[0].as_py()) >= buckets:
-            found = np.concatenate([np.frombuffer(zlib.decompress(block.as_py()), "<i8").reshape(3, -1) for block in blocks.column("block")], axis=1)
+            found = np.concatenate([np.frombuffer(_expand(block.as_py()), "<i8").reshape(3, -1) for block in blocks.column("block")], axis=1)
             keys, n = _counted(found[:2].T, found[2])
             return pa.table({"bucket": np.full(len(n), bucket, dtype=np.int32), "key": keys[:, 0].copy(), "event": keys[:, 1].copy(), "n": n})
         unpacked = [_unpack(block.as_py()) for block in blocks.column("block")]
@@ -359,6 +358,25 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int | None = N
 
 
 # ---------------------------------------------------------------- blocks
+def _by_bucket(part: np.ndarray) -> np.ndarray:
+    """Stable order by bucket; short numbers are sorted by radix."""
+    return np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+
+
+def _in_order(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Stable order by bucket and, in it, by key."""
+    order = np.argsort(keys.view(np.uint64), kind="stable")
+    return order[_by_bucket(part[order])]
+
+
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def _expand(block: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
+
+
 def _pack(keys: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
     """Sorted keys with the documents that have them, as differences and compressed."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -366,12 +384,12 @@ def _pack(keys: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
     head = np.array([len(first), len(keys)], dtype="<u4")
     steps = np.diff(np.r_[0, keys[first].view(np.uint64)].astype(np.uint64))
     planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()  # bytes of equal weight side by side
-    return zlib.compress(head.tobytes() + planes + runs.astype("<u4").tobytes() + docs.astype("<u4").tobytes() + times.astype("<u4").tobytes(), 1)
+    return _squeeze(head.tobytes() + planes + runs.astype("<u4").tobytes() + docs.astype("<u4").tobytes() + times.astype("<u4").tobytes())
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, how many entries each has, and the entries' documents and times."""
-    data = zlib.decompress(block)
+    data = _expand(block)
     n, m = (int(x) for x in np.frombuffer(data, "<u4", 2))
     steps = np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T.copy().view("<u8").reshape(-1)
     runs = np.frombuffer(data, "<u4", n, 8 + 8 * n)
@@ -452,7 +470,7 @@ def _blocks(shared, buckets: int):
                 if not len(keys):
                     continue
                 part = bucket_of(keys, kind, buckets)
-                order = np.lexsort((at, keys.view(np.uint64), part))
+                order = _in_order(keys, part)  # the documents ascend already
                 keys, at, part = keys[order], at[order], part[order]
                 first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])])
                 times = np.diff(np.r_[first, len(keys)])

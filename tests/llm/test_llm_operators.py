@@ -490,6 +490,15 @@ def test_block_round_trip():
     assert np.array_equal(np.repeat(k, runs), keys) and np.array_equal(d, docs) and np.array_equal(t, times)
 
 
+def test_blocks_are_ordered_by_bucket_key_and_document():
+    rng = np.random.default_rng(4)
+    for buckets in (1, 14, 70_000):
+        keys, docs = rng.integers(-(1 << 63), 1 << 63, 3000).repeat(2), np.sort(rng.integers(0, 50, 6000))
+        part = keys % buckets
+        assert np.array_equal(katz._in_order(keys, part), np.lexsort((docs, keys.view(np.uint64), part)))
+    assert all(katz._expand(katz._squeeze(data)) == data for data in (b"", b"ab" * 9999))
+
+
 # ---------------------------------------------------------------- 8
 def test_token_files_round_trip(spark, empty):
     from tokenizers import Tokenizer
