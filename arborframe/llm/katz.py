@@ -22,9 +22,11 @@ a bucket reads its own partition of the table, looks each token up (bigram, else
 backoff weight and unigram) and gives one sum per document.  Buckets grow in
 number with the corpus, not in size.  Only tables bounded by ``NUMBERED`` (or the
 vocabulary size) are collected and broadcast: the frequent words and one row for each
-as a history.  This is no bound of the model: any other word goes by its 64-bit hash, its
-backoff weight stands in the table of rare words, and a bigram with such a word has a row
-in a table of its own, keyed by a 64-bit hash of both, with what it adds to the backed-off value.
+as a history.  This is no bound of the model: any other word goes by its 64-bit hash.  A bigram
+with such a word is in the bucket of its history, or of its event if the history is frequent, so
+that the task of a bucket has all events of its histories and derives their backoff weights, and
+what such a bigram adds to the backed-off value, from the counts alone.  The table of rare words
+has a bucket's own words and those that follow them.  Only counts are stored.
 
 Defined results: a null or blank text is its end alone; equal rows have equal
 results; rows with equal or null ids stay apart; without training
@@ -74,7 +76,6 @@ class Model:
     bigram_table: str = ""
     word_table: str = ""
     whole: bool = True  # whether words without a number are events and histories of their own
-    gain_table: str = ""
 
     @property
     def rare_tokens(self) -> int:
@@ -133,6 +134,11 @@ def _hashes(words: list[bytes], at: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(words[i], SEED) for i in at], dtype=np.uint64).view(np.int64)
 
 
+def _numbered(model: Model, ids: np.ndarray) -> np.ndarray:
+    """Whether these ids are numbers, not hashes."""
+    return (ids >= 0) & (ids < len(model.counts))
+
+
 def pair_key(history: np.ndarray, event: np.ndarray) -> np.ndarray:
     """64-bit hash of two ids, each a number or the hash of a word."""
     x = history.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -145,7 +151,7 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
     """``bucket, key, event, n``: the key has the history's number above bit ``SHIFT`` and the event's below.
 
     Bigrams with a word that goes by its hash are in the buckets from ``buckets``
-    on, with the history's id as key and the event's in ``event``.
+    on, by the hash of the history or else of the event, with the history's id as key and the event's in ``event``.
     """
 
     def count(batches):
@@ -162,7 +168,7 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
             keys = (history << SHIFT) | event
             keys, n = np.unique(keys[inside & (~rare if whole else history != RARE)], return_counts=True)
             if len(keys):
-                part = bucket_of(keys, BIGRAM, buckets)
+                part = bucket_of(keys, buckets)
                 order = _by_bucket(part)
                 keys, n, part = keys[order], n[order], part[order]
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -171,9 +177,9 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
                 ids = ids.copy()
                 ids[ids == RARE] = np.concatenate(hashed)
                 keys, n = _counted(np.c_[ids[:-1], ids[1:]][rare & inside])
-                part = pair_key(keys[:, 0].copy(), keys[:, 1].copy()) % buckets
+                part = np.where(_numbered(shared.value, keys[:, 0]), keys[:, 1], keys[:, 0]) % buckets
                 mine = [(b, part == b) for b in np.unique(part)]
-                yield batch_of([buckets + b for b, _ in mine], [_squeeze(np.c_[keys[m], n[m]].astype("<i8").T.tobytes()) for _, m in mine])
+                yield batch_of([buckets + b for b, _ in mine], [_pack_pairs(keys[m], n[m]) for _, m in mine])
 
         parts, hashed, size = [], [], 0
         for batch in batches:
@@ -191,7 +197,7 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
 
     def merge(blocks: pa.Table) -> pa.Table:
         if (bucket := blocks.column("bucket")[0].as_py()) >= buckets:
-            found = np.concatenate([np.frombuffer(_expand(block.as_py()), "<i8").reshape(3, -1) for block in blocks.column("block")], axis=1)
+            found = np.concatenate([_unpack_pairs(block.as_py()) for block in blocks.column("block")], axis=1)
             keys, n = _counted(found[:2].T, found[2])
             return pa.table({"bucket": np.full(len(n), bucket, dtype=np.int32), "key": keys[:, 0].copy(), "event": keys[:, 1].copy(), "n": n})
         unpacked = [_unpack(block.as_py()) for block in blocks.column("block")]
@@ -216,7 +222,7 @@ def _counted(pairs: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray
 def _table(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Rows with a ``bucket`` as a table partitioned by it, one file each, and its place."""
     path = scratch_path(rows.sparkSession, name)
-    rows.write.partitionBy("bucket").parquet(path)
+    rows.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema("key long, event long, n long, bucket int").parquet(path), path
 
 
@@ -237,21 +243,41 @@ def discounted(n: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def history_sums(bigrams: DataFrame, shared) -> DataFrame:
-    """Per history: its count, what is left of it after discounting, the unigram mass and number of its events."""
+    """Per numbered history: its count, what is left of it after discounting, the unigram mass and number of its events.
 
-    def sums(batches):
+    Bigrams of numbers are read as rows, those with a hashed word by bucket.
+    """
+    spark = bigrams.sparkSession
+    buckets = shared.value.buckets
+
+    def sums(parts):
         model = shared.value
-        p = model.unigram()
-        total = np.zeros((4, len(p)))
-        for batch in batches:
-            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            history, event = key >> SHIFT, key & ((1 << SHIFT) - 1)
-            for row, values in zip(total, (n.astype(float), discounted(n, model.discount), p[event], np.ones(len(n))), strict=True):
-                row += np.bincount(history, weights=values, minlength=len(p))
+        total = np.zeros((4, len(model.counts)))
+        for history, n, p in parts:
+            for row, values in zip(total, (n.astype(float), discounted(n, model.discount), p, np.ones(len(n))), strict=True):
+                row += np.bincount(history, weights=values, minlength=len(model.counts))
         at = np.flatnonzero(total[3])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(row[at]) for row in total)], names=["history", "n", "kept", "seen", "events"])
 
-    parts = bigrams.select("key", "n").mapInArrow(sums, "history long, n double, kept double, seen double, events double")
+    def rows(batches):
+        p = shared.value.unigram()
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield key >> SHIFT, n, p[key & ((1 << SHIFT) - 1)]
+
+    def hashed(batches):
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                history, _, n, p = _wide(shared.value, bucket)
+                inside = _numbered(shared.value, history)
+                yield history[inside], n[inside], p[inside]
+
+    fields = "history long, n double, kept double, seen double, events double"
+    # each task gives up to a row per number, so that there are no more of them than can run
+    narrow = bigrams.where(F.col("bucket") < buckets).select("key", "n").coalesce(spark.sparkContext.defaultParallelism)
+    parts = narrow.mapInArrow(lambda batches: sums(rows(batches)), fields)
+    if shared.value.whole:
+        parts = parts.unionByName(spark.range(buckets).mapInArrow(lambda batches: sums(hashed(batches)), fields))
     return parts.groupBy("history").agg(*[F.sum(c).alias(c) for c in ("n", "kept", "seen", "events")])
 
 
@@ -263,43 +289,44 @@ def backoff(n: float, kept: float, seen: float, events: float, all_events: int)
     return denominator, (1 - kept / denominator) / (1 - seen)
 
 
-def _wide_sums(bigrams: DataFrame, rare: DataFrame, model: Model, shared) -> tuple[DataFrame, DataFrame]:
-    """Bigrams with a hashed word and the count of their event, and the sums of their histories as in ``history_sums``."""
-
-    def known(batches):
-        for batch in batches:
-            events = shared.value.counts[batch.column(1).to_numpy()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(events)], names=["history", "event", "n", "n_event"])
-
-    wide = bigrams.where(F.col("bucket") >= model.buckets).select(F.col("key").alias("history"), "event", "n")
-    # numbered events are many bigrams each: they take their counts from the model and stay out of the join
-    inside = F.col("event").between(0, len(model.counts) - 1)
-    fields = "history long, event long, n long, n_event long"
-    counts = rare.select(F.col("key").alias("event"), F.col("n").alias("n_event"))
-    wide = saved(wide.where(inside).mapInArrow(known, fields).unionByName(wide.where(~inside).join(counts, "event")), "katz-wide")
-    factors = F.array(*[F.lit(float(x)) for x in model.discount])
-    factor = F.element_at(factors, F.least(F.col("n"), F.lit(len(model.discount) - 1)).cast("int") + 1)
-    sums = wide.groupBy("history").agg(
-        F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * factor).alias("kept"), F.sum((F.col("n_event") + 1.0) / float(model.total)).alias("seen"), F.count(F.lit(1)).cast("double").alias("events")
-    )
-    return wide, sums
-
-
-def _gains(shared, buckets: int):
-    """Task function: rows (history, event, n, n_event, denominator, alpha) to bucket, key and what the bigram has beyond its backed-off value."""
-
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            history, event, n, n_event = (batch.column(i).to_numpy() for i in range(4))
-            inside = (history >= 0) & (history < len(model.counts))
-            at = np.where(inside, history, 0)
-            denominator, alpha = (np.where(inside, own[at], batch.column(i).to_numpy(zero_copy_only=False)) for own, i in ((model.denominator, 4), (model.alpha, 5)))
-            gain = np.log10(discounted(n, model.discount)) - denominator - np.log10((n_event + 1.0) / model.total) - alpha
-            key = pair_key(history.copy(), event.copy())
-            yield pa.RecordBatch.from_arrays([pa.array((key % buckets).astype(np.int32)), pa.array(key), pa.array(gain)], names=["bucket", "key", "gain"])
-
-    return run
+def _wide(model: Model, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bigrams with a hashed word of one bucket, in order: histories, events, counts, and unigram probabilities of the events."""
+    words, n_word = _values(model.word_table, bucket, ["n"])
+    history, event, n = _values(model.bigram_table, model.buckets + bucket, ["event", "n"])
+    order = np.lexsort((event, history))
+    history, event, n = history[order], event[order], n[order]
+    n_event = np.zeros(len(event), np.int64)
+    inside = _numbered(model, event)
+    n_event[inside] = model.counts[event[inside]]
+    n_event[~inside] = n_word[np.searchsorted(words, event[~inside])]
+    return history, event, n, (n_event + 1.0) / model.total
+
+
+def _weights(model: Model, history: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed histories of a bucket's bigrams, and log10 of their denominators and weights (see ``backoff``)."""
+    inside = _numbered(model, history)
+    history, n, p = history[~inside], n[~inside], p[~inside]
+    first = np.flatnonzero(np.r_[True, history[1:] != history[:-1]][: len(history)])
+    if not len(first):
+        return history, np.zeros(0), np.zeros(0)
+    count, kept, seen = (np.add.reduceat(x, first) for x in (n.astype(float), discounted(n, model.discount), p))
+    # the class of unseen words is never seen, so that ``backoff`` has but one case here
+    denominator = np.where(kept < count * (1 - 1e-12), count, count + 1)
+    return history[first], np.log10(denominator), np.log10((1 - kept / denominator) / (1 - seen))
+
+
+def _gains(model: Model, bucket: int) -> list[np.ndarray]:
+    """Sorted keys of a bucket's bigrams with a hashed word, and what each has beyond its backed-off value."""
+    history, event, n, p = _wide(model, bucket)
+    inside = _numbered(model, history)
+    words, *own = _weights(model, history, n, p)
+    denominator, alpha = np.zeros(len(history)), np.zeros(len(history))
+    at = np.searchsorted(words, history[~inside])
+    for values, numbered, hashed in zip((denominator, alpha), (model.denominator, model.alpha), own, strict=True):
+        values[inside], values[~inside] = numbered[history[inside]], hashed[at]
+    key = pair_key(history, event)
+    order = np.argsort(key, kind="stable")
+    return [key[order], (np.log10(discounted(n, model.discount)) - denominator - np.log10(p) - alpha)[order]]
 
 
 def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int | None = None) -> Model:
@@ -319,41 +346,28 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary_size: int | None = N
     if model.words:  # the frequent words are known everywhere
         least, last = int(model.counts[-1]), model.words[-1]
         rare = rare.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(last))))
-    hashed = rare.select(F.xxhash64("word").alias("key"), "n").withColumn("bucket", F.pmod("key", F.lit(model.buckets)).cast("int"))
+    hashed = rare.select(F.xxhash64("word").alias("key"), "n")
+    known = hashed.withColumn("bucket", F.pmod("key", F.lit(model.buckets)).cast("int"))
+    if model.whole:  # and events of a hashed history that belong to other buckets
+        number = F.lit(len(model.counts) - 1)
+        both = bigrams.where((F.col("bucket") >= model.buckets) & ~F.col("key").between(F.lit(0), number) & ~F.col("event").between(F.lit(0), number))
+        events = both.select(F.col("event").alias("key"), (F.col("bucket") - model.buckets).alias("bucket")).where(F.pmod("key", F.lit(model.buckets)) != F.col("bucket"))
+        known = known.unionByName(events.distinct().join(hashed, "key"))
+    _, model.word_table = _table(known.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-rare-words")
     of_counts = {r["n"]: r["bigrams"] for r in bigrams.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("bigrams")).collect()}
     model.discount = discounts(of_counts)
     size = len(model.counts)
     # all but the beginning
     events = v - (ends > 0) + 2 if model.whole else size - 1
     total = np.zeros((4, size))
-    names = ("n", "kept", "seen", "events")
-
-    def gather(sums: DataFrame) -> None:
-        found = sums.toArrow()
-        for row, name in zip(total, names, strict=True):
-            np.add.at(row, found.column("history").to_numpy(), found.column(name).to_numpy())
-
-    gather(history_sums(bigrams.where(F.col("bucket") < model.buckets), context.broadcast(model)))
-    if model.whole:
-        wide, sums = _wide_sums(bigrams, hashed, model, shared)
-        sums = saved(sums, "katz-histories")
-        inside = F.col("history").between(0, size - 1)
-        gather(sums.where(inside))
+    found = history_sums(bigrams, context.broadcast(model)).toArrow()
+    for row, name in zip(total, ("n", "kept", "seen", "events"), strict=True):
+        row[found.column("history").to_numpy()] = found.column(name).to_numpy()
     denominator, alpha = np.ones(size), np.ones(size)
     for history in np.flatnonzero(total[3]):
         denominator[history], alpha[history] = backoff(*total[:, history].tolist(), events)
     with np.errstate(divide="ignore"):
         model.denominator, model.alpha = np.log10(denominator), np.log10(alpha)
-    if model.whole:  # the class of unseen words is never seen, so that ``backoff`` has but one case here
-        whole = F.when(F.col("kept") < F.col("n") * (1 - 1e-12), F.col("n")).otherwise(F.col("n") + 1)
-        weights = sums.where(~inside).select("history", F.log10(whole).alias("denominator"), F.log10((1 - F.col("kept") / whole) / (1 - F.col("seen"))).alias("alpha"))
-        none = F.lit(None).cast("double")
-        placed = wide.where(~inside).join(weights, "history").unionByName(wide.where(inside).withColumns({"denominator": none, "alpha": none}))
-        ordered = placed.select("history", "event", "n", "n_event", "denominator", "alpha")
-        gains = ordered.mapInArrow(_gains(context.broadcast(model), model.buckets), "bucket int, key long, gain double")
-        _, model.gain_table = _table(gains.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-gains")
-        hashed = hashed.join(weights.select(F.col("history").alias("key"), "alpha"), "key", "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
-    _, model.word_table = _table(hashed.repartition("bucket").sortWithinPartitions("bucket", "key"), "katz-rare-words")
     return model
 
 
@@ -377,27 +391,49 @@ def _expand(block: bytes) -> bytes:
     return pa.Codec("zstd").decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers of so many bytes, with their bytes of equal weight side by side, which packs better."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _from_planes(data: bytes, width: int, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T.copy().view(f"<u{width}").reshape(-1)
+
+
 def _pack(keys: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
     """Sorted keys with the documents that have them, as differences and compressed."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     runs = np.diff(np.r_[first, len(keys)])
     head = np.array([len(first), len(keys)], dtype="<u4")
     steps = np.diff(np.r_[0, keys[first].view(np.uint64)].astype(np.uint64))
-    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()  # bytes of equal weight side by side
-    return _squeeze(head.tobytes() + planes + runs.astype("<u4").tobytes() + docs.astype("<u4").tobytes() + times.astype("<u4").tobytes())
+    return _squeeze(head.tobytes() + _planes(steps, 8) + _planes(runs, 4) + _planes(docs, 4) + _planes(times, 4))
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, how many entries each has, and the entries' documents and times."""
     data = _expand(block)
     n, m = (int(x) for x in np.frombuffer(data, "<u4", 2))
-    steps = np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T.copy().view("<u8").reshape(-1)
-    runs = np.frombuffer(data, "<u4", n, 8 + 8 * n)
-    docs = np.frombuffer(data, "<u4", m, 8 + 12 * n)
-    times = np.frombuffer(data, "<u4", m, 8 + 12 * n + 4 * m)
+    steps = _from_planes(data, 8, n, 8)
+    runs = _from_planes(data, 4, n, 8 + 8 * n)
+    docs = _from_planes(data, 4, m, 8 + 12 * n)
+    times = _from_planes(data, 4, m, 8 + 12 * n + 4 * m)
     return np.cumsum(steps, dtype=np.uint64).view(np.int64), runs, docs, times
 
 
+def _pack_pairs(pairs: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs in order and their counts, the first of each pair as differences, compressed."""
+    first, second = pairs.view(np.uint64).T
+    return _squeeze(_planes(np.diff(np.r_[np.uint64(0), first]), 8) + _planes(second, 8) + _planes(n, 8))
+
+
+def _unpack_pairs(block: bytes) -> np.ndarray:
+    """Three rows: the first and second of each pair, and the counts."""
+    data = _expand(block)
+    size = len(data) // 24
+    steps, second, n = (_from_planes(data, 8, size, 8 * size * i) for i in range(3))
+    return np.stack([np.cumsum(steps, dtype=np.uint64), second, n]).view(np.int64)
+
+
 def _to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -417,8 +453,9 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 _FOUND = "doc_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, fixed double, rare_sum double, alpha_sum double, pair_sum double, gain_sum double"
 
 
-def bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
-    return ((keys >> SHIFT) * 31 + (keys & ((1 << SHIFT) - 1))) % buckets if kind == BIGRAM else keys % buckets
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of bigrams of two numbers."""
+    return ((keys >> SHIFT) * 31 + (keys & ((1 << SHIFT) - 1))) % buckets
 
 
 def _blocks(shared, buckets: int):
@@ -460,16 +497,17 @@ def _blocks(shared, buckets: int):
             yield batch_of([DOCUMENT], [chunk % (1 << 31)], [chunk], [_to_bytes(own)])
             words = np.concatenate([h[3] for h in held])
             pairs = history != RARE
-            kinds = [(WORD, words, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))]
+            kinds = [(WORD, words, words % buckets, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))]
             if model.whole:
                 pairs &= what != RARE
                 full = ids.copy()
                 full[ids == RARE] = words
-                kinds.append((PAIR, pair_key(full[event - 1][~pairs], full[event][~pairs]), where[~pairs]))
-            for kind, keys, at in ((BIGRAM, (history[pairs] << SHIFT) | what[pairs], where[pairs]), *kinds):
+                first, second = full[event - 1][~pairs], full[event][~pairs]
+                kinds.append((PAIR, pair_key(first, second), np.where(_numbered(model, first), second, first) % buckets, where[~pairs]))
+            both = (history[pairs] << SHIFT) | what[pairs]
+            for kind, keys, part, at in ((BIGRAM, both, bucket_of(both, buckets), where[pairs]), *kinds):
                 if not len(keys):
                     continue
-                part = bucket_of(keys, kind, buckets)
                 order = _in_order(keys, part)  # the documents ascend already
                 keys, at, part = keys[order], at[order], part[order]
                 first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])])
@@ -506,6 +544,25 @@ def _values(path: str, bucket: int, names: list[str]) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
+def _entries(model: Model, kind: int, bucket: int) -> list[np.ndarray]:
+    """Sorted keys of a kind and bucket: bigrams and words with their counts, words as histories also with their weights, hashed bigrams with their gains."""
+    if kind == PAIR:
+        return _gains(model, bucket)
+    keys, n = _values(model.bigram_table if kind == BIGRAM else model.word_table, bucket, ["n"])
+    if kind == BIGRAM or not model.whole:
+        return [keys, n]
+    history, _, n_pair, p = _wide(model, bucket)
+    words, _, weights = _weights(model, history, n_pair, p)
+    alpha = np.zeros(len(keys))
+    alpha[np.searchsorted(keys, words)] = weights
+    return [keys, n, alpha]
+
+
+def _per_document(values: np.ndarray, runs: np.ndarray, docs: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums by document of values by key, each as often as it occurs."""
+    return np.bincount(docs, weights=np.repeat(values, runs) * times)
+
+
 def _look_up(shared):
     """Task function: the blocks of a kind and bucket to one block per chunk: documents with their sums."""
 
@@ -516,8 +573,7 @@ def _look_up(shared):
         model = shared.value
         with np.errstate(divide="ignore"):
             p = np.log10(model.unigram())
-        path, names = {BIGRAM: (model.bigram_table, ["n"]), WORD: (model.word_table, ["n", "alpha"] if model.whole else ["n"]), PAIR: (model.gain_table, ["gain"])}[kind]
-        keys, *own = _values(path, bucket, names)
+        keys, *own = _entries(model, kind, bucket)
         out = []
         for block in rows.column("block"):
             asked, runs, docs, times = _unpack(block.as_py())
@@ -526,7 +582,6 @@ def _look_up(shared):
                 found, *more = (np.where(keys[at] == asked, x[at], 0) for x in own)
             else:
                 found, *more = (np.zeros(len(asked), dtype=np.int64) for _ in own)
-            weight = more[0] if more else np.zeros(len(asked))
             if kind == WORD:
                 value = np.log10(found + 1.0)
             elif kind == PAIR:
@@ -536,11 +591,13 @@ def _look_up(shared):
                 with np.errstate(divide="ignore"):
                     seen = np.log10(discounted(found, model.discount)) - model.denominator[history]
                 value = np.where(found > 0, seen, model.alpha[history] + p[event])
-            total = np.bincount(docs, weights=np.repeat(value, runs) * times)
-            known = np.bincount(docs, weights=np.repeat((found > 0).astype(float), runs) * times)
-            weights = np.bincount(docs, weights=np.repeat(weight, runs) * times)
             has = np.flatnonzero(np.bincount(docs))
-            out.append(_to_bytes(pa.table({"at": has, "sum": total[has], "known": known[has], "alpha": weights[has]})))
+            columns = {"at": has.astype(np.int32), "sum": _per_document(value, runs, docs, times)[has]}
+            if kind == WORD:
+                columns["known"] = _per_document(found > 0, runs, docs, times)[has].astype(np.int32)
+                if more:
+                    columns["alpha"] = _per_document(more[0], runs, docs, times)[has]
+            out.append(_to_bytes(pa.table(columns)))
         return pa.table({"kind": rows.column("kind"), "chunk": rows.column("chunk"), "block": pa.array(out, pa.binary())})
 
     return run
@@ -560,7 +617,8 @@ def _combine(rows: pa.Table) -> pa.Table:
         sums[kind][at] += found.column("sum").to_numpy()
         if kind == WORD:
             known[at] += found.column("known").to_numpy().astype(np.int64)
-            alpha[at] += found.column("alpha").to_numpy()
+            if "alpha" in found.column_names:
+                alpha[at] += found.column("alpha").to_numpy()
     own = own.set_column(own.schema.get_field_index("n_known"), "n_known", pa.array(known))
     for name, column in (("rare_sum", sums[WORD]), ("alpha_sum", alpha), ("pair_sum", sums[BIGRAM]), ("gain_sum", sums[PAIR])):
         own = own.append_column(name, pa.array(column))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from arborframe.llm import covering, decontamination, katz, language_id, license_scan, mixing, multiset_hash, piece_counts, queries, token_files, warc
 from arborframe.llm.components import components
+from arborframe.session import ensure_checkpoint_dir
 
 EN = "The quick brown fox jumps over the lazy dog. It was a bright cold day in April, and the clocks were striking thirteen."
 DE = "Der schnelle braune Fuchs springt über den faulen Hund. Es war ein heller, kalter Tag im April, und die Uhren schlugen dreizehn."
@@ -475,6 +478,33 @@ def test_katz_keeps_every_history_and_event(spark, numbered, monkeypatch):
         assert math.isclose(r["score"], expected[4], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_katz_stores_counts_once(spark, monkeypatch):
+    """The tables are the words, the bigrams, and per bucket its rare words with those that follow them: no copies of bigrams."""
+    monkeypatch.setattr(katz, "NUMBERED", 3)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 500)
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["the", "of", "and", *(f"w{i}" for i in range(300))], weights=[200, 150, 100] + [1] * 300, k=40)) for _ in range(50)]
+    katz.fit(build(spark, texts))
+    rows = {p.name.rpartition("-")[0]: spark.read.parquet(str(p)).count() for p in set(folder.iterdir()) - before}
+    words = {w for t in texts for w in t.split()}
+    pairs = {p for t in texts for p in itertools.pairwise([None, *t.split(), ""])}
+    both = [p for p in pairs if all(p) and not {"the", "of", "and"} & set(p)]
+    assert rows.pop("katz-words") == len(words) + 1
+    assert rows.pop("katz-bigrams") == len(pairs)
+    assert 0 <= rows.pop("katz-rare-words") - (len(words) - 3) <= len(both)
+    assert not rows
+
+
+@pytest.mark.parametrize("bits", [3, 17, 62])
+def test_pairs_round_trip(bits):
+    rng = np.random.default_rng(bits)
+    pairs, n = katz._counted(rng.integers(-(1 << bits), 1 << bits, (400, 2)))
+    found = katz._unpack_pairs(katz._pack_pairs(pairs, n))
+    assert np.array_equal(found[:2].T, pairs) and np.array_equal(found[2], n)
+
+
 def test_katz_without_training_text_and_repeats(spark, empty):
     assert katz.score_documents(empty).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
