@@ -200,10 +200,11 @@ def bigram_counts(texts: DataFrame, shared, buckets: int) -> DataFrame:
             found = np.concatenate([_unpack_pairs(block.as_py()) for block in blocks.column("block")], axis=1)
             keys, n = _counted(found[:2].T, found[2])
             return pa.table({"bucket": np.full(len(n), bucket, dtype=np.int32), "key": keys[:, 0].copy(), "event": keys[:, 1].copy(), "n": n})
-        unpacked = [_unpack(block.as_py()) for block in blocks.column("block")]
-        keys = np.concatenate([u[0] for u in unpacked])
+        unpacked = [_unpack(block.as_py())[::3] for block in blocks.column("block")]
+        keys, n = (np.concatenate(x) for x in zip(*unpacked, strict=True))
+        del unpacked  # memory
         order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], np.concatenate([u[3] for u in unpacked]).astype(np.int64)[order]
+        keys, n = keys[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         place = np.full(len(first), bucket, dtype=np.int32)
         return pa.table({"bucket": place, "key": keys[first], "event": np.zeros(len(first), np.int64), "n": np.add.reduceat(n, first)})
@@ -470,15 +471,17 @@ def _blocks(shared, buckets: int):
         with np.errstate(divide="ignore"):
             p = np.log10(model.unigram())
         chunk = TaskContext.get().partitionId() << 24
-        held = []  # (doc_id, held_out, ids, hashes of words without a number)
+        held, texts = [], []  # (doc_id, held_out, hashes of words without a number) and ids
         size = 0
 
         def flush():
-            ids = np.concatenate([np.r_[BEGIN, h[2], END] for h in held])
-            lengths = np.array([len(h[2]) + 1 for h in held])
-            docs = np.repeat(np.arange(len(held)), lengths + 1)
+            lengths = np.array([len(x) - 1 for x in texts])
+            ids = np.concatenate(texts)
+            texts.clear()  # memory
             event = np.flatnonzero(ids != BEGIN)
-            history, what, where = ids[event - 1], ids[event], docs[event]
+            history, what = ids[event - 1], ids[event]
+            numbers = np.arange(len(held), dtype=np.int32)
+            where = np.repeat(numbers, lengths)
             add = lambda mask, values: np.bincount(where[mask], weights=values[mask], minlength=len(held)).astype(float)
             base = add(what != RARE, p[what])
             if model.whole:
@@ -495,17 +498,20 @@ def _blocks(shared, buckets: int):
                 }
             )
             yield batch_of([DOCUMENT], [chunk % (1 << 31)], [chunk], [_to_bytes(own)])
-            words = np.concatenate([h[3] for h in held])
-            pairs = history != RARE
-            kinds = [(WORD, words, words % buckets, np.repeat(np.arange(len(held)), [len(h[3]) for h in held]))]
-            if model.whole:
-                pairs &= what != RARE
-                full = ids.copy()
-                full[ids == RARE] = words
-                first, second = full[event - 1][~pairs], full[event][~pairs]
-                kinds.append((PAIR, pair_key(first, second), np.where(_numbered(model, first), second, first) % buckets, where[~pairs]))
-            both = (history[pairs] << SHIFT) | what[pairs]
-            for kind, keys, part, at in ((BIGRAM, both, bucket_of(both, buckets), where[pairs]), *kinds):
+            words = np.concatenate([h[2] for h in held])
+
+            def kinds():
+                yield WORD, words, words % buckets, np.repeat(numbers, [len(h[2]) for h in held])
+                pairs = history != RARE
+                if model.whole:
+                    pairs &= what != RARE
+                    ids[ids == RARE] = words
+                    first, second = ids[event[~pairs] - 1], ids[event[~pairs]]
+                    yield PAIR, pair_key(first, second), np.where(_numbered(model, first), second, first) % buckets, where[~pairs]
+                keys = (history[pairs] << SHIFT) | what[pairs]
+                yield BIGRAM, keys, bucket_of(keys, buckets), where[pairs]
+
+            for kind, keys, part, at in kinds():
                 if not len(keys):
                     continue
                 order = _in_order(keys, part)  # the documents ascend already
@@ -521,7 +527,8 @@ def _blocks(shared, buckets: int):
         for batch in batches:
             for doc_id, out, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 words, ids = _ids(data.as_py(), number)
-                held.append((doc_id.as_py(), out.as_py(), ids, _hashes(words, np.flatnonzero(ids == RARE))))
+                held.append((doc_id.as_py(), out.as_py(), _hashes(words, np.flatnonzero(ids == RARE))))
+                texts.append(np.r_[BEGIN, ids, END])
                 size += len(ids) + 1
                 if size >= CHUNK_TOKENS:
                     yield from flush()
