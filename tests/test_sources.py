@@ -292,3 +292,16 @@ def test_fingerprints(spark, tmp_path):
     assert row["sha1"] == hashlib.sha1(b"\x00\x01tree").hexdigest()
     text = spark.createDataFrame([("ü",)], "t string").select(writers.fingerprint(F.col("t")).alias("h")).first()
     assert text["h"] == hashlib.sha1("ü".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_numbering_a_dump_never_sends_its_text(spark, tmp_path, monkeypatch, sent):
+    """A dump packed to a fraction of its text: the planner takes it for the smaller side of the join."""
+    monkeypatch.setattr(stamp, "MOST_SENT", sent, raising=False)
+    for name in "ab":
+        (tmp_path / name).write_bytes(gzip.compress(json.dumps([tree(0, note="x" * 3000)] * 200).encode()))
+    rows = readers.read_dump(spark, str(tmp_path)).where("rejected IS NULL").select("path", "place", "_file", "raw")
+    stamped = stamp.stamp_members(rows, 5)
+    assert ids(stamped) == list(range(5, 405))
+    plan = stamped._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == bool(sent)
