@@ -305,3 +305,33 @@ def test_numbering_a_dump_never_sends_its_text(spark, tmp_path, monkeypatch, sen
     assert ids(stamped) == list(range(5, 405))
     plan = stamped._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and ("BuildRight" in plan) == bool(sent)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """A task of its own for each few small files took longer than reading them."""
+    for i in range(600):
+        (tmp_path / f"{i:03d}.json").write_text(json.dumps(tree(i)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        rows = readers.import_docs(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        stamped = stamp.stamp_files(rows, rows, 7).select("_id_x", "_file").collect()
+        plan = stamp.stamp_files(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(stamped) == [(7 + i, f"{i:03d}.json") for i in range(600)]
+    assert "SortMergeJoin" in plan and plan.count("binaryFile") == 1  # numbering reads the stored keys
+
+
+@pytest.mark.parametrize("opens", [True, False])
+def test_names_and_bytes_of_files(spark, tmp_path, monkeypatch, opens):
+    """Addresses are Spark's, bytes come as they are; hidden and empty files give no row, with either reader."""
+    content = {"a b.json": b"{}", "c%20d.geojson": b"[1]", "ü#x?.json": b"\xff\xfe", "sub/q+&.json": b"\xef\xbb\xbf{}", "e.json": b"", "_u.json": b"{}", ".h.json": b"{}", "json": b"{}"}
+    (tmp_path / "sub").mkdir()
+    for name, text in content.items():
+        (tmp_path / name).write_bytes(text)
+    monkeypatch.setattr(readers, "_opens", lambda path: opens)
+    rows = readers.import_docs(spark, str(tmp_path)).selectExpr("path", "place", "_file", "hex(raw) AS raw").collect()
+    kept = {"a%20b.json": b"{}", "c%2520d.geojson": b"[1]", "ü%23x%3F.json": b"\xff\xfe", "q+&.json": b"\xef\xbb\xbf{}"}
+    assert {r["_file"]: bytes.fromhex(r["raw"]) for r in rows} == kept and {r["place"] for r in rows} == {0}
+    assert {r["path"] for r in rows} == {f"file:{tmp_path}/{'sub/' * (n[0] == 'q')}{n}" for n in kept}
