@@ -244,7 +244,61 @@ def crossings(edges: Column, lon: Column, x: Column, y: Column, z: Column) -> Co
 
 def inside_ring(edges: Column, lon: Column, lat: Column) -> Column:
     """Inside a ring, given its edges, that does not enclose the north pole."""
-    return crossings(edges, wrapped(lon), *unit_columns(lon, lat)) % 2 == 1
+    point = wrapped(lon), *unit_columns(lon, lat)
+    few = reduce(operator.ne, [crosses(e, *point) for e in _first(edges)])
+    return F.when(F.size(edges) <= WRITTEN_OUT, few).otherwise(crossings(edges, *point) % 2 == 1)
+
+
+#: Members up to which a test of all members of an array is written out, as compiled code; a lambda is interpreted.
+WRITTEN_OUT = 8
+
+
+def _first(array: Column) -> list[Column]:
+    """The members of an array of up to ``WRITTEN_OUT``, NULL beyond its end."""
+    return [F.get(array, i) for i in range(WRITTEN_OUT)]
+
+
+def edges_in_cell(edges: Column, west: Column, width: Column, centre: Column, slack: float) -> Column:
+    """How a ring's edges have to be tested for points of one cell: the ``edges`` with their ``kinds``, for ``open_edges``.
+
+    An edge that every point of the cell lies north of, or whose longitudes the
+    cell has none of, is crossed by none; one that spans the cell and that every
+    point lies south of is crossed by all, and their number only says whether to
+    flip. ``centre`` is the cell's middle ``x, y, z`` with its ``radius``; all
+    limits are wider than rounding, so the remaining edges give the same result
+    as all of them.
+    """
+    west, width = west - slack, width + 2 * slack
+
+    def kind(e: Column) -> Column:
+        """0 for an edge that none crosses, 1 for one that all cross, 2 for the others."""
+        span = F.pmod(e["e"] - e["w"], F.lit(360.0))
+        past, ahead = F.pmod(west - e["w"], F.lit(360.0)), F.pmod(e["w"] - west, F.lit(360.0))
+        height = centre["x"] * e["x"] + centre["y"] * e["y"] + centre["z"] * e["z"]
+        reach = F.sqrt(e["x"] * e["x"] + e["y"] * e["y"] + e["z"] * e["z"]) * centre["radius"]
+        never = (height > reach) | ((past > span + slack) & (ahead > width))
+        always = (height < -reach) & (past + width < span)
+        return F.when(never, 0).when(always, 1).otherwise(2)
+
+    few = F.size(edges) <= WRITTEN_OUT
+    kinds = F.when(few, F.array(*map(kind, _first(edges)))).otherwise(F.transform(edges, kind))
+    return F.struct(edges.alias("edges"), kinds.alias("kinds"))
+
+
+def open_edges(part: Column) -> Column:
+    """The ``open`` edges of a cell and its ``flip``, from the ``edges`` and their ``kinds``."""
+    edges, kinds = part["edges"], part["kinds"]
+    few = F.size(edges) <= WRITTEN_OUT
+    some = F.array_compact(F.array(*[F.when(k == 2, e) for e, k in zip(_first(edges), _first(kinds))]))
+    every = F.transform(F.filter(F.arrays_zip(edges.alias("edge"), kinds.alias("kind")), lambda z: z["kind"] == 2), lambda z: z["edge"])
+    odd = reduce(operator.ne, [e.isNotNull() & (k == 1) for e, k in zip(_first(edges), _first(kinds))])
+    all_odd = F.size(F.filter(kinds, lambda k: k == 1)) % 2 == 1
+    return F.struct(F.when(few, some).otherwise(every).alias("open"), F.when(few, odd).otherwise(all_odd).alias("flip"))
+
+
+def crosses(edge: Mapping[str, Column], lon: Column, x: Column, y: Column, z: Column) -> Column:
+    """Whether one edge, NULL for none, is crossed on the way to the north pole: the test of ``crossings``."""
+    return F.coalesce(_between(lon, edge["w"], edge["e"]) & (x * edge["x"] + y * edge["y"] + z * edge["z"] < 0), F.lit(False))
 
 
 def ring_sides(ring: Column) -> Column:
@@ -362,7 +416,8 @@ def any_arc_within(arcs: Column, x: Column, y: Column, z: Column, radius: Column
         middle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * a["mx"] + y * a["my"] + z * a["mz"])))
         return (circle <= radius) & (middle <= radius + a["half"] + 1e-9)
 
-    return F.exists(arcs, near)
+    few = reduce(operator.or_, [F.coalesce(near(a), F.lit(False)) for a in _first(arcs)])
+    return F.when(F.size(arcs) <= WRITTEN_OUT, few).otherwise(F.exists(arcs, near))
 
 
 def is_strict(geom: Mapping[str, Any]) -> bool:

@@ -210,8 +210,10 @@ def spatial_join(
     )
 
 
-#: Levels of the covering: a cell of level n is 180 / 2**n degrees high.
-_COARSEST, _FINEST = 1, 16
+#: Levels of the covering: a cell of level n is 180 / 2**n degrees high. Only even ones occur, as each is a copy of the documents.
+_COARSEST, _FINEST = 2, 16
+#: Edges of a border cell that the join compares as plain columns.
+_PLAIN_EDGES = 4
 
 
 def _level_grid() -> _Grid:
@@ -220,13 +222,15 @@ def _level_grid() -> _Grid:
 
 
 def ring_cover(searches: DataFrame, cells_across: float = 8.0) -> DataFrame:
-    """Cells of each search ring: ``search_id, _level, _x, _y, _whole, _edges``.
+    """Cells of each search ring: ``search_id, _level, _x, _y, _whole, _flip, _edges``.
 
-    A search has cells of one size, by its own size, so that about
-    ``cells_across`` of them lie side by side whatever the others need. A cell
+    A search has cells of one size, by its own area, so that about
+    ``cells_across`` of them lie side by side whatever the others need; a long
+    and narrow one has up to eight times as many along its length. A cell
     that no side of the ring can reach is dropped where its centre is outside
-    and is ``_whole`` where it is inside; only the cells on the border carry the
-    ring's edges.
+    and is ``_whole`` where it is inside; only the cells on the border carry
+    those of the ring's edges that tell their points apart (see
+    ``geo.edges_in_cell``).
     """
     ring, sides, walk = F.col("ring"), F.col("_sides"), F.col("_walk")
     rings = model.computed_once(searches.select("search_id", "ring"), "_sides", geo.ring_sides(ring))
@@ -237,22 +241,29 @@ def ring_cover(searches: DataFrame, cells_across: float = 8.0) -> DataFrame:
     boxed = _boxed(rings, *[c + s for c, s in zip(box, (-_SLACK, -_SLACK, _SLACK, _SLACK))])
     south, north = F.col("_box.s"), F.col("_box.n")
     nearest = F.when((south < 0) & (north > 0), 0.0).otherwise(F.least(F.abs(south), F.abs(north)))
-    size = F.greatest(north - south, (F.col("_box.e") - F.col("_box.w")) * F.cos(F.radians(nearest)), F.lit(1e-6))
-    level = F.floor(F.log2(F.lit(180.0 * cells_across) / size))
+    high, wide = north - south, (F.col("_box.e") - F.col("_box.w")) * F.cos(F.radians(nearest))
+    size = F.greatest(F.sqrt(high * F.abs(wide)), high / 8, wide / 8, F.lit(1e-6))
+    level = 2 * F.round(F.log2(F.lit(180.0 * cells_across) / size) / 2)
     boxed = model.computed_once(boxed, "_level", F.greatest(F.lit(_COARSEST), F.least(F.lit(_FINEST), level)).cast("int"))
     grid = _level_grid()
     placed = grid.searches(boxed.select("search_id", "_ring", "_arcs", "_box", "_level"))
-    width = F.lit(360.0) / grid._width(F.col("_y"))
+    placed = model.computed_once(placed, "_wide", F.lit(360.0) / grid._width(F.col("_y")))
+    width = F.col("_wide")
     lon, lat = (F.col("_x") + 0.5) * width - 180.0, (F.col("_y") + 0.5) * grid.degrees - 90.0
     # The point of a cell that is farthest from its centre is a corner.
     corners = [geo.distance_m(lon, lat, lon + width / 2, lat + way * grid.degrees / 2) for way in (-1, 1)]
     radius = F.greatest(*corners) / geo.EARTH_RADIUS_M + _SLACK
-    centre = model.computed_once(placed, "_at", F.struct(lon.alias("lon"), lat.alias("lat"), radius.alias("radius"), *[c.alias(n) for n, c in zip("xyz", geo.unit_columns(lon, lat))]))
-    border = geo.any_arc_within(F.col("_arcs"), *[F.col(f"_at.{n}") for n in "xyz"], F.col("_at.radius"))
-    judged = model.computed_once(centre, "_border", border)
+    west = F.col("_x") * width - 180.0
+    centre = model.computed_once(placed, "_at", F.struct(lon.alias("lon"), lat.alias("lat"), radius.alias("radius"), west.alias("west"), *[c.alias(n) for n, c in zip("xyz", geo.unit_columns(lon, lat))]))
+    near = geo.any_arc_within(F.col("_arcs"), *[F.col(f"_at.{n}") for n in "xyz"], F.col("_at.radius"))
     edges = F.col("_ring.edges")
+    part = geo.edges_in_cell(edges, F.col("_at.west"), width, F.col("_at"), _SLACK)
+    judged = model.computed_once(centre, "_kinds", F.when(near, part))
+    judged = model.computed_once(judged, "_part", F.when(F.col("_kinds").isNotNull(), geo.open_edges(F.col("_kinds"))))
+    judged = model.computed_once(judged, "_border", F.coalesce(F.size("_part.open") > 0, F.lit(False)))
     kept = judged.where(F.col("_border") | geo.inside_ring(edges, F.col("_at.lon"), F.col("_at.lat")))
-    return kept.select("search_id", "_level", *_Grid.KEYS, (~F.col("_border")).alias("_whole"), F.when(F.col("_border"), edges).alias("_edges"))
+    within = [(~F.col("_border")).alias("_whole"), F.when(F.col("_border"), F.col("_part.flip")).alias("_flip"), F.when(F.col("_border"), F.col("_part.open")).alias("_edges")]
+    return kept.select("search_id", "_level", *_Grid.KEYS, *within)
 
 
 def spatial_join_polygons(docs: DataFrame, searches: DataFrame, cells_across: float = 8.0) -> DataFrame:
@@ -263,16 +274,30 @@ def spatial_join_polygons(docs: DataFrame, searches: DataFrame, cells_across: fl
     pole; other rings raise (use ``within_polygon`` for those).
 
     Searches are covered by cells of a size of their own (see ``ring_cover``);
-    a document joins once per size that occurs, of which there are at most 16,
-    and the ring itself is only tested in cells on its border.
+    a document joins once per size that occurs, of which there are at most 8,
+    and only pairs in cells on a border are tested, with the few edges that the
+    cell leaves open. These are plain columns, so that the join is compiled code;
+    border cells with more than ``_PLAIN_EDGES`` open edges join apart.
     """
-    cover = saved(ring_cover(searches, cells_across), "cover")
-    levels = [r["_level"] for r in cover.select("_level").distinct().collect()]  # at most 16
-    lived = docs.select("_id_x", "lon", "lat", F.explode(F.array(*map(F.lit, sorted(levels) or [_COARSEST]))).alias("_level"))
-    grid, y = _level_grid(), _level_grid()._y(F.col("lat"))
-    lived = lived.select("*", grid._x(F.col("lon"), grid._width(y)).alias("_x"), y.alias("_y"))
-    return (
-        lived.join(cover.hint("merge"), ["_level", *_Grid.KEYS])
-        .where(F.col("_whole") | geo.inside_ring(F.col("_edges"), F.col("lon"), F.col("lat")))
-        .select("search_id", "_id_x")
-    )
+    # Few bytes of searches make many cells: by their bytes alone one task would cover them all.
+    dealt = searches.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "search_id")
+    cover = saved(ring_cover(dealt, cells_across), "cover")
+    found = cover.groupBy("_level").agg(F.max(F.size("_edges")).alias("edges")).collect()  # at most 8
+    levels, most = sorted(r["_level"] for r in found) or [_COARSEST], max((r["edges"] for r in found), default=0)
+    lon, lat = geo.wrapped(F.col("lon")), F.col("lat")
+    point = [lon.alias("_lon"), *[c.alias(f"_{n}p") for n, c in zip("xyz", geo.unit_columns(F.col("lon"), lat))]]
+    lived = docs.select("_id_x", lat.alias("_lat"), *point, F.explode(F.array(*map(F.lit, levels))).alias("_level"))
+    grid, y = _level_grid(), _level_grid()._y(F.col("_lat"))
+    lived = lived.select("*", grid._x(F.col("_lon"), grid._width(y)).alias("_x"), y.alias("_y")).drop("_lat")
+    keys, at = ["_level", *_Grid.KEYS], [F.col(n) for n in ("_lon", "_xp", "_yp", "_zp")]
+
+    slots = range(min(max(most, 0), _PLAIN_EDGES))
+    plain = [F.get("_edges", i)[n].alias(f"_{n}{i}") for i in slots for n in "wexyz"]
+    odd = reduce(lambda a, b: a != b, [geo.crosses({n: F.col(f"_{n}{i}") for n in "wexyz"}, *at) for i in slots], F.col("_flip"))
+    few = cover.where(F.col("_whole") | (F.size("_edges") <= _PLAIN_EDGES)).select("search_id", *keys, "_whole", "_flip", *plain)
+    hits = lived.join(few.hint("merge"), keys).where(F.col("_whole") | odd).select("search_id", "_id_x")
+    if most <= _PLAIN_EDGES:
+        return hits
+    many = cover.where(F.size("_edges") > _PLAIN_EDGES).select("search_id", *keys, "_flip", "_edges")
+    crossed = geo.crossings(F.col("_edges"), *at) % 2 == 1
+    return hits.unionByName(lived.join(many.hint("merge"), keys).where(crossed != F.col("_flip")).select("search_id", "_id_x"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
 
 import pytest
@@ -240,3 +241,35 @@ def test_map_clusters_of_a_view_and_levels(spark, collection):
 def test_distance_column_accepts_columns(spark):
     row = spark.range(1).select(geo.distance_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("d")).first()
     assert row["d"] == pytest.approx(math.radians(1) * geo.EARTH_RADIUS_M)
+
+
+def test_polygon_join_of_wound_rings(spark, collection):
+    """Rings of 4 to 300 sides, some with many sides in one cell, long and narrow, over the date line and at 180 degrees."""
+    rng = random.Random(5)
+
+    def star(lon, lat, size, n, least=0.2):
+        turns = [((i + rng.random() * 0.9) / n * 2 * math.pi, size * rng.uniform(least, 1)) for i in range(n)]
+        ring = [[lon + r * math.cos(t), lat + r * math.sin(t)] for t, r in turns]
+        return [*ring, ring[0]]
+
+    comb = [[x / 10 + d, 20.0 + 8 * up] for x in range(60) for d, up in ((0.0, x % 2), (0.05, x % 2))] + [[6.0, 19.0], [0.0, 19.0], [0.0, 20.0]]
+    rings = [star(10, 10, 9, 300), star(179, -20, 8, 40), star(-100, 60, 20, 9), comb]
+    rings += [[list(map(float, p)) for p in box(*b)] for b in ((-60, 30, 20, 30.4), (40, -50, 40.3, 50), (170, -5, 180, 5), (-180, -5, -170, 5), (-9.3, 48, 9.2, 51.6))]
+    spots = [(rng.uniform(w, e), rng.uniform(s, n)) for w, s, e, n in ((0, 0, 20, 20), (171, -29, 180, -11), (-180, -29, -172, -11), (-125, 38, -78, 82), (0, 19, 6, 28), (-60, 29, 20, 33), (39.9, -50, 40.4, 50), (-10, 47, 10, 53)) for _ in range(150)]
+    spots += [(float(lon), float(lat)) for lon in (-180, -175, -170, 170, 175, 180) for lat in (-5, 0, 5)]
+    docs = collection(*[tree(i, lon=lon, lat=lat) for i, (lon, lat) in enumerate(spots)]).select("_id_x", "lon", "lat").cache()
+    searches = spark.createDataFrame(list(enumerate(rings)), "search_id int, ring array<array<double>>")
+    cover = joins.ring_cover(searches).where("NOT _whole").agg(F.min(F.size("_edges")), F.max(F.size("_edges"))).first()
+    assert cover[0] >= 1 and cover[1] > joins._PLAIN_EDGES
+    got = [(r["search_id"], r["_id_x"]) for r in joins.spatial_join_polygons(docs, searches).collect()]
+    want = {(i, found) for i, r in enumerate(rings) for found in ids(docs.where(geo.Ring(r, False).contains(F.col("lon"), F.col("lat"))))}
+    assert set(got) == want and len(got) == len(want) and {i for i, _ in want} == set(range(len(rings)))
+
+
+def test_polygon_join_is_compiled(spark):
+    """Interpreted lambdas for each pair took longer than all else; rings of few sides need none."""
+    searches = spark.createDataFrame([(i, [list(map(float, p)) for p in box(i, 0, i + 5, 3)]) for i in range(40)], "search_id int, ring array<array<double>>")
+    joined = joins.spatial_join_polygons(spark.createDataFrame([(0, 8.7, 1.0)], "_id_x long, lon double, lat double"), searches)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "lambda" not in plan
+    assert sorted(r["search_id"] for r in joined.collect()) == [4, 5, 6, 7, 8]
