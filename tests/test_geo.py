@@ -273,3 +273,11 @@ def test_polygon_join_is_compiled(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "lambda" not in plan
     assert sorted(r["search_id"] for r in joined.collect()) == [4, 5, 6, 7, 8]
+
+
+def test_searches_are_covered_by_many_tasks(spark):
+    """Searches of one small file, which by its bytes would be one task."""
+    rings = [(i, [list(map(float, p)) for p in box(i, 0, i + 5, 3)]) for i in range(60)]
+    searches = spark.createDataFrame(rings, "search_id int, ring array<array<double>>").coalesce(1)
+    joined = joins.spatial_join_polygons(spark.createDataFrame([(0, 8.7, 1.0)], "_id_x long, lon double, lat double"), searches)
+    assert len(joined.inputFiles()) > 1  # those of the stored cover
